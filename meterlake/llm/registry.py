@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from meterlake.llm.licenses import op4_licenses
 from meterlake.llm.packing import op7_packing
 from meterlake.llm.secrets import op1_secrets
 from meterlake.llm.tree_bpe import op9_round_trip
@@ -14,7 +15,7 @@ from meterlake.llm.wavelet import op3_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_token_ids, op7_packing, op9_round_trip)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_token_ids, op4_licenses, op7_packing, op9_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
