@@ -52,9 +52,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession, "unused")
-    return df.checkpoint()
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that written() made and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
