@@ -12,13 +12,14 @@ from meterlake.llm.language import op5_language
 from meterlake.llm.licenses import op4_licenses
 from meterlake.llm.near_dedup import op6_minhash
 from meterlake.llm.packing import op7_packing
+from meterlake.llm.repeats import op8_repeats
 from meterlake.llm.secrets import op1_secrets
 from meterlake.llm.tree_bpe import op9_round_trip
 from meterlake.llm.wavelet import op3_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_token_ids, op4_licenses, op5_language, op6_minhash, op7_packing, op9_round_trip, op10_embeddings)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_token_ids, op4_licenses, op5_language, op6_minhash, op7_packing, op8_repeats, op9_round_trip, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
