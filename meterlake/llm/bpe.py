@@ -1,8 +1,8 @@
 """Exact subword encoding of whole texts with the tokenizers library, one distinct word at a time.
 
 Both vocabularies split a text into words first and merge inside words only, so the ids of a text are the ids of
-its words in order. A worker keeps the ids of words it has met (bounded) and asks the library once for each new
-word. The split is done here only for texts over an alphabet where Python's character classes and the library's
+its words in order. A worker keeps the ids of words it has met (bounded) and lets the library's model merge each new
+word once. The split is done here only for texts over an alphabet where Python's character classes and the library's
 agree; any other text, or one that holds the string of a special token, goes to the library whole.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words kept by a worker; beyond this the store starts anew.
-MOST_WORDS = 700_000
+MOST_WORDS = 1_000_000
 
 #: ASCII without control characters, and the letters and marks of Latin-1 that are the same for both sides.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-ÿ]*")
@@ -25,6 +25,16 @@ BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+")
 
 
+def _byte_symbols() -> dict[int, int]:
+    """The printable code point that stands for each byte in a byte-level vocabulary."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in kept]
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_SYMBOLS = _byte_symbols()
+
+
 class _Index(dict):
     """Numbers words in order of first sight."""
 
@@ -44,6 +54,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merge = self.library.model.tokenize
         self.lower = self.library.normalizer is not None
         self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
         self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
@@ -68,7 +79,7 @@ class Encoder:
         if not words:
             return
         first = len(self.index) - len(words)
-        got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        got = [[t.id for t in self.merge(w.encode().decode("latin-1").translate(BYTE_SYMBOLS))] for w in words]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lengths.sum()))
         self._add(first, lengths, flat)
@@ -84,6 +95,17 @@ class Encoder:
         self.lengths[first : first + len(lengths)] = lengths
         self.used += len(flat)
 
+    def encode_ended(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), with one more id at the end of each text."""
+        flat, counts = self.encode(texts)
+        out = np.empty(len(flat) + len(texts), np.uint32)
+        last = np.cumsum(counts + 1) - 1
+        own = np.ones(len(out), bool)
+        own[last] = False
+        out[last] = end_id
+        out[own] = flat
+        return out, counts + 1
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many belong to each text."""
         if len(self.index) > MOST_WORDS:

@@ -117,10 +117,9 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int)
     for batch in batches:
         for at in range(0, len(batch), 100):
             some = batch.iloc[at : at + 100]
-            flat, counts = words.encode(some["text"].tolist())
-            flat = np.insert(flat, np.cumsum(counts), end_id)
-            ends, whole_windows = np.cumsum(counts + 1), []
-            for doc_id, end, n in zip(some["doc_id"].tolist(), ends.tolist(), (counts + 1).tolist(), strict=True):
+            flat, counts = words.encode_ended(some["text"].tolist(), end_id)
+            ends, whole_windows = np.cumsum(counts), []
+            for doc_id, end, n in zip(some["doc_id"].tolist(), ends.tolist(), counts.tolist(), strict=True):
                 ids, cut = flat[end - n : end], n - n % window
                 whole_windows += [[Piece(doc_id, i, n, ids[i : i + window])] for i in range(0, cut, window)]
                 if cut < n:

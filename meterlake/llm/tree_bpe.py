@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.bpe import Encoder, encoder
+from meterlake.llm.bpe import BYTE_SYMBOLS, MOST_WORDS, Encoder, encoder
 from meterlake.llm.common import table, whole
 
 #: Code points of a part of a text, of a part that is a row of its own, and bytes of a word that is encoded whole.
@@ -44,18 +44,10 @@ class Part(NamedTuple):
     ids: np.ndarray
 
 
-@lru_cache(maxsize=1)
-def byte_symbols() -> dict[int, str]:
-    """The printable symbol that stands for each byte in a byte-level vocabulary."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = (b for b in range(256) if b not in kept)
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 class TreeEncoder:
     def __init__(self, words: Encoder, leaf: int = LEAF, unsplit: int = UNSPLIT) -> None:
         self.words, self.leaf, self.unsplit = words, leaf, unsplit
-        self.symbols = byte_symbols()
+        self.symbols = {b: chr(c) for b, c in BYTE_SYMBOLS.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, words.special)) + ")") if words.special else None
         back = {s: b for b, s in self.symbols.items()}
         vocabulary = words.library.get_vocab()
@@ -185,8 +177,6 @@ NAMES = [x.split()[0] for x in DIGEST.split(", ")]
 
 
 def _fresh(tree: TreeEncoder) -> None:
-    from meterlake.llm.bpe import MOST_WORDS
-
     if len(tree.words.index) > MOST_WORDS:
         tree.words._clear()
 
