@@ -42,14 +42,14 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         now, zeros, planes, ranks = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], []
         for k in reversed(range(bits)):
-            bit = (now & (1 << k)) != 0
+            bit = (now & now.dtype.type(1 << k)) != 0
             plane = np.packbits(bit, bitorder="little")
             ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), SAMPLE // 8), dtype=np.uint32) if len(plane) else np.zeros(0, np.uint32)
             planes.append(plane.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32).tobytes())
-            low = now[~bit]
+            low = now.compress(~bit)
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, now.compress(bit)])
         return cls(len(ids), zeros, planes, ranks)
 
     def _rank1(self, k: int, i: int) -> int:
@@ -114,8 +114,8 @@ class WaveletMatrix:
         for k in reversed(range(len(self.planes))):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(now)
-            back[~bit] = now[: self.zeros[k]]
-            back[bit] = now[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
+            back[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            back[np.flatnonzero(bit)] = now[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
             now = back
         return now.astype(np.uint32)
 
@@ -139,9 +139,9 @@ def _shards(batches: Iterator[pd.DataFrame], path: str, end_id: int, bits: int,
     for batch in batches:
         for at in range(0, len(batch), 100):
             some = batch.iloc[at : at + 100]
-            flat, counts = words.encode(some["text"].tolist())
-            ids.append(np.insert(flat, np.cumsum(counts), end_id))
-            lengths.append((counts + 1).astype(np.int64))
+            flat, counts = words.encode_ended(some["text"].tolist(), end_id)
+            ids.append(flat)
+            lengths.append(counts.astype(np.int64))
             docs.append(some["doc_id"].to_numpy(np.int64))
             held += len(ids[-1])
             if held >= shard_tokens:
