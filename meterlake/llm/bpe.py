@@ -63,8 +63,8 @@ class Encoder:
     def _clear(self) -> None:
         self.index = _Index()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.lengths = np.zeros(1 << 16, np.int32)
         self.used = 0
 
     def plain(self, text: str) -> bool:

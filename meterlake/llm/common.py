@@ -14,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a missing id inside the operators, after every id.
+NO_ID = (1 << 63) - 1
+
+
+def ids(column: str = "doc_id") -> Column:
+    """The id as a long that is never null, for Python and for comparisons."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def with_nulls(df: DataFrame, *columns: str) -> DataFrame:
+    """Missing ids as nulls again."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in columns})
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text as it is; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table
+from meterlake.llm.common import ids, table, with_nulls
 from meterlake.llm.components import components
 from meterlake.session import written
 
@@ -101,7 +101,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (array of doubles) of the vectors that can link."""
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
+    rows = vectors.select(ids("vec_id"), e.alias("embedding"))
     return rows.where(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
 
 
@@ -223,7 +223,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     e = F.col("embedding")
     bad = e.isNull() | ~F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) | ~F.coalesce(F.exists(e, lambda v: v != 0), F.lit(False))
     alone = single.where(bad).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    both = with_nulls(linked, "vec_id", "component_id").union(alone)
+    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from meterlake.llm.common import table
 
@@ -211,21 +210,18 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The same columns of docs and lang_pred, score, accepted."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
+    """The same columns of docs and lang_pred, score, accepted (columns of these names are replaced)."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, accepted boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                some = batch.iloc[at : at + 200]
-                lang, score, accepted = classify(some["text"].tolist(), held.value)
-                yield some.assign(lang_pred=lang, score=score, accepted=accepted)
-
-    docs = docs.select(*names)
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
-    return docs.mapInPandas(run, schema)
+            parts = [classify(batch.iloc[at : at + 200].tolist(), held.value) for at in range(0, len(batch), 200)]
+            lang, score, accepted = zip(*parts, strict=True) if parts else ((), (), ())
+            yield pd.DataFrame({"lang_pred": [x for p in lang for x in p], "score": [x for p in score for x in p], "accepted": [bool(x) for p in accepted for x in p]})
+
+    found = docs.withColumn("__found", run("text"))
+    return found.withColumns({c: F.col("__found")[c] for c in ("lang_pred", "score", "accepted")}).drop("__found")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import shingles as S
-from meterlake.llm.common import table, whole
+from meterlake.llm.common import NO_ID, ids, table, whole, with_nulls
 from meterlake.llm.components import components
 from meterlake.session import discard, written
 
@@ -155,9 +155,9 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: set size, class, component and whether it stays."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    rows = docs.select(ids(), whole().alias("text"))
     sketched = written(rows.mapInPandas(lambda it: _sketch(it, words), SKETCH), "sketches")
-    known = sketched.where("doc_id is not null and n > 0")
+    known = sketched.where((F.col("doc_id") != NO_ID) & (F.col("n") > 0))
     # The class of a set: its smallest doc_id. Copies fold before the shuffle.
     first = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"))
     first = written(first, "classes")
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     else:
         named = named.join(components(edges), "id", "left").select("digest", "id", F.coalesce("component", "id").alias("component_id"))
     classed = known.select("doc_id", "n", "digest").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), "component_id")
-    rest = sketched.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    rest = with_nulls(sketched.where((F.col("doc_id") == NO_ID) | (F.col("n") == 0)), "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return classed.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import encoder
-from meterlake.llm.common import table, whole
+from meterlake.llm.common import ids, table, whole, with_nulls
 
 WINDOW = 1024
 #: Rests that wait before windows are filled from them.
@@ -132,8 +132,8 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int)
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """The pieces of all documents with their ids (32-bit little-endian) and their places in the sequences."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInPandas(lambda it: _pack(it, path, end_id, window), PIECE)
+    rows = docs.select(ids(), whole().alias("text"))
+    return with_nulls(rows.mapInPandas(lambda it: _pack(it, path, end_id, window), PIECE), "doc_id")
 
 
 def digests(pieces: DataFrame) -> DataFrame:

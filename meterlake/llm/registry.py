@@ -18,8 +18,14 @@ from meterlake.llm.tree_bpe import op9_round_trip
 from meterlake.llm.wavelet import op3_token_ids
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_token_ids, op4_licenses, op5_language, op6_minhash, op7_packing, op8_repeats, op9_round_trip, op10_embeddings)}
+    return {"pipeline": _pipeline} | {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_token_ids, op4_licenses, op5_language, op6_minhash, op7_packing, op8_repeats, op9_round_trip, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table, whole
+from meterlake.llm.common import NO_ID, ids, table, whole, with_nulls
 from meterlake.llm.shingles import U, mix, powers
 from meterlake.llm.suffix_sort import V, sorted_buckets
 from meterlake.session import written
@@ -170,15 +170,15 @@ def _remove(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.Dat
                 removed, runs = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             rows.append((doc_id, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """Per document the counts of what is removed, and the bytes that remain (their digest; the bytes if asked for)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().cast("binary").alias("data"))
-    found = spans(rows.where("doc_id is not null"), length, gram, hot)
+    rows = docs.select(ids(), whole().cast("binary").alias("data"))
+    found = spans(rows.where(F.col("doc_id") != NO_ID), length, gram, hot)
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(found, "doc_id", "left").select("doc_id", "data", "spans").mapInPandas(lambda it: _remove(it, with_text), OUT)
+    return with_nulls(rows.join(found, "doc_id", "left").select("doc_id", "data", "spans").mapInPandas(lambda it: _remove(it, with_text), OUT), "doc_id")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -160,33 +159,29 @@ def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        spans = [ordered(base_spans(t) + confirmed_spans(t)) if t else [] for t in batch["text"]]
-        yield batch.assign(spans=[[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans])[["doc_id", "text", "spans"]]
+def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for some in texts:
+        found = [ordered(base_spans(t) + confirmed_spans(t)) if t else [] for t in some]
+        yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in found])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the ordered spans of every document; the rows stay in their partitions."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan, f"doc_id long, text string, spans {SPANS}")
-
-
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    say = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            base = base_spans(text) if text else []
-            spans = ordered(base + (confirmed_spans(text) if text else []))
-            kinds = [k for *_, k in base]
-            rows.append((doc_id, *(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(say(ordered(base)).encode()).hexdigest(), say(spans), len(spans) - len(base)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
+    """The same rows and columns, and the ordered spans of each text; the rows stay in their partitions."""
+    return docs.withColumn("spans", F.pandas_udf(_spans, SPANS)("text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans of each document, without its text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        _digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "spans", base.alias("base")).select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(say("base"), 256).alias("base_sha256"),
+        say("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_confirmed"),
     )
 
 
@@ -204,14 +199,14 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(text=[redacted(t) if t else t for t in batch["text"]])
+def _redacted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for some in texts:
+        yield pd.Series([redacted(t) if t else t for t in some], dtype=object)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns; secrets in text are replaced by a mark, clean texts stay as they are."""
-    return docs.mapInPandas(_redact, docs.schema)
+    return docs.withColumn("text", F.pandas_udf(_redacted, "string")("text"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import BYTE_SYMBOLS, MOST_WORDS, Encoder, encoder
-from meterlake.llm.common import table, whole
+from meterlake.llm.common import ids, table, whole, with_nulls
 
 #: Code points of a part of a text, of a part that is a row of its own, and bytes of a word that is encoded whole.
 LEAF, SPREAD, UNSPLIT = 1 << 14, 1 << 16, 1 << 9
@@ -221,7 +221,7 @@ def _gather(parts: pd.DataFrame, path: str) -> pd.DataFrame:
 
 def round_trip(docs: DataFrame, path: str, spread: int = SPREAD) -> DataFrame:
     """Per document the count and digest of its ids, and the digest of the text that they decode to."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    rows = docs.select(ids(), whole().alias("text"))
     special = encoder(path).special
     far = F.length("text") > spread
     for s in special:
@@ -232,7 +232,7 @@ def round_trip(docs: DataFrame, path: str, spread: int = SPREAD) -> DataFrame:
     pieces = rows.where(far).withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.explode(F.sequence(F.lit(0), parts - 1)))
     pieces = pieces.select("row", "doc_id", "n", F.expr(f"substring(text, n * {spread} + 1, {spread})").alias("text"))
     encoded = pieces.repartition("row", "n").mapInPandas(lambda it: _spread(it, path), PART)
-    return short.union(encoded.groupBy("row").applyInPandas(lambda p: _gather(p, path), DIGEST))
+    return with_nulls(short.union(encoded.groupBy("row").applyInPandas(lambda p: _gather(p, path), DIGEST)), "doc_id")
 
 
 def op9_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

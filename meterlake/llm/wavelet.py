@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import encoder
-from meterlake.llm.common import table, whole
+from meterlake.llm.common import ids as id_column
+from meterlake.llm.common import table, whole, with_nulls
 from meterlake.session import shared_folder
 
 SHARD_TOKENS = 1 << 20
@@ -157,7 +158,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     spark = docs.sparkSession
     bits = int(max(encoder(path).library.get_vocab_size() - 1, end_id)).bit_length()
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(id_column(), whole().alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInPandas(lambda it: _shards(it, path, end_id, bits, shard_tokens), SHARD).write.option("compression", "zstd").parquet(folder)
 
 
@@ -181,7 +182,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     before = np.cumsum([0, *(n for *_, n in totals)]).tolist()
     bases = spark.createDataFrame([(p, b) for (_, p, _), b in zip(totals, before, strict=False)], "part int, base long")
     rows = shards.mapInPandas(_documents, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    found = rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return with_nulls(found, "doc_id")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
