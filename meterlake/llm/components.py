@@ -7,6 +7,7 @@ grows with the logarithm of the longest chain.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     # Stars: every node points at the smallest of its component.
     return _pairs(edges, "a", "b").union(_pairs(edges.select("b").distinct(), "b", "b")).toDF("id", "component")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the edges that connect what all of them connect: every node to the root of its group."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]

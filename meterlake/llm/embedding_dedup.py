@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import ids, table, with_nulls
-from meterlake.llm.components import components
+from meterlake.llm.components import components, forest
 from meterlake.session import written
 
 THRESHOLD = 0.95
@@ -132,24 +132,6 @@ def _probe(batches: Iterator[pd.DataFrame], q: Quantiser, radius: float) -> Iter
             yield pd.DataFrame({"list": np.concatenate(found), "rep": np.repeat(batch["rep"].to_numpy(), n), "vector": np.repeat(batch["vector"].to_numpy(), n)})
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Some of the edges that connect what all of them connect: every node to the root of its group."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = label != np.arange(len(nodes))
-    return nodes[label[other]], nodes[other]
-
-
 def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, threshold: float) -> pd.DataFrame:
     """Counts per query and forest edges of one block of queries and one of a list."""
     empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")

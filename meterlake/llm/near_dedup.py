@@ -4,10 +4,12 @@ Texts with equal sets are one class; a class's smallest doc_id stands for it. Cl
 candidates, and every candidate pair between different components is verified on the full sets, unless it falls to a
 bound that a linked pair keeps to (sizes; one bit of each bin at six standard deviations).
 
-No group's pairs are listed. In each round some members of a band's bucket lead: of each component already found there
-and of the single members, a number that grows sixteenfold from round to round. Only pairs of a leader with a
-member of another component are verified, each once; components are joined before the next round. Large groups so
-collapse after a few leaders, and when the pairs left over are few in proportion to the table, all of them lead at once.
+No group's pairs are listed. First, every class of a bucket meets only the bucket's smallest, and what is linked becomes
+one component. Buckets that still hold several components are settled by size. Classes that share a small one are
+verified as pairs, a number in proportion to the table. Classes that large ones connect are a cluster, which is
+dealt into blocks of bounded size; a pair of blocks is one group, which counts the common shingles of all its pairs
+by a matrix product and returns no more than a spanning forest of the links. Blocks of one and the same component do
+not meet. Every candidate pair of different components is so verified exactly.
 
 Edge cases: null, empty or blank texts have the empty set and link with nothing; repeated rows share their id, set and
 component, and one row of them is enough to stand for it; rows without doc_id link with nothing and stay; extra
@@ -25,14 +27,12 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import shingles as S
 from meterlake.llm.common import NO_ID, ids, table, whole, with_nulls
-from meterlake.llm.components import components
+from meterlake.llm.components import components, forest
 from meterlake.session import discard, written
 
 WORDS, PERCENT = 5, 80
-#: Leaders of a component in a bucket grow by this factor each round.
-GROWTH = 16
-#: All remaining pairs are verified at once when they are at most so many for each row of the band table.
-FEW = 4
+#: Classes of a bucket up to which its pairs are listed; classes of a block of a cluster; shingles of one matrix product.
+SMALL, BLOCK, COLUMNS = 16, 256, 4096
 #: Members that are verified against one leader in a group.
 GROUP = 256
 SKETCH = "doc_id long, n long, digest binary, bands array<long>, bits array<long>"
@@ -97,6 +97,57 @@ def plausible(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & (apart <= int(S.T * share + 6 * np.sqrt(S.T * share * (1 - share))))
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a shares with each of b."""
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    counts = np.zeros((len(a), len(b)), np.int64)
+
+    def marks(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(some)), np.float32)
+        for i, s in enumerate(sets):
+            at = np.minimum(np.searchsorted(some, s), len(some) - 1)
+            out[i, at[some[at] == s]] = 1
+        return out
+
+    for at in range(0, len(shared), COLUMNS):
+        some = shared[at : at + COLUMNS]
+        counts += np.rint(marks(a, some) @ marks(b, some).T).astype(np.int64)
+    return counts
+
+
+def _verify_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the links between the two blocks of a pair (or within one that meets itself)."""
+    left = group[group["side"] == 0]
+    right = group[group["side"] == 1] if (group["side"] == 1).any() else left
+    if not len(left):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    a, b = ([np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right))
+    both = _common(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
+    i, j = np.nonzero(100 * both >= percent * union)
+    x, y = left["id"].to_numpy(np.int64)[i], right["id"].to_numpy(np.int64)[j]
+    other = x != y
+    x, y = forest(x[other], y[other]) if other.any() else (x[:0], y[:0])
+    return pd.DataFrame({"a": x, "b": y})
+
+
+def verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what the links inside each cluster connect. members: id, part, cluster."""
+    sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("m"))
+    # A component of its own blocks, or all small ones of a cluster together.
+    camp = F.when(F.col("m") >= BLOCK, F.col("part"))
+    camps = sizes.groupBy("cluster", camp.alias("camp")).agg(F.ceil(F.sum("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = members.join(sizes, ["cluster", "part"]).withColumn("camp", camp).alias("d")
+    placed = placed.join(camps.alias("k"), (F.col("d.cluster") == F.col("k.cluster")) & F.col("d.camp").eqNullSafe(F.col("k.camp")))
+    placed = placed.select("d.id", "d.cluster", F.xxhash64("d.cluster", F.coalesce("d.camp", F.lit(-1)), F.pmod(F.xxhash64("d.id"), "k.blocks")).alias("block"), F.col("d.camp").alias("camp"))
+    blocks = placed.select("cluster", "block", "camp").distinct()
+    met = blocks.alias("x").join(blocks.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.camp") == F.col("y.camp"), F.lit(False)))
+    pair = met.select(F.col("x.block").alias("one"), F.col("y.block").alias("two"))
+    sided = pair.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("block")).union(pair.where("one <> two").select("one", "two", F.lit(1).alias("side"), F.col("two").alias("block")))
+    rows = placed.join(sets, "id").select("id", "block", "items").join(sided, "block")
+    return rows.select("one", "two", "side", "id", "items").groupBy("one", "two").applyInPandas(lambda g: _verify_blocks(g, percent), "a long, b long")
+
+
 def links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Edges (a, b) that connect what the links between classes connect; None without candidates.
 
@@ -105,52 +156,34 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     rows = classes.select("id", "n", *(F.col("bits")[i].alias(f"s{i}") for i in range(3)), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     rows = written(rows.join(shared, "key"), "buckets")
-    total = rows.count()
-    if not total:
+    if rows.isEmpty():
         return None
     # Sets of the classes that have a candidate, found again from their texts.
     need = rows.select("id").distinct().join(classes.select("id", "digest"), "id")
     texts = docs.join(need, F.col("doc_id") == F.col("id")).select("id", "digest", "text")
     sets = written(texts.mapInPandas(lambda it: _sets(it, words), "id long, items binary").dropDuplicates(["id"]), "sets")
-    spark = rows.sparkSession
-    edges = tested = parts = None
-    leaders_at_most, last = 1, False
-    while True:
-        labelled = rows.withColumn("part", F.col("id")) if parts is None else rows.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-        live = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-        labelled = written(labelled.join(live, "key").withColumn("place", F.xxhash64("id").cast("double") / F.lit(2.0**64) + 0.5), "labelled")
-        # A component that is one class only counts among the single members of its bucket.
-        joined = parts.groupBy("component").count().select(F.col("component").alias("part"), F.lit(True).alias("joined")) if parts is not None else None
-        labelled_sized = labelled.withColumn("joined", F.lit(False)) if joined is None else labelled.join(joined, "part", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
-        labelled_sized = labelled_sized.withColumn("camp", F.when(F.col("joined"), F.col("part")).otherwise(F.lit(-1)))
-        camps = labelled_sized.groupBy("key", "camp").agg(F.count("*").alias("size"), F.min("place").alias("least"))
-        # Pairs across components: all pairs of a bucket without those inside its components.
-        inside = labelled_sized.groupBy("key", "part").count().groupBy("key").agg((F.sum("count") ** 2 - F.sum(F.col("count") ** 2)).alias("across"))
-        across = inside.agg(F.sum("across")).first()[0] or 0
-        if not across:
-            discard(labelled)
-            break
-        last = across <= 2 * FEW * total
-        chosen = labelled_sized.join(camps, ["key", "camp"])
-        if not last:
-            chosen = chosen.where((F.col("place") == F.col("least")) | (F.col("place") * F.col("size") < leaders_at_most))
-        lead = chosen.select("key", "id", "n", "s0", "s1", "s2", "part").alias("x")
-        met = lead.join(labelled.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & plausible("x", "y", percent))
-        pair = met.select(F.least("x.id", "y.id").alias("low"), F.greatest("x.id", "y.id").alias("high"), F.col("x.id").alias("leader"))
-        pair = pair.groupBy("low", "high").agg(F.min("leader").alias("leader"))
-        if tested is not None:
-            pair = pair.join(tested, ["low", "high"], "left_anti")
-        pair = written(pair, "pairs")
-        found = written(verified(pair.select("leader", (F.col("low") + F.col("high") - F.col("leader")).alias("member")), sets, percent), "verified")
-        edges = found if edges is None else edges.union(found)
-        keys = pair.select("low", "high")
-        tested = keys if tested is None else tested.union(keys)
-        discard(labelled)
-        if last:
-            break
-        parts = written(components(edges), "parts")
-        leaders_at_most *= GROWTH
-    return edges if edges is not None else spark.createDataFrame([], "a long, b long")
+
+    def plausible_pairs(x: DataFrame, y: DataFrame, test: Column) -> DataFrame:
+        met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & test & plausible("x", "y", percent))
+        return met.select(F.col("x.id").alias("leader"), F.col("y.id").alias("member")).distinct()
+
+    # 1. Every class and the smallest of its buckets.
+    first = rows.groupBy("key").agg(F.min("id").alias("id"))
+    stars = written(plausible_pairs(rows.join(first, ["key", "id"]), rows, F.col("x.id") < F.col("y.id")), "stars")
+    edges = written(verified(stars, sets, percent), "verified")
+    parts = written(components(edges), "parts")
+    # 2. Buckets that hold several components.
+    labelled = rows.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    live = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m"), F.min("id").alias("least")).where("low <> high")
+    labelled = written(labelled.join(live.select("key", "m", "least"), "key"), "labelled")
+    clusters = written(components(labelled.where(F.col("m") > SMALL).select(F.col("least").alias("a"), F.col("id").alias("b"))), "clusters")
+    members = clusters.select("id", F.col("component").alias("cluster")).join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    edges = edges.union(written(verified_clusters(members, sets, percent), "verified"))
+    few = labelled.where(F.col("m") <= SMALL)
+    pairs = plausible_pairs(few, few, (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part"))).join(stars, ["leader", "member"], "left_anti")
+    edges = edges.union(written(verified(written(pairs, "pairs"), sets, percent), "verified"))
+    discard(labelled)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
