@@ -6,8 +6,9 @@ in which a vector within the radius can lie: the radius must reach the half-spac
 table lookups give the distance from the query to each code; by the triangle inequality a true neighbour is no
 further than the radius plus the code's error, so the filter loses none. What passes is compared by exact cosine.
 
-Lists and queries are dealt in blocks of bounded size, so a list of any size is many tasks. A block pair returns one
-count per query and the edges of a spanning forest, never its pairs.
+Neighbouring lists are dealt together as groups of some BLOCK members, and a query goes once to each group in which it
+probes a list. Large lists and groups with many queries are dealt further, in blocks of bounded size; a pair of blocks
+returns one count per query and the edges of a spanning forest, never its pairs.
 
 Edge cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of
 different lengths never link; equal vectors link with one another; repeated vec_id rows are vectors of their own that
@@ -31,8 +32,8 @@ from meterlake.session import written
 THRESHOLD = 0.95
 SAMPLE_VECTORS, MOST_LISTS, LIST_SIZE = 20_000, 4096, 200
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
-#: Members of a list, and queries, that one group compares.
-BLOCK = 1024
+#: Members, and queries, of a pair of blocks.
+BLOCK = 8192
 SLACK = 1e-6
 
 
@@ -123,40 +124,66 @@ def _index(batches: Iterator[pd.DataFrame], q: Quantiser) -> Iterator[pd.DataFra
             yield pd.DataFrame({"list": own, "rep": batch["rep"], "n": batch["n"], "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "missed": missed})
 
 
-def _probe(batches: Iterator[pd.DataFrame], q: Quantiser, radius: float) -> Iterator[pd.DataFrame]:
+def list_groups(q: Quantiser, sizes: dict[int, int]) -> np.ndarray:
+    """The group of each list: lists that follow each other on the centroids' main axis, up to BLOCK members together."""
+    centred = q.centroids - q.centroids.mean(0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][0]
+    group, held, out = 0, 0, np.zeros(len(q.centroids), np.int64)
+    for i in np.argsort(centred @ axis, kind="stable").tolist():
+        if held and held + sizes.get(i, 0) > BLOCK:
+            group, held = group + 1, 0
+        out[i] = group
+        held += sizes.get(i, 0)
+    return out
+
+
+def _probe(batches: Iterator[pd.DataFrame], q: Quantiser, radius: float, group_of: np.ndarray) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        rows = []
         if len(batch):
             x = np.frombuffer(b"".join(batch["vector"]), np.float64).reshape(len(batch), -1)
-            found = q.probes(x, radius)
-            n = [len(f) for f in found]
-            yield pd.DataFrame({"list": np.concatenate(found), "rep": np.repeat(batch["rep"].to_numpy(), n), "vector": np.repeat(batch["vector"].to_numpy(), n)})
+            for rep, vector, lists in zip(batch["rep"].tolist(), batch["vector"], q.probes(x, radius), strict=True):
+                groups = group_of[lists]
+                rows += [(g, rep, vector, lists[groups == g]) for g in np.unique(groups).tolist()]
+        yield pd.DataFrame(rows, columns=["group", "rep", "vector", "lists"])
 
 
 def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, threshold: float) -> pd.DataFrame:
-    """Counts per query and forest edges of one block of queries and one of a list."""
+    """Counts per query and forest edges of one block of queries and one of a group's members."""
     empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
     if not len(queries) or not len(members):
         return empty
-    centroid = q.centroids[int(members["list"].iloc[0])]
+    members = members.sort_values("list", kind="stable")
     x, y = (np.frombuffer(b"".join(f["vector"]), np.float64).reshape(len(f), -1) for f in (queries, members))
     codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(y), -1)
     bound = (np.sqrt(2 - 2 * threshold) + members["missed"].to_numpy() + SLACK) ** 2
     who, rep, n = queries["rep"].to_numpy(), members["rep"].to_numpy(), members["n"].to_numpy()
+    n_probes = [len(v) for v in queries["lists"]]
+    probed, asking = np.concatenate(queries["lists"].tolist()), np.repeat(np.arange(len(x)), n_probes)
+    by_list = np.argsort(probed, kind="stable")
+    probed, asking = probed[by_list], asking[by_list]
     found_a, found_b, counts = [], [], np.zeros(len(x), np.int64)
-    for at in range(0, len(x), 64):
-        tables = q.tables(x[at : at + 64] - centroid)
-        distance = sum(tables[:, j][:, codes[:, j]] for j in range(codes.shape[1]))
-        i, k = np.nonzero(distance <= bound)
-        i += at
-        near = (np.einsum("ij,ij->i", x[i], y[k]) >= threshold) & (who[i] != rep[k])
-        i, k = i[near], k[near]
-        np.add.at(counts, i, n[k])
-        found_a.append(who[i])
-        found_b.append(rep[k])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    if not len(a):
+    lists = members["list"].to_numpy()
+    for name in np.unique(lists).tolist():
+        a, b = np.searchsorted(lists, [name, name + 1])
+        who_asks = asking[slice(*np.searchsorted(probed, [name, name + 1]))]
+        step = max(1, (1 << 19) // (b - a))
+        for at in range(0, len(who_asks), step):
+            own = who_asks[at : at + step]
+            tables = q.tables(x[own] - q.centroids[name])
+            distance = tables[:, 0][:, codes[a:b, 0]]
+            for j in range(1, codes.shape[1]):
+                distance += tables[:, j][:, codes[a:b, j]]
+            i, k = np.nonzero(distance <= bound[a:b])
+            i, k = own[i], k + a
+            near = (np.einsum("ij,ij->i", x[i], y[k]) >= threshold) & (who[i] != rep[k])
+            i, k = i[near], k[near]
+            np.add.at(counts, i, n[k])
+            found_a.append(who[i])
+            found_b.append(rep[k])
+    if not any(map(len, found_a)):
         return empty
-    a, b = forest(a, b)
+    a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
     some = counts > 0
     return pd.concat([pd.DataFrame({"a": a, "b": b, "n": 0}), pd.DataFrame({"a": who[some], "b": -1, "n": counts[some]})])
 
@@ -170,19 +197,23 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     step = -(-total // SAMPLE_VECTORS)
     sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).orderBy("rep").limit(2 * SAMPLE_VECTORS).select("embedding").toPandas()
     sample = sample if len(sample) else distinct.orderBy("rep").limit(SAMPLE_VECTORS).select("embedding").toPandas()
-    held = spark.sparkContext.broadcast(fit(units(sample["embedding"]), min(MOST_LISTS, max(1, total // LIST_SIZE), len(sample))))
+    fitted = fit(units(sample["embedding"]), min(MOST_LISTS, max(1, total // LIST_SIZE), len(sample)))
+    held = spark.sparkContext.broadcast(fitted)
     radius = float(np.sqrt(2 - 2 * threshold))
     members = written(distinct.mapInPandas(lambda it: _index(it, held.value), "list int, rep long, n long, vector binary, code binary, missed double"), "lists")
-    asked = members.select("rep", "vector").mapInPandas(lambda it: _probe(it, held.value, radius), "list int, rep long, vector binary")
-    # How many blocks each list has: one small row for each of at most MOST_LISTS lists.
-    sizes = members.groupBy("list").count().select("list", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    width = F.broadcast(sizes)
-    side = lambda df, salt: df.join(width, "list").withColumn("own", F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # A list of k blocks is asked by its queries in k blocks as well: k x k groups.
-    members = side(members, 1).withColumnRenamed("own", "m").withColumn("q", every).drop("blocks")
-    asked = side(asked, 2).withColumnRenamed("own", "q").withColumn("m", every).drop("blocks")
-    return asked.groupBy("list", "m", "q").cogroup(members.groupBy("list", "m", "q")).applyInPandas(lambda a, b: _compare(a, b, held.value, threshold), LINKS)
+    # One number for each of at most MOST_LISTS lists.
+    group_of = list_groups(fitted, {r["list"]: r["count"] for r in members.groupBy("list").count().collect()})
+    place = F.element_at(F.lit(group_of.tolist()), F.col("list") + 1).cast("long")
+    members = members.withColumn("group", place)
+    asked = written(members.select("rep", "vector").mapInPandas(lambda it: _probe(it, held.value, radius, group_of), "group long, rep long, vector binary, lists array<int>"), "probes")
+    blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    width = F.broadcast(blocks(members, "ms").join(blocks(asked, "qs"), "group"))
+    own = lambda salt, many: F.pmod(F.xxhash64(F.lit(salt), "rep"), many).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    members = members.join(width, "group").withColumn("m", own(1, "ms")).withColumn("q", every("qs")).drop("ms", "qs")
+    asked = asked.join(width, "group").withColumn("q", own(2, "qs")).withColumn("m", every("ms")).drop("ms", "qs")
+    keys = ["group", "m", "q"]
+    return asked.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(lambda a, b: _compare(a, b, held.value, threshold), LINKS)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
