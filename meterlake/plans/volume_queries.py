@@ -27,9 +27,9 @@ def volume_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(first)
 
 
-@query("""SELECT o_custkey AS customer, o_orderkey AS order_key, o_orderdate AS at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+@query("""SELECT o_custkey AS customer, o_orderkey AS order_key, o_orderdate AS placed_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
 def volume_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("at")).orderBy(F.desc("at"), "order_key").limit(50)
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("placed_at")).orderBy(F.desc("placed_at"), "order_key").limit(50)
 
 
 @query("""WITH d AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT month, priority, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY month) AS DOUBLE) AS share FROM d""")
