@@ -221,7 +221,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     spark = vectors.sparkSession
     good = usable(vectors)
     distinct = written(classes(good), "classes")
-    lengths = [r[0] for r in distinct.groupBy(F.size("embedding").alias("d")).count().orderBy("d").limit(64).collect()]
+    # One number for each length of vector that occurs, nearly always one.
+    lengths = [r[0] for r in distinct.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
     found = spark.createDataFrame([], LINKS)
     for d in lengths:
         found = found.union(links(distinct.where(F.size("embedding") == d), threshold))

@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its hashed character n-grams (orders 1 to 4 over letters and word edges),
 then one linear layer and a softmax; both are trained by stochastic gradient descent in numpy. Training takes at
-most SAMPLE_ROWS rows of each language and the first SAMPLE_CHARS code points of each; a second, disjoint part of
-the labelled rows sets the temperature and the rejection bound. Prediction reads whole texts, batch by batch, from a
+most some SAMPLE_ROWS rows of each language and the first SAMPLE_CHARS code points of each (documented bounds of the
+fit, parameters of sample()); a second, disjoint part of the labelled rows sets the temperature and the rejection bound. Prediction reads whole texts, batch by batch, from a
 table that is the product of embeddings and layer (orders x buckets x languages, of fixed size).
 
 Edge cases: null text or a text without any letter is 'und' with score 0 and rejected; with no labelled row, every
@@ -170,14 +170,14 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
 
 
-def sample(docs: DataFrame) -> pd.DataFrame:
-    """At most some SAMPLE_ROWS rows of each language and role, by a hash of the row: text, lang, role."""
+def sample(docs: DataFrame, most_rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> pd.DataFrame:
+    """Some most_rows rows of each language and role, by a hash of the row: text, lang, role."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2)).select("text", "lang", (fold() == 3).alias("held"), F.xxhash64("doc_id", "text").alias("h"))
-    # The numbers of rows bound the sample: one small line for each language that is common enough to learn.
-    counts = rows.groupBy("lang", "held").count().orderBy(F.desc("count")).limit(400)
-    step = F.ceil(F.col("count") / F.lit(SAMPLE_ROWS))
-    part = rows.join(F.broadcast(counts), ["lang", "held"]).where(F.pmod("h", step) == 0)
-    return part.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", "held").orderBy("lang", "held", "text").toPandas()
+    # One line for each language and role.
+    counts = rows.groupBy("lang", "held").count()
+    step = F.ceil(F.col("count") / F.lit(most_rows))
+    part = rows.join(counts, ["lang", "held"]).where(F.pmod("h", step) == 0)
+    return part.select(F.substring("text", 1, most_chars).alias("text"), "lang", "held").orderBy("lang", "held", "text").toPandas()
 
 
 def train(docs: DataFrame) -> Model:
