@@ -94,7 +94,7 @@ class TreeEncoder:
         if not any(len(x) > self.unsplit for x in words):
             at = np.fromiter(map(w.index.__getitem__, words), np.int64, len(words))
             w._learn()
-            counts = w.lengths[at]
+            counts = w.lengths[at].astype(np.int64)
             ends = np.cumsum(counts)
             total = int(ends[-1]) if len(ends) else 0
             return counts, w.ids[np.repeat(w.starts[at] - (ends - counts), counts) + np.arange(total)]
