@@ -34,7 +34,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: DER sequences begin with 0x30, which is M in base64; OpenSSH containers with their magic.
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:M[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 
