@@ -21,8 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts."""
-    model = language.train(docs)
-    return language.predict(docs, model).where("accepted").select(*docs.columns)
+    return language.keep_known(docs, language.train(docs))
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

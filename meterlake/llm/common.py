@@ -31,3 +31,11 @@ def with_nulls(df: DataFrame, *columns: str) -> DataFrame:
 def whole(text: str | Column = "text") -> Column:
     """The text as it is; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table, whole
+from meterlake.llm.common import table, unused, whole
 from meterlake.session import written
 
 #: Digests of a shard on average; places for each digest of a level.
@@ -156,10 +156,11 @@ def decide(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without later copies, columns as they are."""
-    stay = decide(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_digest"))
-    marked = docs.withColumn("__digest", F.sha2(normalised(), 256))
-    met = marked.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.col("__digest") == F.col("stay_digest")), "left_semi")
-    return met.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    digest, stay_id, stay_digest = (unused(docs, c) for c in ("digest", "stay_id", "stay_digest"))
+    stay = decide(docs).where("kept").select(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_digest))
+    marked = docs.withColumn(digest, F.sha2(normalised(), 256))
+    met = marked.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id)) & (F.col(digest) == F.col(stay_digest)), "left_semi")
+    return met.dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table
+from meterlake.llm.common import table, unused
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
@@ -209,8 +209,8 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     return [model.languages[i] if x else UNKNOWN for i, x in zip(best, lettered, strict=True)], score, lettered & (score >= model.bound)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The same columns of docs and lang_pred, score, accepted (columns of these names are replaced)."""
+def found(docs: DataFrame, model: Model, into: str) -> DataFrame:
+    """docs and one more column: lang_pred, score and accepted of its text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
@@ -220,8 +220,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, accepted = zip(*parts, strict=True) if parts else ((), (), ())
             yield pd.DataFrame({"lang_pred": [x for p in lang for x in p], "score": [x for p in score for x in p], "accepted": [bool(x) for p in accepted for x in p]})
 
-    found = docs.withColumn("__found", run("text"))
-    return found.withColumns({c: F.col("__found")[c] for c in ("lang_pred", "score", "accepted")}).drop("__found")
+    return docs.withColumn(into, run("text"))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """The same columns of docs and lang_pred, score, accepted (columns of these names are replaced)."""
+    into = unused(docs, "found")
+    return found(docs, model, into).withColumns({c: F.col(into)[c] for c in ("lang_pred", "score", "accepted")}).drop(into)
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language is accepted, columns as they are."""
+    into = unused(docs, "found")
+    return found(docs, model, into).where(F.col(into)["accepted"]).drop(into)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

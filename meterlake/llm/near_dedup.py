@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import shingles as S
-from meterlake.llm.common import NO_ID, ids, table, whole, with_nulls
+from meterlake.llm.common import NO_ID, ids, table, unused, whole, with_nulls
 from meterlake.llm.components import components, forest
 from meterlake.session import discard, written
 
@@ -208,8 +208,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without the later members of each component, columns as they are."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone_id = unused(docs, "gone_id")
+    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
