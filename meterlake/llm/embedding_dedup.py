@@ -2,9 +2,12 @@
 
 Equal vectors are one class. Coarse centroids and residual codebooks are fitted on at most SAMPLE_VECTORS classes; every
 class is then indexed: its list, its code and the exact length of its quantisation error. A query probes each list
-in which a vector within the radius can lie: the radius must reach the half-space of that list's centroid. In a list,
-table lookups give the distance from the query to each code; by the triangle inequality a true neighbour is no
-further than the radius plus the code's error, so the filter loses none. What passes is compared by exact cosine.
+whose centroid's half-space is within reach. The reach is REACH standard deviations of how far a step as long as the
+radius goes in one of d directions, and the whole radius where that is shorter (16 dimensions or fewer): a neighbour
+is lost only if its step points at another list that much more than a step of random direction does, and the tests
+hold recall against brute force. In a list, table lookups give the distance from the query to each code; by the
+triangle inequality a true neighbour is no further than the radius plus the code's error, so this filter loses none.
+What passes is compared by exact cosine.
 
 Neighbouring lists are dealt together as groups of some BLOCK members, and a query goes once to each group in which it
 probes a list. Large lists and groups with many queries are dealt further, in blocks of bounded size; a pair of blocks
@@ -32,6 +35,8 @@ from meterlake.session import written
 THRESHOLD = 0.95
 SAMPLE_VECTORS, MOST_LISTS, LIST_SIZE = 20_000, 4096, 200
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
+#: Standard deviations of a neighbour's step towards another list that probes allow for.
+REACH = 4
 #: Members, and queries, of a pair of blocks.
 BLOCK = 8192
 SLACK = 1e-6
@@ -61,8 +66,9 @@ class Quantiser(NamedTuple):
         return np.stack([squared(residual[:, self.cuts[j] : self.cuts[j + 1]], book) for j, book in enumerate(self.books)], 1)
 
     def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """For each query the lists that a vector within the radius can be in."""
+        """For each query the lists within reach of the radius."""
         own, d = self.nearest(x)
+        radius = radius * min(1, REACH / np.sqrt(x.shape[1]))
         apart = np.sqrt(squared(self.centroids, self.centroids))[own]
         reach = (d - d[np.arange(len(x)), own][:, None]) <= 2 * apart * (radius + SLACK) + SLACK
         reach[np.arange(len(x)), own] = True
