@@ -2,7 +2,8 @@
 
 Every string of LENGTH bytes belongs to one suffix bucket, named by the hash of its minimizer: the GRAM-byte string of
 least hash within it. Equal strings have equal minimizers, so a repeat never crosses buckets, and starts that
-share an anchor are one context. Buckets that hold a single context are done without their text. Equal contexts
+share an anchor are one context. Equal contexts of one batch fold to the first before anything is shuffled, so a passage
+that a third of all documents hold reaches its bucket once for each batch. Buckets that hold a single context are done without their text. Equal contexts
 fold to the first of them, all later ones being covered whole. The different contexts that are left in a bucket are
 sorted as suffixes, one bucket at a time, with a difference cover for long ties (suffix_sort); neighbours that agree
 over LENGTH bytes are the repeats, and all but the earliest of them are covered.
@@ -34,7 +35,7 @@ GROUP, HOT = 20_000, 20_000
 PLACE = 28
 VALUES = mix(np.arange(1000, 1256, dtype=U)) | U(1)
 
-CONTEXT = "anchor long, context long, doc_id long, lo int, size int"
+CONTEXT = "anchor long, context long, doc_id long, lo int, size int, folded boolean"
 SPAN = "doc_id long, start int, stop int"
 
 
@@ -66,7 +67,30 @@ def _contexts(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterat
                 found.append((anchor, content, np.full(len(lo), doc_id), lo, size))
         if found:
             anchor, content, doc_id, lo, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": content.view(np.int64), "doc_id": doc_id, "lo": lo, "size": size})
+            folded = later_copies(anchor, content, doc_id, lo, size)
+            # What is folded is covered already: it needs no bucket and goes anywhere.
+            anchor = np.where(folded, mix(doc_id.astype(U) * U(0x9E3779B97F4A7C15) + lo.astype(U)), anchor)
+            yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": content.view(np.int64), "doc_id": doc_id, "lo": lo, "size": size, "folded": folded})
+
+
+def later_copies(anchor: np.ndarray, content: np.ndarray, doc_id: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of the contexts those that equal one that starts earlier: smaller doc_id, or the same and an earlier start."""
+    key = mix(anchor ^ (content + size.astype(U)))
+    order = np.argsort(key)
+    twin = np.zeros(len(key), bool)
+    same = key[order[1:]] == key[order[:-1]]
+    twin[order[1:]] |= same
+    twin[order[:-1]] |= same
+    some = np.flatnonzero(twin)
+    some = some[np.lexsort((lo[some], doc_id[some], size[some], content[some], anchor[some]))]
+    a, b = some[:-1], some[1:]
+    later = np.zeros(len(key), bool)
+    # A repeated row is the same place again, not a later one.
+    new = np.concatenate([[True], (anchor[a] != anchor[b]) | (content[a] != content[b]) | (size[a] != size[b])])
+    if len(some):
+        lead = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later[some] = (doc_id[some] != doc_id[lead]) | (lo[some] != lo[lead])
+    return later
 
 
 def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -134,12 +158,12 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     found = found.repartition(n, "anchor")
     found.createOrReplaceTempView("__contexts")
     shared = spark.sql("""
-        SELECT anchor, doc_id, lo, size, first.doc_id = doc_id AND first.lo = lo AS leads, sum(IF(place = 1, 1, 0)) OVER (PARTITION BY anchor) AS kinds
+        SELECT anchor, doc_id, lo, size, NOT folded AND first.doc_id = doc_id AND first.lo = lo AS leads, sum(IF(place = 1, 1, 0)) OVER (PARTITION BY anchor) AS kinds
         FROM (SELECT *, count(*) OVER (PARTITION BY anchor) AS uses,
                      row_number() OVER (PARTITION BY anchor, context, size ORDER BY doc_id, lo) AS place,
                      first_value(struct(doc_id, lo)) OVER (PARTITION BY anchor, context, size ORDER BY doc_id, lo) AS first
               FROM __contexts)
-        WHERE uses > 1""")
+        WHERE uses > 1 OR folded""")
     spark.catalog.dropTempView("__contexts")
     shared = written(shared, "contexts")
     later = shared.where(~F.col("leads")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).cast("int").alias("stop"))
