@@ -71,32 +71,52 @@ def grams(points: np.ndarray) -> Iterator[np.ndarray]:
         yield (mixed * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64) + k * BUCKETS
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table and their shares of the mean; each order counts alike."""
-    rows = np.concatenate(list(grams(code_points(text))))
-    at, n = np.unique(rows, return_counts=True)
-    return at, (n / max(1, len(rows))).astype(np.float32)
+class Features(NamedTuple):
+    """Rows of the table and their counts for all texts, one after the other; bounds parts the texts."""
+
+    rows: np.ndarray
+    counts: np.ndarray
+    bounds: np.ndarray
+
+    def of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, shares of each text's mean, and where the texts begin."""
+        at = [slice(self.bounds[i], self.bounds[i + 1]) for i in some]
+        rows, counts = (np.concatenate([x[s] for s in at]) for x in (self.rows, self.counts))
+        starts = np.cumsum([0, *(s.stop - s.start for s in at[:-1])])
+        total = np.add.reduceat(counts, starts, dtype=np.float32)
+        share = counts.astype(np.float32) / np.repeat(total, [s.stop - s.start for s in at])
+        return rows.astype(np.int64), share, starts
+
+
+def features(texts: list[str]) -> Features:
+    """In narrow types and few arrays, for this is what the fit holds in memory."""
+    rows, counts, sizes = [], [], [0]
+    for at in range(0, len(texts), 200):
+        parts = [np.unique(np.concatenate(list(grams(code_points(t)))), return_counts=True) for t in texts[at : at + 200]]
+        rows.append(np.concatenate([p[0] for p in parts]).astype(np.uint16))
+        counts.append(np.concatenate([p[1] for p in parts]).astype(np.uint32))
+        sizes += [len(p[0]) for p in parts]
+    return Features(np.concatenate(rows), np.concatenate(counts), np.cumsum(sizes))
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, and the table and bias that give their logits."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    x = [features(t) for t in texts]
+    x, n = features(texts), len(texts)
     y = np.array([languages.index(v) for v in labels])
     emb = rng.normal(0, 0.1, (len(ORDERS) * BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     layer += rng.normal(0, 0.3, layer.shape)
-    steps = EPOCHS * -(-len(x) // BATCH)
+    steps = EPOCHS * -(-n // BATCH)
     done = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for i in range(0, len(x), BATCH):
+        order = rng.permutation(n)
+        for i in range(0, n, BATCH):
             rate = RATE * (1 - done / steps)
             done += 1
             some = order[i : i + BATCH]
-            rows, share = np.concatenate([x[j][0] for j in some]), np.concatenate([x[j][1] for j in some])
-            starts = np.cumsum([0, *(len(x[j][0]) for j in some[:-1])])
+            rows, share, starts = x.of(some)
             mean = np.add.reduceat(emb[rows] * share[:, None], starts)
             logits = mean @ layer + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -111,8 +131,10 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str],
     return languages, (emb @ layer).astype(np.float32), bias
 
 
-def logits(texts: list[str], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def logits(texts: list[str], weights: np.ndarray, bias: np.ndarray, at_once: int = 200) -> np.ndarray:
     """One row of logits for each text, whole texts in one pass for each order."""
+    if len(texts) > at_once:
+        return np.concatenate([logits(texts[i : i + at_once], weights, bias) for i in range(0, len(texts), at_once)])
     points = [code_points(t) for t in texts]
     out = np.zeros((len(texts), len(bias)))
     total = np.zeros(len(texts))
