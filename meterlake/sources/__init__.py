@@ -1,0 +1,14 @@
+"""Readers of request logs: each turns the lines of one harness into records of one shape."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from meterlake.sources.claude import claude
+from meterlake.sources.codex import codex
+from meterlake.sources.pi import pi
+
+#: A reader for each kind of log, from lines (file, ordinal, text) to records (records.RECORD).
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {"claude-code": claude, "codex": codex, "pi": pi}
