@@ -22,8 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import table, unused
+from meterlake.session import written
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
+#: Lines of a table of languages that is small enough for a broadcast.
+BROADCAST_ROWS = 10_000
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 #: Of the labelled rows that the model gets right, at most this share is rejected.
@@ -195,10 +198,11 @@ def fold() -> Column:
 def sample(docs: DataFrame, most_rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> pd.DataFrame:
     """Some most_rows rows of each language and role, by a hash of the row: text, lang, role."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2)).select("text", "lang", (fold() == 3).alias("held"), F.xxhash64("doc_id", "text").alias("h"))
-    # One line for each language and role.
-    counts = rows.groupBy("lang", "held").count()
+    # One line for each language and role: sent to the tasks where they are few, joined as a table where they are not.
+    counts = written(rows.groupBy("lang", "held").count(), "languages")
+    few = counts.count() <= BROADCAST_ROWS
     step = F.ceil(F.col("count") / F.lit(most_rows))
-    part = rows.join(counts, ["lang", "held"]).where(F.pmod("h", step) == 0)
+    part = rows.join(F.broadcast(counts) if few else counts, ["lang", "held"]).where(F.pmod("h", step) == 0)
     return part.select(F.substring("text", 1, most_chars).alias("text"), "lang", "held").orderBy("lang", "held", "text").toPandas()
 
 
