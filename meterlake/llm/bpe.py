@@ -67,11 +67,12 @@ class Encoder:
         self.lengths = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(s in text.lower() if self.lower else s in text for s in self.special)
-
-    def words(self, text: str) -> list[str]:
-        return self.pattern.findall(text.lower() if self.lower else text)
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text; None if the library has to split it."""
+        if PLAIN.fullmatch(text) is None:
+            return None
+        text = text.lower() if self.lower else text
+        return None if any(s in text for s in self.special) else self.pattern.findall(text)
 
     def _learn(self) -> None:
         """Ids of the words that were new."""
@@ -110,7 +111,7 @@ class Encoder:
         """All ids one after the other, and how many belong to each text."""
         if len(self.index) > MOST_WORDS:
             self._clear()
-        split = [self.words(t) if self.plain(t) else None for t in texts]
+        split = list(map(self.split, texts))
         at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(w for w in split if w)), np.int64)
         self._learn()
         lengths = self.lengths[at]

@@ -59,8 +59,9 @@ class TreeEncoder:
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
-        if self.words.plain(text):
-            return self.words.words(text)
+        words = self.words.split(text)
+        if words is not None:
+            return words
         return [text[a:b] for _, (a, b) in self.words.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _merged(self, symbols: str) -> list[int]:
