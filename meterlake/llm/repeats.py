@@ -94,19 +94,31 @@ def later_copies(anchor: np.ndarray, content: np.ndarray, doc_id: np.ndarray, lo
 
 
 def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """The bytes of the contexts of each document, those of hot anchors string by string."""
+    """The bytes of the contexts of each document, those of hot anchors string by string.
+
+    Equal strings of a batch fold to the first: the others are covered, and go as spans without bytes.
+    """
     for batch in batches:
-        rows = []
+        rows, first = [], {}
         for doc_id, raw, places in zip(batch["doc_id"], batch["data"], batch["places"], strict=True):
             for p in places:
                 lo, size, bucket = p["lo"], p["size"], p["bucket"]
                 if bucket >= 0:
-                    rows.append((bucket, doc_id, lo, raw[lo : lo + size]))
-                else:
-                    strings = ((s, raw[s : s + length]) for s in range(lo, lo + size - length + 1))
-                    rows += [(-1 - int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") % -bucket, doc_id, s, x) for s, x in strings]
+                    rows.append((bucket, doc_id, lo, 0, raw[lo : lo + size]))
+                    continue
+                for s in range(lo, lo + size - length + 1):
+                    x = raw[s : s + length]
+                    # A string has one anchor, so its own hash deals the strings of all hot anchors.
+                    deal = -1 - int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") % -bucket
+                    here, (lead, _) = (doc_id, s), first.setdefault(x, ((doc_id, s), deal))
+                    if here < lead:
+                        first[x], here = (here, deal), lead
+                    # A repeated row is the same place again, not a later one.
+                    if here != first[x][0]:
+                        rows.append((-1 - (here[0] + here[1]) % -bucket, *here, here[1] + length, b""))
+        rows += [(deal, *place, 0, x) for x, (place, deal) in first.items()]
         if rows:
-            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "lo", "data"])
+            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "lo", "stop", "data"])
 
 
 def covered(doc_id: np.ndarray, lo: np.ndarray, data: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -146,11 +158,14 @@ def covered(doc_id: np.ndarray, lo: np.ndarray, data: list[bytes], length: int)
 
 
 def _sort_group(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    return pd.DataFrame(covered(group["doc_id"].to_numpy(np.int64), group["lo"].to_numpy(np.int64), [bytes(x) for x in group["data"]], length), columns=["doc_id", "start", "stop"])
+    done = group[group["stop"] > 0]
+    group = group[group["stop"] == 0]
+    found = pd.DataFrame(covered(group["doc_id"].to_numpy(np.int64), group["lo"].to_numpy(np.int64), [bytes(x) for x in group["data"]], length) if len(group) else [], columns=["doc_id", "start", "stop"])
+    return pd.concat([done[["doc_id", "lo", "stop"]].rename(columns={"lo": "start"}), found]) if len(done) else found
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """The spans of each document whose strings all start earlier somewhere. docs: doc_id (not null), data (binary)."""
+def shared_contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The contexts of anchors that are used more than once; leads: the first of its equals; kinds: different ones of its anchor."""
     spark = docs.sparkSession
     found = docs.mapInPandas(lambda it: _contexts(it, length, gram), CONTEXT)
     # One exchange by anchor and one sort serve every window below.
@@ -165,15 +180,26 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
               FROM __contexts)
         WHERE uses > 1 OR folded""")
     spark.catalog.dropTempView("__contexts")
-    shared = written(shared, "contexts")
-    later = shared.where(~F.col("leads")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).cast("int").alias("stop"))
+    return written(shared, "contexts")
+
+
+def dealt(docs: DataFrame, shared: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """What the groups sort: bucket, doc_id, lo, data; a stop other than 0 marks a span that is covered already."""
     open_ = shared.where(F.col("leads") & (F.col("kinds") > 1)).dropDuplicates(["anchor", "doc_id", "lo"])
-    groups = max(1, open_.count() // GROUP)
-    # A hot anchor's strings are dealt by their own bytes: a negative bucket says into how many.
-    bucket = F.when(F.col("kinds") > hot, -F.ceil(F.col("kinds") / F.lit(hot)) - 1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    places = open_.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "size", bucket.cast("int").alias("bucket"))).alias("places"))
-    cut = docs.join(places, "doc_id").select("doc_id", "data", "places").mapInPandas(lambda it: _cut(it, length), "bucket int, doc_id long, lo int, data binary")
-    sorted_ = cut.groupBy("bucket").applyInPandas(lambda g: _sort_group(g, length), SPAN)
+    is_hot = F.col("kinds") > hot
+    n_contexts, n_strings = open_.agg(F.count_if(~is_hot), F.sum(F.when(is_hot, F.col("size").cast("long") - length + 1))).first()
+    groups, hot_groups = max(1, n_contexts // GROUP), max(1, (n_strings or 0) // GROUP)
+    # The strings of hot anchors are dealt by their own bytes: a negative bucket says into how many groups.
+    bucket = F.when(is_hot, F.lit(-hot_groups)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups)))
+    places = open_.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "size", bucket.cast("long").alias("bucket"))).alias("places"))
+    return docs.join(places, "doc_id").select("doc_id", "data", "places").mapInPandas(lambda it: _cut(it, length), "bucket long, doc_id long, lo int, stop int, data binary")
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The spans of each document whose strings all start earlier somewhere. docs: doc_id (not null), data (binary)."""
+    shared = shared_contexts(docs, length, gram)
+    later = shared.where(~F.col("leads")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).cast("int").alias("stop"))
+    sorted_ = dealt(docs, shared, length, hot).groupBy("bucket").applyInPandas(lambda g: _sort_group(g, length), SPAN)
     return later.union(sorted_)
 
 

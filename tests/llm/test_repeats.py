@@ -73,6 +73,32 @@ def test_hot_anchors_and_other_lengths(documents, rows):
     check(repeats.remove(documents(rows), length=60, gram=30, hot=3).collect(), rows, 60)
 
 
+def test_groups_follow_all_hot_strings(spark, documents, words, monkeypatch):
+    """Passages in 30 documents each, all with other surroundings: groups stay as small with 12 passages as with 2."""
+    monkeypatch.setattr(repeats, "GROUP", 200)
+
+    def largest(n):
+        rows = [(100 * k + i, f"{words(6, 10_000 + 100 * k + i)} {words(9, 500 + k)} {words(6, 20_000 + 100 * k + i)}") for k in range(n) for i in range(30)]
+        docs = documents(rows).selectExpr("doc_id", "cast(text AS binary) AS data")
+        shared = repeats.shared_contexts(docs, 60, 30)
+        groups = repeats.dealt(docs, shared, 60, hot=10).where("bucket < 0").groupBy("bucket").count().collect()
+        check(repeats.remove(documents(rows), 60, 30, hot=10).collect(), rows, 60)
+        return len(groups), max(r["count"] for r in groups)
+
+    (few, _), (many, most) = largest(2), largest(12)
+    assert many >= 4 * few and most <= 3 * 200
+
+
+def test_equal_hot_strings_of_a_batch_fold(documents):
+    import pandas as pd
+
+    raw = bytes(range(65, 125))
+    batch = pd.DataFrame({"doc_id": [7, 5, 5, 9], "data": [raw] * 4, "places": [[{"lo": 0, "size": 60, "bucket": -3}]] * 4})
+    (cut,) = repeats._cut(iter([batch]), 60)
+    assert [tuple(r) for r in cut[cut["stop"] == 0][["doc_id", "lo", "data"]].itertuples(index=False)] == [(5, 0, raw)]
+    assert sorted(cut[cut["stop"] > 0]["doc_id"]) == [7, 9]
+
+
 def test_batches_fold_alike(spark, documents, rows):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
