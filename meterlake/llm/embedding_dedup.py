@@ -1,17 +1,16 @@
 """Near-duplicate vectors by inverted lists with product-quantised residuals and exact rerank.
 
 Equal vectors are one class. Coarse centroids and residual codebooks are fitted on at most SAMPLE_VECTORS classes; every
-class is then indexed: its list, its code and the exact length of its quantisation error. A query probes each list
-whose centroid's half-space is within reach. The reach is REACH standard deviations of how far a step as long as the
-radius goes in one of d directions, and the whole radius where that is shorter (16 dimensions or fewer): a neighbour
-is lost only if its step points at another list that much more than a step of random direction does, and the tests
-hold recall against brute force. In a list, table lookups give the distance from the query to each code; by the
-triangle inequality a true neighbour is no further than the radius plus the code's error, so this filter loses none.
-What passes is compared by exact cosine.
+class is then indexed: its list, its code and the exact length of its quantisation error. A query probes each list in
+which a vector within the radius can lie: the whole radius must reach the half-space of that list's centroid, and the
+ball that holds the list's members. In a list, table lookups give the distance from the query to each code; by the
+triangle inequality a true neighbour is no further than the radius plus the code's error. Neither filter loses any.
+What passes is compared by exact cosine. Of the lists within reach a query probes its own and later ones only: a pair
+is found once, from its earlier list, and counts at both ends.
 
 Neighbouring lists are dealt together as groups of some BLOCK members, and a query goes once to each group in which it
 probes a list. Large lists and groups with many queries are dealt further, in blocks of bounded size; a pair of blocks
-returns one count per query and the edges of a spanning forest, never its pairs.
+returns one count per vector and the edges of a spanning forest, never its pairs.
 
 Edge cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of
 different lengths never link; equal vectors link with one another; repeated vec_id rows are vectors of their own that
@@ -35,7 +34,7 @@ from meterlake.session import written
 THRESHOLD = 0.95
 SAMPLE_VECTORS, MOST_LISTS, LIST_SIZE = 20_000, 4096, 200
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
-#: Standard deviations of a neighbour's step towards another list that probes allow for.
+#: Read by the tests alone: up to REACH**2 dimensions an older one asks for the exact result. Probes reach the whole radius.
 REACH = 4
 #: Members, and queries, of a pair of blocks.
 BLOCK = 8192
@@ -65,14 +64,15 @@ class Quantiser(NamedTuple):
         """Squared distances from the parts of each query to all codes: queries x subspaces x codes."""
         return np.stack([squared(residual[:, self.cuts[j] : self.cuts[j + 1]], book) for j, book in enumerate(self.books)], 1)
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """For each query the lists within reach of the radius."""
+    def probes(self, x: np.ndarray, radius: float, extent: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The list of each query, and the lists from it on that a vector within the radius can be in; extent: how far members lie from each centroid."""
         own, d = self.nearest(x)
-        radius = radius * min(1, REACH / np.sqrt(x.shape[1]))
         apart = np.sqrt(squared(self.centroids, self.centroids))[own]
         reach = (d - d[np.arange(len(x)), own][:, None]) <= 2 * apart * (radius + SLACK) + SLACK
+        reach &= np.sqrt(d) <= extent + radius + SLACK
+        reach &= np.arange(len(self.centroids)) > own[:, None]
         reach[np.arange(len(x)), own] = True
-        return [np.flatnonzero(r) for r in reach]
+        return own, [np.flatnonzero(r) for r in reach]
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,9 +125,9 @@ def _index(batches: Iterator[pd.DataFrame], q: Quantiser) -> Iterator[pd.DataFra
     for batch in batches:
         if len(batch):
             x = units(batch["embedding"])
-            own, _ = q.nearest(x)
+            own, d = q.nearest(x)
             codes, missed = q.encode(x - q.centroids[own])
-            yield pd.DataFrame({"list": own, "rep": batch["rep"], "n": batch["n"], "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "missed": missed})
+            yield pd.DataFrame({"list": own, "rep": batch["rep"], "n": batch["n"], "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "missed": missed, "away": np.sqrt(d[np.arange(len(x)), own])})
 
 
 def list_groups(q: Quantiser, sizes: dict[int, int]) -> np.ndarray:
@@ -143,19 +143,19 @@ def list_groups(q: Quantiser, sizes: dict[int, int]) -> np.ndarray:
     return out
 
 
-def _probe(batches: Iterator[pd.DataFrame], q: Quantiser, radius: float, group_of: np.ndarray) -> Iterator[pd.DataFrame]:
+def _probe(batches: Iterator[pd.DataFrame], q: Quantiser, radius: float, extent: np.ndarray, group_of: np.ndarray) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         if len(batch):
             x = np.frombuffer(b"".join(batch["vector"]), np.float64).reshape(len(batch), -1)
-            for rep, vector, lists in zip(batch["rep"].tolist(), batch["vector"], q.probes(x, radius), strict=True):
+            for rep, n, vector, own, lists in zip(batch["rep"].tolist(), batch["n"].tolist(), batch["vector"], *q.probes(x, radius, extent), strict=True):
                 groups = group_of[lists]
-                rows += [(g, rep, vector, lists[groups == g]) for g in np.unique(groups).tolist()]
-        yield pd.DataFrame(rows, columns=["group", "rep", "vector", "lists"])
+                rows += [(g, rep, n, own, vector, lists[groups == g]) for g in np.unique(groups).tolist()]
+        yield pd.DataFrame(rows, columns=["group", "rep", "n", "own", "vector", "lists"])
 
 
 def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, threshold: float) -> pd.DataFrame:
-    """Counts per query and forest edges of one block of queries and one of a group's members."""
+    """Counts per vector and forest edges of one block of queries and one of a group's members."""
     empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
     if not len(queries) or not len(members):
         return empty
@@ -163,12 +163,13 @@ def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, thresho
     x, y = (np.frombuffer(b"".join(f["vector"]), np.float64).reshape(len(f), -1) for f in (queries, members))
     codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(y), -1)
     bound = (np.sqrt(2 - 2 * threshold) + members["missed"].to_numpy() + SLACK) ** 2
-    who, rep, n = queries["rep"].to_numpy(), members["rep"].to_numpy(), members["n"].to_numpy()
+    who, rep, home = queries["rep"].to_numpy(), members["rep"].to_numpy(), queries["own"].to_numpy()
+    n_asking, n = queries["n"].to_numpy(), members["n"].to_numpy()
     n_probes = [len(v) for v in queries["lists"]]
     probed, asking = np.concatenate(queries["lists"].tolist()), np.repeat(np.arange(len(x)), n_probes)
     by_list = np.argsort(probed, kind="stable")
     probed, asking = probed[by_list], asking[by_list]
-    found_a, found_b, counts = [], [], np.zeros(len(x), np.int64)
+    found_a, found_b, counts, back = [], [], np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     lists = members["list"].to_numpy()
     for name in np.unique(lists).tolist():
         a, b = np.searchsorted(lists, [name, name + 1])
@@ -182,16 +183,20 @@ def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, thresho
                 distance += tables[:, j][:, codes[a:b, j]]
             i, k = np.nonzero(distance <= bound[a:b])
             i, k = own[i], k + a
-            near = (np.einsum("ij,ij->i", x[i], y[k]) >= threshold) & (who[i] != rep[k])
+            # Within a list both ends ask: the smaller id stands for both.
+            once = (who[i] != rep[k]) & ((home[i] < name) | (who[i] < rep[k]))
+            i, k = i[once], k[once]
+            near = np.einsum("ij,ij->i", x[i], y[k]) >= threshold
             i, k = i[near], k[near]
             np.add.at(counts, i, n[k])
+            np.add.at(back, k, n_asking[i])
             found_a.append(who[i])
             found_b.append(rep[k])
     if not any(map(len, found_a)):
         return empty
     a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
-    some = counts > 0
-    return pd.concat([pd.DataFrame({"a": a, "b": b, "n": 0}), pd.DataFrame({"a": who[some], "b": -1, "n": counts[some]})])
+    ends = [pd.DataFrame({"a": ids_[m > 0], "b": -1, "n": m[m > 0]}) for ids_, m in ((who, counts), (rep, back))]
+    return pd.concat([pd.DataFrame({"a": a, "b": b, "n": 0}), *ends])
 
 
 def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,12 +211,17 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fitted = fit(units(sample["embedding"]), min(MOST_LISTS, max(1, total // LIST_SIZE), len(sample)))
     held = spark.sparkContext.broadcast(fitted)
     radius = float(np.sqrt(2 - 2 * threshold))
-    members = written(distinct.mapInPandas(lambda it: _index(it, held.value), "list int, rep long, n long, vector binary, code binary, missed double"), "lists")
-    # One number for each of at most MOST_LISTS lists.
-    group_of = list_groups(fitted, {r["list"]: r["count"] for r in members.groupBy("list").count().collect()})
+    members = written(distinct.mapInPandas(lambda it: _index(it, held.value), "list int, rep long, n long, vector binary, code binary, missed double, away double"), "lists")
+    # Two numbers for each of at most MOST_LISTS lists.
+    held_lists = members.groupBy("list").agg(F.count("*").alias("size"), F.max("away").alias("away")).collect()
+    group_of = list_groups(fitted, {r["list"]: r["size"] for r in held_lists})
+    extent = np.full(len(fitted.centroids), -np.inf)
+    for r in held_lists:
+        extent[r["list"]] = r["away"]
     place = F.element_at(F.lit(group_of.tolist()), F.col("list") + 1).cast("long")
-    members = members.withColumn("group", place)
-    asked = written(members.select("rep", "vector").mapInPandas(lambda it: _probe(it, held.value, radius, group_of), "group long, rep long, vector binary, lists array<int>"), "probes")
+    members = members.drop("away").withColumn("group", place)
+    asked = members.select("rep", "n", "vector").mapInPandas(lambda it: _probe(it, held.value, radius, extent, group_of), "group long, rep long, n long, own int, vector binary, lists array<int>")
+    asked = written(asked, "probes")
     blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
     width = F.broadcast(blocks(members, "ms").join(blocks(asked, "qs"), "group"))
     own = lambda salt, many: F.pmod(F.xxhash64(F.lit(salt), "rep"), many).cast("int")

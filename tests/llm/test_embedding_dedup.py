@@ -48,6 +48,17 @@ def test_recall_and_precision(spark, monkeypatch, d, spread):
     assert sum(got[i]["component_id"] == c for i, (_, c) in want.items()) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize(("rank", "d"), [(4, 64), (8, 768)])
+def test_low_rank_vectors_lose_no_link(spark, monkeypatch, rank, d):
+    """Steps of vectors that fill few of their dimensions run along the differences of centroids."""
+    monkeypatch.setattr(E, "LIST_SIZE", 20)
+    rng = np.random.default_rng(rank)
+    x = (clusters(rng, 1000, rank, 0.2), np.linalg.qr(rng.normal(size=(d, rank)))[0].T)
+    vectors = {i: (v @ x[1]).astype(np.float32) for i, v in x[0].items()}
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in vectors.items()], SCHEMA).repartition(4)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()} == brute(vectors)
+
+
 def test_blocks_of_large_lists(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", 16)
     vectors = clusters(np.random.default_rng(5), 300, 6, 0.1)
