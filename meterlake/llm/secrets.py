@@ -3,6 +3,8 @@
 Pattern hits (assignments, access ids, long hex) are reported as they are. What merely looks like an encoded
 key is decoded first and reported only if its structure holds: DER key encodings whose nested lengths add up,
 OpenSSH private-key containers, and signed tokens whose header and payload are JSON objects with an algorithm.
+Keys may stand in strings with escaped line ends, and PEM bodies may begin with RFC 1421 headers; where those say that
+the body is encrypted, it must be base64 of whole cipher blocks.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; offsets are code points, ends
 exclusive; repeated rows give repeated results; columns of the input other than doc_id and text are not read;
@@ -31,10 +33,18 @@ RANK = {kind: i for i, kind in enumerate(BASE_KINDS + CONFIRMED_KINDS)}
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: A line end, and a character of a PEM body, as they are or escaped in a string, once or more.
+LINE = r"(?:\\+r\\+n|\\+[nr]|\\+u000[AaDd]|\r\n|[\r\n])"
+BODY = r"(?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/\s]|u00[0-9A-Fa-f]{2}))"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:\s|\\+[nrt])*+(?:[A-Za-z0-9-]{{1,60}}:[^\r\n\\]{{0,400}}{LINE}(?:[ \t][^\r\n\\]{{1,400}}{LINE})*)*)({BODY}{{16,}}+)-----END \1-----")
+ESCAPE = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|([nrt/\s]))")
+ENCRYPTED = re.compile(r"Proc-Type:[ \t]*4[ \t]*,[ \t]*ENCRYPTED", re.IGNORECASE)
+#: Where a candidate begins: not within a run of its letters, but an escape sequence ends such a run.
+BEGINS = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=\\u00[0-9A-Fa-f]{2}))"
+#: JSON objects begin with a brace or white space, so e, I, C or D in base64; the shortest header has 11 bytes.
+JWT = re.compile(BEGINS.replace("+/", "") + r"([eICD][A-Za-z0-9_-]{14,}+)\.([eICD][A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*)")
 #: DER sequences begin with 0x30, which is M in base64; OpenSSH containers with their magic.
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
+ENCODED = re.compile(BEGINS + r"(?:M[A-Z]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 
@@ -50,6 +60,17 @@ def decoded(text: str) -> bytes:
         return b""
 
 
+def unescaped(body: str) -> str:
+    """The body of a key with its escape sequences resolved."""
+    return ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else m[2] if m[2] == "/" else " ", body) if "\\" in body else body
+
+
+def pem_key(name: str, headers: str, body: str) -> bool:
+    """A key encoding, a container, or what its name or headers call encrypted."""
+    data = decoded(unescaped(body))
+    return bool(key_encoding(data)) or openssh(data) or "ENCRYPTED" in name or bool(data and len(data) % 8 == 0 and ENCRYPTED.search(headers))
+
+
 def element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the content of the DER element at a place; None if lengths do not fit."""
     if at + 2 > end:
@@ -139,7 +160,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if key_encoding(d := decoded(m[2])) or openssh(d) or "ENCRYPTED" in m[1]]
+        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if pem_key(m[1], m[2], m[3])]
     for m in ENCODED.finditer(text):
         data = decoded(m[0])
         if openssh(data):
@@ -147,9 +168,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         elif key_encoding(data):
             found.append((m.start(), m.end(), "der"))
     found += [(m.start(), m.end(), "hexder") for m in HEX_DER.finditer(text) if len(m[0]) % 2 == 0 and key_encoding(bytes.fromhex(m[0]))]
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if signed_token(m[1], m[2])]
-    return found
+    return found + [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if signed_token(m[1], m[2])]
 
 
 def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

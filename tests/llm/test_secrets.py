@@ -59,6 +59,49 @@ def test_confirmed_by_structure(text, kinds):
     assert sorted(k for *_, k in secrets.confirmed_spans(text)) == kinds
 
 
+def lines(x):
+    return "\n".join(b64(x)[i : i + 64] for i in range(0, len(b64(x)), 64))
+
+
+def pem(name, body):
+    return f"-----BEGIN {name}-----\n{body}\n-----END {name}-----\n"
+
+
+def token(head, body):
+    return ".".join(base64.urlsafe_b64encode(x.encode()).rstrip(b"=").decode() for x in (head, body)) + ".c2lnbmF0dXJl"
+
+
+DEK = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89\n\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        (json.dumps({"type": "service_account", "private_key": pem("PRIVATE KEY", lines(PKCS8))}), "pem"),
+        (json.dumps(json.dumps({"private_key": pem("PRIVATE KEY", lines(PKCS8))})), "pem"),
+        (json.dumps(pem("PRIVATE KEY", lines(PKCS8))).replace("/", "\\/").replace("=", "\\u003d"), "pem"),
+        ('KEY="' + pem("RSA PRIVATE KEY", lines(PKCS1)).replace("\n", "\\r\\n") + '"', "pem"),
+        (pem("RSA PRIVATE KEY", DEK + lines(bytes(range(160)))), "pem"),
+        (json.dumps(pem("RSA PRIVATE KEY", DEK + lines(bytes(range(160))))), "pem"),
+        (pem("RSA PRIVATE KEY", "Comment: a key\n\n" + lines(PKCS1)), "pem"),
+        (json.dumps({"key": "\n" + b64(PKCS8) + "\n"}), "der"),
+        ("auth " + token(' {"alg":"HS256"}', '{"sub":1}'), "jwt"),
+        ("auth " + token('{\n "alg": "HS256"}', '\n{"sub":1}'), "jwt"),
+        ("auth " + token('{"alg":"HS256"}', "{}"), "jwt"),
+        (json.dumps("auth\n" + JWT), "jwt"),
+    ],
+)
+def test_other_shapes_of_keys(text, kind):
+    assert kind in [k for *_, k in secrets.confirmed_spans(text)]
+    if kind == "pem":
+        assert "BEGIN" not in secrets.redacted(text) and "END" not in secrets.redacted(text)
+
+
+def test_what_only_looks_like_those_shapes():
+    for text in (json.dumps(pem("PRIVATE KEY", lines(PKCS8[:-1]))), pem("RSA PRIVATE KEY", "Comment: none\n\n" + lines(bytes(range(160)))), pem("RSA PRIVATE KEY", DEK + lines(bytes(range(161)))), "Concatenations.example.com eICDeICDeICDeICD.eICD.x", token('{"typ":"JWT"}', "{}")):
+        assert secrets.confirmed_spans(text) == []
+
+
 def test_nested_lengths_decide():
     assert secrets.key_encoding(PKCS8) == "pkcs8"
     assert secrets.key_encoding(PKCS8 + b"\0") is None
