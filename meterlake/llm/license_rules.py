@@ -1,7 +1,8 @@
 r"""Signature rules of the license scan, written by hand; each line is label | keyword | name patterns.
 
 Patterns are regular expressions over lower-case text whose runs of white space, quotes and comment marks are one
-space; several are parted by ' ;; '. A name pattern has priority 3 unless it begins with a digit and a colon. From
+space; several are parted by ' ;; '. A slash is such a mark, so a slash in a pattern or keyword stands for the space
+that it has become. A name pattern has priority 3 unless it begins with a digit and a colon. From
 each line's identifiers (after the label, in brackets) come two further rules: the SPDX tag (priority 1) and the
 identifier next to the word license (priority 3).
 """
@@ -101,7 +102,7 @@ unlicense [unlicense] | unlicense | \bthe unlicense\b ;; \bunlicense\.org\b
 unlicense | unencumbered | 2:\bfree and unencumbered software released into the public domain\b
 public-domain | public domain | 4:\b(?:released|placed|dedicated) (?:in)?to the public domain\b ;; 4:\bis in the public domain\b
 wtfpl [wtfpl] | wtfpl | \bwtfpl\b
-wtfpl | do what the | \bdo what the [a-z*]{2,8} you want to public license\b
+wtfpl | do what the | \bdo what the (?:[a-z][a-z ]{0,7} )?you want to public license\b
 postgresql [postgresql] | postgresql | \bpostgresql licen[cs]e\b
 python-2.0 [python-2.0,psf-2.0] | python software foundation | \bpython software foundation license(?: version 2)?\b
 php-3.01 [php-3.01,php-3.0] | php license | \bphp license,? (?:version |v)?3\.0[01]?\b ;; 4:\bphp license\b
@@ -153,6 +154,7 @@ proprietary | proprietary | \bproprietary and confidential\b
 
 def rules(table: str = TABLE) -> list[Rule]:
     found = []
+    table = table.replace("/", " ")
     for line in table.strip().splitlines():
         head, keyword, names = (x.strip() for x in line.split(" | ", 2))
         label, _, ids = head.partition(" [")

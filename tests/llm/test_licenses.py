@@ -58,6 +58,27 @@ def test_labels(documents, text, labels):
     assert 0 <= row["score"] <= 1 and (row["score"] > 0) == bool(labels)
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("See https://www.apache.org/licenses/LICENSE-2.0 for it", "apache-2.0"),
+        ("<https://creativecommons.org/licenses/by/4.0/>", "cc-by"),
+        ("// https://creativecommons.org/licenses/by-nc-sa/4.0", "cc-by-nc-sa"),
+        ("https://www.gnu.org/licenses/old-licenses/lgpl-2.1.html", "lgpl"),
+        ("https://www.boost.org/LICENSE_1_0.txt", "bsl-1.0"),
+        ("https://mozilla.org/MPL/2.0/", "mpl-2.0"),
+        ("University of Illinois/NCSA Open Source License", "ncsa"),
+        ("the Tcl/Tk license, the zlib/libpng license", "zlib"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose\n * with or without fee is hereby granted", "isc"),
+        ("DO WHAT THE F*** YOU WANT TO PUBLIC LICENSE", "wtfpl"),
+        ("https://opensource.org/license/mit", "mit"),
+    ],
+)
+def test_slashes(documents, text, label):
+    (row,) = licenses.scan(documents([(1, text)])).collect()
+    assert label in row["labels"].split(",") and row["score"] > 0
+
+
 def test_hundreds_of_rules():
     assert len(RULES) >= 200
     assert all(r.priority in licenses.WEIGHTS and re.compile(r.pattern) for r in RULES)
