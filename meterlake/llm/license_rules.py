@@ -5,24 +5,25 @@ space; several are parted by ' ;; '. A slash is such a mark, so a slash in a pat
 that it has become. A name pattern has priority 3 unless it begins with a digit and a colon. From
 each line's identifiers (after the label, in brackets) come two further rules: the SPDX tag (priority 1) and the
 identifier next to the word license (priority 3).
+
+Every match of a rule contains one of its keywords: the keyword of its line where the pattern cannot match without
+it, else literal strings that are read from the pattern. STEMS is made of the longest of these, so no filter drops a match.
 """
 
 from __future__ import annotations
 
 import re
+from re import _parser
 from typing import NamedTuple
 
 
 class Rule(NamedTuple):
     label: str
     priority: int
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
-#: A text in which none of these stands has no rule to try.
-STEMS = ("licen[cs]", "spdx", "copyright", "public domain", "gpl", "cc-by", "cc by", "cc0", "creative commons", "permission is hereby", "redistribution", "as is", "copyleft", "free software", "licence", "lizenz", "all rights reserved", "apache", "mozilla", r"\bbsd\b", r"\bmpl\b", r"\b[es]?upl\b", r"\bwtfpl\b", r"\bcddl\b", r"\bodbl\b", "openrail", "beer-?ware", "unencumbered", "misrepresented", "endorse or promote", "advertising materials", "good, not evil", "same terms as", "permission to use")
-
 # Names and wordings of public licenses.
 TABLE = r"""
 mit [mit] | mit | \bmit license\b ;; \bmit[- ]style licen[cs]e\b ;; \blicensed under (?:the )?mit\b ;; \breleased under (?:the )?(?:terms of the )?mit\b ;; \bexpat license\b
@@ -152,6 +153,59 @@ proprietary | proprietary | \bproprietary and confidential\b
 """
 
 
+#: Strings that one stretch of a pattern may stand for, at most.
+FORMS = 8
+#: What the keywords of most rules have in common, so that they need no stem of their own.
+ROOTS = ("licen", "gpl", "spdx")
+
+
+def forms(nodes: list) -> set[str] | None:
+    """All strings that a stretch of a parsed pattern matches; None if they are many or not literal."""
+    found = {""}
+    for op, arg in nodes:
+        match str(op):
+            case "AT" | "ASSERT_NOT":
+                more = {""}
+            case "LITERAL":
+                more = {chr(arg)}
+            case "IN":
+                more = {chr(x) for kind, x in arg if str(kind) == "LITERAL"} if all(str(kind) == "LITERAL" for kind, _ in arg) else None
+            case "SUBPATTERN":
+                more = forms(arg[3])
+            case "BRANCH":
+                some = [forms(x) for x in arg[1]]
+                more = None if None in some else set().union(*some)
+            case "MAX_REPEAT" if arg[1] == 1:
+                more = forms(arg[2])
+                more = more if arg[0] or more is None else more | {""}
+            case _:
+                more = None
+        found = found and more and {a + b for a in found for b in more}
+        if not found or len(found) > FORMS:
+            return None
+    return found
+
+
+def needed(pattern: str) -> list[set[str]]:
+    """Sets of strings; every match of the pattern contains one string of each set."""
+    nodes = list(_parser.parse(pattern))
+    found, a = [], 0
+    while a < len(nodes):
+        ends = [b for b in range(a + 1, len(nodes) + 1) if forms(nodes[a:b])]
+        if ends:
+            found.append(forms(nodes[a : ends[-1]]))
+        a += 1
+    return [x for x in found if "" not in x]
+
+
+def keywords(pattern: str, wanted: str | None = None) -> tuple[str, ...]:
+    some = needed(pattern)
+    if wanted and any(all(wanted in x for x in one) for one in some):
+        return (wanted,)
+    best = max(some, key=lambda one: (min(map(len, one)), -len(one)))
+    return tuple(sorted(x for x in best if not any(y in x for y in best - {x})))
+
+
 def rules(table: str = TABLE) -> list[Rule]:
     found = []
     table = table.replace("/", " ")
@@ -160,12 +214,38 @@ def rules(table: str = TABLE) -> list[Rule]:
         label, _, ids = head.partition(" [")
         for pattern in names.split(" ;; "):
             m = re.match(r"([1-4]):", pattern)
-            found.append(Rule(label, int(m[1]) if m else 3, keyword, pattern[2:] if m else pattern))
+            pattern = pattern[2:] if m else pattern
+            found.append(Rule(label, int(m[1]) if m else 3, keywords(pattern, keyword), pattern))
         for name in ids.rstrip("]").split(",") if ids else []:
             exact = re.escape(name).replace("\\-", "-")
-            found.append(Rule(name, 1, "spdx-license-identifier", rf"\bspdx-license-identifier: ?\(?{exact}(?![\w.+-])"))
-            found.append(Rule(label, 3, name, rf"\blicen[cs]e(?:d under)?:? ?\(?{exact}(?![\w.+-])"))
+            for own, priority, wanted, pattern in (
+                (name, 1, "spdx-license-identifier", rf"\bspdx-license-identifier: ?\(?{exact}(?![\w.+-])"),
+                (label, 3, name, rf"\blicen[cs]e(?:d under)?:? ?\(?{exact}(?![\w.+-])"),
+            ):
+                found.append(Rule(own, priority, keywords(pattern, wanted), pattern))
     return sorted(found, key=lambda r: r.priority)
 
 
 RULES = rules()
+
+
+def stems(some: list[Rule]) -> str:
+    """A pattern that finds the longest strings needed by any rule in a text whose marks are not yet flattened, shared beginnings once."""
+    words = {k for r in some for k in keywords(r.pattern)} | set(ROOTS)
+    tree = {}
+    for word in sorted(w for w in words if not any(x in w for x in words - {w})):
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+
+    def written(node: dict) -> str:
+        one = [(MARKS if c == " " else re.escape(c)) + written(rest) for c, rest in node.items()]
+        return one[0] if len(one) == 1 else f"(?:{'|'.join(one)})" if one else ""
+
+    return written(tree)
+
+
+#: What is flattened to one space.
+MARKS = r"""[\s*#/>"']+"""
+#: A text without a match of this has no rule to try.
+STEMS = stems(RULES)

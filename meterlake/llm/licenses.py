@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
-Each rule is a hand-written regular expression with a label, a priority (1 strongest) and a keyword that must stand
-in the text before the expression is tried. All matches of the rules that pass become intervals; an interval
+Each rule is a hand-written regular expression with a label, a priority (1 strongest) and keywords, one of which every
+match contains; the expression is tried where one stands in the text. All matches of the rules that pass become intervals; an interval
 inside one of a stronger or equally strong rule that starts no later is suppressed, so a short name within a longer
 notice does not report a second license. One row stays one row: nothing is shuffled.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import table, whole
-from meterlake.llm.license_rules import RULES, STEMS
+from meterlake.llm.license_rules import MARKS, RULES, STEMS
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: What a rule of each priority is worth as evidence.
@@ -55,7 +55,7 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 def _rules() -> Column:
     """The rules as one constant array."""
-    rows = ", ".join(f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'keyword', {_quoted(r.keyword)}, 'pattern', {_quoted(r.pattern)})" for r in RULES)
+    rows = ", ".join(f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'keywords', array({', '.join(map(_quoted, r.keywords))}), 'pattern', {_quoted(r.pattern)})" for r in RULES)
     return F.expr(f"array({rows})")
 
 
@@ -80,11 +80,11 @@ def _intervals(text: Column, rule: Column) -> Column:
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
 
 
-def with_rules(docs: DataFrame) -> DataFrame:
-    """Adds found: distinct (priority, label) of the intervals that no stronger one contains; needs the column low."""
-    some = F.rlike("low", F.lit("|".join(STEMS)))
-    flat = F.regexp_replace("low", r"[\s*#/>\"']+", " ")
-    passed = lambda text: F.filter(_rules(), lambda r: F.contains(text, r["keyword"]))
+def with_rules(docs: DataFrame, prefilter: bool = True) -> DataFrame:
+    """Adds found: distinct (priority, label) of the intervals that no stronger one contains; needs the column low. Without the prefilter every rule is tried."""
+    some = F.rlike("low", F.lit(STEMS)) if prefilter else F.lit(True)
+    flat = F.regexp_replace("low", MARKS, " ")
+    passed = lambda text: F.filter(_rules(), lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k))) if prefilter else _rules()
     spans = lambda text: F.array_sort(F.flatten(F.transform(passed(text), lambda r: _intervals(text, r))))
     # Swept by start, longest first: ends[p] is the furthest end so far among rules of priority p or stronger.
     start = F.expr("named_struct('ends', array(-1, -1, -1, -1), 'kept', cast(array() as array<struct<priority:int,label:string>>))")
@@ -101,10 +101,10 @@ def with_rules(docs: DataFrame) -> DataFrame:
     return docs.withColumn("found", F.when(F.col("flat").isNotNull(), kept).otherwise(none)).drop("flat")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     """Per document the words, the base phrases, the labels of both and a score of the strongest evidence."""
     rows = docs.select("doc_id", F.lower(whole()).alias("low"))
-    rows = with_rules(with_base(rows))
+    rows = with_rules(with_base(rows), prefilter)
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     best = F.array_max(F.transform("found", lambda x: F.element_at(weight, x["priority"])))
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")

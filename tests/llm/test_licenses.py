@@ -1,6 +1,8 @@
 """License scan: base phrases against plain Python, rules against known notices."""
 
+import random
 import re
+from re import _parser
 
 import pytest
 
@@ -64,6 +66,7 @@ def test_labels(documents, text, labels):
         ("See https://www.apache.org/licenses/LICENSE-2.0 for it", "apache-2.0"),
         ("<https://creativecommons.org/licenses/by/4.0/>", "cc-by"),
         ("// https://creativecommons.org/licenses/by-nc-sa/4.0", "cc-by-nc-sa"),
+        ("https://creativecommons.org/publicdomain/zero/1.0/", "cc0-1.0"),
         ("https://www.gnu.org/licenses/old-licenses/lgpl-2.1.html", "lgpl"),
         ("https://www.boost.org/LICENSE_1_0.txt", "bsl-1.0"),
         ("https://mozilla.org/MPL/2.0/", "mpl-2.0"),
@@ -79,6 +82,62 @@ def test_slashes(documents, text, label):
     assert label in row["labels"].split(",") and row["score"] > 0
 
 
+def sample(pattern, rng):
+    """A text that a pattern matches, choices at random."""
+
+    def one(nodes):
+        out = ""
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                kind, value = rng.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+            elif name == "ANY":
+                out += "x"
+            elif name == "SUBPATTERN":
+                out += one(arg[3])
+            elif name == "BRANCH":
+                out += one(rng.choice(arg[1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(one(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            else:
+                assert name in ("AT", "ASSERT_NOT"), name
+        return out
+
+    return one(_parser.parse(pattern))
+
+
+def samples():
+    rng = random.Random(3)
+    return [(r, t) for r in RULES for t in {sample(r.pattern, rng) for _ in range(4)} if re.search(r.pattern, t)]
+
+
+def test_every_rule_fires(documents):
+    """A sample of each rule has its label, or that of a rule at least as strong that holds its interval."""
+    some = samples()
+    assert {r for r, _ in some} == set(RULES)
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(documents([(i, t) for i, (_, t) in enumerate(some)])).collect()}
+    stronger = lambda rule, text: {r.label for r in RULES if r.priority <= rule.priority and any(m[0] == text for m in re.finditer(r.pattern, text))}
+    lost = [(r.pattern, t, got[i]) for i, (r, t) in enumerate(some) if r.label not in got[i] and not stronger(r, t) & set(got[i])]
+    assert lost == []
+
+
+LOST = ["Released under the MIT", "MIT-0", "0BSD", "Commons Clause", "proprietary and confidential", "MPL 2.0", "ASL 2.0", "same terms as Perl itself", "GNU Public License", "ODbL", "Expat License", "Internet Systems Consortium License", "open rail", "all rights\n * reserved", "placed into\n// the public\n// domain"]
+
+
+def test_prefilter_drops_nothing(documents):
+    texts = LOST + [t for _, t in samples()] + [t.replace(" ", "\n * ") for _, t in samples()]
+    docs = documents([(i, f"See {t} here") for i, t in enumerate(texts)])
+    got, want = (dict(licenses.scan(docs, x).select("doc_id", "labels").collect()) for x in (True, False))
+    assert got == want and all(got[i] for i in range(len(LOST)))
+
+
+def test_keywords_are_in_every_match():
+    assert all(any(k in t for k in r.keywords) and re.search(licenses.STEMS, t) for r, t in samples())
+
+
 def test_hundreds_of_rules():
     assert len(RULES) >= 200
     assert all(r.priority in licenses.WEIGHTS and re.compile(r.pattern) for r in RULES)
