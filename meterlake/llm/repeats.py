@@ -1,16 +1,21 @@
 """Removal of bytes inside repeated strings of a fixed length, by suffix buckets.
 
-Every string of LENGTH bytes belongs to one suffix bucket, named by the hash of its minimizer: the GRAM-byte string of
-least hash within it. Equal strings have equal minimizers, so a repeat never crosses buckets, and starts that
-share an anchor are one context. Equal contexts of one batch fold to the first before anything is shuffled, so a passage
-that a third of all documents hold reaches its bucket once for each batch. Buckets that hold a single context are done without their text. Equal contexts
-fold to the first of them, all later ones being covered whole. The different contexts that are left in a bucket are
-sorted as suffixes, one bucket at a time, with a difference cover for long ties (suffix_sort); neighbours that agree
-over LENGTH bytes are the repeats, and all but the earliest of them are covered.
-
-Edge cases: null text is empty; texts shorter than LENGTH keep everything; rows that share a doc_id are one document
-(the same text, if repeated) and never cover themselves; rows without doc_id are kept whole and cover nothing; extra
-columns are not read; an empty table gives an empty result.
+Every string of LENGTH bytes belongs to one suffix bucket, named by the hash of its minimizer (the anchor): the GRAM-byte
+string of least hash within it. Equal strings have equal minimizers, so a repeat never crosses buckets, and hashes choose
+buckets only. Starts that follow each other and share an anchor are one context. Contexts whose anchor is used once have
+no repeat and are done without their text; of all others the bytes go to their bucket with their places. There the
+different contexts are sorted as suffixes, one bucket at a time, with a difference cover for long ties (suffix_sort);
+neighbours that agree over LENGTH bytes are the repeats, and all places of a string but the earliest are covered.
+Contexts of equal bytes are kept once, with all their places, so a copy costs its place only.
+
+An anchor that is used more than HOT times would make a bucket of any size. Its contexts are dealt string by string, by
+the strings' own bytes; a task sends each such string once, and covers its later copies, byte for byte the same, at once.
+No group holds more than some GROUP contexts, and HOT more for an anchor; a hot string comes once from each task.
+
+Edge cases: null text is empty; texts shorter than LENGTH keep everything; texts of any size are read in pieces that
+overlap by LENGTH - 1; rows that share a doc_id are one document and never cover themselves (what is covered in one of
+them is removed from all, as far as they reach, so they should hold one text); rows without doc_id are kept whole and
+cover nothing; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,21 +31,23 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import NO_ID, ids, table, whole, with_nulls
 from meterlake.llm.shingles import U, mix, powers
 from meterlake.llm.suffix_sort import V, sorted_buckets
-from meterlake.session import written
-
-LENGTH, GRAM = 100, 48
-#: Contexts of a group that sorts its buckets on average, and contexts of one anchor beyond which its strings are dealt on.
-GROUP, HOT = 20_000, 20_000
-#: Bits of a minimizer's key that hold its place in the document.
-PLACE = 28
+from meterlake.session import discard, written
+
+LENGTH, GRAM = 100, 32
+#: Contexts of a group that sorts its buckets on average, and uses of one anchor beyond which its strings are dealt on.
+GROUP, HOT = 4_000, 2_000
+#: Bytes of a document whose contexts are found at a time, and bits that hold a place among them.
+PIECE, PLACE = 1 << 20, 24
+#: Bytes of different contexts, and number of different hot strings, that a task folds before it sends them.
+HELD, HELD_STRINGS = 1 << 23, 1 << 16
 VALUES = mix(np.arange(1000, 1256, dtype=U)) | U(1)
 
-CONTEXT = "anchor long, context long, doc_id long, lo int, size int, folded boolean"
+CONTEXT = "anchor long, doc_id long, lo int, size int"
 SPAN = "doc_id long, start int, stop int"
 
 
-def contexts(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor, content hash, first start and byte size of each context of a document."""
+def contexts(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first start and byte size of each context of a piece of a document."""
     width, m = length - gram + 1, len(data) - length + 1
     up, down = powers(len(data))
     sums = np.concatenate([np.zeros(1, U), np.cumsum(VALUES[data] * up, dtype=U)])
@@ -53,86 +60,125 @@ def contexts(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     place = (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & low).astype(np.int64)
     lo = np.flatnonzero(np.diff(place, prepend=-1))
-    size = np.append(lo[1:], m) - lo + length - 1
-    content = mix((sums[lo + size] - sums[lo]) * down[lo] + size.astype(U) * U(0x9E3779B97F4A7C15))
-    return hashes[place[lo]], content, lo, size
+    return hashes[place[lo]], lo, np.append(lo[1:], m) - lo + length - 1
 
 
 def _contexts(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        anchor, doc_id, lo, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"anchor": anchor.view(np.int64), "doc_id": doc_id, "lo": lo, "size": size})
+
     for batch in batches:
-        found = []
+        found, held = [], 0
         for doc_id, raw in zip(batch["doc_id"], batch["data"], strict=True):
-            if len(raw) >= length:
-                anchor, content, lo, size = contexts(np.frombuffer(raw, np.uint8), length, gram)
-                found.append((anchor, content, np.full(len(lo), doc_id), lo, size))
+            data = np.frombuffer(raw, np.uint8)
+            for at in range(0, len(raw) - length + 1 if doc_id != NO_ID else 0, PIECE):
+                anchor, lo, size = contexts(data[at : at + PIECE + length - 1], length, gram)
+                found.append((anchor, np.full(len(lo), doc_id), lo + at, size))
+                held += len(lo)
+                if held > 1 << 18:
+                    yield frame(found)
+                    found, held = [], 0
         if found:
-            anchor, content, doc_id, lo, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            folded = later_copies(anchor, content, doc_id, lo, size)
-            # What is folded is covered already: it needs no bucket and goes anywhere.
-            anchor = np.where(folded, mix(doc_id.astype(U) * U(0x9E3779B97F4A7C15) + lo.astype(U)), anchor)
-            yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": content.view(np.int64), "doc_id": doc_id, "lo": lo, "size": size, "folded": folded})
-
-
-def later_copies(anchor: np.ndarray, content: np.ndarray, doc_id: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of the contexts those that equal one that starts earlier: smaller doc_id, or the same and an earlier start."""
-    key = mix(anchor ^ (content + size.astype(U)))
-    order = np.argsort(key)
-    twin = np.zeros(len(key), bool)
-    same = key[order[1:]] == key[order[:-1]]
-    twin[order[1:]] |= same
-    twin[order[:-1]] |= same
-    some = np.flatnonzero(twin)
-    some = some[np.lexsort((lo[some], doc_id[some], size[some], content[some], anchor[some]))]
-    a, b = some[:-1], some[1:]
-    later = np.zeros(len(key), bool)
-    # A repeated row is the same place again, not a later one.
-    new = np.concatenate([[True], (anchor[a] != anchor[b]) | (content[a] != content[b]) | (size[a] != size[b])])
-    if len(some):
-        lead = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        later[some] = (doc_id[some] != doc_id[lead]) | (lo[some] != lo[lead])
-    return later
+            yield frame(found)
+
+
+class Fold:
+    """Contexts of equal bytes once, with their places, and strings of hot anchors once, with the earliest of theirs."""
+
+    COLUMNS = ("bucket", "data", "docs", "los")
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self._clear()
+
+    def _clear(self) -> None:
+        self.kinds: dict[bytes, int] = {}
+        self.buckets: list[int] = []
+        self.held = 0
+        self.kind: list[int] = []
+        self.docs: list[int] = []
+        self.los: list[int] = []
+        self.strings: dict[bytes, tuple[int, int]] = {}
+        self.groups = 1
+        self.done: list[tuple[int, int, int]] = []
+
+    def add(self, bucket: int, doc_id: int, lo: int, data: bytes) -> None:
+        at = self.kinds.setdefault(data, len(self.kinds))
+        if at == len(self.buckets):
+            self.buckets.append(bucket)
+            self.held += len(data)
+        self.kind.append(at)
+        self.docs.append(doc_id)
+        self.los.append(lo)
+
+    def add_hot(self, groups: int, doc_id: int, lo: int, data: bytes) -> None:
+        """The strings of a context, for so many groups; later copies of strings that are held become spans."""
+        self.groups = groups
+        run = None
+        for i in range(len(data) - self.length + 1):
+            x, here = data[i : i + self.length], (doc_id, lo + i)
+            lead = self.strings.setdefault(x, here)
+            if here < lead:
+                self.strings[x] = here
+                self.done.append((*lead, lead[1] + self.length))
+            # A repeated row is the same place again, not a later one.
+            if here <= lead:
+                run = None
+            elif run is None:
+                run = len(self.done)
+                self.done.append((*here, here[1] + self.length))
+            else:
+                self.done[run] = (*self.done[run][:2], here[1] + self.length)
+
+    def full(self) -> bool:
+        return self.held > HELD or len(self.kind) > HELD // 32 or len(self.strings) > HELD_STRINGS or len(self.done) > HELD_STRINGS
+
+    def rows(self) -> pd.DataFrame:
+        """What the groups get: bytes with the places they start at; without bytes, start and end of a span that is covered already."""
+        kind, docs, los = (np.array(x, np.int64) for x in (self.kind, self.docs, self.los))
+        by = np.argsort(kind, kind="stable")
+        ends = np.cumsum(np.bincount(kind, minlength=len(self.kinds))) * 8 if len(kind) else np.zeros(0, np.int64)
+        docs, los, ends = docs[by].tobytes(), los[by].tobytes(), [0, *ends.tolist()]
+        rows = [(b, x, docs[a:e], los[a:e]) for b, x, a, e in zip(self.buckets, self.kinds, ends, ends[1:], strict=False)]
+        number = lambda *x: np.array(x, np.int64).tobytes()
+        deal = lambda x: -1 - int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") % self.groups
+        rows += [(deal(x), x, number(d), number(s)) for x, (d, s) in self.strings.items()]
+        rows += [(-1 - (d + a) % self.groups, None, number(d), number(a, b)) for d, a, b in self.done]
+        self._clear()
+        return pd.DataFrame(rows, columns=self.COLUMNS)
 
 
 def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """The bytes of the contexts of each document, those of hot anchors string by string.
-
-    Equal strings of a batch fold to the first: the others are covered, and go as spans without bytes.
-    """
+    """The bytes of the shared contexts of each document; a negative bucket says into how many groups to deal the strings."""
+    fold = Fold(length)
     for batch in batches:
-        rows, first = [], {}
         for doc_id, raw, places in zip(batch["doc_id"], batch["data"], batch["places"], strict=True):
             for p in places:
-                lo, size, bucket = p["lo"], p["size"], p["bucket"]
-                if bucket >= 0:
-                    rows.append((bucket, doc_id, lo, 0, raw[lo : lo + size]))
-                    continue
-                for s in range(lo, lo + size - length + 1):
-                    x = raw[s : s + length]
-                    # A string has one anchor, so its own hash deals the strings of all hot anchors.
-                    deal = -1 - int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") % -bucket
-                    here, (lead, _) = (doc_id, s), first.setdefault(x, ((doc_id, s), deal))
-                    if here < lead:
-                        first[x], here = (here, deal), lead
-                    # A repeated row is the same place again, not a later one.
-                    if here != first[x][0]:
-                        rows.append((-1 - (here[0] + here[1]) % -bucket, *here, here[1] + length, b""))
-        rows += [(deal, *place, 0, x) for x, (place, deal) in first.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "lo", "stop", "data"])
-
-
-def covered(doc_id: np.ndarray, lo: np.ndarray, data: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """Of all strings of the contexts, the spans of those that also start earlier: doc_id, start, stop."""
-    sizes = np.array([len(x) for x in data])
-    text = np.frombuffer(b"".join(data) + bytes(3 * length + 4 * V), np.uint8)
+                lo, data = p["lo"], raw[p["lo"] : p["lo"] + p["size"]]
+                # Shorter than a string: a place of another row with this doc_id.
+                if len(data) >= length:
+                    fold.add(p["bucket"], doc_id, lo, data) if p["bucket"] >= 0 else fold.add_hot(-p["bucket"], doc_id, lo, data)
+            if fold.full():
+                yield fold.rows()
+    yield fold.rows()
+
+
+def covered(kinds: list[bytes], doc_id: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of all kinds those that start earlier in another one, in runs: kind, start and stop within it.
+
+    doc_id, lo: the earliest place of each kind.
+    """
+    sizes = np.array([len(x) for x in kinds])
+    text = np.frombuffer(b"".join(kinds) + bytes(3 * length + 4 * V), np.uint8)
     starts, n = np.cumsum(sizes) - sizes, sizes - length + 1
-    owner = np.repeat(np.arange(len(data)), n)
+    owner = np.repeat(np.arange(len(kinds)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     suffixes = starts[owner] + inside
     who = np.empty(len(text), np.int64)
     who[suffixes] = np.arange(len(suffixes))
     strings = np.lib.stride_tricks.sliding_window_view(text, length)
-    spans = []
+    later = np.zeros(len(suffixes), bool)
     for order in sorted_buckets(text, int(sizes.sum()), suffixes, length):
         same = np.zeros(len(order), bool)
         for a in range(1, len(order), 1 << 16):
@@ -145,62 +191,62 @@ def covered(doc_id: np.ndarray, lo: np.ndarray, data: list[bytes], length: int)
         g, docs, begin = group[by], docs[by], begin[by]
         head = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
         lead = np.repeat(head, np.diff(np.append(head, len(g))))
-        later = (docs != docs[lead]) | (begin != begin[lead])
-        spans.append(np.stack([docs[later], begin[later]], 1))
-    found = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-    if not len(found):
-        return []
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    # Starts that follow each other are one span.
-    cut = np.flatnonzero((np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) > length))
-    first, last = np.concatenate([[0], cut + 1]), np.append(cut, len(found) - 1)
-    return [(d, a, b + length) for d, a, b in zip(found[first, 0].tolist(), found[first, 1].tolist(), found[last, 1].tolist(), strict=True)]
+        later[k[by]] = (docs != docs[lead]) | (begin != begin[lead])
+    # Starts that follow each other in a kind are one run.
+    joined = later[1:] & later[:-1] & (owner[1:] == owner[:-1])
+    first = np.flatnonzero(later & ~np.concatenate([[False], joined]))
+    last = np.flatnonzero(later & ~np.concatenate([joined, [False]]))
+    return owner[first], inside[first], inside[last] + length
 
 
 def _sort_group(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    done = group[group["stop"] > 0]
-    group = group[group["stop"] == 0]
-    found = pd.DataFrame(covered(group["doc_id"].to_numpy(np.int64), group["lo"].to_numpy(np.int64), [bytes(x) for x in group["data"]], length) if len(group) else [], columns=["doc_id", "start", "stop"])
-    return pd.concat([done[["doc_id", "lo", "stop"]].rename(columns={"lo": "start"}), found]) if len(done) else found
+    """The spans of a group's strings at all their places but the earliest."""
+    done = group["data"].isna().to_numpy()
+    numbers = lambda column: np.frombuffer(b"".join(column), np.int64)
+    some, bounds = numbers(group["docs"][done]), numbers(group["los"][done]).reshape(-1, 2)
+    spans = [(some, bounds[:, 0], bounds[:, 1])]
+    group = group[~done]
+    if len(group):
+        kinds: dict[bytes, int] = {}
+        row = np.array([kinds.setdefault(x, len(kinds)) for x in map(bytes, group["data"])])
+        kind = np.repeat(row, [len(x) // 8 for x in group["docs"]])
+        docs, lo = numbers(group["docs"]), numbers(group["los"])
+        by = np.lexsort((lo, docs, kind))
+        kind, docs, lo = kind[by], docs[by], lo[by]
+        head = np.flatnonzero(np.diff(kind, prepend=-1))
+        size = np.array([len(x) for x in kinds])
+        # All places of a kind but its earliest; a repeated row is the same place again.
+        copy = (docs != docs[head][kind]) | (lo != lo[head][kind])
+        spans.append((docs[copy], lo[copy], lo[copy] + size[kind[copy]]))
+        k, a, b = covered(list(kinds), docs[head], lo[head], length)
+        spans.append((docs[head][k], lo[head][k] + a, lo[head][k] + b))
+    return pd.DataFrame(dict(zip(("doc_id", "start", "stop"), map(np.concatenate, zip(*spans, strict=True)), strict=True)))
 
 
 def shared_contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The contexts of anchors that are used more than once; leads: the first of its equals; kinds: different ones of its anchor."""
-    spark = docs.sparkSession
-    found = docs.mapInPandas(lambda it: _contexts(it, length, gram), CONTEXT)
-    # One exchange by anchor and one sort serve every window below.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(n, "anchor")
-    found.createOrReplaceTempView("__contexts")
-    shared = spark.sql("""
-        SELECT anchor, doc_id, lo, size, NOT folded AND first.doc_id = doc_id AND first.lo = lo AS leads, sum(IF(place = 1, 1, 0)) OVER (PARTITION BY anchor) AS kinds
-        FROM (SELECT *, count(*) OVER (PARTITION BY anchor) AS uses,
-                     row_number() OVER (PARTITION BY anchor, context, size ORDER BY doc_id, lo) AS place,
-                     first_value(struct(doc_id, lo)) OVER (PARTITION BY anchor, context, size ORDER BY doc_id, lo) AS first
-              FROM __contexts)
-        WHERE uses > 1 OR folded""")
-    spark.catalog.dropTempView("__contexts")
-    return written(shared, "contexts")
+    """The contexts of anchors that are used more than once, with the anchor's uses. docs: doc_id (NO_ID for none), data."""
+    found = written(docs.mapInPandas(lambda it: _contexts(it, length, gram), CONTEXT), "contexts")
+    # Uses are summed before they move; Spark splits a hot anchor's side of the join.
+    uses = found.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1")
+    shared = written(found.join(uses, "anchor"), "shared")
+    discard(found)
+    return shared
 
 
 def dealt(docs: DataFrame, shared: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """What the groups sort: bucket, doc_id, lo, data; a stop other than 0 marks a span that is covered already."""
-    open_ = shared.where(F.col("leads") & (F.col("kinds") > 1)).dropDuplicates(["anchor", "doc_id", "lo"])
-    is_hot = F.col("kinds") > hot
-    n_contexts, n_strings = open_.agg(F.count_if(~is_hot), F.sum(F.when(is_hot, F.col("size").cast("long") - length + 1))).first()
-    groups, hot_groups = max(1, n_contexts // GROUP), max(1, (n_strings or 0) // GROUP)
+    """What the groups sort: bucket, data and its places (docs, los); without data a span that is covered already."""
+    is_hot = F.col("uses") > hot
+    n_contexts, n_strings = shared.agg(F.count_if(~is_hot), F.sum(F.when(is_hot, F.col("size").cast("long") - length + 1))).first()
+    groups, hot_groups = max(1, n_contexts // GROUP), max(1, (n_strings or 0) // (GROUP * 8))
     # The strings of hot anchors are dealt by their own bytes: a negative bucket says into how many groups.
     bucket = F.when(is_hot, F.lit(-hot_groups)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    places = open_.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "size", bucket.cast("long").alias("bucket"))).alias("places"))
-    return docs.join(places, "doc_id").select("doc_id", "data", "places").mapInPandas(lambda it: _cut(it, length), "bucket long, doc_id long, lo int, stop int, data binary")
+    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "size", bucket.cast("long").alias("bucket"))).alias("places"))
+    return docs.join(places, "doc_id").select("doc_id", "data", "places").mapInPandas(lambda it: _cut(it, length), "bucket long, data binary, docs binary, los binary")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def spans(docs: DataFrame, shared: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The spans of each document whose strings all start earlier somewhere. docs: doc_id (not null), data (binary)."""
-    shared = shared_contexts(docs, length, gram)
-    later = shared.where(~F.col("leads")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).cast("int").alias("stop"))
-    sorted_ = dealt(docs, shared, length, hot).groupBy("bucket").applyInPandas(lambda g: _sort_group(g, length), SPAN)
-    return later.union(sorted_)
+    return dealt(docs, shared, length, hot).groupBy("bucket").applyInPandas(lambda g: _sort_group(g, length), SPAN)
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -226,7 +272,8 @@ def _remove(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.Dat
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """Per document the counts of what is removed, and the bytes that remain (their digest; the bytes if asked for)."""
     rows = docs.select(ids(), whole().cast("binary").alias("data"))
-    found = spans(rows.where(F.col("doc_id") != NO_ID), length, gram, hot)
+    # Texts move once: both joins read one exchange by doc_id.
+    found = spans(rows, shared_contexts(rows, length, gram), length, hot)
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return with_nulls(rows.join(found, "doc_id", "left").select("doc_id", "data", "spans").mapInPandas(lambda it: _remove(it, with_text), OUT), "doc_id")
 
