@@ -1,22 +1,24 @@
 """Exact subword encoding of whole texts with the tokenizers library, one distinct word at a time.
 
 Both vocabularies split a text into words first and merge inside words only, so the ids of a text are the ids of
-its words in order. A worker keeps the ids of words it has met (bounded) and lets the library's model merge each new
-word once. The split is done here only for texts over an alphabet where Python's character classes and the library's
-agree; any other text, or one that holds the string of a special token, goes to the library whole.
+its words in order. A worker keeps the ids of words it has met and lets the library's model merge each new word once;
+when MOST_WORDS are held, those that were met once since the last time go, and the rarer half if they are still many.
+The split is done here only for texts over an alphabet where Python's character classes and the library's agree; any
+other text, or one that holds the string of a special token, goes to the library whole.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept by a worker; beyond this the store starts anew.
-MOST_WORDS = 1_000_000
+#: Words that a worker keeps (some 200 bytes each), code points of all of them, and of the longest that outlives a trim.
+MOST_WORDS, MOST_CHARS, LONGEST = 1 << 18, 1 << 24, 64
 
 #: ASCII without control characters, and the letters and marks of Latin-1 that are the same for both sides.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-ÿ]*")
@@ -65,7 +67,38 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int32)
         self.lengths = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.hits = np.zeros(1 << 16, np.uint32)
+        self.used = self.chars = 0
+
+    def trim(self) -> None:
+        """Keeps the words that are met often, if the store is full. Numbers of words change."""
+        n = len(self.index)
+        if n <= MOST_WORDS and self.chars <= MOST_CHARS:
+            return
+        words = list(self.index)
+        hits = self.hits[:n] * (np.fromiter(map(len, words), np.int64, n) <= LONGEST)
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > MOST_WORDS // 2:
+            keep = np.sort(keep[np.argsort(hits[keep])[-(MOST_WORDS // 2) :]])
+        lengths, flat = self.lengths[keep].astype(np.int64), self._flat(keep)
+        self._clear()
+        for i in keep.tolist():
+            self.index[words[i]]
+        self.index.new, self.chars = [], sum(len(words[i]) for i in keep.tolist())
+        self._add(0, lengths, flat)
+
+    def look_up(self, words: Iterable[str]) -> np.ndarray:
+        """Numbers of the words, new ones among them."""
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64)
+        self._learn()
+        np.add.at(self.hits, at, 1)
+        return at
+
+    def _flat(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers, one after the other."""
+        lengths = self.lengths[at].astype(np.int64)
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def split(self, text: str) -> list[str] | None:
         """The words of a text; None if the library has to split it."""
@@ -80,6 +113,7 @@ class Encoder:
         if not words:
             return
         first = len(self.index) - len(words)
+        self.chars += sum(map(len, words))
         got = [[t.id for t in self.merge(w.encode().decode("latin-1").translate(BYTE_SYMBOLS))] for w in words]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lengths.sum()))
@@ -89,7 +123,7 @@ class Encoder:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(lengths) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
+            self.starts, self.lengths, self.hits = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths, self.hits))
         self.ids[self.used : self.used + len(flat)] = flat
         ends = np.cumsum(lengths)
         self.starts[first : first + len(lengths)] = self.used + ends - lengths
@@ -109,15 +143,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many belong to each text."""
-        if len(self.index) > MOST_WORDS:
-            self._clear()
+        self.trim()
         split = list(map(self.split, texts))
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(w for w in split if w)), np.int64)
-        self._learn()
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
+        at = self.look_up(itertools.chain.from_iterable(w for w in split if w))
+        flat, ends = self._flat(at), np.cumsum(self.lengths[at], dtype=np.int64)
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(w or ()) for w in split)])]
         counts = np.diff(bounds)
         if any(w is None for w in split):

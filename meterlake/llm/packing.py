@@ -12,6 +12,7 @@ read; an empty table gives an empty result. Work stays in the partition that rea
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -29,7 +30,8 @@ from meterlake.llm.common import ids, table, whole, with_nulls
 WINDOW = 1024
 #: Rests that wait before windows are filled from them.
 POOL = 8192
-PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
 class Piece(NamedTuple):
@@ -97,7 +99,7 @@ class Pool:
                 yield pieces
 
 
-def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int, with_ids: bool) -> Iterator[pd.DataFrame]:
     words, pool, next_id = encoder(path), Pool(window), TaskContext.get().partitionId() << 40
 
     def rows(sequences: Iterator[list[Piece]]) -> list[tuple]:
@@ -106,14 +108,11 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int)
         for pieces in sequences:
             offset = 0
             for p in pieces:
-                out.append((p.doc_id, p.start, len(p.ids), p.doc_tokens, next_id, offset, p.ids.tobytes()))
+                out.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids), p.doc_tokens, next_id, offset, p.ids.tobytes() if with_ids else None))
                 offset += len(p.ids)
             next_id += 1
         return out
 
-    def frame(found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=[x.split()[0] for x in PIECE.split(", ")])
-
     for batch in batches:
         for at in range(0, len(batch), 100):
             some = batch.iloc[at : at + 100]
@@ -124,21 +123,18 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int)
                 whole_windows += [[Piece(doc_id, i, n, ids[i : i + window])] for i in range(0, cut, window)]
                 if cut < n:
                     pool.add(Piece(doc_id, cut, n, ids[cut:].copy()))
-            yield frame(rows(iter(whole_windows)))
+            yield pd.DataFrame(rows(iter(whole_windows)), columns=NAMES)
             if pool.size > POOL:
-                yield frame(rows(pool.windows(POOL // 2)))
-    yield frame(rows(pool.windows(0)))
+                yield pd.DataFrame(rows(pool.windows(POOL // 2)), columns=NAMES)
+    yield pd.DataFrame(rows(pool.windows(0)), columns=NAMES)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
-    """The pieces of all documents with their ids (32-bit little-endian) and their places in the sequences."""
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """The pieces of all documents with their checksums, their places in the sequences and, if asked for, their ids (32-bit little-endian)."""
     rows = docs.select(ids(), whole().alias("text"))
-    return with_nulls(rows.mapInPandas(lambda it: _pack(it, path, end_id, window), PIECE), "doc_id")
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    found = with_nulls(rows.mapInPandas(lambda it: _pack(it, path, end_id, window, with_ids), PIECE), "doc_id")
+    return found if with_ids else found.drop("ids")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)

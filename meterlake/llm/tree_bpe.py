@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.bpe import BYTE_SYMBOLS, MOST_WORDS, Encoder, encoder
+from meterlake.llm.bpe import BYTE_SYMBOLS, Encoder, encoder
 from meterlake.llm.common import ids, table, whole, with_nulls
 
 #: Code points of a part of a text, of a part that is a row of its own, and bytes of a word that is encoded whole.
@@ -93,12 +93,8 @@ class TreeEncoder:
         """Counts of ids of each word, and the ids."""
         w = self.words
         if not any(len(x) > self.unsplit for x in words):
-            at = np.fromiter(map(w.index.__getitem__, words), np.int64, len(words))
-            w._learn()
-            counts = w.lengths[at].astype(np.int64)
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            return counts, w.ids[np.repeat(w.starts[at] - (ends - counts), counts) + np.arange(total)]
+            at = w.look_up(words)
+            return w.lengths[at].astype(np.int64), w._flat(at)
         ids = [np.array(self.long_word("".join(self.symbols[b] for b in x.encode())), np.uint32) if len(x) > self.unsplit else self.of_words([x])[1] for x in words]
         return np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
 
@@ -177,17 +173,12 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NAMES = [x.split()[0] for x in DIGEST.split(", ")]
 
 
-def _fresh(tree: TreeEncoder) -> None:
-    if len(tree.words.index) > MOST_WORDS:
-        tree.words._clear()
-
-
 def _short(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     tree = tree_encoder(path)
     for batch in batches:
         rows = []
         for at in range(0, len(batch), 100):
-            _fresh(tree)
+            tree.words.trim()
             some = batch.iloc[at : at + 100]
             texts = some["text"].tolist()
             # Texts of one leaf go to the library together; longer ones up the tree.
@@ -206,7 +197,7 @@ def _spread(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame
     for batch in batches:
         rows = []
         for r in batch.itertuples():
-            _fresh(tree)
+            tree.words.trim()
             p = tree.tree([tree.part(x) for x in halves(r.text, tree.leaf)])
             rows.append((r.row, r.doc_id, r.n, p.text, p.chars.tobytes(), p.counts.tobytes(), p.ids.tobytes()))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")])
@@ -214,7 +205,7 @@ def _spread(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame
 
 def _gather(parts: pd.DataFrame, path: str) -> pd.DataFrame:
     tree = tree_encoder(path)
-    _fresh(tree)
+    tree.words.trim()
     read = lambda b, t: np.frombuffer(b, t)
     held = [Part(r.text, read(r.chars, np.int64), read(r.counts, np.int64), read(r.ids, np.uint32)) for r in parts.sort_values("n").itertuples()]
     return pd.DataFrame([(parts["doc_id"].iloc[0], *_said(tree.tree(held).ids, tree))], columns=NAMES)

@@ -62,3 +62,20 @@ def test_round_trip(documents, edge_rows, words, library, spread):
 
 def test_empty_table(documents):
     assert round_trip(documents([]), PATH).count() == 0
+
+
+def test_a_full_store_of_words_keeps_what_is_met_often(words, monkeypatch):
+    from meterlake.llm import bpe
+
+    e = bpe.Encoder(PATH)
+    texts = [words(60, k, 3000) + " " + " ".join(f"q{k}x{i}" for i in range(40)) for k in range(60)]
+    want = [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "MOST_WORDS", 900)
+    monkeypatch.setattr(bpe, "MOST_CHARS", 9000)
+    seen = []
+    for t, ids in zip(texts * 2, want * 2, strict=True):
+        flat, counts = e.encode([t, "w" * 100, t])
+        assert flat[: len(ids)].tolist() == ids == flat[len(flat) - len(ids) :].tolist() and counts[0] == len(ids)
+        seen.append(len(e.index))
+        assert len(e.index) <= 900 + 300 and len(e.index) == len(set(e.index.values()))
+    assert any(b < a for a, b in zip(seen, seen[1:], strict=False)) and min(seen[5:]) > 50
