@@ -1,10 +1,11 @@
 """Secret scan with structural confirmation.
 
 Pattern hits (assignments, access ids, long hex) are reported as they are. What merely looks like an encoded
-key is decoded first and reported only if its structure holds: DER key encodings whose nested lengths add up,
-OpenSSH private-key containers, and signed tokens whose header and payload are JSON objects with an algorithm.
-Keys may stand in strings with escaped line ends, and PEM bodies may begin with RFC 1421 headers; where those say that
-the body is encrypted, it must be base64 of whole cipher blocks.
+key is decoded first and reported only if its structure holds: DER key encodings whose nested lengths add up down to
+the key inside the octet string, OpenSSH private-key containers, and signed tokens whose header and payload are JSON
+objects with an algorithm. A PEM block is confirmed by its body whatever its name says. Keys may stand in strings with
+escaped line ends, and PEM bodies may begin with RFC 1421 headers; where those name a cipher, the body has no structure
+but that: it must be base64 of whole blocks of that cipher.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; offsets are code points, ends
 exclusive; repeated rows give repeated results; columns of the input other than doc_id and text are not read;
@@ -39,6 +40,7 @@ BODY = r"(?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/\s]|u00[0-9A-Fa-f]{2}))"
 PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:\s|\\+[nrt])*+(?:[A-Za-z0-9-]{{1,60}}:[^\r\n\\]{{0,400}}{LINE}(?:[ \t][^\r\n\\]{{1,400}}{LINE})*)*)({BODY}{{16,}}+)-----END \1-----")
 ESCAPE = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|([nrt/\s]))")
 ENCRYPTED = re.compile(r"Proc-Type:[ \t]*4[ \t]*,[ \t]*ENCRYPTED", re.IGNORECASE)
+CIPHER = re.compile(r"DEK-Info:[ \t]*([A-Za-z0-9-]{3,40})[ \t]*,[ \t]*([0-9A-Fa-f]{16,64})(?![0-9A-Fa-f])", re.IGNORECASE)
 #: Where a candidate begins: not within a run of its letters, but an escape sequence ends such a run.
 BEGINS = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=\\u00[0-9A-Fa-f]{2}))"
 #: JSON objects begin with a brace or white space, so e, I, C or D in base64; the shortest header has 11 bytes.
@@ -65,10 +67,18 @@ def unescaped(body: str) -> str:
     return ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else m[2] if m[2] == "/" else " ", body) if "\\" in body else body
 
 
-def pem_key(name: str, headers: str, body: str) -> bool:
-    """A key encoding, a container, or what its name or headers call encrypted."""
+def enciphered(headers: str, data: bytes) -> bool:
+    """RFC 1421 headers name a cipher and its start value, and the bytes are whole blocks of it."""
+    cipher = CIPHER.search(headers)
+    if not data or not cipher or not ENCRYPTED.search(headers):
+        return False
+    return len(data) % (16 if cipher[1].upper().startswith(("AES", "CAMELLIA", "SEED")) else 8) == 0
+
+
+def pem_key(headers: str, body: str) -> bool:
+    """A key encoding, a container, or what the headers call encrypted."""
     data = decoded(unescaped(body))
-    return bool(key_encoding(data)) or openssh(data) or "ENCRYPTED" in name or bool(data and len(data) % 8 == 0 and ENCRYPTED.search(headers))
+    return bool(key_encoding(data)) or openssh(data) or enciphered(headers, data)
 
 
 def element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -97,6 +107,77 @@ def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return found
 
 
+def content(data: bytes, x: tuple[int, int, int]) -> bytes:
+    return data[x[1] : x[2]]
+
+
+def tagged(data: bytes, tags: list[int] | None, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
+    """The elements of a content if their tags begin with these."""
+    inner = children(data, start, len(data) if end is None else end)
+    return inner if inner and (tags is None or [x[0] for x in inner][: len(tags)] == tags) else None
+
+
+def algorithm(data: bytes, x: tuple[int, int, int]) -> bytes | None:
+    """The object identifier of an algorithm with at most one parameter, whose own elements add up."""
+    inner = tagged(data, [0x06], x[1], x[2])
+    if not inner or len(inner) > 2 or inner[0][1] == inner[0][2]:
+        return None
+    if inner[1:] and inner[1][0] == 0x30 and not children(data, inner[1][1], inner[1][2]):
+        return None
+    return content(data, inner[0])
+
+
+def integers(data: bytes, some: list[tuple[int, int, int]]) -> bool:
+    """None is empty, and none has a needless leading zero."""
+    return all(a < b and not (b - a > 1 and data[a] == 0 and data[a + 1] < 0x80) for _, a, b in some)
+
+
+def rsa_or_dsa(data: bytes, inner: list[tuple[int, int, int]]) -> str | None:
+    tags = [x[0] for x in inner]
+    if tags[:9] == [0x02] * 9 and integers(data, inner[:9]):
+        version, primes = content(data, inner[0]), inner[9:]
+        if version == b"\0" and not primes:
+            return "pkcs1"
+        # More primes: triples of integers.
+        if version == b"\1" and [t for t, *_ in primes] == [0x30] and (more := children(data, *primes[0][1:])):
+            return "pkcs1" if all(len(tagged(data, [0x02] * 3, a, b) or ()) == 3 for _, a, b in more) else None
+    if tags == [0x02] * 6 and integers(data, inner) and content(data, inner[0]) == b"\0":
+        return "dsa"
+    return None
+
+
+def sec1(data: bytes, inner: list[tuple[int, int, int]]) -> bool:
+    """Version 1, the secret, then the curve and the public point, each of them optional."""
+    if [x[0] for x in inner[:2]] != [0x02, 0x04] or content(data, inner[0]) != b"\1" or not 14 <= inner[1][2] - inner[1][1] <= 72:
+        return False
+    rest = [x[0] for x in inner[2:]]
+    if rest not in ([], [0xA0], [0xA1], [0xA0, 0xA1]):
+        return False
+    for tag, a, b in inner[2:]:
+        held = children(data, a, b)
+        if not held or len(held) != 1 or held[0][0] not in ((0x06, 0x30) if tag == 0xA0 else (0x03,)):
+            return False
+    return True
+
+
+# Object identifiers (DER) of algorithms whose keys have a structure of their own.
+RSA = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+EC = (bytes.fromhex("2a8648ce3d0201"),)
+
+
+def inside(oid: bytes, key: bytes) -> bool:
+    """What an octet string holds is the key of its algorithm: RSA, elliptic curve, or one element (a number, a string, a sequence)."""
+    top = element(key, 0, len(key))
+    if not top or top[2] != len(key) or top[1] == top[2]:
+        return False
+    inner = children(key, top[1], top[2]) if top[0] == 0x30 else None
+    if oid in RSA:
+        return bool(inner) and rsa_or_dsa(key, inner) == "pkcs1"
+    if oid in EC:
+        return bool(inner) and sec1(key, inner)
+    return bool(inner) if top[0] == 0x30 else top[0] in (0x02, 0x04)
+
+
 def key_encoding(data: bytes) -> str | None:
     """Name of the private-key structure that the bytes are, nested lengths included."""
     if not (top := element(data, 0, len(data))) or top[0] != 0x30 or top[2] != len(data):
@@ -104,41 +185,43 @@ def key_encoding(data: bytes) -> str | None:
     if not (inner := children(data, top[1], top[2])):
         return None
     tags = [x[0] for x in inner]
-    first = int.from_bytes(data[inner[0][1] : inner[0][2]], "big") if tags[0] == 0x02 else -1
-    if tags[:9] == [0x02] * 9 and first in (0, 1):
-        return "pkcs1"
-    if tags[:3] == [0x02, 0x30, 0x04] and first in (0, 1):
-        algorithm = children(data, inner[1][1], inner[1][2])
-        return "pkcs8" if algorithm and algorithm[0][0] == 0x06 else None
-    if tags[:2] == [0x02, 0x04] and first == 1 and inner[1][2] - inner[1][1] in (28, 32, 48, 66):
-        return "sec1"
+    if tags[:3] == [0x02, 0x30, 0x04] and set(tags[3:]) <= {0xA0, 0x81, 0xA1} and content(data, inner[0]) in (b"\0", b"\1"):
+        oid = algorithm(data, inner[1])
+        return "pkcs8" if oid and inside(oid, content(data, inner[2])) else None
     if tags == [0x30, 0x04]:
-        algorithm = children(data, inner[0][1], inner[0][2])
-        return "pkcs8-encrypted" if algorithm and algorithm[0][0] == 0x06 else None
-    if tags == [0x02] * 6 and first == 0:
-        return "dsa"
-    return None
+        return "pkcs8-encrypted" if algorithm(data, inner[0]) and inner[1][2] - inner[1][1] >= 16 else None
+    return "sec1" if sec1(data, inner) else rsa_or_dsa(data, inner)
+
+
+def lengths(data: bytes, at: int, n: int) -> list[bytes] | None:
+    """n strings with a length of four bytes before each, from a place on."""
+    found = []
+    for _ in range(n):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        found.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return found
 
 
 def openssh(data: bytes) -> bool:
-    """Cipher, derivation, options, key count, public keys and private block, each with its length."""
-    if not data.startswith(OPENSSH_MAGIC):
+    """Cipher, derivation, options, key count, public keys and private block, each with its length; all bytes are used.
+
+    The private block is whole cipher blocks; without a cipher it begins with the same number twice.
+    """
+    at = len(OPENSSH_MAGIC)
+    if not data.startswith(OPENSSH_MAGIC) or not (head := lengths(data, at, 3)):
         return False
-    at, keys = len(OPENSSH_MAGIC), 0
-    for i in range(4):
-        if i == 3:
-            keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-            break
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if at > len(data):
-            return False
-    if not 1 <= keys <= 64:
+    at += sum(4 + len(x) for x in head)
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    # Each key has four bytes at least.
+    if not 1 <= keys <= len(data) // 4 or not (blocks := lengths(data, at, keys + 1)):
         return False
-    for _ in range(keys + 1):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    if at + sum(4 + len(x) for x in blocks) != len(data) or not all(lengths(x, 0, 1) for x in blocks[:-1]):
+        return False
+    secret = blocks[-1]
+    return len(secret) >= 16 and len(secret) % 8 == 0 and (head[0] != b"none" or secret[:4] == secret[4:8])
 
 
 def signed_token(header: str, payload: str) -> bool:
@@ -160,7 +243,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if pem_key(m[1], m[2], m[3])]
+        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if pem_key(m[2], m[3])]
     for m in ENCODED.finditer(text):
         data = decoded(m[0])
         if openssh(data):

@@ -102,6 +102,88 @@ def test_what_only_looks_like_those_shapes():
         assert secrets.confirmed_spans(text) == []
 
 
+def ssh(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+PUBLIC = ssh(b"ssh-ed25519", bytes(range(32)))
+
+
+def container(keys=1, cipher=b"none", secret=b"\1\2\3\4" * 2 + bytes(40)):
+    return secrets.OPENSSH_MAGIC + ssh(cipher, b"none", b"") + keys.to_bytes(4, "big") + ssh(*[PUBLIC] * keys, secret)
+
+
+@pytest.mark.parametrize(
+    ("data", "good"),
+    [
+        (container(), True),
+        (container(100), True),
+        (container(0), False),
+        (container(cipher=b"aes256-ctr", secret=bytes(range(48))), True),
+        (container(secret=bytes(range(48))), False),
+        (container(secret=bytes(45)), False),
+        (container() + b"\0", False),
+        (container()[:-1], False),
+    ],
+)
+def test_containers(data, good):
+    assert secrets.openssh(data) is good
+    text = f"key {b64(data)} end"
+    assert [k for *_, k in secrets.confirmed_spans(text)] == (["openssh"] if good else [])
+    assert [k for *_, k in secrets.confirmed_spans(pem("OPENSSH PRIVATE KEY", lines(data))) if k == "pem"] == (["pem"] if good else [])
+
+
+CURVE, P256 = bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2a8648ce3d030107")
+SEC1 = der(0x30, number(1), der(4, bytes(range(1, 33))), der(0xA0, der(6, P256)), der(0xA1, der(3, b"\0\4" + bytes(64))))
+PBES2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(0x30, der(6, b"*")), der(0x30, der(6, b"*"))))
+
+
+@pytest.mark.parametrize(
+    ("data", "name"),
+    [
+        (PKCS1, "pkcs1"),
+        (der(0x30, number(1), *(number(3**k) for k in range(20, 28)), der(0x30, der(0x30, number(5), number(6), number(7)))), "pkcs1"),
+        (der(0x30, number(1), *(number(3**k) for k in range(20, 28))), None),
+        (der(0x30, *[number(7)] * 9), None),
+        (SEC1, "sec1"),
+        (der(0x30, number(1), der(4, bytes(32))), "sec1"),
+        (der(0x30, number(1), der(4, bytes(32)), der(0xA0, b"\6\x39")), None),
+        (der(0x30, number(1), der(4, bytes(32)), der(0xA1, number(1))), None),
+        (der(0x30, number(0), *[number(9)] * 5), "dsa"),
+        (PKCS8, "pkcs8"),
+        (der(0x30, number(0), der(0x30, der(6, secrets.RSA[0]), der(5)), der(4, PKCS1[:-1])), None),
+        (der(0x30, number(0), der(0x30, der(6, secrets.RSA[0]), der(5)), der(4, SEC1)), None),
+        (der(0x30, number(0), der(0x30, der(6, CURVE), der(6, P256)), der(4, SEC1)), "pkcs8"),
+        (der(0x30, number(0), der(0x30, der(6, CURVE), der(6, P256)), der(4, PKCS1)), None),
+        (der(0x30, number(0), der(0x30, der(6, b"+ep")), der(4, der(4, bytes(32)))), "pkcs8"),
+        (der(0x30, number(0), der(0x30, der(6, b"+ep")), der(4, bytes(range(32)))), None),
+        (der(0x30, PBES2, der(4, bytes(range(64)))), "pkcs8-encrypted"),
+        (der(0x30, der(0x30, der(6, b"*"), der(0x30, b"\6\x39")), der(4, bytes(range(64)))), None),
+    ],
+)
+def test_structures(data, name):
+    assert secrets.key_encoding(data) == name
+
+
+def test_pem_is_confirmed_by_its_body():
+    """A header that says ENCRYPTED is no proof."""
+    assert secrets.confirmed_spans(pem("ENCRYPTED PRIVATE KEY", b64(b"Many words but no key, " * 4))) == []
+    good = der(0x30, PBES2, der(4, bytes(range(64))))
+    assert "pem" in [k for *_, k in secrets.confirmed_spans(pem("ENCRYPTED PRIVATE KEY", lines(good)))]
+    proc = "Proc-Type: 4,ENCRYPTED\n\n"
+    assert secrets.confirmed_spans(pem("RSA PRIVATE KEY", proc + lines(bytes(range(160))))) == []
+    des = "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,3F17F5316E2BAC89\n\n"
+    assert "pem" in [k for *_, k in secrets.confirmed_spans(pem("RSA PRIVATE KEY", des + lines(bytes(range(152)))))]
+    assert secrets.confirmed_spans(pem("RSA PRIVATE KEY", DEK + lines(bytes(range(152))))) == []
+
+
+def test_redact_keeps_columns_of_clashing_names(documents):
+    df = documents([(1, "secret=abcdefgh1"), (2, None)], clash=True)
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    assert {r["doc_id"]: (r["text"], r["spans"]) for r in out.collect()} == {1: ("[SECRET]", "x"), 2: (None, "x")}
+
+
 def test_nested_lengths_decide():
     assert secrets.key_encoding(PKCS8) == "pkcs8"
     assert secrets.key_encoding(PKCS8 + b"\0") is None
