@@ -13,6 +13,7 @@ it, else literal strings that are read from the pattern. STEMS is made of the lo
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from re import _parser
 from typing import NamedTuple
 
@@ -150,6 +151,146 @@ cc-by-nd | creativecommons.org | 2:\bcreativecommons\.org/licenses/by-nd/[1-4]\.
 openrail [openrail] | openrail | \b(?:creativeml )?open ?rail(?:\+\+)?(?:-m)?\b
 proprietary | all rights reserved | 4:\ball rights reserved\b
 proprietary | proprietary | \bproprietary and confidential\b
+mit | permission notice | 2:\bthe above copyright notice and this permission notice shall be included in all copies or substantial portions of the software\b
+mit | without warranty of any kind | 4:\bthe software is provided as is ?, without warranty of any kind, express or implied\b
+mit-modern | modern variant | \bmit license modern variant\b
+x11 | x consortium | 4:\bexcept as contained in this notice, the name of the x consortium shall not be used\b
+hpnd [hpnd] | historical permission notice | \bhistorical permission notice and disclaimer\b
+hpnd | supporting documentation | 4:\bthat the above copyright notice appears? in all copies and that both (?:that|the) copyright notice and this permission notice appear in supporting documentation\b
+ntp [ntp] | ntp license | \bntp license\b
+fair [fair] | fair license | \bfair license\b
+apache-1.0 [apache-1.0] | apache | \bapache (?:software )?license,? (?:version |v)?1\.0\b
+apache-1.1 | apache.org | 2:\bapache\.org/licenses/license-1\.1\b
+apache-2.0 | except in compliance | 2:\byou may not use this file except in compliance with the license\b
+apache-2.0 | obtain a copy of the license | 4:\byou may obtain a copy of the license at\b
+apache-2.0-llvm | llvm exception | \bapache license v2\.0 with llvm exceptions?\b ;; \bllvm exceptions? to the apache 2\.0 license\b
+gpl | you can redistribute it | 4:\byou can redistribute it and ?(?:/ ?)?or modify it under the terms of the gnu general public license\b
+gpl | received a copy | 4:\byou should have received a copy of the gnu general public license\b
+lgpl | you can redistribute it | 2:\byou can redistribute it and ?(?:/ ?)?or modify it under the terms of the gnu (?:lesser|library) general public license\b
+lgpl | received a copy | 2:\byou should have received a copy of the gnu (?:lesser|library) general public license\b
+agpl | you can redistribute it | 2:\byou can redistribute it and ?(?:/ ?)?or modify it under the terms of the gnu affero general public license\b
+agpl | received a copy | 2:\byou should have received a copy of the gnu affero general public license\b
+classpath-exception | classpath | \bclasspath(?:[- ]linking)? exception\b
+gcc-exception | gcc runtime | \bgcc runtime library exception\b
+bison-exception | bison | \bbison exception\b
+autoconf-exception | autoconf | \bautoconf (?:macro |script )?exception\b
+font-exception | font exception | \bgpl font exception\b
+linking-exception | linking exception | 4:\blinking exception\b
+fsfap [fsfap] | medium without royalty | 2:\bcopying and distribution of this file, with or without modification, are permitted in any medium without royalty\b
+gfdl | permission is granted to copy | 2:\bpermission is granted to copy, distribute and ?(?:/ ?)?or modify this document under the terms of the gnu free documentation license\b
+bsd-2-clause | source code must retain | 4:\bredistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer\b
+bsd-2-clause | in binary form must reproduce | 4:\bredistributions in binary form must reproduce the above copyright notice\b
+bsd-3-clause-clear [bsd-3-clause-clear] | clear bsd | \bclear bsd license\b
+bsd-2-clause-patent [bsd-2-clause-patent] | patent | \bbsd[- ]2[- ]clause plus patent\b
+bsd-1-clause [bsd-1-clause] | bsd | \b(?:1|one)[- ]clause bsd\b ;; \bbsd[- ]1[- ]clause\b
+isc | disclaims all warranties | 4:\bthe software is provided as is and the author disclaims all warranties\b
+mpl-2.0 | source code form | 2:\bthis source code form is subject to the terms of the mozilla public license, v\. 2\.0\b
+mpl-2.0 | mpl was not distributed | 2:\bif a copy of the mpl was not distributed with this file\b
+mpl-1.1 | contents of this file | 2:\bthe contents of this file are subject to the mozilla public license version 1\.1\b
+npl-1.1 [npl-1.0,npl-1.1] | netscape | \bnetscape public license\b
+epl | accompanying materials | 4:\bthis program and the accompanying materials are made available under the terms of the eclipse public license\b
+cddl | contents of this file | 2:\bthe contents of this file are subject to the terms of the common development and distribution license\b
+cpal-1.0 [cpal-1.0] | common public attribution | \bcommon public attribution license\b
+osl-2.1 [osl-2.1] | open software license | \bopen software license,? (?:version |v)?2\.1\b
+nposl-3.0 [nposl-3.0] | non-profit | \bnon-profit open software license\b
+afl-2.1 [afl-2.1] | academic free license | \bacademic free license,? (?:version |v)?2\.1\b
+apsl-2.0 [apsl-1.2,apsl-2.0] | apple public source | \bapple public source license\b
+apl-1.0 [apl-1.0] | adaptive public | \badaptive public license\b
+aal [aal] | attribution assurance | \battribution assurance license\b
+blueoak-1.0.0 [blueoak-1.0.0] | blue oak | \bblue oak model license\b
+bittorrent-1.1 [bittorrent-1.1] | bittorrent | \bbittorrent open source license\b
+catosl-1.1 [catosl-1.1] | trusted open source | \bcomputer associates trusted open source license\b
+cua-opl-1.0 [cua-opl-1.0] | cua office | \bcua office public license\b
+ecl-2.0 [ecl-1.0,ecl-2.0] | educational community | \beducational community license\b
+ecos-2.0 [ecos-2.0] | ecos license | \becos license\b
+efl-2.0 [efl-1.0,efl-2.0] | eiffel forum | \beiffel forum license\b
+entessa [entessa] | entessa | \bentessa public license\b
+eudatagrid [eudatagrid] | datagrid | \beu datagrid software license\b
+frameworx-1.0 [frameworx-1.0] | frameworx | \bframeworx open license\b
+intel [intel] | intel open source | \bintel open source license\b
+jam [jam] | jam license | \bjam license\b
+lpl-1.02 [lpl-1.0,lpl-1.02] | lucent public | \blucent public license\b
+lppl-1.3c [lppl-1.3c] | latex project | \blatex project public license\b
+liliq [liliq-p-1.1,liliq-r-1.1] | licence libre | \blicence libre du qu[eé]bec\b
+miros [miros] | miros licen | \bmiros licen[cs]e\b
+motosoto [motosoto] | motosoto | \bmotosoto (?:open source )?license\b
+mulanpsl-2.0 [mulanpsl-1.0,mulanpsl-2.0] | mulan psl | \bmulan psl ?(?:v[12])?\b ;; \bmulan permissive software license\b
+multics [multics] | multics license | \bmultics license\b
+nasa-1.3 [nasa-1.3] | nasa open source | \bnasa open source agreement\b
+naumen [naumen] | naumen | \bnaumen public license\b
+ngpl [ngpl] | nethack | \bnethack general public license\b
+nokia [nokia] | nokia open source | \bnokia open source license\b
+oclc-2.0 [oclc-2.0] | oclc | \boclc research public license\b
+ogtsl [ogtsl] | open group test suite | \bopen group test suite license\b
+oldap-2.8 [oldap-2.8] | openldap | \bopenldap public license\b
+qpl-1.0 [qpl-1.0] | q public license | \bq public license\b
+rpl-1.5 [rpl-1.1,rpl-1.5] | reciprocal public license | \breciprocal public license\b
+rpsl-1.0 [rpsl-1.0] | realnetworks | \brealnetworks public source license\b
+rscpl [rscpl] | ricoh | \bricoh source code public license\b
+simpl-2.0 [simpl-2.0] | simple public license | \bsimple public license\b
+spl-1.0 [spl-1.0] | sun public license | \bsun public license\b
+sissl [sissl] | sun industry standards | \bsun industry standards source license\b
+vsl-1.0 [vsl-1.0] | vovida | \bvovida software license\b
+watcom-1.0 [watcom-1.0] | open watcom | \bsybase open watcom public license\b
+wxwindows [wxwindows] | wxwindows | \bwxwindows library licen[cs]e\b
+xnet [xnet] | x.net | \bx\.net license\b
+zpl-2.1 [zpl-2.0,zpl-2.1] | zope public license | \bzope public license\b
+zlib | plainly marked | 4:\baltered source versions must be plainly marked as such\b
+zlib | source distribution | 4:\bthis notice may not be removed or altered from any source distribution\b
+bzip2 [bzip2-1.0.6] | bzip2 license | \bbzip2 license\b
+info-zip [info-zip] | info-zip | \binfo-zip license\b
+imagemagick [imagemagick] | imagemagick license | \bimagemagick license\b
+ftl [ftl] | freetype | \bfreetype (?:project )?license\b
+ijg [ijg] | independent jpeg group | 4:\bbased in part on the work of the independent jpeg group\b
+openssl | openssl toolkit | 2:\bsoftware developed by the openssl project for use in the openssl toolkit\b
+unlicense | anyone is free | 2:\banyone is free to copy, modify, publish, use, compile, sell, or distribute this software\b
+wtfpl | you just do what | 2:\byou just do what the (?:[a-z]{1,8} )?you want to\b
+bsl-1.0 | august 17th | 2:\bboost software license - version 1\.0 - august 17th, 2003\b
+python-2.0 | psf license agreement | \bpsf license agreement for python\b ;; \bcnri open source license agreement\b
+ofl-1.1 | font software is licensed | 2:\bthis font software is licensed under the sil open font license\b
+cc0-1.0 | related or neighboring rights | 2:\bwaived all copyright and related or neighboring rights\b
+cc0-1.0 | creative commons | \bcreative commons (?:cc0|zero)\b
+cc-by-nc-sa | creative commons | 2:\bcreative commons attribution[- ]non-?commercial[- ]share[- ]?alike\b
+cc-by-nc-nd | creative commons | 2:\bcreative commons attribution[- ]non-?commercial[- ]no[- ]?deriv(?:ative)?s\b
+odc-by-1.0 | odc-by | 4:\bodc-by\b
+ogl-uk-3.0 [ogl-uk-1.0,ogl-uk-2.0,ogl-uk-3.0] | open government licence | \bopen government licence\b
+etalab-2.0 [etalab-2.0] | licence ouverte | \blicence ouverte\b
+dl-de-by-2.0 [dl-de-by-2.0] | datenlizenz deutschland | \bdatenlizenz deutschland\b
+cdla-permissive-2.0 [cdla-permissive-1.0,cdla-permissive-2.0] | community data license | \bcommunity data license agreement,? permissive\b
+cdla-sharing-1.0 [cdla-sharing-1.0] | community data license | \bcommunity data license agreement,? sharing\b
+c-uda-1.0 [c-uda-1.0] | computational use of data | \bcomputational use of data agreement\b
+lal-1.3 [lal-1.2,lal-1.3] | free art license | \bfree art license\b
+opubl-1.0 [opubl-1.0] | open publication license | \bopen publication license\b
+dsl | design science | \bdesign science license\b
+cern-ohl [cern-ohl-p-2.0,cern-ohl-s-2.0,cern-ohl-w-2.0] | cern open hardware | \bcern open hardware licen[cs]e\b
+shl [shl-0.51,shl-2.1] | solderpad | \bsolderpad hardware licen[cs]e\b
+tapr-ohl-1.0 [tapr-ohl-1.0] | tapr open hardware | \btapr open hardware license\b
+hippocratic-2.1 [hippocratic-2.1] | hippocratic license | \bhippocratic license\b
+parity-7.0.0 [parity-6.0.0,parity-7.0.0] | parity public | \bparity public license\b
+prosperity | prosperity public | \bprosperity public license\b
+polyform-noncommercial [polyform-noncommercial-1.0.0] | polyform noncommercial | \bpolyform noncommercial license\b
+polyform-small-business [polyform-small-business-1.0.0] | polyform small business | \bpolyform small business license\b
+polyform-strict | polyform strict | \bpolyform strict license\b
+confluent | confluent community | \bconfluent community license\b
+timescale | timescale license | \btimescale license\b
+rsal | redis source available | \bredis source available license\b
+fsl [fsl-1.1-alv2,fsl-1.1-mit] | functional source | \bfunctional source license\b
+sspl-1.0 | sspl | 4:\bsspl(?: ?v?1(?:\.0)?)?\b
+busl-1.1 | additional use grant | 4:\badditional use grant\b
+llama | llama | \bllama [0-9](?:\.[0-9])? community license\b
+gemma | gemma terms | \bgemma terms of use\b
+openrail | rail license | 4:\b(?:bigscience|bigcode|responsible ai) (?:open ?)?rail license\b
+amazon-software | amazon software license | \bamazon software license\b
+oracle-bcl | oracle binary code | \boracle binary code license\b
+sun-bcl | sun binary code | \bsun microsystems,? inc\.? binary code license\b
+otn | oracle technology network | \boracle technology network (?:developer )?license\b
+eula | end user license | 4:\bend[- ]user licen[cs]e agreement\b
+proprietary | confidential and proprietary | \bconfidential and proprietary information of\b
+proprietary | property of | 4:\blicensed materials - property of\b
+proprietary | distribution | 4:\bnot for (?:re)?distribution\b
+proprietary | copying of this file | 4:\bunauthori[sz]ed copying of this file\b
+proprietary | trade secrets | 4:\bcontains trade secrets (?:of|and)\b
+anti-996 | anti 996 | \banti ?996 license\b
 """
 
 
@@ -186,15 +327,19 @@ def forms(nodes: list) -> set[str] | None:
     return found
 
 
+@lru_cache(maxsize=None)
 def needed(pattern: str) -> list[set[str]]:
     """Sets of strings; every match of the pattern contains one string of each set."""
-    nodes = list(_parser.parse(pattern))
-    found, a = [], 0
-    while a < len(nodes):
-        ends = [b for b in range(a + 1, len(nodes) + 1) if forms(nodes[a:b])]
-        if ends:
-            found.append(forms(nodes[a : ends[-1]]))
-        a += 1
+    alone = [forms([node]) for node in _parser.parse(pattern)]
+    found = []
+    for a in range(len(alone)):
+        stretch = {""}
+        for more in alone[a:]:
+            longer = {x + y for x in stretch for y in more} if more else set()
+            if not 0 < len(longer) <= FORMS:
+                break
+            stretch = longer
+        found.append(stretch)
     return [x for x in found if "" not in x]
 
 
@@ -218,11 +363,11 @@ def rules(table: str = TABLE) -> list[Rule]:
             found.append(Rule(label, int(m[1]) if m else 3, keywords(pattern, keyword), pattern))
         for name in ids.rstrip("]").split(",") if ids else []:
             exact = re.escape(name).replace("\\-", "-")
-            for own, priority, wanted, pattern in (
-                (name, 1, "spdx-license-identifier", rf"\bspdx-license-identifier: ?\(?{exact}(?![\w.+-])"),
-                (label, 3, name, rf"\blicen[cs]e(?:d under)?:? ?\(?{exact}(?![\w.+-])"),
+            for own, priority, pattern in (
+                (name, 1, rf"\bspdx-license-identifier: ?\(?{exact}(?![\w.+-])"),
+                (label, 3, rf"\blicen[cs]e(?:d under)?:? ?\(?{exact}(?![\w.+-])"),
             ):
-                found.append(Rule(own, priority, keywords(pattern, wanted), pattern))
+                found.append(Rule(own, priority, keywords(pattern, name), pattern))
     return sorted(found, key=lambda r: r.priority)
 
 

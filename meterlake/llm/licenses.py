@@ -55,10 +55,21 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 def _rules() -> Column:
     """The rules as one constant array."""
-    rows = ", ".join(f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'keywords', array({', '.join(map(_quoted, r.keywords))}), 'pattern', {_quoted(r.pattern)})" for r in RULES)
+    rows = ", ".join(f"named_struct('label', {_quoted(r.label)}, 'priority', {r.priority}, 'pattern', {_quoted(r.pattern)})" for r in RULES)
     return F.expr(f"array({rows})")
 
 
+def _passed(text: Column) -> Column:
+    """The rules one of whose keywords stands in the text. Each keyword is looked for once, whatever rules it opens."""
+    opened: dict[str, list[int]] = {}
+    for i, r in enumerate(RULES):
+        for k in r.keywords:
+            opened.setdefault(k, []).append(i + 1)
+    rows = ", ".join(f"named_struct('key', {_quoted(k)}, 'rules', array({', '.join(map(str, v))}))" for k, v in opened.items())
+    here = F.filter(F.expr(f"array({rows})"), lambda x: F.contains(text, x["key"]))
+    return F.transform(F.array_distinct(F.flatten(F.transform(here, lambda x: x["rules"]))), lambda i: F.element_at(_rules(), i))
+
+
 def _quoted(text: str) -> str:
     escaped = text.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
@@ -84,8 +95,7 @@ def with_rules(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     """Adds found: distinct (priority, label) of the intervals that no stronger one contains; needs the column low. Without the prefilter every rule is tried."""
     some = F.rlike("low", F.lit(STEMS)) if prefilter else F.lit(True)
     flat = F.regexp_replace("low", MARKS, " ")
-    passed = lambda text: F.filter(_rules(), lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k))) if prefilter else _rules()
-    spans = lambda text: F.array_sort(F.flatten(F.transform(passed(text), lambda r: _intervals(text, r))))
+    spans = lambda text: F.array_sort(F.flatten(F.transform(_passed(text) if prefilter else _rules(), lambda r: _intervals(text, r))))
     # Swept by start, longest first: ends[p] is the furthest end so far among rules of priority p or stronger.
     start = F.expr("named_struct('ends', array(-1, -1, -1, -1), 'kept', cast(array() as array<struct<priority:int,label:string>>))")
 

@@ -7,7 +7,7 @@ from re import _parser
 import pytest
 
 from meterlake.llm import licenses
-from meterlake.llm.license_rules import RULES
+from meterlake.llm.license_rules import RULES, TABLE
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
@@ -139,7 +139,8 @@ def test_keywords_are_in_every_match():
 
 
 def test_hundreds_of_rules():
-    assert len(RULES) >= 200
+    assert sum(1 + line.count(" ;; ") for line in TABLE.strip().splitlines()) >= 300
+    assert len(RULES) == len({(r.label, r.pattern) for r in RULES})
     assert all(r.priority in licenses.WEIGHTS and re.compile(r.pattern) for r in RULES)
 
 
@@ -148,6 +149,28 @@ def test_contained_interval_of_a_weaker_rule_is_suppressed(documents):
     assert "lgpl" in row["labels"] and row["labels"].count("gpl") == row["labels"].count("lgpl")
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        # A longer interval of equal priority holds the shorter one.
+        ("GNU General Public License version 3", "gpl,gpl-3.0"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa"),
+        ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+        # A stronger rule that only touches a weaker one leaves it.
+        ("SPDX-License-Identifier: ISC; PHP license", "isc,php-3.01"),
+        # A weaker rule that begins earlier, or ends later, is not contained.
+        ("clear BSD license 3-clause BSD", "bsd-3-clause,bsd-3-clause-clear"),
+        ("Apache License v2.0 with LLVM exceptions", "apache,apache-2.0-llvm"),
+        # The same notice twice is one label; a second, free-standing weak one stays.
+        ("MIT license. MIT license. All rights reserved", "mit,proprietary"),
+        ("GNU Affero General Public License, version 3 or a GNU GPL", "agpl-3.0,gpl"),
+    ],
+)
+def test_priority_and_containment(documents, text, labels):
+    (row,) = licenses.scan(documents([(1, text)])).collect()
+    assert row["labels"] == labels
+
+
 def test_no_python_in_the_plan(spark, documents):
     plan = licenses.scan(documents([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan.replace("repartition", "").split("Project")[0]
