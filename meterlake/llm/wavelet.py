@@ -2,7 +2,8 @@
 
 A shard holds the ids of consecutive documents as 16 (or as many as the vocabulary needs) bit-planes, highest
 first; after each plane the ids are dealt stably into those with a 0 bit and those with a 1 bit. Rank samples every
-SAMPLE bits make access, counting and search for the k-th occurrence of a token cheap without decoding the shard.
+SAMPLE bits make access, counting and search for the k-th occurrence of a token cheap without decoding the shard:
+access(), count(), occurrences() and find() answer them for a whole folder from its files, shard by shard.
 
 Edge cases: a null or empty text is a document of the end id alone; documents with equal doc_id stay side by side in
 text order; extra columns are not read; an empty table gives an empty result. A document is never cut: a shard
@@ -12,7 +13,8 @@ closes after the document that fills it, so its size is bounded by SHARD_TOKENS
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -162,18 +164,21 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     rows.mapInPandas(lambda it: _shards(it, path, end_id, bits, shard_tokens), SHARD).write.option("compression", "zstd").parquet(folder)
 
 
+DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
-            ids = WaveletMatrix(row.n_tokens, list(row.zeros), list(row.planes), list(row.ranks)).decode()
+            ids = open_shard(row).decode()
             lengths = np.frombuffer(row.doc_lengths, np.int64)
             ends = np.cumsum(lengths)
             crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield pd.DataFrame({"part": row.part, "doc_id": np.frombuffer(row.doc_ids, np.int64), "start_in_part": row.start + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
+            yield pd.DataFrame({"doc_id": np.frombuffer(row.doc_ids, np.int64), "start": row.start + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document, from the files alone: its place among all ids, its length and the checksum of its ids.
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards of a folder, each with the place of its first id among all ids.
 
     The starts of the ranges come from one total per range (a few numbers for each output file).
     """
@@ -181,9 +186,89 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     totals = sorted((r["first_doc"], r["part"], r["n"]) for r in shards.groupBy("part").agg(F.min("first_doc").alias("first_doc"), F.sum("n_tokens").alias("n")).collect())
     before = np.cumsum([0, *(n for *_, n in totals)]).tolist()
     bases = spark.createDataFrame([(p, b) for (_, p, _), b in zip(totals, before, strict=False)], "part int, base long")
-    rows = shards.mapInPandas(_documents, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
-    found = rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
-    return with_nulls(found, "doc_id")
+    return shards.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("start")).drop("base")
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document, from the files alone: its place among all ids, its length and the checksum of its ids."""
+    shards = stored(spark, folder).select("start", "n_tokens", "doc_ids", "doc_lengths", "zeros", "planes", "ranks")
+    return with_nulls(shards.mapInPandas(_documents, DOCUMENT), "doc_id")
+
+
+def open_shard(row: NamedTuple) -> WaveletMatrix:
+    """The matrix of a stored shard, over its compressed bytes as they are."""
+    return WaveletMatrix(row.n_tokens, list(row.zeros), list(row.planes), list(row.ranks))
+
+
+def count(spark: SparkSession, folder: str, tokens: Sequence[int]) -> DataFrame:
+    """How often each of the tokens occurs in all documents, by ranks: token, n."""
+
+    tokens = sorted(set(tokens))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                m = open_shard(row)
+                yield pd.DataFrame({"token": tokens, "n": [m.count(t) for t in tokens]})
+
+    return stored(spark, folder).mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, folder: str, tokens: Sequence[int]) -> DataFrame:
+    """All places of each of the tokens, by selects: token, place."""
+
+    tokens = sorted(set(tokens))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                m = open_shard(row)
+                found = [(t, row.start + m.find(t, j)) for t in tokens for j in range(m.count(t))]
+                yield pd.DataFrame(found, columns=["token", "place"])
+
+    return stored(spark, folder).mapInPandas(run, "token long, place long")
+
+
+def find(spark: SparkSession, folder: str, token: int, j: int) -> int | None:
+    """Place of the j-th (from 0) occurrence of a token among all ids; None if there are fewer.
+
+    Counts are summed by file, so the driver sees one number of each; then the shards of one file are looked at.
+    """
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"part": batch["part"], "start": batch["start"], "n": [open_shard(r).count(token) for r in batch.itertuples()]})
+
+    shards = stored(spark, folder)
+    found = shards.mapInPandas(counts, "part int, start long, n long")
+    for r in sorted(found.groupBy("part").agg(F.min("start").alias("start"), F.sum("n").alias("n")).collect(), key=lambda r: r["start"]):
+        if j < r["n"]:
+            for shard in found.where(F.col("part") == r["part"]).orderBy("start").toLocalIterator():
+                if j < shard["n"]:
+                    row = shards.where((F.col("part") == r["part"]) & (F.col("start") == shard["start"])).first()
+                    return row["start"] + open_shard(row).find(token, j)
+                j -= shard["n"]
+        j -= r["n"]
+    return None
+
+
+def access(spark: SparkSession, folder: str, places: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The token at each place (column place) among all ids, without decoding a shard: place, token. Places outside give no row."""
+    shards = stored(spark, folder)
+    # A place meets its shard in a cell of shard_tokens ids.
+    end = F.col("start") + F.col("n_tokens")
+    cells = shards.select("part", "seq", "start", end.alias("end"), F.explode(F.sequence(F.expr(f"start div {shard_tokens}"), F.expr(f"(start + n_tokens - 1) div {shard_tokens}"))).alias("cell"))
+    asked = places.select(F.col("place").cast("long").alias("place")).withColumn("cell", F.expr(f"place div {shard_tokens}"))
+    asked = asked.join(cells, "cell").where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("end"))).select("part", "seq", "place")
+
+    def run(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"place": [], "token": []}, dtype="int64")
+        (row,) = shard.itertuples()
+        m = open_shard(row)
+        return pd.DataFrame({"place": asked["place"], "token": [m.access(p - row.start) for p in asked["place"].tolist()]})
+
+    return asked.groupBy("part", "seq").cogroup(shards.toDF(*shards.columns).groupBy("part", "seq")).applyInPandas(run, "place long, token long")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

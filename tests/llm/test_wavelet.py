@@ -52,6 +52,29 @@ def test_files(spark, documents, edge_rows, words, shard_tokens):
         at += len(ids)
 
 
+@pytest.mark.parametrize("shard_tokens", [64, 1 << 20])
+def test_answers_from_the_files(spark, documents, edge_rows, words, shard_tokens, monkeypatch):
+    """Access, counts and occurrences by rank and select over what is on disk, no shard decoded."""
+    rows = [*edge_rows, *((100 + i, words(i % 40, i)) for i in range(30))]
+    folder = shared_folder(spark, "op3-answers")
+    wavelet.write_shards(documents(rows), folder, PATH, shard_tokens=shard_tokens)
+    library = Tokenizer.from_file(PATH)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    ids = [x for _, text, *_ in order for x in (*library.encode(text or "", add_special_tokens=False).ids, 2)]
+    monkeypatch.setattr(wavelet.WaveletMatrix, "decode", None)
+    places = [0, 1, 63, 64, 65, len(ids) // 2, len(ids) - 1, len(ids), -1, 5, 5]
+    got = wavelet.access(spark, folder, spark.createDataFrame([(p, "x", "y") for p in places], "place long, part string, seq string"), shard_tokens)
+    assert sorted(map(tuple, got.collect())) == sorted((p, ids[p]) for p in places if 0 <= p < len(ids))
+    rare = next(x for x in ids if x != 2)
+    tokens = [2, rare, 49_000]
+    assert dict(map(tuple, wavelet.count(spark, folder, tokens).collect())) == {t: ids.count(t) for t in tokens}
+    assert sorted(map(tuple, wavelet.occurrences(spark, folder, [2, rare]).collect())) == sorted((t, i) for t in {2, rare} for i, x in enumerate(ids) if x == t)
+    ends = [i for i, x in enumerate(ids) if x == 2]
+    for j in (0, 1, len(ends) // 2, len(ends) - 1):
+        assert wavelet.find(spark, folder, 2, j) == ends[j]
+    assert wavelet.find(spark, folder, 2, len(ends)) is None
+
+
 def test_empty_table(spark, documents):
     folder = shared_folder(spark, "op3-empty")
     wavelet.write_shards(documents([]), folder, PATH)
