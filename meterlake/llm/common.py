@@ -10,10 +10,15 @@ BATCH_ROWS = "500"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df; what goes to Python from now on goes BATCH_ROWS rows at a time, which bounds both sides of the exchange."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 #: Stands for a missing id inside the operators, after every id.
 NO_ID = (1 << 63) - 1
 

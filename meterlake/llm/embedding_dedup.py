@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import ids, table, with_nulls
+from meterlake.llm.common import ids, short_batches, table, with_nulls
 from meterlake.llm.components import components, forest
 from meterlake.session import written
 
@@ -235,7 +235,7 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: how many others it links with, and its component."""
     spark = vectors.sparkSession
-    good = usable(vectors)
+    good = usable(short_batches(vectors))
     distinct = written(classes(good), "classes")
     # One number for each length of vector that occurs, nearly always one.
     lengths = [r[0] for r in distinct.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]

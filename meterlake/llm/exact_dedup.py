@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table, unused, whole
+from meterlake.llm.common import short_batches, table, unused, whole
 from meterlake.session import written
 
 #: Digests of a shard on average; places for each digest of a level.
@@ -125,7 +125,7 @@ def groups(keyed: DataFrame, history: Column) -> DataFrame:
     """
     old = F.coalesce(history, F.lit(False))
     shards = max(1, keyed.count() // SHARD_DIGESTS)
-    index = build_index(keyed.where(old), shards)
+    index = build_index(short_batches(keyed).where(old), shards)
     new = _distinct(keyed.where(~old), shards)
     return new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look_up, GROUPS)
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table, unused
+from meterlake.llm.common import short_batches, table, unused
 from meterlake.session import written
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
@@ -246,7 +246,7 @@ def found(docs: DataFrame, model: Model, into: str) -> DataFrame:
             lang, score, accepted = zip(*parts, strict=True) if parts else ((), (), ())
             yield pd.DataFrame({"lang_pred": [x for p in lang for x in p], "score": [x for p in score for x in p], "accepted": [bool(x) for p in accepted for x in p]})
 
-    return docs.withColumn(into, run("text"))
+    return short_batches(docs).withColumn(into, run("text"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

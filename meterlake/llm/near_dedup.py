@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import shingles as S
-from meterlake.llm.common import NO_ID, ids, table, unused, whole, with_nulls
+from meterlake.llm.common import NO_ID, ids, short_batches, table, unused, whole, with_nulls
 from meterlake.llm.components import components, forest
 from meterlake.session import discard, written
 
@@ -188,7 +188,7 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: set size, class, component and whether it stays."""
-    rows = docs.select(ids(), whole().alias("text"))
+    rows = short_batches(docs).select(ids(), whole().alias("text"))
     sketched = written(rows.mapInPandas(lambda it: _sketch(it, words), SKETCH), "sketches")
     known = sketched.where((F.col("doc_id") != NO_ID) & (F.col("n") > 0))
     # The class of a set: its smallest doc_id. Copies fold before the shuffle.

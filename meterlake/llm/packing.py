@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import encoder
-from meterlake.llm.common import ids, table, whole, with_nulls
+from meterlake.llm.common import ids, short_batches, table, whole, with_nulls
 
 WINDOW = 1024
 #: Rests that wait before windows are filled from them.
@@ -131,7 +131,7 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, end_id: int, window: int,
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """The pieces of all documents with their checksums, their places in the sequences and, if asked for, their ids (32-bit little-endian)."""
-    rows = docs.select(ids(), whole().alias("text"))
+    rows = short_batches(docs).select(ids(), whole().alias("text"))
     found = with_nulls(rows.mapInPandas(lambda it: _pack(it, path, end_id, window, with_ids), PIECE), "doc_id")
     return found if with_ids else found.drop("ids")
 

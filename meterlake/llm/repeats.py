@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import NO_ID, ids, table, whole, with_nulls
+from meterlake.llm.common import NO_ID, ids, short_batches, table, whole, with_nulls
 from meterlake.llm.shingles import U, mix, powers
 from meterlake.llm.suffix_sort import V, sorted_buckets
 from meterlake.session import discard, written
@@ -271,7 +271,7 @@ def _remove(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.Dat
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """Per document the counts of what is removed, and the bytes that remain (their digest; the bytes if asked for)."""
-    rows = docs.select(ids(), whole().cast("binary").alias("data"))
+    rows = short_batches(docs).select(ids(), whole().cast("binary").alias("data"))
     # Texts move once: both joins read one exchange by doc_id.
     found = spans(rows, shared_contexts(rows, length, gram), length, hot)
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import table
+from meterlake.llm.common import short_batches, table
 
 BASE_KINDS = ("assign", "access", "hex")
 CONFIRMED_KINDS = ("pem", "der", "hexder", "openssh", "jwt")
@@ -269,7 +269,7 @@ def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """The same rows and columns, and the ordered spans of each text; the rows stay in their partitions."""
-    return docs.withColumn("spans", F.pandas_udf(_spans, SPANS)("text"))
+    return short_batches(docs).withColumn("spans", F.pandas_udf(_spans, SPANS)("text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def _redacted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns; secrets in text are replaced by a mark, clean texts stay as they are."""
-    return docs.withColumn("text", F.pandas_udf(_redacted, "string")("text"))
+    return short_batches(docs).withColumn("text", F.pandas_udf(_redacted, "string")("text"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

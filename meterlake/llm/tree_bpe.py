@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import BYTE_SYMBOLS, Encoder, encoder
-from meterlake.llm.common import ids, table, whole, with_nulls
+from meterlake.llm.common import ids, short_batches, table, whole, with_nulls
 
 #: Code points of a part of a text, of a part that is a row of its own, and bytes of a word that is encoded whole.
 LEAF, SPREAD, UNSPLIT = 1 << 14, 1 << 16, 1 << 9
@@ -213,7 +213,7 @@ def _gather(parts: pd.DataFrame, path: str) -> pd.DataFrame:
 
 def round_trip(docs: DataFrame, path: str, spread: int = SPREAD) -> DataFrame:
     """Per document the count and digest of its ids, and the digest of the text that they decode to."""
-    rows = docs.select(ids(), whole().alias("text"))
+    rows = short_batches(docs).select(ids(), whole().alias("text"))
     special = encoder(path).special
     far = F.length("text") > spread
     for s in special:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import encoder
 from meterlake.llm.common import ids as id_column
-from meterlake.llm.common import table, whole, with_nulls
+from meterlake.llm.common import short_batches, table, whole, with_nulls
 from meterlake.session import shared_folder
 
 SHARD_TOKENS = 1 << 20
@@ -160,7 +160,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     spark = docs.sparkSession
     bits = int(max(encoder(path).library.get_vocab_size() - 1, end_id)).bit_length()
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(id_column(), whole().alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = short_batches(docs).select(id_column(), whole().alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInPandas(lambda it: _shards(it, path, end_id, bits, shard_tokens), SHARD).write.option("compression", "zstd").parquet(folder)
 
 
