@@ -6,8 +6,6 @@ are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,18 +25,21 @@ PROVIDER_ROUTES = {
 # Model-id prefixes that are spelled differently from the owner.
 PREFIX_ROUTES = {"moonshotai": "moonshot"}
 
-# Model families by owner; the first that matches decides.
+# Model families by owner: how an id begins, and what has to follow.
 FAMILIES = (
-    (r"^claude-", "anthropic"),
-    (r"^glm-[0-9]", "zai"),
-    (r"^kimi-k[0-9]", "moonshot"),
-    (r"^(gpt-|o)[0-9]", "openai"),
-    (r"^gemini-[0-9]", "google"),
-    (r"^deepseek-", "deepseek"),
-    (r"^grok-([0-9]|code)", "x-ai"),
-    (r"^minimax-", "minimax"),
-    (r"^(llama-[0-9]|muse([-_]|$))", "meta"),
+    ("claude-", "", "anthropic"),
+    ("glm-", "[0-9]", "zai"),
+    ("kimi-k", "[0-9]", "moonshot"),
+    ("gpt-", "[0-9]", "openai"),
+    ("o", "[0-9]", "openai"),
+    ("gemini-", "[0-9]", "google"),
+    ("deepseek-", "", "deepseek"),
+    ("grok-", "[0-9]|code", "x-ai"),
+    ("minimax-", "", "minimax"),
+    ("llama-", "[0-9]", "meta"),
+    ("muse", "[-_]|$", "meta"),
 )
+FAMILY = "^(" + "|".join(f"{begin}(?={then})" for begin, then, _ in FAMILIES) + ")"
 
 UNKNOWN = "unknown"
 
@@ -48,8 +49,10 @@ def column(x: Column | str) -> Column:
 
 
 def choose(key: Column, table: dict[str, str], otherwise: Column) -> Column:
-    """A small fixed lookup inside the expression."""
-    return reduce(lambda acc, kv: F.when(key == kv[0], F.lit(kv[1])).otherwise(acc), reversed(list(table.items())), otherwise)
+    """A small fixed lookup inside the expression: one literal map, so that the key is written once."""
+    if not table:
+        return otherwise
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), otherwise)
 
 
 def trimmed(x: Column) -> Column:
@@ -70,24 +73,28 @@ def routed_model(raw: Column | str) -> Column:
 
 def model_owner(raw: Column | str) -> Column:
     """The company behind a model, from the last segment of its id; null where no family matches."""
-    family = F.substring_index(F.lower(routed_model(raw)), "/", -1)
-    return F.coalesce(*(F.when(F.rlike(family, F.lit(pattern)), F.lit(owner)) for pattern, owner in FAMILIES))
+    family = F.regexp_extract(F.substring_index(F.lower(routed_model(raw)), "/", -1), FAMILY, 1)
+    return choose(family, {begin: owner for begin, _, owner in FAMILIES}, F.lit(None).cast("string"))
 
 
 def canonical_model(raw: Column | str, owner: Column | None = None) -> Column:
-    """owner/model in lower case; the bare id where no owner is known; null for null or nothing."""
+    """owner/model in lower case; the bare id where no owner is known; null for null or nothing.
+
+    The id is written three times and the owner once, for these expressions nest: of owner/id the first segment goes if
+    the id has one of its own, which may have another spelling.
+    """
     clean = F.lower(routed_model(raw))
     owner = F.lower(F.coalesce(owner, model_owner(raw)) if owner is not None else model_owner(raw))
-    prefix = F.substring_index(clean, "/", 1)
-    rest = F.substring(clean, F.length(prefix) + 1, 1 << 30)
-    segmented = F.concat(choose(prefix, PREFIX_ROUTES, prefix), rest)
-    return F.when(clean != "", F.when(owner.isNull(), clean).when(F.contains(clean, F.lit("/")), segmented).otherwise(F.concat_ws("/", owner, clean)))
+    segmented = F.regexp_replace(F.concat(owner, F.lit("/"), clean), "^[^/]*/(?=[^/]*/)", "")
+    for prefix, other in PREFIX_ROUTES.items():
+        segmented = F.regexp_replace(segmented, f"^{prefix}/", f"{other}/")
+    return F.nullif(F.coalesce(segmented, clean), F.lit(""))
 
 
 def merged_model(stored: Column | str) -> Column:
-    """The canonical id at read time of a stored one; null counts as unknown."""
+    """The canonical id at read time of a stored one; null counts as unknown, and unknown stays."""
     stored = F.coalesce(column(stored), F.lit(UNKNOWN))
-    return F.when(stored == UNKNOWN, stored).otherwise(F.coalesce(canonical_model(stored), stored))
+    return F.coalesce(canonical_model(stored), stored)
 
 
 def merged_provider(stored: Column | str) -> Column:

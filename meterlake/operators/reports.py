@@ -137,3 +137,31 @@ def week_grid(days: DataFrame) -> DataFrame:
     offset = F.weekday(F.col("first").cast("date"))
     place = F.date_diff(F.col("date").cast("date"), F.col("first").cast("date")) + offset
     return days.join(F.broadcast(first)).select("date", F.floor(place / 7).cast("int").alias("week"), (place % 7).cast("int").alias("row"))
+
+
+def model_shares(usage: DataFrame, sort: str = "tokens", order: str = "desc") -> DataFrame:
+    """A session's models with their share of its tokens (null for none) and their place in a sort by model, tokens, share or cost.
+
+    usage: session_id, model, provider, processed_tokens, cost_usd. What is not known comes last either way; ties by name and provider.
+    """
+    own = Window.partitionBy("session_id")
+    all_tokens = F.sum("processed_tokens").over(own)
+    key = {"model": F.col("model"), "cost": F.col("cost_usd")}.get(sort, F.col("processed_tokens"))
+    way = key.asc_nulls_last() if order == "asc" else key.desc_nulls_last()
+    provider = F.col("provider").desc() if sort == "model" and order == "desc" else F.col("provider").asc()
+    place = F.row_number().over(own.orderBy(way, F.col("model").asc(), provider))
+    return usage.withColumns({"share": F.when(all_tokens > 0, F.col("processed_tokens").cast("double") / all_tokens), "place": place.cast("long")})
+
+
+def span_text(first: Column | str, last: Column | str) -> Column:
+    """The time between two instants as days and hours, hours and minutes, or minutes."""
+    micros = lambda c: F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+    minutes = F.floor(F.greatest(F.lit(0), micros(last) - micros(first)) / 60_000_000).cast("long")
+    part = lambda n, unit: F.concat(F.floor(n).cast("long").cast("string"), F.lit(unit))
+    hours, days = minutes / 60, minutes / 1440
+    return (
+        F.when(minutes < 1, "<1m")
+        .when(minutes >= 1440, F.concat_ws(" ", part(days, "d"), part((minutes % 1440) / 60, "h")))
+        .when(minutes >= 60, F.concat_ws(" ", part(hours, "h"), part(minutes % 60, "m")))
+        .otherwise(part(minutes, "m"))
+    )

@@ -59,7 +59,7 @@ def rates(df: DataFrame) -> DataFrame:
 def listed(events: DataFrame, projects: DataFrame, f: Filters = Filters(), search: str = "") -> DataFrame:
     """All sessions that match; a search hit on any project or model keeps the whole session."""
     known = projects.select("project_id", "display_path")
-    rows = apply(events, f).where("session_id is not null").join(F.broadcast(known), "project_id", "left")
+    rows = apply(events, f).where("session_id is not null").join(known, "project_id", "left")
     hit = F.max(like_text(F.coalesce("display_path", F.lit("")), search) | like_text(F.coalesce("canonical_model_id", "raw_model_id", F.lit("")), search)).alias("hit")
     agg = rows.groupBy("session_id").agg(
         F.min("harness").alias("harness"),
@@ -118,12 +118,9 @@ def largest(events: DataFrame, f: Filters = Filters(), limit: int = 5) -> DataFr
     return top.join(dominant, "session_id", "left").select("session_id", "started_at", "harness", F.coalesce("model", F.lit("unknown-model")).alias("model"), F.col("project.project_id").alias("project_id"), "events", "processed_tokens", to_usd("cost_nano").alias("cost_usd"))
 
 
-def detail(events: DataFrame, projects: DataFrame, session: str, f: Filters = Filters(), config: Config = Config()) -> dict[str, DataFrame] | None:
-    """The five parts of a session's view; None for a session without events."""
-    own = apply(events, f.but(session=session)).cache()
-    if own.isEmpty():
-        own.unpersist()
-        return None
+def detail(events: DataFrame, projects: DataFrame, session: str, f: Filters = Filters(), config: Config = Config()) -> dict[str, DataFrame]:
+    """The five parts of a session's view, each with the filter of one session at its scan; all empty for a session without events."""
+    own = apply(events, f.but(session=session))
     return {"session": listed(own, projects), "models": model_usage(own, config), "timeline": timeline(own), "requests": largest_requests(own), "flags": flags(own)}
 
 

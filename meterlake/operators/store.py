@@ -51,15 +51,22 @@ def without_source(bronze: DataFrame, source: str) -> DataFrame:
     return bronze.where(F.col("source_id") != source)
 
 
+def cleared(table: DataFrame) -> DataFrame:
+    """What is left of a table that is cleared: its columns without a row, for an overwrite. Facts are cleared alone for a
+    renormalisation; bronze and its cursors as well for a rebuild."""
+    return table.where(F.lit(False))
+
+
 def projects(rows: DataFrame) -> DataFrame:
     """The path of a project as it was last written."""
     return rows.where("project_id is not null").groupBy("project_id").agg(F.max_by("path", "seq").alias("path"))
 
 
 def sessions(rows: DataFrame) -> DataFrame:
-    """Project and directory: the last that were known. First and last seen by time."""
+    """Project and directory: the last that were known. First and last seen: the times of the first and last record as written."""
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return rows.groupBy("session_id").agg(known("project_id"), known("cwd"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"))
+    seen = [F.min_by("occurred_at", "seq").alias("first_seen"), F.max_by("occurred_at", "seq").alias("last_seen")]
+    return rows.groupBy("session_id").agg(known("project_id"), known("cwd"), *seen)
 
 
 def turns(rows: DataFrame) -> DataFrame:
@@ -94,5 +101,25 @@ def warnings(sources: DataFrame, runs: DataFrame) -> DataFrame:
     return bad.crossJoin(errors).select((F.col("q") + F.col("e")).alias("warnings"))
 
 
+RUN = "run_id string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, files long, imported long, duplicates long, quarantined long, error string"
+
+
+def run_log(entries: DataFrame) -> DataFrame:
+    """One row per run from the entries appended while it was under way.
+
+    entries: run_id, seq, at, status (running, completed, failed), files, imported, duplicates, quarantined (of one step;
+    null counts as 0) and error. Counters add up, errors are kept in order, and the last entry says how the run stands.
+    """
+    ended = F.col("status") != "running"
+    errors = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seq", "error")))), lambda e: e["error"])
+    return entries.groupBy("run_id").agg(
+        F.min("at").alias("started_at"),
+        F.max(F.when(ended, F.col("at"))).alias("finished_at"),
+        F.max_by("status", "seq").alias("status"),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("files", "imported", "duplicates", "quarantined")),
+        F.nullif(F.array_join(errors, "; "), F.lit("")).alias("error"),
+    )
+
+
 def recent_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)

@@ -146,7 +146,7 @@ def k3_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.projects(_bronze(spark, sf_dir))
 
 
-@query(f"""{_BRONZE} SELECT session_id, arg_max(project_id, seq) AS project_id, arg_max(cwd, seq) FILTER (WHERE cwd IS NOT NULL) AS cwd, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen FROM b GROUP BY 1""")
+@query(f"""{_BRONZE} SELECT session_id, arg_max(project_id, seq) AS project_id, arg_max(cwd, seq) FILTER (WHERE cwd IS NOT NULL) AS cwd, arg_min(occurred_at, seq) AS first_seen, arg_max(occurred_at, seq) AS last_seen FROM b GROUP BY 1""")
 def k3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sessions(_bronze(spark, sf_dir))
 
@@ -173,11 +173,11 @@ def k8_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_BRONZE}, s AS (SELECT *, CASE WHEN kind <> 'usage' THEN kind WHEN seq < max(CASE WHEN kind = 'usage' THEN seq END) OVER (PARTITION BY source_id, logical_session_id, request_id) THEN 'duplicate' ELSE 'normalized' END AS status FROM b)
-SELECT source_id, harness, count(DISTINCT logical_session_id) * 0 + 1 AS files, count(*) AS raw_records, count(*) FILTER (WHERE status = 'quarantine') AS quarantined, count(*) FILTER (WHERE status = 'duplicate') AS duplicates,
+SELECT source_id, harness, (SELECT count(DISTINCT x.logical_session_id) FROM b x WHERE x.source_id = s.source_id) AS files, count(*) AS raw_records, count(*) FILTER (WHERE status = 'quarantine') AS quarantined, count(*) FILTER (WHERE status = 'duplicate') AS duplicates,
   count(*) FILTER (WHERE status = 'normalized') AS normalized, (SELECT count(*) FROM (SELECT DISTINCT harness, logical_session_id, request_id FROM b x WHERE x.harness = s.harness AND kind = 'usage')) AS harness_events FROM s GROUP BY 1, 2""")
 def q12_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bronze(spark, sf_dir)
-    files = spark.createDataFrame([("s0", "a"), ("s1", "b")], "source_id string, file_id string")
+    files = rows.select("source_id", F.col("logical_session_id").alias("file_id")).distinct()
     return store.counters(rows, files, rows.where("kind = 'usage'").select(*store.EVENT).distinct())
 
 

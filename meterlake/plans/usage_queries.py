@@ -436,7 +436,7 @@ def q7_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{FACTS_SQL} SELECT f.id, f.project_id, p.display_path FROM facts f LEFT JOIN projects p USING (project_id)""")
 def j1_project_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).join(F.broadcast(projects(spark)), "project_id", "left").select("id", "project_id", "display_path")
+    return facts(spark, sf_dir).join(projects(spark), "project_id", "left").select("id", "project_id", "display_path")
 
 
 _KNOWN = ("gpt-5", "openai/gpt-5", "zai/glm-5.2", "acme/none", "google/gemini-9")

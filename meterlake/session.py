@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -34,10 +35,13 @@ def session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, a laptop) a temporary folder takes its place.
+    Where the setting is absent and the master is local (tests, a laptop) a temporary folder takes its place; on a
+    cluster, where executors would not see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("meterlake.shared.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="meterlake-")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 
 from meterlake.sources.claude import claude
 from meterlake.sources.codex import codex
+from meterlake.sources.cursor import cursor
+from meterlake.sources.opencode import opencode
 from meterlake.sources.pi import pi
 
-#: A reader for each kind of log, from lines (file, ordinal, text) to records (records.RECORD).
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {"claude-code": claude, "codex": codex, "pi": pi}
+#: A reader for each kind of log, from lines (file, ordinal, text) to records (records.RECORD); opencode reads messages.
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {"claude-code": claude, "codex": codex, "cursor": cursor, "opencode": opencode, "pi": pi}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.operators.ingest import carried, safe, snapshots, text
-from meterlake.sources.records import instant, shaped
+from meterlake.operators.ingest import carried, safe, text
+from meterlake.sources.lines import logical_id
+from meterlake.sources.records import instant, modified, shaped, with_malformed, with_turns
 
 CLASSES = {"input": "$.message.usage.input_tokens", "read": "$.message.usage.cache_read_input_tokens", "output": "$.message.usage.output_tokens"}
 WRITTEN = "$.message.usage.cache_creation_input_tokens"
@@ -14,14 +15,19 @@ PARTS = ("$.message.usage.cache_creation.ephemeral_5m_input_tokens", "$.message.
 
 
 def claude(lines: DataFrame) -> DataFrame:
-    """Records of lines (file, ordinal, text). Writes count once: the total if there is one, else its parts."""
-    rows = lines.withColumns({"session": carried(text("text", "$.sessionId"), ["file"]), "cwd": carried(text("text", "$.cwd"), ["file"])})
+    """Records of lines (file, ordinal, text). Writes count once: the total if there is one, else its parts.
+
+    The session is the file's (logical_id), the turn the nearest user message above. Values are carried along a file, so
+    a file's lines meet in one task of the window, spilled to disk where they are many.
+    """
+    rows = lines.withColumns({"cwd": carried(text("text", "$.cwd"), ["file"]), "node": text("text", "$.uuid")})
+    nodes = rows.select("file", "ordinal", "node", text("text", "$.parentUuid", "$.parent_uuid").alias("parent"), text("text", "$.message.role", "$.type").alias("role"))
     rows = rows.where((F.get_json_object("text", "$.type") == "assistant") & F.get_json_object("text", "$.message.usage").isNotNull())
     given = {c: F.get_json_object("text", p) for c, p in CLASSES.items()}
     parts = [F.get_json_object("text", p) for p in PARTS]
     total = F.get_json_object("text", WRITTEN)
     count = lambda x: F.when(x.isNull(), F.lit(0)).otherwise(safe(x.try_cast("double")))
-    message, request = text("text", "$.message.id"), text("text", "$.requestId")
+    message, request = text("text", "$.message.id"), text("text", "$.requestId", "$.request_id")
     rows = rows.withColumns(
         {c: count(x) for c, x in given.items()}
         | {
@@ -31,27 +37,34 @@ def claude(lines: DataFrame) -> DataFrame:
         }
     )
     vector = ["input", "read", "write", "output"]
-    rows = snapshots(rows, ["file", "key"], vector)
     invalid = F.greatest(*(F.col(c).isNull().cast("int") for c in vector)) == 1
+    # A snapshot is compared with the last valid one of its response.
+    so_far = Window.partitionBy("file", "key").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(~invalid, F.struct(*vector)), ignorenulls=True).over(so_far)
+    rows = with_turns(rows.withColumn("duplicate", ~invalid & before.eqNullSafe(F.struct(*vector))), nodes, ("user",))
     reason = F.when(F.col("key").isNull(), "missing-response-id").when(invalid, "invalid-token-count")
     kind = F.when(reason.isNotNull(), "quarantine").when(F.col("duplicate"), "duplicate").when(sum((F.col(c) for c in vector), F.lit(0)) == 0, "skipped").otherwise("usage")
     model = text("text", "$.message.model")
-    return shaped(
+    side = (F.get_json_object("text", "$.isSidechain") == "true") | F.get_json_object("text", "$.agentId").isNotNull()
+    records = shaped(
         rows,
         file="file",
         ordinal="ordinal",
         kind=kind,
         reason=reason,
-        logical_session_id="session",
+        logical_session_id=logical_id(),
         request_id="key",
-        parent_id=text("text", "$.parentUuid"),
+        parent_id=text("text", "$.parentUuid", "$.parent_uuid"),
+        turn_id="turn_id",
         raw_model_id=F.when(model != "<synthetic>", model),
         cwd="cwd",
-        occurred_at=instant(text("text", "$.timestamp")),
+        occurred_at=F.coalesce(instant(text("text", "$.timestamp")), modified(lines)),
         fresh_input_tokens="input",
         cache_read_input_tokens="read",
         cache_write_input_tokens="write",
         cache_write_available="known",
         output_tokens="output",
+        query_source=F.when(F.coalesce(side, F.lit(False)), "subagent").otherwise("main"),
     )
+    return with_malformed(lines, records)
 

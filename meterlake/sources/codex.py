@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.operators.ingest import carried, cumulative, first_seen, per_request, replayed, text
-from meterlake.sources.records import instant, shaped
+from meterlake.sources.records import instant, shaped, with_malformed
 
 # Names of the parts of a vector.
 PARTS = {"input": "input_tokens", "cached": "cached_input_tokens", "write": "cache_write_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "total": "total_tokens"}
@@ -20,7 +20,8 @@ def codex(lines: DataFrame) -> DataFrame:
     """Records of lines (file, ordinal, text).
 
     The first session_meta names session and provider; every turn_context renews model, turn and directory. The
-    first running total of a file is a baseline. What a forked session replays at its start is skipped.
+    first running total of a file is a baseline. What a forked session replays at its start is skipped. Values are
+    carried along a file, so a file's lines meet in one task of the window, spilled to disk where they are many.
     """
     j = F.col("text")
     kind, meta = F.get_json_object(j, "$.type"), F.get_json_object(j, "$.type") == "session_meta"
@@ -46,7 +47,7 @@ def codex(lines: DataFrame) -> DataFrame:
     names = ["file", "ordinal", "kind", "reason", "suppressed", "session", "provider", "model", "turn", "cwd", "occurred_at", "fresh", "unattributed", "d_cached", "d_write", "d_output", "d_reasoning"]
     both = single.select(*names).union(total.select(*names))
     counts = F.when(F.col("suppressed") | (F.col("kind") == "baseline"), "skipped").otherwise(F.col("kind"))
-    return shaped(
+    records = shaped(
         both,
         file="file",
         ordinal="ordinal",
@@ -67,3 +68,4 @@ def codex(lines: DataFrame) -> DataFrame:
         reasoning_output_tokens="d_reasoning",
         unattributed_tokens="unattributed",
     )
+    return with_malformed(lines, records)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meterlake.session import written
 
-GLOBS = {"pi": "*.{jsonl,ndjson}", "codex": "*.{jsonl,ndjson,rollout}", "claude-code": "*.jsonl"}
+GLOBS = {"pi": "*.{jsonl,ndjson}", "codex": "*.{jsonl,ndjson,rollout}", "claude-code": "*.jsonl", "cursor": "*.jsonl"}
 
 
 def finished_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:

@@ -2,41 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import to_nano
-from meterlake.operators.ingest import clamped, first_seen, number, text
-from meterlake.sources.records import instant, shaped
+from meterlake.operators.ingest import clamped, first_seen, text
+from meterlake.sources.records import instant, modified, shaped, with_malformed, with_turns
+
+# The spellings of each field; the first that is there counts.
+FRESH = ("input", "inputTokens", "input_tokens")
+READ = ("cacheRead", "cache_read", "cachedInput")
+WRITE = ("cacheWrite", "cache_write")
+OUTPUT = ("output", "outputTokens", "output_tokens")
+REASONING = ("reasoning", "reasoningTokens", "reasoning_tokens")
+TOTAL = ("totalTokens", "total_tokens")
+COST = ("cost.total", "costTotal", "cost_total")
+ANY = ("input", "output", "totalTokens", "total_tokens", "cacheRead", "cacheWrite")
+HEADERS, IDS, PARENTS, TIMES = ("header", "session", "session_header"), ("$.id", "$.uuid", "$.messageId"), ("$.parentId", "$.parent_id"), ("$.timestamp", "$.ts", "$.createdAt", "$.created_at")
+USER = ("user", "human")
+
+
+def given(json: str, names: tuple[str, ...]) -> Column:
+    """The value of the first spelling that is there, as a number; null if it is none."""
+    return F.coalesce(*(F.get_json_object(json, f"$.{n}") for n in names)).try_cast("double")
 
 
 def pi(lines: DataFrame) -> DataFrame:
-    """Records of lines (file, ordinal, text). What the total holds beyond its parts is unattributed."""
-    header = F.get_json_object("text", "$.type").isin("header", "session")
-    rows = lines.withColumns({"session": F.coalesce(first_seen(F.when(header, text("text", "$.id")), ["file"]), text("text", "$.sessionId"), F.lit("unknown")), "cwd": first_seen(F.when(header, text("text", "$.cwd")), ["file"])})
-    usage = F.coalesce(F.get_json_object("text", "$.usage"), F.get_json_object("text", "$.message.usage"))
-    rows = rows.withColumn("usage", usage).where("usage IS NOT NULL")
-    rows = rows.withColumns({"fresh": clamped(number("usage", "$.input")), "read": clamped(number("usage", "$.cacheRead")), "write": clamped(number("usage", "$.cacheWrite")), "output": clamped(number("usage", "$.output")), "total": clamped(number("usage", "$.totalTokens"))})
-    cost = number("usage", "$.cost.total")
+    """Records of lines (file, ordinal, text). What the total holds beyond its parts is unattributed; output includes reasoning."""
+    id_ = text("text", *IDS)
+    header = F.get_json_object("text", "$.type").isin(*HEADERS) & id_.isNotNull()
+    own = F.coalesce(text("text", "$.sessionId", "$.session_id"), F.lit("unknown"))
+    rows = lines.withColumns(
+        {
+            "session": F.coalesce(first_seen(F.when(header, id_), ["file"]), own),
+            "cwd": F.coalesce(text("text", "$.cwd"), first_seen(F.when(header, text("text", "$.cwd")), ["file"])),
+            "node": id_,
+            "usage": F.coalesce(F.get_json_object("text", "$.usage"), F.get_json_object("text", "$.message.usage")),
+        }
+    )
+    nodes = rows.select("file", "ordinal", "node", text("text", *PARENTS).alias("parent"), text("text", "$.role", "$.message.role").alias("role"))
+    keys = F.coalesce(F.json_object_keys("usage"), F.array().cast("array<string>"))
+    rows = rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, ANY))))
+    rows = with_turns(rows, nodes, USER)
+    rows = rows.withColumns({n: clamped(given("usage", names)) for n, names in {"fresh": FRESH, "read": READ, "write": WRITE, "output": OUTPUT, "total": TOTAL}.items()})
+    reasoning, cost = given("usage", REASONING), given("usage", COST)
     known = sum((F.col(c) for c in ("fresh", "read", "write", "output")), F.lit(0))
-    return shaped(
+    records = shaped(
         rows,
         file="file",
         ordinal="ordinal",
         kind=F.lit("usage"),
         logical_session_id="session",
-        request_id=F.concat_ws(":", F.col("session"), text("text", "$.id")),
-        parent_id=text("text", "$.parentId"),
+        request_id=F.concat_ws(":", F.col("session"), F.coalesce("node", F.concat(F.lit("line-"), "ordinal"))),
+        parent_id=text("text", *PARENTS),
+        turn_id="turn_id",
         raw_provider_id=text("text", "$.message.provider", "$.provider"),
         raw_model_id=text("text", "$.message.model", "$.model"),
         cwd="cwd",
-        occurred_at=instant(text("text", "$.timestamp")),
+        occurred_at=F.coalesce(instant(text("text", *TIMES)), modified(lines)),
         fresh_input_tokens="fresh",
         cache_read_input_tokens="read",
         cache_write_input_tokens="write",
-        cache_write_available=number("usage", "$.cacheWrite").isNotNull(),
+        cache_write_available=F.arrays_overlap(F.json_object_keys("usage"), F.array(*map(F.lit, WRITE))),
         output_tokens="output",
-        reasoning_output_tokens=F.when(number("usage", "$.reasoning").isNotNull(), clamped(number("usage", "$.reasoning"))),
+        reasoning_output_tokens=F.when(reasoning.isNotNull() & ~F.isnan(reasoning), clamped(reasoning)),
         unattributed_tokens=F.greatest(F.lit(0), F.col("total") - known),
-        cost_nano_usd=F.when(cost >= 0, to_nano(cost)),
+        cost_nano_usd=F.when(cost.isNotNull() & ~F.isnan(cost), to_nano(F.greatest(F.lit(0.0), cost))),
     )
+    return with_malformed(lines, records)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.operators.graph import first_nodes, nearest
+
 #: kind is usage, duplicate, quarantine (with a reason), or skipped for records that count nothing.
 RECORD = """file string, ordinal long, kind string, reason string, logical_session_id string, request_id string, parent_id string, turn_id string,
 raw_provider_id string, raw_model_id string, cwd string, occurred_at timestamp_ntz, fresh_input_tokens long, cache_read_input_tokens long,
-cache_write_input_tokens long, cache_write_available boolean, output_tokens long, reasoning_output_tokens long, unattributed_tokens long, cost_nano_usd long"""
+cache_write_input_tokens long, cache_write_available boolean, output_tokens long, reasoning_output_tokens long, unattributed_tokens long, cost_nano_usd long,
+flags array<string>, query_source string"""
 FIELDS = [f.split() for f in RECORD.replace("\n", " ").split(", ")]
 
 
@@ -25,6 +28,26 @@ def shaped(rows: DataFrame, **columns: Column | str) -> DataFrame:
     return rows.select(*(one(*f) for f in FIELDS))
 
 
+def with_malformed(lines: DataFrame, records: DataFrame) -> DataFrame:
+    """The records, and a quarantined one for every line that is neither blank nor a JSON object."""
+    bad = lines.where((F.trim("text") != "") & (F.coalesce(F.schema_of_variant(F.try_parse_json("text")), F.lit("")).startswith("OBJECT") == F.lit(False)))
+    return records.unionByName(shaped(bad, file="file", ordinal="ordinal", kind=F.lit("quarantine"), reason=F.lit("malformed-json")))
+
+
+def with_turns(rows: DataFrame, nodes: DataFrame, roles: tuple[str, ...], node: str = "node") -> DataFrame:
+    """rows (file, ordinal, node) and turn_id: the nearest ancestor of one of the roles, itself included, as far as the log
+    says so up to the row. nodes: file, ordinal, node, parent, role of every line; the first of a node counts."""
+    first = first_nodes(nodes.where(F.col("node").isNotNull()).withColumnRenamed("file", "session"))
+    found = nearest(first, roles).select(F.col("session").alias("file"), F.col("node").alias(node), F.col("ancestor").alias("turn_id"), "known_at")
+    out = rows.join(found, ["file", node], "left")
+    return out.withColumn("turn_id", F.when(F.col("known_at") <= F.col("ordinal"), F.col("turn_id"))).drop("known_at")
+
+
+def modified(lines: DataFrame) -> Column:
+    """When a line's file was last written, if the lines know."""
+    return F.col("modified_at").cast("timestamp_ntz") if "modified_at" in lines.columns else F.lit(None).cast("timestamp_ntz")
+
+
 def instant(text: Column) -> Column:
     """UTC time of an ISO string; null if it is none."""
     return F.to_timestamp_ntz(F.regexp_replace(F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z?$"), text), "Z$", ""))

@@ -1,13 +1,20 @@
 """Readers of request logs and the bronze stream."""
 
+import importlib
 import json
+import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
-from meterlake.sources import READERS
+from meterlake.functions.config import Config
+from meterlake.operators import normalize, store
+from meterlake.sources import READERS, sqlite
 from meterlake.sources.lines import finished_lines, logical_id, unchanged
 from meterlake.streaming import bronze
 
+cursor, opencode = (importlib.import_module(f"meterlake.sources.{name}") for name in ("cursor", "opencode"))
+
 
 @pytest.fixture
 def read(spark):
@@ -60,7 +67,7 @@ def test_claude(read):
     assert [r["kind"] for r in got] == ["usage", "duplicate", "usage", "quarantine", "usage"]
     assert got[3]["reason"] == "invalid-token-count"
     last = got[-1]
-    assert (last["request_id"], last["logical_session_id"], last["cwd"]) == ("m:r", "s", "/w")
+    assert (last["request_id"], last["logical_session_id"], last["cwd"], last["query_source"]) == ("m:r", "f", "/w", "main")
     assert (last["fresh_input_tokens"], last["cache_read_input_tokens"], last["cache_write_input_tokens"], last["output_tokens"]) == (10, 5, 7, 600)
     assert str(last["occurred_at"]) == "2026-01-02 03:04:05.678000"
 
@@ -117,6 +124,257 @@ def test_pi(read):
     assert (two["fresh_input_tokens"], two["unattributed_tokens"]) == (0, 110)
 
 
+def test_pi_spellings_and_turns(read):
+    """Every spelling of a field counts; the turn is the nearest user message that the log has named so far."""
+    got = read(
+        "pi",
+        {"type": "session_header", "uuid": "h", "cwd": "/w"},
+        {"type": "message", "id": "u1", "role": "user"},
+        {"type": "message", "id": "a1", "parent_id": "u1", "role": "assistant", "ts": "2026-01-02T03:04:05Z", "usage": {"input_tokens": 10, "cachedInput": 20, "cache_write": 30, "outputTokens": 40, "reasoning_tokens": 5, "total_tokens": 150, "cost_total": 0.5}},
+        {"type": "tool", "id": "t1", "parentId": "a1", "role": "tool"},
+        {"type": "message", "id": "a2", "parentId": "t1", "message": {"role": "assistant", "usage": {"inputTokens": "7", "output": 1.9, "costTotal": -1}}},
+        {"type": "message", "id": "a3", "parentId": "u2", "usage": {"output": "many", "cacheWrite": None}},
+        {"type": "message", "id": "u2", "role": "Human"},
+        {"type": "message", "id": "a4", "parentId": "u2", "usage": {"output": 3}},
+        {"type": "message", "id": "c1", "parentId": "c2", "usage": {"output": 3}},
+        {"type": "message", "id": "c2", "parentId": "c1", "usage": {"output": 3}},
+        {"type": "message", "id": "x", "usage": {"input_tokens": 3}},
+        {"type": "message", "usage": {"output": 4}, "cwd": "/own"},
+        ["no object"],
+    )
+    one = got[0]
+    # A usage object is known by one of its plain names: this one has a total.
+    assert [r["request_id"] for r in got] == ["h:a1", "h:a2", "h:a3", "h:a4", "h:c1", "h:c2", "h:line-12", None]
+    assert [r["turn_id"] for r in got] == ["u1", "u1", None, "u2", None, None, None, None]
+    assert (one["fresh_input_tokens"], one["cache_read_input_tokens"], one["cache_write_input_tokens"], one["output_tokens"], one["reasoning_output_tokens"], one["unattributed_tokens"], one["cost_nano_usd"]) == (10, 20, 30, 40, 5, 50, 500_000_000)
+    assert (got[1]["fresh_input_tokens"], got[1]["output_tokens"], got[1]["cost_nano_usd"], got[1]["cache_write_available"]) == (7, 1, 0, False)
+    assert (got[2]["output_tokens"], got[2]["cache_write_available"], got[2]["cost_nano_usd"]) == (0, True, None)
+    assert (got[6]["cwd"], got[0]["cwd"], got[7]["kind"], got[7]["reason"]) == ("/own", "/w", "quarantine", "malformed-json")
+
+
+def test_claude_turns_sides_and_times(spark):
+    rows = [{"type": "user", "uuid": "p", "message": {"role": "user"}}, claude_line(1, uuid="q", parentUuid="p", timestamp="soon", isSidechain=True), claude_line(2, uuid="r", parentUuid="q", requestId="r2", message={"id": "n", "usage": {"output_tokens": 2}})]
+    lines = spark.createDataFrame([("/p/s1/subagents/x.jsonl", i + 1, json.dumps(r), "2026-03-04 05:06:07") for i, r in enumerate(rows)], "file string, ordinal long, text string, modified_at string")
+    got = READERS["claude-code"](lines).orderBy("ordinal").collect()
+    assert [(r["logical_session_id"], r["turn_id"], r["query_source"]) for r in got] == [("s1:subagent:x", "p", "subagent"), ("s1:subagent:x", "p", "main")]
+    assert str(got[0]["occurred_at"]) == "2026-03-04 05:06:07"
+
+
+def assistant(**more):
+    data = {"parentID": "u", "role": "assistant", "path": {"cwd": "/w"}, "cost": 0.5, "tokens": {"total": 200, "input": 100, "output": 20, "reasoning": 5, "cache": {"read": 30, "write": 10}}, "modelID": "m", "providerID": "p", "time": {"created": 1767323045678}}
+    return json.dumps(data | more)
+
+
+@pytest.fixture
+def store_path(tmp_path):
+    path = str(tmp_path / "opencode.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE session (id TEXT PRIMARY KEY, project_id TEXT, parent_id TEXT, directory TEXT, time_created INT, time_updated INT)")
+        db.execute("CREATE TABLE message (id TEXT PRIMARY KEY, session_id TEXT, time_created INT, time_updated INT, data TEXT)")
+        db.executemany("INSERT INTO session VALUES (?, 'x', ?, '/dir', 1, 1)", [("s", None), ("t", "s")])
+        rows = [
+            ("u", "s", json.dumps({"role": "user"})),
+            ("a", "s", assistant()),
+            ("b", "t", assistant(path={}, parentID="a", cost=-1, tokens={"input": 1, "output": "2"})),
+            ("z", "s", assistant(tokens={"input": 0, "output": 0})),
+            ("n", "s", assistant(tokens={"input": -1})),
+            ("o", "s", assistant(tokens={})),
+            ("j", "s", "{broken"),
+        ]
+        db.executemany("INSERT INTO message VALUES (?, ?, 5, ?, ?)", [(i, s, 10 + k // 2, d) for k, (i, s, d) in enumerate(rows)])
+    return path
+
+
+def test_opencode(spark, store_path):
+    spark.dataSource.register(sqlite.Messages)
+    messages = spark.read.format("sqlite_messages").option("rowsPerPartition", "2").load(store_path)
+    assert messages.rdd.getNumPartitions() == 4
+    got = {r["request_id"] or r["reason"]: r for r in READERS["opencode"](messages).collect()}
+    assert {k: (r["kind"], r["reason"]) for k, r in got.items()} == {"a": ("usage", None), "b": ("usage", None), "z": ("skipped", None), "n": ("quarantine", "invalid-token-count"), "malformed-json": ("quarantine", "malformed-json")}
+    a, b = got["a"], got["b"]
+    assert (a["fresh_input_tokens"], a["cache_read_input_tokens"], a["cache_write_input_tokens"], a["output_tokens"], a["reasoning_output_tokens"], a["unattributed_tokens"], a["cost_nano_usd"]) == (100, 30, 10, 25, 5, 35, 500_000_000)
+    assert (a["turn_id"], a["cwd"], a["query_source"], a["logical_session_id"], str(a["occurred_at"])) == ("u", "/w", "main", "s", "2026-01-02 03:04:05.678000")
+    assert (b["turn_id"], b["cwd"], b["query_source"], b["output_tokens"], b["cost_nano_usd"], b["cache_write_available"], b["reasoning_output_tokens"]) == ("u", "/dir", "subagent", 2, None, False, None)
+
+
+def test_opencode_snapshots(spark):
+    """A delivery that changes nothing is a duplicate; another cost, place or model is not."""
+    rows = [(1, "a", "s", 1, k, d, "/dir", None, k) for k, d in enumerate([assistant(), assistant(finish="stop"), assistant(cost=0.6), assistant(cost=0.6, path={"cwd": "/v"}), assistant(cost=0.6, path={"cwd": "/v"})])]
+    df = spark.createDataFrame(rows, sqlite.MESSAGES + ", delivery long")
+    got = READERS["opencode"](df).collect()
+    assert sorted(r["kind"] for r in got) == ["duplicate", "duplicate", "usage", "usage", "usage"]
+
+
+def test_message_stream_follows_its_watermark(spark, store_path, tmp_path):
+    spark.dataSource.register(sqlite.Messages)
+
+    def run():
+        q = spark.readStream.format("sqlite_messages").load(store_path).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        return sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    first = run()
+    assert first == sorted("uabznoj")
+    assert run() == first
+    with sqlite3.connect(store_path) as db:
+        # The same instant as the last one taken, an older one updated, and one that stays.
+        db.execute("INSERT INTO message VALUES ('k', 's', 5, 13, '{}')")
+        db.execute("UPDATE message SET time_updated = 20 WHERE id = 'a'")
+    assert run() == sorted([*first, "k", "a"])
+    with sqlite3.connect(store_path) as db:
+        # A store that went back is read again as a whole.
+        db.execute("DELETE FROM message WHERE id NOT IN ('u', 'b')")
+    assert run() == sorted([*first, "k", "a", "u", "b"])
+
+
+def test_signature_of_a_store(store_path, tmp_path):
+    assert opencode.signature(str(tmp_path / "none.db")) is None
+    size, time = opencode.signature(store_path)
+    (tmp_path / "opencode.db-wal").write_bytes(b"")
+    (tmp_path / "opencode.db-shm").write_bytes(b"123")
+    assert opencode.signature(store_path) == (size, time)
+    (tmp_path / "opencode.db-wal").write_bytes(b"1234567")
+    assert opencode.signature(store_path)[0] == size + 7
+
+
+STOP = {"status": "completed", "conversation_id": "c", "generation_id": "g", "cursor_version": "1", "model": "old", "model_id": "m", "workspace_roots": ["/w"], "input_tokens": 10, "output_tokens": "20", "cache_read_tokens": 0, "user_email": "x@y", "prompt": "secret"}
+
+
+def test_stop_payloads(spark):
+    payloads = [
+        STOP,
+        STOP | {"workspace_roots": ["/w", "/v"], "timestamp": 1767323045678, "status": "odd", "input_tokens": -1, "output_tokens": 1.5},
+        {"conversationId": "c", "generationId": "g2", "modelId": "n", "inputTokens": 3, "workspace_root": "/one", "occurredAt": "2026-01-02T03:04:05.5+01:00"},
+        {"conversation_id": "c"},
+        STOP | {"conversation_id": 7},
+    ]
+    df = spark.createDataFrame([(json.dumps(p), "2026-05-05T00:00:00.000Z") for p in payloads], "raw string, received_at string")
+    one, two, three = (r.asDict() for r in cursor.sanitised(df).where("conversationId = 'c'").orderBy(F.desc("occurredAt")).collect())
+    assert set(one) == set(cursor.NAMES)
+    assert (one["workspaceRoot"], one["inputTokens"], one["outputTokens"], one["cacheReadTokens"], one["cacheWriteTokens"], one["flags"], one["timestampConfidence"], one["occurredAt"]) == ("/w", 10, 20, 0, None, None, "hook-receipt", "2026-05-05T00:00:00.000Z")
+    assert (two["workspaceRoot"], two["flags"], two["status"], two["inputTokens"], two["outputTokens"], two["occurredAt"]) == (None, ["multi-root-project-ambiguous"], None, None, None, "2026-01-02T03:04:05.678Z")
+    assert (three["modelId"], three["inputTokens"], three["workspaceRoot"], three["occurredAt"], three["timestampConfidence"]) == ("n", 3, "/one", "2026-01-02T02:04:05.500Z", "exact")
+    assert cursor.sanitised(df, "/given").where("workspaceRoot <> '/given'").count() == 0
+
+
+def event(**more):
+    return {"schema": cursor.SCHEMA, "source": "stop-hook", "conversationId": "c", "generationId": "g", "modelId": "m", "inputTokens": 10, "outputTokens": 5, "occurredAt": "2026-01-02T03:04:05.000Z", "timestampConfidence": "exact"} | more
+
+
+def test_cursor(read):
+    got = read(
+        "cursor",
+        event(workspaceRoot="/w", cacheReadTokens=4, reasoningTokens=2),
+        event(schema="v2"),
+        event(outputTokens="x"),
+        event(generationId=""),
+        event(inputTokens=None, outputTokens=None, reasoningTokens=3),
+        event(inputTokens=0, outputTokens=0),
+        event(source="legacy-backfill", timestampConfidence="approximate", flags=["multi-root-project-ambiguous", "made-up"], modelId=None, legacyModel="old"),
+        [1],
+    )
+    assert [(r["kind"], r["reason"]) for r in got] == [("usage", None), ("quarantine", "unknown-schema"), ("quarantine", "invalid-token-value"), ("quarantine", "malformed-json"), ("quarantine", "cursor-token-fields-missing"), ("skipped", None), ("usage", None), ("quarantine", "malformed-json")]
+    assert got[0]["flags"] == ["cursor-input-semantics-unverified"]
+    assert (got[0]["cwd"], got[0]["turn_id"], got[0]["cache_read_input_tokens"], got[0]["reasoning_output_tokens"], got[0]["cache_write_available"], str(got[0]["occurred_at"])) == ("/w", "g", 4, 2, False, "2026-01-02 03:04:05")
+    assert got[6]["flags"] == ["multi-root-project-ambiguous", "historical-partial-accounting", "approximate-timestamp", "missing-cache-read"] and got[6]["raw_model_id"] == "old"
+
+
+def bubble(usage=None, i=0, o=0, time=None, model=None):
+    if model:
+        return {"type": 1, "modelInfo": {"modelName": model}}
+    return {"type": 2, "usageUuid": usage, "tokenCount": {"inputTokens": i, "outputTokens": o}} | ({"timingInfo": {"clientRpcSendTime": time}} if time else {})
+
+
+def test_older_store(spark, tmp_path):
+    path = str(tmp_path / "state.vscdb")
+    values = {
+        "bubbleId:c1:u1": bubble(model="gpt"), "bubbleId:c1:b1": bubble("x1", 10, 1, 1767323045678), "bubbleId:c1:u2": bubble(model="default"), "bubbleId:c1:b2": bubble("x2", 5, 5),
+        "bubbleId:c1:u3": bubble(model="opus"), "bubbleId:c1:b3": bubble("x3", 7, 7), "bubbleId:c1:b0": bubble("x0", 1, 1), "bubbleId:c1:zero": bubble("x9", 0, 0), "bubbleId:c1:none": bubble(None, 3, 3),
+        # Copies: equal; growing in time; not growing in time; growing in size; neither.
+        "bubbleId:c2:e1": bubble("e", 4, 4), "bubbleId:c2:e2": bubble("e", 4, 4), "bubbleId:c2:t1": bubble("t", 9, 9, 300), "bubbleId:c2:t2": bubble("t", 1, 1, 100), "bubbleId:c2:w1": bubble("w", 9, 9, 100), "bubbleId:c2:w2": bubble("w", 1, 1, 300),
+        "bubbleId:c2:s1": bubble("s", 2, 2), "bubbleId:c2:s2": bubble("s", 3, 2, 50), "bubbleId:c2:n1": bubble("n", 2, 3), "bubbleId:c2:n2": bubble("n", 3, 2), "bubbleId:odd": bubble("odd", 1, 1),
+        "composerData:c1": {"createdAt": 1, "fullConversationHeadersOnly": [{"bubbleId": b} for b in ("b0", "u1", "b1", "u2", "b2", "u3", "b3")]}, "composerData:c2": {"createdAt": 1767323000000}, "other:1": {},
+    }
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT PRIMARY KEY, value BLOB)")
+        db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", [(k, json.dumps(v).encode() if i % 2 else json.dumps(v)) for i, (k, v) in enumerate(values.items())])
+    spark.dataSource.register(sqlite.KeyValues)
+    read = lambda prefix: spark.read.format("sqlite_keys").option("prefix", prefix).load(path)
+    assert read("bubbleId:").count() == sum(k.startswith("bubbleId:") for k in values)
+    requests = cursor.attributed(cursor.bubbles(read("bubbleId:")), read("composerData:"))
+    got = {r["usage_id"]: r for r in cursor.resolved_duplicates(requests).collect()}
+    assert {k: r["model"] for k, r in got.items() if k.startswith("x")} == {"x0": None, "x1": "gpt", "x2": "gpt", "x3": "opus"}
+    assert {k: (r["kept"], r["bubble"]) for k, r in got.items() if r["composer"] == "c2"} == {"e": (True, "e2"), "t": (True, "t1"), "w": (False, "w2"), "s": (True, "s2"), "n": (False, "n2")}
+    headers = spark.createDataFrame([("c1", "w1", 1767323040000)], "composer string, workspace string, created_ms long")
+    manifests = spark.createDataFrame([("w1", json.dumps({"folder": "file:///c%3A/My%20Work/a+b"}))], "workspace string, manifest string")
+    events = cursor.legacy_events(cursor.resolved_duplicates(requests), read("composerData:"), headers, manifests, "2026-06-01T00:00:00.000Z")
+    rows = {r["generationId"]: r for r in events.collect()}
+    assert set(rows) == {"x0", "x1", "x2", "x3", "e", "t", "s"}
+    assert (rows["x1"]["workspaceRoot"], rows["x1"]["timestampConfidence"], rows["x1"]["occurredAt"]) == ("c:/My Work/a+b", "exact", "2026-01-02T03:04:05.678Z")
+    assert (rows["x2"]["timestampConfidence"], rows["x2"]["occurredAt"], rows["e"]["occurredAt"]) == ("approximate", "2026-01-02T03:04:00.000Z", "2026-01-02T03:03:20.000Z")
+    spool = tmp_path / "backfill" / "import"
+    first = cursor.write_spool(events, str(spool))
+    assert cursor.write_spool(events, str(spool)) == first
+    second = cursor.write_spool(events.where("generationId <> 'e'"), str(spool))
+    assert second != first and [p.name for p in spool.iterdir()] == [second.rsplit("/", 1)[1]]
+    records = READERS["cursor"](finished_lines(spark, str(spool))).collect()
+    assert len(records) == 6 and all(r["kind"] == "usage" for r in records)
+
+
+def test_spool_order(spark):
+    files = ["/s/live/2026-01-01/a.jsonl", "/s/backfill/import/z.jsonl", "/s/live/2025-12-31/b.jsonl"]
+    df = spark.createDataFrame([(f,) for f in files], "file string")
+    assert [r[0] for r in df.orderBy(cursor.spool_order()).collect()] == [files[1], files[2], files[0]]
+
+
+@pytest.mark.parametrize(
+    ("value", "bad"),
+    [
+        ({"prompt": "x"}, True), ({"Prompt": "x"}, True), ({"prompt": ""}, False), ({"input": 5, "output": 7}, False), ({"input": {"a": 1}}, True), ({"content": []}, True), ({"a": [{"b": {"text": "t"}}]}, True), ({"note": 'he said "content": "x"'}, False),
+        ({"note": 'ends with \\', "text": "y"}, True), ({"code": None}, False), ({"code": True}, False), ({"a": {"a": {"a": {"a": {"a": {"a": {"code": "x"}}}}}}}, True), ({"a": {"a": {"a": {"a": {"a": {"a": {"a": {"code": "x"}}}}}}}}, False), ({"empty": "", "x": {"y": "", "body": "b"}}, True), ({}, False),
+    ],
+)
+def test_guard(spark, value, bad):
+    df = spark.createDataFrame([(json.dumps(value), "usage", None), (json.dumps(value, indent=1), "usage", None), (None, "usage", None)], "context string, kind string, reason string")
+    got = [(r["kind"], r["reason"]) for r in normalize.guarded(df, "context").collect()]
+    hit = ("quarantine", "forbidden-content-detected") if bad else ("usage", None)
+    assert got == [hit, hit, ("usage", None)]
+
+
+def test_from_lines_to_facts(spark, read, tmp_path):
+    """A log is read, stored twice and normalised: the last snapshot counts once, under the config of today."""
+    lines = [{"type": "user", "sessionId": "s", "cwd": "/w/app"}, claude_line(111), claude_line(222), claude_line(222), claude_line(-1)]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "s.jsonl").write_text("".join(json.dumps(r) + "\n" for r in lines))
+    for batch in (0, 1):
+        records = READERS["claude-code"](finished_lines(spark, str(tmp_path / "logs")))
+        bronze.append(normalize.raw(records, "claude-code", "one"), f"{tmp_path}/bronze", batch)
+    held = spark.read.parquet(f"{tmp_path}/bronze")
+    assert {(r["kind"], r["count"]) for r in held.groupBy("kind").count().collect()} == {("usage", 2), ("duplicate", 1), ("quarantine", 1)}
+    (fact,) = (r.asDict() for r in normalize.facts(held).collect())
+    assert (fact["output_tokens"], fact["processed_tokens"], fact["canonical_provider_id"], fact["provider_resolution"], fact["canonical_model_id"]) == (222, 10 + 5 + 7 + 222, "anthropic", "model-owner", "anthropic/claude-x")
+    assert (fact["quality_flags"], fact["session_id"], fact["request_id"]) == (["missing-reasoning", "missing-cost"], "claude-code:s", "m:r")
+    assert normalize.facts(held, Config(cutoff="2027-01-01")).count() == 0
+    (n,) = (r.asDict() for r in normalize.routed(held).collect())
+    assert (n["imported"], n["duplicates"], n["quarantined"]) == (2, 1, 1)
+
+
+def test_envelope_hash_ignores_the_order_of_columns(spark):
+    df = spark.createDataFrame([("x", None, 1), ("x", "", 1)], "a string, b string, c long")
+    one, two = ([r[0] for r in df.select(normalize.envelope_hash(df, names)).collect()] for names in (["a", "b", "c"], ["c", "b", "a"]))
+    assert one == two and one[0] != one[1] and all(len(x) == 32 for x in one)
+
+
+def test_run_log_and_clearing(spark):
+    rows = [("r1", 1, "2026-01-01 00:00:00", "running", 1, 5, 1, 0, None), ("r1", 2, "2026-01-01 00:01:00", "running", 1, 2, None, 3, "disk"), ("r1", 3, "2026-01-01 00:02:00", "completed", None, None, None, None, "late"), ("r2", 1, "2026-01-02 00:00:00", "running", None, None, None, None, None)]
+    entries = spark.createDataFrame(rows, "run_id string, seq long, at string, status string, files long, imported long, duplicates long, quarantined long, error string").selectExpr("* EXCEPT (at)", "cast(at AS timestamp_ntz) AS at")
+    log = store.run_log(entries)
+    assert [tuple(map(str, r)) for r in log.orderBy("run_id").collect()] == [("r1", "2026-01-01 00:00:00", "2026-01-01 00:02:00", "completed", "2", "7", "1", "3", "disk; late"), ("r2", "2026-01-02 00:00:00", "None", "running", "0", "0", "0", "0", "None")]
+    assert store.recent_runs(log, 1).first()["run_id"] == "r2"
+    empty = store.cleared(entries)
+    assert empty.columns == entries.columns and empty.count() == 0
+
+
 def test_bronze_stream_is_idempotent(spark, tmp_path):
     schema = "logical_session_id string, line_ordinal long, envelope_hash string, seq long"
     rows = lambda *r: spark.createDataFrame(r, schema)
