@@ -1,43 +1,55 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps.
+"""Connected components of an edge table, by contraction.
 
-Each step is a minimum per node (summed before the shuffle) and a join that deals hot nodes; a step's edges are
-written to the shared folder, so lineage stays short and lost executors cost one step at most. The number of steps
-grows with the logarithm of the longest chain.
+In each round every node moves to the neighbour of least hash, itself included, and the edges between places that are
+left make the next, smaller graph: a star of any size is one place after two rounds, a chain of n nodes after some log n.
+Edges and moves of a round are written to the shared folder, so lineage stays short and lost executors cost one round at
+most. A node's least neighbour is summed before it moves, and the joins are between written tables, of which Spark splits
+the side of a hot node.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.session import discard, written
 
 
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.col(a).alias("a"), F.col(b).alias("b"))
+def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges with the larger end first, each once, none to itself."""
+    return df.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def _rank(c: str) -> Column:
+    return F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every node of the edges a, b that is not alone."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.union(_pairs(edges, "b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _pairs(both.join(least, "a").where("b > a"), "b", "m").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
-        small = _pairs(met, "b", "m").union(_pairs(met, "a", "m")).where("a <> b").distinct()
-        after = written(small, "edges")
+    edges = written(_ordered(edges, "a", "b"), "edges")
+    moves: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min(_rank("b")).alias("least"))
+        moves.append(written(least.select(F.col("a").alias("id"), F.least("least", _rank("a"))["node"].alias("at")), "moves"))
+        ends = edges.join(moves[-1].toDF("a", "x"), "a").join(moves[-1].toDF("b", "y"), "b")
+        after = written(_ordered(ends, "x", "y"), "edges")
         discard(edges)
         edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # Stars: every node points at the smallest of its component.
-    return _pairs(edges, "a", "b").union(_pairs(edges.select("b").distinct(), "b", "b")).toDF("id", "component")
+    discard(edges)
+    if not moves:
+        return edges.sparkSession.createDataFrame([], "id long, component long")
+    # Where a node ends: its move, then what became of that place.
+    places = moves[-1]
+    for step in reversed(moves[:-1]):
+        places = step.toDF("id", "via").join(places.toDF("via", "end"), "via", "left").select("id", F.coalesce("end", "via").alias("at"))
+    if len(moves) > 1:
+        places = written(places, "places")
+        for step in moves:
+            discard(step)
+    names = written(places.groupBy("at").agg(F.min("id").alias("component")), "names")
+    return places.join(names, "at").select("id", "component")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
