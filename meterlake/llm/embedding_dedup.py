@@ -114,7 +114,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def classes(vectors: DataFrame) -> DataFrame:
     """The distinct vectors: embedding, the smallest vec_id and how many have it."""
-    # Vectors are met by a key of fixed width; copies fold before the shuffle.
+    # Vectors are met by all their components; copies fold before the shuffle.
     return vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
@@ -169,7 +169,7 @@ def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, thresho
     probed, asking = np.concatenate(queries["lists"].tolist()), np.repeat(np.arange(len(x)), n_probes)
     by_list = np.argsort(probed, kind="stable")
     probed, asking = probed[by_list], asking[by_list]
-    found_a, found_b, counts, back = [], [], np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    edges, counts, back = (who[:0], who[:0]), np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     lists = members["list"].to_numpy()
     for name in np.unique(lists).tolist():
         a, b = np.searchsorted(lists, [name, name + 1])
@@ -190,11 +190,12 @@ def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, thresho
             i, k = i[near], k[near]
             np.add.at(counts, i, n[k])
             np.add.at(back, k, n_asking[i])
-            found_a.append(who[i])
-            found_b.append(rep[k])
-    if not any(map(len, found_a)):
+            # No step's pairs outlive it: what is held is a forest over the rows of the two blocks.
+            if len(i):
+                edges = forest(np.concatenate([edges[0], who[i]]), np.concatenate([edges[1], rep[k]]))
+    a, b = edges
+    if not len(a):
         return empty
-    a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
     ends = [pd.DataFrame({"a": ids_[m > 0], "b": -1, "n": m[m > 0]}) for ids_, m in ((who, counts), (rep, back))]
     return pd.concat([pd.DataFrame({"a": a, "b": b, "n": 0}), *ends])
 
@@ -205,8 +206,9 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = distinct.count()
     if total < 2:
         return spark.createDataFrame([], LINKS)
-    step = -(-total // SAMPLE_VECTORS)
-    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).orderBy("rep").limit(2 * SAMPLE_VECTORS).select("embedding").toPandas()
+    # Nine tenths of the bound on average, so that hardly any row of the sample is cut off.
+    step = max(1, -(-total * 10 // (SAMPLE_VECTORS * 9)))
+    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).orderBy("rep").limit(SAMPLE_VECTORS).select("embedding").toPandas()
     sample = sample if len(sample) else distinct.orderBy("rep").limit(SAMPLE_VECTORS).select("embedding").toPandas()
     fitted = fit(units(sample["embedding"]), min(MOST_LISTS, max(1, total // LIST_SIZE), len(sample)))
     held = spark.sparkContext.broadcast(fitted)
@@ -259,3 +261,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), counts AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
+"""

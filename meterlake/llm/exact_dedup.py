@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import short_batches, table, unused, whole
+from meterlake.llm.common import NO_ID, short_batches, table, unused, whole
 from meterlake.session import written
 
 #: Digests of a shard on average; places for each digest of a level.
@@ -155,12 +155,16 @@ def decide(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without later copies, columns as they are."""
-    digest, stay_id, stay_digest = (unused(docs, c) for c in ("digest", "stay_id", "stay_digest"))
-    stay = decide(docs).where("kept").select(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_digest))
-    marked = docs.withColumn(digest, F.sha2(normalised(), 256))
-    met = marked.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id)) & (F.col(digest) == F.col(stay_digest)), "left_semi")
-    return met.dropDuplicates(["doc_id", digest]).select(*docs.columns)
+    """The documents without later copies, columns as they are. Of rows repeated with other columns the least by hash stays.
+
+    Texts move once: the join and the choice among repeated rows have the same keys.
+    """
+    digest, key, place = (unused(docs, c) for c in ("digest", "key", "place"))
+    stay = decide(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.unhex("text_sha256").alias(digest))
+    marked = docs.withColumns({digest: F.unhex(F.sha2(normalised(), 256)), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    own = Window.partitionBy(key, digest).orderBy(F.xxhash64(*docs.columns))
+    met = marked.join(stay, [key, digest], "left_semi").withColumn(place, F.row_number().over(own))
+    return met.where(F.col(place) == 1).select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

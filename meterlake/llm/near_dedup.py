@@ -227,3 +227,28 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 2 THEN words ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)) AS items FROM w
+), c AS (
+  SELECT items, min(doc_id) AS id, len(items) AS n FROM s WHERE len(items) > 0 GROUP BY items
+), t AS (
+  SELECT id, n, unnest(items) AS item FROM c
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY freq, item) AS place FROM (SELECT *, count(*) OVER (PARTITION BY item) AS freq FROM t)
+), rare AS (
+  SELECT id, n, item FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1 AND freq > 1
+), candidates AS (
+  SELECT DISTINCT a.id AS x, b.id AS y FROM rare a JOIN rare b ON a.item = b.item AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), linked AS (
+  SELECT x, y FROM candidates JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE 100 * len(list_intersect(a.items, b.items)) >= 80 * (a.n + b.n - len(list_intersect(a.items, b.items)))
+), edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked), reach(x, y) AS (
+  SELECT id, id FROM c UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(c.id, doc_id) AS class_id, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM s LEFT JOIN c ON c.items = s.items LEFT JOIN least ON least.x = c.id
+"""

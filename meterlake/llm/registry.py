@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm.embedding_dedup import op10_embeddings
+from meterlake.llm.embedding_dedup import OP10_SQL, op10_embeddings
 from meterlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from meterlake.llm.language import op5_language
 from meterlake.llm.licenses import op4_licenses
-from meterlake.llm.near_dedup import op6_minhash
+from meterlake.llm.near_dedup import OP6_SQL, op6_minhash
 from meterlake.llm.packing import op7_packing
-from meterlake.llm.repeats import op8_repeats
+from meterlake.llm.repeats import OP8_SQL, op8_repeats
 from meterlake.llm.secrets import op1_secrets
 from meterlake.llm.tree_bpe import op9_round_trip
 from meterlake.llm.wavelet import op3_token_ids
@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_minhash": OP6_SQL, "op8_repeats": OP8_SQL, "op10_embeddings": OP10_SQL}

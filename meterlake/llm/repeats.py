@@ -280,3 +280,27 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+OP8_SQL = """
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT doc_id, h, len(h) // 2 AS n FROM b
+), strings AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS place
+  FROM (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM s WHERE n >= 100))
+), later AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM strings WHERE place > 1
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i - before > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM runs GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(z), 0), max(n) FROM s LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * pieces.a + 1, 2 * (pieces.z - pieces.a)), '' ORDER BY pieces.a) AS x FROM pieces JOIN s USING (doc_id) GROUP BY doc_id
+), totals AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS runs FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM s JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""
