@@ -1,10 +1,13 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
 A text is the mean of the embeddings of its hashed character n-grams (orders 1 to 4 over letters and word edges),
-then one linear layer and a softmax; both are trained by stochastic gradient descent in numpy. Training takes at
-most some SAMPLE_ROWS rows of each language and the first SAMPLE_CHARS code points of each (documented bounds of the
-fit, parameters of sample()); a second, disjoint part of the labelled rows sets the temperature and the rejection bound. Prediction reads whole texts, batch by batch, from a
-table that is the product of embeddings and layer (orders x buckets x languages, of fixed size).
+then one linear layer and a softmax; both are trained by stochastic gradient descent in numpy. Training takes a bounded
+sample (parameters of sample()): of the MOST_LANGUAGES most frequent languages some SAMPLE_ROWS rows each, MOST_ROWS in
+all, and of longer texts PIECES pieces of SAMPLE_CHARS code points together, from the whole length of the text. A second,
+disjoint part of the labelled rows, as bounded, sets the temperature and, for texts of each class of length, the
+probability below which a prediction is rejected: that of the least sure MAY_REJECT of the rightly classified rows, and
+MOST_BOUND at most, so a text of a language that was never learned is rejected unless it is short. Prediction reads whole
+texts, batch by batch, from a table that is the product of embeddings and layer (orders x buckets x languages).
 
 Edge cases: null text or a text without any letter is 'und' with score 0 and rejected; with no labelled row, every
 text is 'und'; with one language, texts with letters get it; repeated rows give repeated results; extra columns are
@@ -24,15 +27,16 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import short_batches, table, unused
 from meterlake.session import written
 
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
-#: Lines of a table of languages that is small enough for a broadcast.
-BROADCAST_ROWS = 10_000
+SAMPLE_ROWS, SAMPLE_CHARS, PIECES = 1500, 2000, 4
+MOST_ROWS, MOST_LANGUAGES = 12_000, 500
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 #: Of the labelled rows that the model gets right, at most this share is rejected.
-MAY_REJECT = 0.0005
+MAY_REJECT = 0.002
 #: Rejection never asks for more than this probability.
-MOST_BOUND = 0.6
+MOST_BOUND = 0.8
+#: Letters at which the classes of length begin, and rows that a class needs for a bound of its own.
+CLASSES, CLASS_ROWS = (0, 50, 200, 1000), 100
 UNKNOWN = "und"
 
 
@@ -41,7 +45,7 @@ class Model(NamedTuple):
     weights: np.ndarray  # len(ORDERS) * BUCKETS rows, one column per language
     bias: np.ndarray
     temperature: float
-    bound: float
+    bounds: np.ndarray  # one for each class of length
 
 
 def code_points(text: str) -> np.ndarray:
@@ -134,10 +138,11 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str],
     return languages, (emb @ layer).astype(np.float32), bias
 
 
-def logits(texts: list[str], weights: np.ndarray, bias: np.ndarray, at_once: int = 200) -> np.ndarray:
-    """One row of logits for each text, whole texts in one pass for each order."""
+def logits(texts: list[str], weights: np.ndarray, bias: np.ndarray, at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """One row of logits for each text, whole texts in one pass for each order; and how many letters each has."""
     if len(texts) > at_once:
-        return np.concatenate([logits(texts[i : i + at_once], weights, bias) for i in range(0, len(texts), at_once)])
+        parts = [logits(texts[i : i + at_once], weights, bias) for i in range(0, len(texts), at_once)]
+        return np.concatenate([z for z, _ in parts]), np.concatenate([n for _, n in parts])
     points = [code_points(t) for t in texts]
     out = np.zeros((len(texts), len(bias)))
     total = np.zeros(len(texts))
@@ -153,7 +158,7 @@ def logits(texts: list[str], weights: np.ndarray, bias: np.ndarray, at_once: int
             for j in range(len(bias)):
                 out[full, j] += np.add.reduceat(weights[:, j][flat], starts, dtype=np.float64)
         total += n
-    return out / np.maximum(total, 1)[:, None] + bias
+    return out / np.maximum(total, 1)[:, None] + bias, np.array([int((p != 32).sum()) for p in points], int)
 
 
 def _gram(points: np.ndarray, k: int) -> np.ndarray:
@@ -173,21 +178,29 @@ def foreign(text: str) -> str:
     return "".join(chr((ord(c) + 0x3000) % 0xD000) if c.isalpha() else c for c in text)
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, other: np.ndarray) -> tuple[float, float]:
-    """The temperature and the bound below which a prediction is rejected.
+def length_class(letters: np.ndarray) -> np.ndarray:
+    return np.searchsorted(CLASSES, letters, side="right") - 1
 
-    The temperature minimises the log loss of known rows plus that of foreign ones against no preference. The bound
-    rejects what most foreign rows look like, as far as hardly any rightly classified row goes with it.
+
+def calibrate(z: np.ndarray, y: np.ndarray, letters: np.ndarray, other: np.ndarray) -> tuple[float, np.ndarray]:
+    """The temperature, and for each class of length the bound below which a prediction is rejected.
+
+    The temperature minimises the log loss of known rows plus that of foreign ones against no preference. A class with
+    few rows has the bound of all rows together.
     """
     grid = np.geomspace(0.05, 10, 60)
     known = [-np.log(softmax(z, t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     unknown = [-np.log(softmax(other, t) + 1e-12).mean() for t in grid]
     t = float(grid[int(np.argmin(np.add(known, unknown)))])
     p = softmax(z, t)
-    right = p[p.argmax(1) == y].max(1)
-    if not len(right):
-        return t, 0.0
-    return t, float(min(MOST_BOUND, 0.9 * np.quantile(right, MAY_REJECT), 1.25 * np.quantile(softmax(other, t).max(1), 0.99)))
+    right, classes = p.argmax(1) == y, length_class(letters)
+    bounds = np.zeros(len(CLASSES))
+    for c in range(len(CLASSES)):
+        own = right & (classes == c)
+        own = own if own.sum() >= CLASS_ROWS else right
+        if own.any():
+            bounds[c] = min(MOST_BOUND, np.quantile(p[own].max(1), MAY_REJECT))
+    return t, bounds
 
 
 def fold() -> Column:
@@ -195,15 +208,20 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
 
 
-def sample(docs: DataFrame, most_rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> pd.DataFrame:
-    """Some most_rows rows of each language and role, by a hash of the row: text, lang, role."""
+def sample(docs: DataFrame, most_rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS, most_all: int = MOST_ROWS, most_languages: int = MOST_LANGUAGES) -> pd.DataFrame:
+    """Some most_rows rows of each language and role, by a hash of the row, most_all in all: text, lang, held."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2)).select("text", "lang", (fold() == 3).alias("held"), F.xxhash64("doc_id", "text").alias("h"))
-    # One line for each language and role: sent to the tasks where they are few, joined as a table where they are not.
-    counts = written(rows.groupBy("lang", "held").count(), "languages")
-    few = counts.count() <= BROADCAST_ROWS
-    step = F.ceil(F.col("count") / F.lit(most_rows))
-    part = rows.join(F.broadcast(counts) if few else counts, ["lang", "held"]).where(F.pmod("h", step) == 0)
-    return part.select(F.substring("text", 1, most_chars).alias("text"), "lang", "held").orderBy("lang", "held", "text").toPandas()
+    counts = rows.groupBy("lang", "held").count()
+    top = counts.groupBy("lang").agg(F.sum("count").alias("all")).orderBy(F.desc("all"), "lang").limit(most_languages)
+    # At most two lines for each of the languages that are kept: few enough for a broadcast.
+    counts = written(counts.join(top.select("lang"), "lang", "left_semi"), "languages")
+    groups = max(1, counts.count())
+    step = F.ceil(F.col("count") / F.lit(max(1, min(most_rows, most_all // groups))))
+    part = rows.join(F.broadcast(counts), ["lang", "held"]).where(F.pmod("h", step) == 0)
+    size, n = most_chars // PIECES, F.length("text")
+    pieces = F.concat_ws(" ", *(F.substring("text", (1 + F.floor((n - size) * i / (PIECES - 1))).cast("int"), F.lit(size)) for i in range(PIECES)))
+    found = part.select(F.when(n > most_chars, pieces).otherwise(F.col("text")).alias("text"), "lang", "held").toPandas()
+    return found.sort_values(["lang", "held", "text"], ignore_index=True)
 
 
 def train(docs: DataFrame) -> Model:
@@ -213,15 +231,16 @@ def train(docs: DataFrame) -> Model:
     own, rest = (rows[~rows["held"]], rows[rows["held"]]) if len(rows) else (rows, rows)
     own = own if len(own) else rest
     if not len(own):
-        return Model([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+        return Model([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, np.zeros(len(CLASSES)))
     languages, weights, bias = fit(own["text"].tolist(), own["lang"].tolist())
     rest = rest[rest["lang"].isin(languages)]
     if not len(rest):
-        return Model(languages, weights, bias, 1.0, 0.0)
+        return Model(languages, weights, bias, 1.0, np.zeros(len(CLASSES)))
     y = np.array([languages.index(v) for v in rest["lang"]], int)
     texts = rest["text"].tolist()
-    z, other = (logits(x, weights, bias) for x in (texts, [foreign(t) for t in texts]))
-    return Model(languages, weights, bias, *calibrate(z, y, other))
+    z, letters = logits(texts, weights, bias)
+    other, _ = logits([foreign(t) for t in texts], weights, bias)
+    return Model(languages, weights, bias, *calibrate(z, y, letters, other))
 
 
 def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -229,10 +248,11 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     lettered = np.array([bool(t) and any(c.isalpha() for c in t) for t in texts], bool)
     if not model.languages or not lettered.any():
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    score, best = np.zeros(len(texts)), np.zeros(len(texts), int)
-    p = softmax(logits([t for t, x in zip(texts, lettered, strict=True) if x], model.weights, model.bias), model.temperature)
-    score[lettered], best[lettered] = p.max(1), p.argmax(1)
-    return [model.languages[i] if x else UNKNOWN for i, x in zip(best, lettered, strict=True)], score, lettered & (score >= model.bound)
+    score, best, bound = np.zeros(len(texts)), np.zeros(len(texts), int), np.zeros(len(texts))
+    z, letters = logits([t for t, x in zip(texts, lettered, strict=True) if x], model.weights, model.bias)
+    p = softmax(z, model.temperature)
+    score[lettered], best[lettered], bound[lettered] = p.max(1), p.argmax(1), model.bounds[length_class(letters)]
+    return [model.languages[i] if x else UNKNOWN for i, x in zip(best, lettered, strict=True)], score, lettered & (score >= bound)
 
 
 def found(docs: DataFrame, model: Model, into: str) -> DataFrame:
@@ -256,7 +276,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose language is accepted, columns as they are."""
+    """The documents whose language is accepted, columns as they are; none where nothing was learned."""
     into = unused(docs, "found")
     return found(docs, model, into).where(F.col(into)["accepted"]).drop(into)
 

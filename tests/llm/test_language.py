@@ -58,6 +58,30 @@ def test_hardly_any_clean_text_is_rejected(model):
     assert language.predict(docs, m).where("NOT accepted").count() <= 2
 
 
+def test_a_language_that_is_held_out_is_rejected(documents):
+    """Four languages over the same letters; one of them is never learned."""
+    rng = np.random.default_rng(5)
+    syllables = ["".join(rng.choice(list("bcdfglmnprstv"), 1)) + "".join(rng.choice(list("aeiou"), 1)) + "".join(rng.choice(list("lnrst"), 1)) for _ in range(160)]
+    prose = lambda k, n: " ".join("".join(rng.choice(syllables[40 * k : 40 * k + 40], rng.integers(1, 4))) for _ in range(n))
+    m = language.train(documents([(i, prose(i % 3, 60), f"l{i % 3}") for i in range(1200)]))
+    seen, unseen = documents([(i, prose(i % 3, 60)) for i in range(200)]), documents([(i, prose(3, 60)) for i in range(200)])
+    assert language.keep_known(seen, m).count() >= 198
+    assert language.keep_known(unseen, m).count() <= 10
+
+
+def test_sample_is_bounded_and_spans_whole_texts(documents):
+    rows = [(i, "head " * 700 + "tail " * 700, f"l{i % 5}") for i in range(600)]
+    got = language.sample(documents(rows), most_rows=40, most_all=100, most_languages=3)
+    assert got["lang"].nunique() == 3
+    assert len(got) <= 2 * 100 and got.groupby(["lang", "held"]).size().max() <= 40
+    assert all(len(t) < 2100 and "head" in t and "tail" in t for t in got["text"])
+
+
+def test_nothing_is_kept_where_nothing_was_learned(documents):
+    docs = documents([(1, "abc", None)])
+    assert language.keep_known(docs, language.train(docs)).count() == 0
+
+
 def test_keep_known_leaves_columns_alone(documents, model, edge_rows):
     _, m = model
     df = documents(edge_rows, clash=True)
