@@ -226,10 +226,11 @@ def _sort_group(group: pd.DataFrame, length: int) -> pd.DataFrame:
 def shared_contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The contexts of anchors that are used more than once, with the anchor's uses. docs: doc_id (NO_ID for none), data."""
     found = written(docs.mapInPandas(lambda it: _contexts(it, length, gram), CONTEXT), "contexts")
-    # Uses are summed before they move; Spark splits a hot anchor's side of the join.
-    uses = found.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1")
+    # Uses are summed before they move. They are written, so that Spark can split a hot anchor's side of the join.
+    uses = written(found.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1"), "uses")
     shared = written(found.join(uses, "anchor"), "shared")
     discard(found)
+    discard(uses)
     return shared
 
 
