@@ -78,7 +78,7 @@ def page(events: DataFrame, f: Filters = Filters(), cursor: str | None = None, s
             later = (key > at if up else key < at) | ((key == at) & beyond)
             rows = rows.where(later | key.isNull() if sort == "cost" else later)
     ways = [key.asc_nulls_last(), F.col("id").asc()] if up else [key.desc_nulls_last(), F.col("id").desc()]
-    return read(rows).orderBy(*ways).limit(min(max(1, size or PAGE), MOST) + 1)
+    return read(rows.orderBy(*ways).limit(min(max(1, size or PAGE), MOST) + 1))
 
 
 def next_cursor(rows: list, size: int) -> str | None:

@@ -24,6 +24,12 @@ def read_model() -> Column:
     return F.coalesce(canonical.canonical_model(stored_model()), stored_model())
 
 
+def models_of() -> Column:
+    """The models of a group of events at read time; ids are made canonical once per group."""
+    read = F.transform(F.collect_set(stored_model()), lambda m: F.coalesce(canonical.canonical_model(m), m))
+    return F.array_join(F.array_sort(F.array_distinct(read)), ",")
+
+
 def measures() -> list[Column]:
     """What every view of a session counts."""
     parts, cost = processed_of_parts(), costed()
@@ -65,7 +71,7 @@ def listed(events: DataFrame, projects: DataFrame, f: Filters = Filters(), searc
         F.min("harness").alias("harness"),
         F.min("project_id").alias("project_id"),
         F.min("display_path").alias("project_path"),
-        F.array_join(F.array_sort(F.collect_set(read_model())), ",").alias("models"),
+        models_of().alias("models"),
         hit,
         *measures(),
     )
@@ -148,7 +154,7 @@ def timeline(own: DataFrame) -> DataFrame:
 
 
 def largest_requests(own: DataFrame, limit: int = 5) -> DataFrame:
-    return read(own).withColumn("processed", processed_of_parts()).orderBy(F.desc("processed"), "occurred_at", "id").limit(limit)
+    return read(own.withColumn("processed", processed_of_parts()).orderBy(F.desc("processed"), "occurred_at", "id").limit(limit))
 
 
 def flags(own: DataFrame) -> DataFrame:

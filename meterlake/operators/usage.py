@@ -69,8 +69,14 @@ def model() -> Column:
     return canonical.merged_model(F.coalesce("canonical_model_id", "raw_model_id")).alias("model")
 
 
-def series(by: str) -> Column:
-    return {"provider": provider, "model": model, "harness": lambda: F.col("harness")}[by]().alias("series")
+def stored(by: str) -> Column:
+    """What an event has of a dimension, as it was written. Queries group by it first: ids are made canonical once per group."""
+    return {"provider": F.col("canonical_provider_id"), "model": F.coalesce("canonical_model_id", "raw_model_id"), "harness": F.col("harness")}[by].alias("stored")
+
+
+def canonical_of(by: str) -> Column:
+    """The value of a dimension at read time, of a column stored."""
+    return {"provider": canonical.merged_provider, "model": canonical.merged_model, "harness": F.col}[by]("stored")
 
 
 def local_day(zone: str, at: str = "occurred_at") -> Column:
@@ -85,8 +91,9 @@ def day_start(day: Column, zone: str) -> Column:
 
 def series_points(events: DataFrame, name: str, by: str = "provider", f: Filters = NONE, zone: str = "Europe/Berlin") -> DataFrame:
     """date, series, value, input_tokens of the days that have any; a rate keeps true zeros and drops days without input."""
-    rows = apply(events, f).select(local_day(zone).alias("day"), series(by), metric(name).alias("v"), F.col("processed_input_tokens").alias("i"))
-    sums = rows.groupBy("day", "series").agg(total("v").alias("v"), total("i").alias("input_tokens"))
+    rows = apply(events, f).select(local_day(zone).alias("day"), stored(by), metric(name).alias("v"), F.col("processed_input_tokens").alias("i"))
+    sums = rows.groupBy("day", "stored").agg(F.sum("v").alias("v"), F.sum("i").alias("i"))
+    sums = sums.groupBy("day", canonical_of(by).alias("series")).agg(total("v").alias("v"), total("i").alias("input_tokens"))
     if name == "cacheHitRate":
         sums = sums.where("input_tokens > 0").withColumn("value", ratio("v", "input_tokens"))
     else:
@@ -116,15 +123,17 @@ def timeseries(events: DataFrame, name: str, by: str = "provider", f: Filters =
 
 def models(events: DataFrame, f: Filters = NONE, config: Config = Config()) -> DataFrame:
     """One row per model at read time with positive volume: tokens, sessions, hit rate, cost where any is known."""
-    rows = apply(events, f).select("*", model())
-    per = rows.groupBy("model", "session_id").agg(
-        *(F.sum(c).alias(c) for c in ("processed_tokens", "processed_input_tokens", "fresh_input_tokens", "cache_read_input_tokens", "output_tokens")),
+    sums = ("processed_tokens", "processed_input_tokens", "fresh_input_tokens", "cache_read_input_tokens", "output_tokens")
+    per = apply(events, f).groupBy(stored("model"), "session_id").agg(
+        *(F.sum(c).alias(c) for c in sums),
         F.sum(costed()).alias("cost_nano"),
         F.sum(F.when(F.col("cost_available"), F.col("processed_tokens"))).alias("costed"),
         F.max("raw_model_id").alias("raw_model_id"),
     )
+    # A session counts once for a model, whatever spellings it has.
+    per = per.groupBy(canonical_of("model").alias("model"), "session_id").agg(*(F.sum(c).alias(c) for c in (*sums, "cost_nano", "costed")), F.max("raw_model_id").alias("raw_model_id"))
     agg = per.groupBy("model").agg(
-        *(total(c).alias(c) for c in ("processed_tokens", "processed_input_tokens", "fresh_input_tokens", "cache_read_input_tokens", "output_tokens", "cost_nano", "costed")),
+        *(total(c).alias(c) for c in (*sums, "cost_nano", "costed")),
         F.count("session_id").alias("sessions"),
         F.max("raw_model_id").alias("raw_model_id"),
     )
@@ -156,8 +165,8 @@ def attribution_cells(events: DataFrame, f: Filters = NONE, min_input: int = MIN
     The provider filter takes effect on canonical ids after grouping. Cells are as few as there are harnesses and
     providers, so the join of a provider's cells is small whatever the number of events.
     """
-    rows = apply(events, f.but(provider=())).select("harness", provider(), "processed_input_tokens", "cache_read_input_tokens")
-    cells = rows.groupBy("harness", "provider").agg(F.sum("processed_input_tokens").alias("input"), F.sum("cache_read_input_tokens").alias("read")).where("input > 0")
+    cells = apply(events, f.but(provider=())).groupBy("harness", stored("provider")).agg(F.sum("processed_input_tokens").alias("i"), F.sum("cache_read_input_tokens").alias("r"))
+    cells = cells.groupBy("harness", canonical_of("provider").alias("provider")).agg(F.sum("i").alias("input"), F.sum("r").alias("read")).where("input > 0")
     if f.provider:
         cells = cells.where(F.array_contains(F.array(*(F.coalesce(canonical.canonical_provider(F.lit(p)), F.lit(p)) for p in f.provider)), F.col("provider")))
     mine, peer = cells.alias("a"), cells.alias("b")
@@ -215,8 +224,8 @@ def attribution(cells: DataFrame) -> DataFrame:
 
 def provider_dimension(events: DataFrame, config: Config = Config()) -> DataFrame:
     """Providers with their number of events and a display name from the aliases."""
-    rows = events.where("canonical_provider_id is not null").select(provider(), "raw_provider_id")
-    per = rows.groupBy("provider", "raw_provider_id").count()
+    per = events.where("canonical_provider_id is not null").groupBy(stored("provider"), "raw_provider_id").count()
+    per = per.groupBy(canonical_of("provider").alias("provider"), "raw_provider_id").agg(F.sum("count").alias("count"))
     label = canonical.choose(F.lower("raw_provider_id"), {r.lower(): d for r, d in config.provider_aliases}, F.lit(None).cast("string"))
     exact = F.lower("raw_provider_id") == F.col("provider")
     # An alias of the canonical spelling itself wins; otherwise the alias of the first spelling that has one.

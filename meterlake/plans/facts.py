@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions import canonical
-
 FACT = """id string, raw_record_id long, harness string, occurred_at timestamp_ntz, session_id string, logical_session_id string,
 turn_id string, request_id string, project_id string, raw_provider_id string, canonical_provider_id string, provider_resolution string,
 raw_model_id string, canonical_model_id string, processed_input_tokens long, fresh_input_tokens long, cache_read_input_tokens long,
@@ -37,6 +35,13 @@ def projects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROJECTS, "project_id string, display_path string")
 
 
+# What older versions made of these spellings.
+MODELS = ("gpt-5", "~openai/gpt-5", "claude-sonnet-4-5", "glm-5.2", "moonshotai/kimi-k3", None)
+ROUTED = ("gpt-5", "openai/gpt-5", "claude-sonnet-4-5", "glm-5.2", "moonshotai/kimi-k3", None)
+CANONICAL = ("openai/gpt-5", "openai/gpt-5", "anthropic/claude-sonnet-4-5", "zai/glm-5.2", "moonshot/kimi-k3", None)
+OWNERS = ("openai", "openai", "anthropic", "zai", "moonshot", None)
+
+
 def _pick(k: Column, values: tuple[str | None, ...]) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (k % len(values) + 1).cast("int"))
 
@@ -47,10 +52,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id", k.alias("k"), cents.alias("cents"))
     provider = _pick(F.col("k"), ("glm", "zai-coding-plan", "openai-codex", "OpenAI", None))
-    model = _pick(F.col("k"), ("gpt-5", "~openai/gpt-5", "claude-sonnet-4-5", "glm-5.2", "moonshotai/kimi-k3", None))
-    owner = canonical.model_owner(model)
+    model, owner = _pick(F.col("k"), MODELS), _pick(F.col("k"), OWNERS)
     project = F.when(F.col("user_id") % 8 < 7, F.concat(F.lit("p"), (F.col("user_id") % 8).cast("string")))
-    own = F.when(F.col("k") % 2 == 0, canonical.canonical_model(model)).otherwise(F.lower(canonical.routed_model(model)))
+    own = F.when(F.col("k") % 2 == 0, _pick(F.col("k"), CANONICAL)).otherwise(_pick(F.col("k"), ROUTED))
     stored = F.coalesce(F.lower(provider), owner)
     fresh, read, write = 100 + 10 * F.col("k"), F.col("k") * F.col("k"), F.col("k") % 4
     reasoning, paid = F.when(F.col("k") % 2 == 0, F.col("k")), F.col("event_type") == "purchase"
