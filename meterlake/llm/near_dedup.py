@@ -85,7 +85,8 @@ def _verify(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (leader, member) those whose sets are similar enough. A leader's members are dealt into groups."""
-    members = pairs.groupBy("leader").agg(F.count("*").alias("m"))
+    # Written, so that Spark can split a hot leader's side of the join.
+    members = written(pairs.groupBy("leader").agg(F.count("*").alias("m")), "leaders")
     salted = pairs.join(members, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")).drop("m")
     own = sets.join(salted.select(F.col("leader").alias("id"), "leader", "salt").distinct(), "id").select("leader", "salt", F.lit(None).cast("long").alias("member"), "items")
     others = sets.join(salted.withColumn("id", F.col("member")), "id").select("leader", "salt", "member", "items")

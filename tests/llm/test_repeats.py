@@ -136,13 +136,11 @@ def test_long_texts_are_read_in_pieces(monkeypatch, words):
     assert len(anchors(101)) == len(raw) - 59
 
 
-def test_batches_fold_alike(spark, documents, rows):
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        check(repeats.remove(documents(rows)).collect(), rows, 100)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+def test_batches_fold_alike(documents, rows, monkeypatch):
+    from meterlake.llm import common
+
+    monkeypatch.setattr(common, "BATCH_ROWS", "7")
+    check(repeats.remove(documents(rows)).collect(), rows, 100)
 
 
 def test_kept_bytes(documents):
