@@ -48,6 +48,16 @@ def unchanged(files: DataFrame, before: DataFrame) -> DataFrame:
     return files.join(known, "path").where(same).select(*files.columns)
 
 
+def fingerprint(lines: DataFrame, version: str, sample: int = 4, keys: int = 16) -> DataFrame:
+    """file, fingerprint: a digest of the reader's version and the shape (sorted keys) of the first lines that are not blank."""
+    first = F.row_number().over(Window.partitionBy("file").orderBy("ordinal"))
+    some = lines.where(F.trim("text") != "").select("file", "ordinal", "text").withColumn("n", first).where(F.col("n") <= sample)
+    kind = F.schema_of_variant(F.try_parse_json("text"))
+    shape = F.when(kind.isNull(), "?").when(kind.startswith("OBJECT"), F.concat_ws(",", F.slice(F.array_sort(F.json_object_keys("text")), 1, keys))).otherwise(kind)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", shape.alias("shape")))), lambda x: x["shape"])
+    return some.groupBy("file").agg(F.hex(F.xxhash64(F.concat_ws("|", F.lit(version), F.array_join(ordered, "|")))).alias("fingerprint"))
+
+
 def logical_id(file: str = "file") -> Column:
     """The session that a path stands for: its base name, or session:subagent:name for a subagent's log."""
     name = F.regexp_replace(F.substring_index(file, "/", -1), r"\.[^.]+$", "")

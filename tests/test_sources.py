@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions.config import Config
+from meterlake.functions.repository import with_roots
 from meterlake.operators import normalize, store
 from meterlake.sources import READERS, sqlite
-from meterlake.sources.lines import finished_lines, logical_id, unchanged
+from meterlake.sources.lines import finished_lines, fingerprint, logical_id, unchanged
 from meterlake.streaming import bronze
 
 cursor, opencode = (importlib.import_module(f"meterlake.sources.{name}") for name in ("cursor", "opencode"))
@@ -51,6 +52,24 @@ def test_logical_id(spark):
     assert [r[0] for r in df.select(logical_id()).collect()] == ["s1", "s1:subagent:x"]
 
 
+def test_fingerprint(spark):
+    rows = [("a", 1, '{"b": 1, "a": 2}'), ("a", 2, ""), ("a", 3, "[1]"), ("b", 1, '{"a": 5, "b": "x"}'), ("b", 2, "[7]"), ("c", 1, '{"a": 5, "c": 1}'), ("c", 2, "broken")]
+    lines = spark.createDataFrame(rows, "file string, ordinal long, text string")
+    one, other = ({r["file"]: r["fingerprint"] for r in fingerprint(lines, v).collect()} for v in ("pi-1", "pi-2"))
+    assert one["a"] == one["b"] != one["c"] and one["a"] != other["a"]
+
+
+def test_repository_roots(spark, tmp_path):
+    (tmp_path / "repo" / ".git").mkdir(parents=True)
+    (tmp_path / "repo" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / ".git").write_text("gitdir: x")
+    folders = [str(tmp_path / "repo" / "a" / "b"), str(tmp_path / "tree"), str(tmp_path / "gone"), None, ""]
+    df = spark.createDataFrame([(f,) for f in folders], "cwd string")
+    got = {r["cwd"]: r["root"] for r in with_roots(df).collect()}
+    assert got == {folders[0]: str(tmp_path / "repo"), folders[1]: folders[1], folders[2]: folders[2], None: None, "": None}
+
+
 def test_unchanged(spark):
     files = spark.createDataFrame([("a", 10, 1), ("b", 10, 2), ("c", 0, 1), ("d", 10, 1), ("e", 5, 1)], "path string, size long, modified_at long")
     before = spark.createDataFrame([("a", 10, 1, 10), ("b", 10, 1, 10), ("c", 0, 1, 0), ("d", 10, 1, 9)], "path string, size long, modified_at long, cursor long")
