@@ -34,8 +34,6 @@ from meterlake.session import written
 THRESHOLD = 0.95
 SAMPLE_VECTORS, MOST_LISTS, LIST_SIZE = 20_000, 4096, 200
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
-#: Read by the tests alone: up to REACH**2 dimensions an older one asks for the exact result. Probes reach the whole radius.
-REACH = 4
 #: Members, and queries, of a pair of blocks.
 BLOCK = 8192
 SLACK = 1e-6

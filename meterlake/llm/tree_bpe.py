@@ -8,6 +8,8 @@ the same way on its byte symbols: around each join a growing window of ids is me
 both of its edges, merged alone, stay as they are, which is when a sequence of merges is that of the whole word.
 
 Texts above SPREAD code points are halved into rows that Spark deals to other tasks; the rest stay in their partition.
+The parts of one text meet again in one task, which joins them: a task holds one text, its words' lengths and its ids. A
+long text that holds the string of a special token stays in its partition, halved between those strings.
 
 Edge cases: null or empty text has no ids and empty decoded text; repeated rows give repeated results; extra columns
 are not read; an empty table gives an empty result. The string of a special token becomes its id, as in the library.

@@ -40,12 +40,9 @@ def test_recall_and_precision(spark, monkeypatch, d, spread):
     df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in vectors.items()], SCHEMA).repartition(4)
     got = {r["vec_id"]: r for r in E.near_duplicates(df).collect()}
     want = brute(vectors)
-    found, links = sum(r["n_links"] for r in got.values()), sum(n for n, _ in want.values())
-    assert links > 1000 and all(got[i]["n_links"] <= n for i, (n, _) in want.items())
-    assert found >= 0.9 * links
-    if d <= E.REACH**2:
-        assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
-    assert sum(got[i]["component_id"] == c for i, (_, c) in want.items()) >= 0.99 * len(want)
+    # Probes reach the whole radius in any number of dimensions: recall is 1.
+    assert sum(n for n, _ in want.values()) > 1000
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
 
 
 @pytest.mark.parametrize(("rank", "d"), [(4, 64), (8, 768)])
