@@ -66,5 +66,36 @@ def test_packing_holds_every_document(kept):
     assert {r["doc_id"] for r in pieces} == ids and all(r["n"] == r["t"] for r in pieces)
 
 
+def test_edge_cases_pass_through_all_stages(spark, documents, edge_rows, words, data):
+    """Nulls in any column, empty and very long texts, repeated rows and ties, clashing columns."""
+    rows = [(i, t, "aa") for i, t, *_ in edge_rows] + [(100 + i, words(40, 900 + i), "aa" if i % 2 else None) for i in range(80)] + [(300, words(40, 901), "aa"), (301, "12 34", "aa")]
+    docs = documents(rows, clash=True).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.when(F.col("doc_id") != 1, F.col("n_chars")))
+    columns, ids = docs.columns, {"documents": {r["doc_id"] for r in docs.collect()}}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, data), f"edge-{name}")
+        got = docs.select("doc_id", *(["text"] if name != "packing" else ["length"])).collect()
+        ids[name] = {r["doc_id"] for r in got}
+        if name != "packing":
+            assert docs.columns == columns
+        if name in ("exact_dedup", "near_dedup", "secrets"):
+            assert len(got) == len({(r["doc_id"], r["text"]) for r in got})
+    # Without a letter, empty, or null: no language. Copies go, the first of them stays.
+    assert {2, 3, 4, 301, None} & ids["language"] <= {None} and {1, 5, 6, 7} <= ids["language"]
+    assert 5 not in ids["exact_dedup"] and 1 in ids["exact_dedup"] and 300 not in ids["exact_dedup"] and 101 in ids["exact_dedup"]
+    assert ids["near_dedup"] == ids["secrets"] == ids["packing"] <= ids["exact_dedup"]
+
+
+def test_empty_table_passes_through_all_stages(spark, documents, data):
+    docs = documents([], clash=True)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, data), f"empty-{name}")
+        assert docs.count() == 0 and (name == "packing" or docs.columns == columns)
+
+
+def test_no_labels_keep_nothing(spark, documents, data):
+    assert corpus_pipeline.known_language(spark, documents([(i, "some text", None) for i in range(9)]), data).count() == 0
+
+
 def test_registered():
     assert len([n for n in __spark_entry__.queries() if n.startswith("op")]) == 10 and "pipeline" in __spark_entry__.queries()
