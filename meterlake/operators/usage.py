@@ -102,22 +102,22 @@ def series_points(events: DataFrame, name: str, by: str = "provider", f: Filters
     return sums.select(F.col("day").cast("string").alias("date"), "series", "value", "input_tokens", usd.alias("value_usd"))
 
 
-#: Days that a spine holds at most.
+#: Days that a spine holds at most: a limit of the accounting itself, as readers see it.
 MOST_DAYS = 1000
 
 
-def day_spine(events: DataFrame, f: Filters = NONE, zone: str = "Europe/Berlin") -> DataFrame:
-    """Every day of the period; open ends are those of the data."""
+def day_spine(events: DataFrame, f: Filters = NONE, zone: str = "Europe/Berlin", most_days: int = MOST_DAYS) -> DataFrame:
+    """Every day of the period, of longer ones the first most_days; open ends are those of the data."""
     seen = apply(events, f).agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"))
     lo = moment(f.since) if f.since else F.col("lo")
     hi = moment(f.until) - F.expr("INTERVAL 1 MILLISECOND") if f.until else F.col("hi")
     bounds = seen.select(lo.alias("lo"), hi.alias("hi")).select(F.coalesce("lo", "hi").alias("lo"), F.coalesce("hi", "lo").alias("hi")).where("lo is not null")
-    bounds = bounds.select(local_day(zone, "lo").alias("a"), local_day(zone, "hi").alias("b")).select("a", F.greatest("a", F.least("b", F.date_add("a", MOST_DAYS - 1))).alias("b"))
+    bounds = bounds.select(local_day(zone, "lo").alias("a"), local_day(zone, "hi").alias("b")).select("a", F.greatest("a", F.least("b", F.date_add("a", most_days - 1))).alias("b"))
     return bounds.select(F.explode(F.sequence("a", "b")).alias("day")).select(F.col("day").cast("string").alias("date"))
 
 
 def timeseries(events: DataFrame, name: str, by: str = "provider", f: Filters = NONE, zone: str = "Europe/Berlin") -> DataFrame:
-    """The spine with the points of each day; a day without any has one row without a series."""
+    """The spine (of at most MOST_DAYS days) with the points of each day; a day without any has one row without a series."""
     return day_spine(events, f, zone).join(series_points(events, name, by, f, zone), "date", "left")
 
 

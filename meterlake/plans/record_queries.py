@@ -128,7 +128,7 @@ def n15_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation, quarantine and flags (N15, N16) of spooled events."""
     some = lambda x: f"CASE WHEN k % 7 <> 0 THEN {x} END"
     text = _json(
-        schema="CASE WHEN k % 19 = 0 THEN 'v0' ELSE 'observer.cursor.usage.v1' END",
+        schema="CASE WHEN k % 19 = 0 THEN 'v0' ELSE 'meterlake.cursor.usage.v1' END",
         source="CASE WHEN k % 3 = 0 THEN 'legacy-backfill' ELSE 'stop-hook' END",
         conversationId="file",
         generationId="CASE WHEN k % 13 = 0 THEN '' ELSE cast(ordinal AS string) END",

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from meterlake.operators.ingest import safe
 from meterlake.sources.records import shaped, with_malformed
 
-# The format of spooled events.
-SCHEMA, AMBIGUOUS = "observer.cursor.usage.v1", "multi-root-project-ambiguous"
+# The format of spooled events, whichever producer comes first in its tag, and a flag.
+FORMAT, AMBIGUOUS = r"^[a-z]+\.cursor\.usage\.v1$", "multi-root-project-ambiguous"
+SCHEMA = "meterlake.cursor.usage.v1"
 COUNTERS = ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens", "reasoningTokens")
 STATES = ("completed", "aborted", "error")
 EVENT = """schema string, source string, receivedAt string, conversationId string, generationId string, cursorVersion string, modelId string, legacyModel string,
@@ -96,7 +97,7 @@ def cursor(lines: DataFrame) -> DataFrame:
     zero = F.greatest(*counts, F.lit(0)) == 0
     identity = F.col("conversation").isNotNull() & F.col("generation").isNotNull()
     reason = (
-        F.when(F.coalesce(F.get_json_object("text", "$.schema"), F.lit("")) != SCHEMA, "unknown-schema")
+        F.when(~F.rlike(F.coalesce(F.get_json_object("text", "$.schema"), F.lit("")), F.lit(FORMAT)), "unknown-schema")
         .when(F.col("broken"), "invalid-token-value")
         .when(~identity, "malformed-json")
         .when(tokenless, "cursor-token-fields-missing")
