@@ -6,11 +6,11 @@ bound that a linked pair keeps to (sizes; one bit of each bin at six standard de
 
 No group's pairs are listed. First, every class of a bucket meets only the bucket's smallest, and what is linked becomes
 one component. Buckets that still hold several components are settled by size. Classes that share a small one are
-verified as pairs, a number in proportion to the table. Classes of large ones are dealt into blocks of bounded size by
-the least key of theirs, so that alike classes are side by side; two blocks meet only if both hold classes of one bucket,
-and not if both are of one component. A pair of blocks is one group, which counts the common shingles of all its pairs
-by a matrix product and returns no more than a spanning forest of the links. Every candidate pair of different
-components is so verified exactly. Links found then connect whole components: the first ones are not walked again.
+verified as pairs, a number in proportion to the table. Classes that large ones connect are a cluster, which is
+dealt into blocks of bounded size; a pair of blocks is one group, which counts the common shingles of all its pairs
+by a matrix product and returns no more than a spanning forest of the links. Blocks of one and the same component do
+not meet. Every candidate pair of different components is so verified exactly. Links found then connect whole
+components: the first ones are not walked again.
 
 Sets are compared as 64-bit hashes of their shingles, classes by a 128-bit digest of the set.
 
@@ -34,7 +34,7 @@ from meterlake.llm.components import components, forest
 from meterlake.session import discard, written
 
 WORDS, PERCENT = 5, 80
-#: Classes of a bucket up to which its pairs are listed; classes of a block of large buckets; shingles of one matrix product.
+#: Classes of a bucket up to which its pairs are listed; classes of a block of a cluster; shingles of one matrix product.
 SMALL, BLOCK, COLUMNS = 16, 256, 4096
 #: Members that are verified against one leader in a group.
 GROUP = 256
@@ -135,19 +135,18 @@ def _verify_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": x, "b": y})
 
 
-def verified_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect what the links between classes of a bucket connect. members: key, id, part of large buckets."""
-    home = members.groupBy("id").agg(F.min("key").alias("home"), F.min("part").alias("part"))
-    # A component fills blocks of its own, or the small ones of a home share some.
-    sizes = home.groupBy("home", "part").agg(F.count("*").alias("m"))
+def verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what the links inside each cluster connect. members: id, part, cluster."""
+    sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("m"))
+    # A component of its own blocks, or all small ones of a cluster together.
     camp = F.when(F.col("m") >= BLOCK, F.col("part"))
-    camps = sizes.groupBy("home", camp.alias("camp")).agg(F.ceil(F.sum("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = home.join(sizes, ["home", "part"]).withColumn("camp", camp).alias("d")
-    placed = placed.join(camps.alias("k"), (F.col("d.home") == F.col("k.home")) & F.col("d.camp").eqNullSafe(F.col("k.camp")))
-    placed = written(placed.select("d.id", F.xxhash64("d.home", F.coalesce("d.camp", F.lit(-1)), F.pmod(F.xxhash64("d.id"), "k.blocks")).alias("block"), F.col("d.camp").alias("camp")), "blocks")
-    blocks = members.select("key", "id").join(placed, "id").select("key", "block", "camp").distinct()
-    met = blocks.alias("x").join(blocks.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.camp") == F.col("y.camp"), F.lit(False)))
-    pair = written(met.select(F.col("x.block").alias("one"), F.col("y.block").alias("two")).distinct(), "block-pairs")
+    camps = sizes.groupBy("cluster", camp.alias("camp")).agg(F.ceil(F.sum("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = members.join(sizes, ["cluster", "part"]).withColumn("camp", camp).alias("d")
+    placed = placed.join(camps.alias("k"), (F.col("d.cluster") == F.col("k.cluster")) & F.col("d.camp").eqNullSafe(F.col("k.camp")))
+    placed = placed.select("d.id", "d.cluster", F.xxhash64("d.cluster", F.coalesce("d.camp", F.lit(-1)), F.pmod(F.xxhash64("d.id"), "k.blocks")).alias("block"), F.col("d.camp").alias("camp"))
+    blocks = placed.select("cluster", "block", "camp").distinct()
+    met = blocks.alias("x").join(blocks.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.camp") == F.col("y.camp"), F.lit(False)))
+    pair = met.select(F.col("x.block").alias("one"), F.col("y.block").alias("two"))
     sided = pair.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("block")).union(pair.where("one <> two").select("one", "two", F.lit(1).alias("side"), F.col("two").alias("block")))
     rows = placed.join(sets, "id").select("id", "block", "items").join(sided, "block")
     return rows.select("one", "two", "side", "id", "items").groupBy("one", "two").applyInPandas(lambda g: _verify_blocks(g, percent), "a long, b long")
@@ -180,10 +179,12 @@ def linked(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     discard(edges)
     # 2. Buckets that hold several components.
     labelled = rows.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    live = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m")).where("low <> high")
-    labelled = written(labelled.join(live.select("key", "m"), "key"), "labelled")
+    live = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m"), F.min("id").alias("least")).where("low <> high")
+    labelled = written(labelled.join(live.select("key", "m", "least"), "key"), "labelled")
     discard(rows)
-    found = written(verified_blocks(labelled.where(F.col("m") > SMALL).select("key", "id", "part"), sets, percent), "verified")
+    clusters = components(labelled.where(F.col("m") > SMALL).select(F.col("least").alias("a"), F.col("id").alias("b")))
+    members = clusters.select("id", F.col("component").alias("cluster")).join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    found = written(verified_clusters(members, sets, percent), "verified")
     few = labelled.where(F.col("m") <= SMALL)
     pairs = plausible_pairs(few, few, (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part"))).join(stars, ["leader", "member"], "left_anti")
     found = written(found.union(verified(written(pairs, "pairs"), sets, percent)), "verified")
