@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlake.llm.collision_search import op13_nearest
 from meterlake.llm.embedding_dedup import OP10_SQL, op10_embeddings
 from meterlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from meterlake.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
@@ -29,7 +30,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_secrets, op2_exact_dedup, op3_token_ids, op4_licenses, op5_language, op6_minhash, op7_packing, op8_repeats, op9_round_trip, op10_embeddings, op11_turn_repair,
-        op12_fill_in_middle,
+        op12_fill_in_middle, op13_nearest,
     )
     return {"pipeline": _pipeline} | {f.__name__: f for f in operators}
 
