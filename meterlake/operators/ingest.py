@@ -92,20 +92,33 @@ def cumulative(rows: DataFrame, keys: list[str], order: str = "ordinal") -> Data
     ).drop("__first", "__same")
 
 
-def replayed(rows: DataFrame, keys: list[str], at: str = "occurred_at", forked: Column | None = None, order: str = "ordinal") -> DataFrame:
+def replayed(rows: DataFrame, keys: list[str], at: str = "occurred_at", forked: Column | None = None, order: str = "ordinal", anchor: Column | None = None, settled: Column | None = None) -> DataFrame:
     """Marks the leading events of forked sessions whose gaps stay below BURST_MS: a replay of what is known.
 
-    The first gap that is longer, negative or unknown ends it for good.
+    The first gap is counted from the anchor, the time at which the fork was named; without one from the first event. The
+    first gap that is longer, negative or unknown ends the replay for good. settled: what was decided already of rows that
+    stand for more than themselves; null for the others.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 1000
-    within = F.col(at).isNotNull() & (F.row_number().over(w) == 1) | F.coalesce((gap >= 0) & (gap < BURST_MS), F.lit(False))
-    rows = rows.withColumn("__within", within)
+    before = F.when(F.row_number().over(w) == 1, anchor if anchor is not None else F.col(at)).otherwise(F.lag(at).over(w))
+    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1000
+    within = F.coalesce((gap >= 0) & (gap < BURST_MS), F.lit(False))
+    rows = rows.withColumn("__within", within if settled is None else F.coalesce(settled, within))
     so_far = F.min("__within").over(w.rowsBetween(Window.unboundedPreceding, 0))
     test = so_far if forked is None else so_far & forked
     return rows.withColumn("suppressed", test).drop("__within")
 
 
+def is_last(test: Column, keys: list[str], order: str = "ordinal") -> Column:
+    """Whether a row is the last of its group for which the test holds."""
+    return F.coalesce(F.max(F.when(test, F.col(order))).over(Window.partitionBy(*keys)) == F.col(order), F.lit(False))
+
+
+def is_first(test: Column, keys: list[str], order: str = "ordinal") -> Column:
+    """Whether a row is the first of its group for which the test holds."""
+    return F.coalesce(F.min(F.when(test, F.col(order))).over(Window.partitionBy(*keys)) == F.col(order), F.lit(False))
+
+
 def snapshots(rows: DataFrame, keys: list[str], vector: list[str], order: str = "ordinal") -> DataFrame:
     """Snapshots of one response: equal to the one before it, duplicate; the last of those that differ stands."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from meterlake.functions import canonical
 from meterlake.functions.config import Config
 from meterlake.operators import store
+from meterlake.sources.cursor import spool_order
+from meterlake.sources.lines import logical_id
 
 # Keys that hold content of a conversation.
 FORBIDDEN = (
@@ -65,17 +67,21 @@ def quality_flags(cache_write: Column, reasoning: Column, cost: Column, own: Col
     return F.array_distinct(F.concat(missing, allowed))
 
 
-ENVELOPE = ["harness", "logical_session_id", "request_id", "line_ordinal", "occurred_at", "turn_id", "raw_provider_id", "raw_model_id", "cwd", "parent_id"] + [
+ENVELOPE = ["harness", "kind", "reason", "logical_session_id", "request_id", "line_ordinal", "occurred_at", "turn_id", "raw_provider_id", "raw_model_id", "cwd", "parent_id"] + [
     "fresh_input_tokens", "cache_read_input_tokens", "cache_write_input_tokens", "cache_write_available", "output_tokens", "reasoning_output_tokens", "unattributed_tokens", "cost_nano_usd"
 ]
 
 
-def raw(records: DataFrame, harness: str, source: str) -> DataFrame:
-    """Records of a reader as rows of bronze: harness, source, identity and the order in which they were read."""
-    rows = records.where("kind <> 'skipped'").withColumns({"harness": F.lit(harness), "source_id": F.lit(source), "line_ordinal": F.col("ordinal")})
+def raw(records: DataFrame, harness: str, source: str, commit: int = 0) -> DataFrame:
+    """Records of a reader as rows of bronze: harness, source, identity and the order in which they were written.
+
+    Every record has a session, its file's where the reader knows none. The order of writing: by commit, within one by file
+    (of spools, imported history first), then by line.
+    """
+    session = F.coalesce("logical_session_id", logical_id(), F.lit("unknown"))
+    rows = records.where("kind <> 'skipped'").withColumns({"harness": F.lit(harness), "source_id": F.lit(source), "line_ordinal": F.col("ordinal"), "logical_session_id": session})
     rows = rows.withColumn("envelope_hash", envelope_hash(rows, ENVELOPE))
-    # The order of writing: by file, then by line.
-    place = F.struct("file", "line_ordinal")
+    place = F.struct(F.lit(commit).cast("long").alias("commit"), spool_order().alias("spool"), F.col("line_ordinal"))
     return rows.withColumn("seq", place)
 
 

@@ -18,7 +18,11 @@ def new_records(incoming: DataFrame, bronze: DataFrame | None) -> DataFrame:
     """Incoming records that bronze has not, the first of equal ones. The source is no part of the key: files move."""
     w = Window.partitionBy(*RAW_KEY).orderBy("seq")
     fresh = incoming.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return fresh if bronze is None else fresh.join(bronze.select(*RAW_KEY), RAW_KEY, "left_anti")
+    if bronze is None:
+        return fresh
+    held = bronze.select(*(F.col(c).alias(f"__{c}") for c in RAW_KEY))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in RAW_KEY]
+    return fresh.join(held, same[0] & same[1] & same[2], "left_anti")
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:

@@ -63,10 +63,14 @@ def n6_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.cumulative(rows, ["user_id"]).select("user_id", "ordinal", "kind", "reason", "fresh")
 
 
-@query(f"""{_BASE}, g AS (SELECT *, epoch_ms(occurred_at) / 40000000.0 AS x FROM e), l AS (SELECT *, row_number() OVER w AS rn, epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER w) AS gap FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ordinal))
-SELECT user_id, ordinal, user_id % 2 = 0 AND min(CASE WHEN rn = 1 OR (gap >= 0 AND gap < 1000000) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ordinal) = 1 AS suppressed FROM l""")
+@query(f"""{_BASE}, l AS (SELECT *, min(occurred_at) OVER (PARTITION BY user_id) - to_milliseconds(600 * (user_id % 5)) AS anchor, lag(occurred_at) OVER (PARTITION BY user_id ORDER BY ordinal) AS before FROM e),
+g AS (SELECT *, epoch_us(occurred_at) - epoch_us(coalesce(before, anchor)) AS gap FROM l)
+SELECT user_id, ordinal, user_id % 2 = 0 AND min(CASE WHEN gap >= 0 AND gap < 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ordinal) = 1 AS suppressed FROM g""")
 def n7_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.replayed(_events(spark, sf_dir), ["user_id"], forked=F.col("user_id") % 2 == 0).select("user_id", "ordinal", "suppressed")
+    """Forks that were named up to 2.4 seconds before their first event."""
+    first = F.min("occurred_at").over(Window.partitionBy("user_id"))
+    rows = _events(spark, sf_dir).withColumn("named_at", first - F.make_dt_interval(secs=(F.col("user_id") % 5) * 0.6))
+    return ingest.replayed(rows, ["user_id"], forked=F.col("user_id") % 2 == 0, anchor=F.col("named_at")).select("user_id", "ordinal", "suppressed")
 
 
 @query(f"""{_BASE}, s AS (SELECT *, k % 10 AS req, k // 50 AS a, cents // 100000 AS b FROM e), l AS (SELECT *, [a, b] IS NOT DISTINCT FROM lag([a, b]) OVER (PARTITION BY user_id, req ORDER BY ordinal) AS duplicate FROM s),
@@ -91,13 +95,16 @@ def w5_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.snapshots(rows, ["user_id"], ["a", "b"]).select("user_id", "ordinal", F.col("duplicate").alias("same"))
 
 
-@query(f"""{_BASE}, g AS (SELECT *, row_number() OVER w AS rn, epoch_us(occurred_at) // 400000 - lag(epoch_us(occurred_at) // 400000) OVER w AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ordinal))
-SELECT user_id, ordinal, min(CASE WHEN rn = 1 OR (gap >= 0 AND gap < 1000000) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ordinal) = 1 AS burst FROM g""")
+@query(f"""{_BASE}, f AS (SELECT *, epoch_us(occurred_at) // 400000 AS t FROM e), g AS (SELECT *, t - coalesce(lag(t) OVER w, first_value(t) OVER w - 700000 * (user_id % 3)) AS gap FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ordinal))
+SELECT user_id, ordinal, min(CASE WHEN gap >= 0 AND gap < 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ordinal) = 1 AS burst FROM g""")
 def w6_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The burst at the start of a log, on times that run 400,000 times as fast."""
-    fast = F.timestamp_micros(F.expr("unix_micros(cast(occurred_at AS timestamp)) div 400000")).cast("timestamp_ntz")
-    rows = _events(spark, sf_dir).withColumn("occurred_at", fast)
-    return ingest.replayed(rows, ["user_id"]).select("user_id", "ordinal", F.col("suppressed").alias("burst"))
+    """The burst at the start of a log, on times that run 400,000 times as fast; the log was named up to 1.4 seconds before."""
+    micros = F.expr("unix_micros(cast(occurred_at AS timestamp)) div 400000")
+    at = lambda x: F.timestamp_micros(x).cast("timestamp_ntz")
+    rows = _events(spark, sf_dir).withColumn("micros", micros)
+    named = F.first("micros").over(Window.partitionBy("user_id").orderBy("ordinal")) - 700_000 * (F.col("user_id") % 3)
+    rows = rows.withColumns({"occurred_at": at(F.col("micros")), "named_at": at(named)})
+    return ingest.replayed(rows, ["user_id"], anchor=F.col("named_at")).select("user_id", "ordinal", F.col("suppressed").alias("burst"))
 
 
 # The store: a request is (event_type, user, k div 10); its envelope is what the cents say.

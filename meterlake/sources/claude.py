@@ -2,69 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.operators.ingest import carried, safe, text
+from meterlake.operators.ingest import carried, is_last, safe, text
 from meterlake.sources.lines import logical_id
-from meterlake.sources.records import instant, modified, shaped, with_malformed, with_turns
+from meterlake.sources.records import carrying, graph_alone, instant, malformed, modified, quarantined, shaped, with_turns
 
 CLASSES = {"input": "$.message.usage.input_tokens", "read": "$.message.usage.cache_read_input_tokens", "output": "$.message.usage.output_tokens"}
 WRITTEN = "$.message.usage.cache_creation_input_tokens"
 PARTS = ("$.message.usage.cache_creation.ephemeral_5m_input_tokens", "$.message.usage.cache_creation.ephemeral_1h_input_tokens")
+VECTOR = ["input", "read", "write", "output"]
 
 
-def claude(lines: DataFrame) -> DataFrame:
-    """Records of lines (file, ordinal, text). Writes count once: the total if there is one, else its parts.
+def parsed(lines: DataFrame) -> DataFrame:
+    """What accounting needs of each line (file, ordinal, text); a row without text stays, all else null.
 
-    The session is the file's (logical_id), the turn the nearest user message above. Values are carried along a file, so
-    a file's lines meet in one task of the window, spilled to disk where they are many.
+    Writes count once: the total if there is one, else its parts.
     """
-    rows = lines.withColumns({"cwd": carried(text("text", "$.cwd"), ["file"]), "node": text("text", "$.uuid")})
-    nodes = rows.select("file", "ordinal", "node", text("text", "$.parentUuid", "$.parent_uuid").alias("parent"), text("text", "$.message.role", "$.type").alias("role"))
-    rows = rows.where((F.get_json_object("text", "$.type") == "assistant") & F.get_json_object("text", "$.message.usage").isNotNull())
-    given = {c: F.get_json_object("text", p) for c, p in CLASSES.items()}
-    parts = [F.get_json_object("text", p) for p in PARTS]
-    total = F.get_json_object("text", WRITTEN)
+    j = lambda path: F.get_json_object("text", path)
+    total, parts = j(WRITTEN), [j(p) for p in PARTS]
     count = lambda x: F.when(x.isNull(), F.lit(0)).otherwise(safe(x.try_cast("double")))
     message, request = text("text", "$.message.id"), text("text", "$.requestId", "$.request_id")
-    rows = rows.withColumns(
-        {c: count(x) for c, x in given.items()}
-        | {
-            "write": F.when(total.isNotNull(), count(total)).otherwise(count(parts[0]) + count(parts[1])),
-            "known": F.coalesce(total, *parts).isNotNull(),
-            "key": F.coalesce(F.when(message.isNotNull(), F.concat_ws(":", message, request)), request, text("text", "$.uuid")),
-        }
+    model = text("text", "$.message.model")
+    side = (j("$.isSidechain") == "true") | j("$.agentId").isNotNull()
+    return lines.select(
+        *carrying(lines),
+        malformed().alias("broken"),
+        text("text", "$.uuid").alias("node"),
+        text("text", "$.parentUuid", "$.parent_uuid").alias("parent"),
+        text("text", "$.message.role", "$.type").alias("role"),
+        text("text", "$.cwd").alias("cwd"),
+        F.coalesce((j("$.type") == "assistant") & j("$.message.usage").isNotNull(), F.lit(False)).alias("asked"),
+        *(count(j(p)).alias(c) for c, p in CLASSES.items()),
+        F.when(total.isNotNull(), count(total)).otherwise(count(parts[0]) + count(parts[1])).alias("write"),
+        F.coalesce(total, *parts).isNotNull().alias("known"),
+        F.coalesce(F.when(message.isNotNull(), F.concat_ws(":", message, request)), request, text("text", "$.uuid")).alias("key"),
+        F.when(model != "<synthetic>", model).alias("model"),
+        F.when(F.coalesce(side, F.lit(False)), "subagent").otherwise("main").alias("query_source"),
+        instant(text("text", "$.timestamp")).alias("occurred_at"),
     )
-    vector = ["input", "read", "write", "output"]
-    invalid = F.greatest(*(F.col(c).isNull().cast("int") for c in vector)) == 1
+
+
+def invalid() -> Column:
+    """Whether a count of the snapshot is none."""
+    return F.greatest(*(F.col(c).isNull().cast("int") for c in VECTOR)) == 1
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Records of parsed lines. The session is the file's (logical_id), the turn the nearest user message above. Values are
+    carried along a file, so its parsed lines meet in one task of the window, spilled to disk where they are many."""
+    found = rows.withColumn("cwd", carried("cwd", ["file"])).where("asked")
     # A snapshot is compared with the last valid one of its response.
     so_far = Window.partitionBy("file", "key").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(~invalid, F.struct(*vector)), ignorenulls=True).over(so_far)
-    rows = with_turns(rows.withColumn("duplicate", ~invalid & before.eqNullSafe(F.struct(*vector))), nodes, ("user",))
-    reason = F.when(F.col("key").isNull(), "missing-response-id").when(invalid, "invalid-token-count")
-    kind = F.when(reason.isNotNull(), "quarantine").when(F.col("duplicate"), "duplicate").when(sum((F.col(c) for c in vector), F.lit(0)) == 0, "skipped").otherwise("usage")
-    model = text("text", "$.message.model")
-    side = (F.get_json_object("text", "$.isSidechain") == "true") | F.get_json_object("text", "$.agentId").isNotNull()
-    records = shaped(
-        rows,
+    before = F.last(F.when(~invalid(), F.struct(*VECTOR)), ignorenulls=True).over(so_far)
+    found = with_turns(found.withColumn("duplicate", ~invalid() & before.eqNullSafe(F.struct(*VECTOR))), rows.select("file", "ordinal", "node", "parent", "role"), ("user",))
+    reason = F.when(F.col("key").isNull(), "missing-response-id").when(invalid(), "invalid-token-count")
+    kind = F.when(reason.isNotNull(), "quarantine").when(F.col("duplicate"), "duplicate").when(sum((F.col(c) for c in VECTOR), F.lit(0)) == 0, "skipped").otherwise("usage")
+    out = shaped(
+        found,
         file="file",
         ordinal="ordinal",
         kind=kind,
         reason=reason,
         logical_session_id=logical_id(),
         request_id="key",
-        parent_id=text("text", "$.parentUuid", "$.parent_uuid"),
+        parent_id="parent",
         turn_id="turn_id",
-        raw_model_id=F.when(model != "<synthetic>", model),
+        raw_model_id="model",
         cwd="cwd",
-        occurred_at=F.coalesce(instant(text("text", "$.timestamp")), modified(lines)),
+        occurred_at=F.coalesce(F.col("occurred_at"), modified(rows)),
         fresh_input_tokens="input",
         cache_read_input_tokens="read",
         cache_write_input_tokens="write",
         cache_write_available="known",
         output_tokens="output",
-        query_source=F.when(F.coalesce(side, F.lit(False)), "subagent").otherwise("main"),
+        query_source="query_source",
     )
-    return with_malformed(lines, records)
+    return out.unionByName(quarantined(rows.where("broken")))
+
+
+def context(rows: DataFrame) -> DataFrame:
+    """The parsed lines that later ones depend on: the last directory, the last valid snapshot of each response, and of every
+    message its place in the graph alone."""
+    valid = F.col("asked") & ~invalid()
+    marked = rows.where("NOT broken").withColumns({"place": is_last(F.col("cwd").isNotNull(), ["file"]), "last": is_last(valid, ["file", "key"])})
+    return graph_alone(marked, marked["last"] | marked["place"]).drop("place", "last")
 
+
+def claude(lines: DataFrame) -> DataFrame:
+    """Records of lines (file, ordinal, text)."""
+    return records(parsed(lines))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators.ingest import safe
-from meterlake.sources.records import shaped, with_malformed
+from meterlake.sources.records import carrying, malformed, quarantined, shaped
 
 # The format of spooled events, whichever producer comes first in its tag, and a flag.
 FORMAT, AMBIGUOUS = r"^[a-z]+\.cursor\.usage\.v1$", "multi-root-project-ambiguous"
@@ -78,8 +78,8 @@ def sanitised(payloads: DataFrame, project_dir: str | None = None) -> DataFrame:
     return rows.where("conversationId IS NOT NULL AND generationId IS NOT NULL")
 
 
-def cursor(lines: DataFrame) -> DataFrame:
-    """Records of spooled lines (file, ordinal, text): counters and identities are validated again.
+def parsed(lines: DataFrame) -> DataFrame:
+    """What the records take from spooled lines (file, ordinal, text): counters and identities are validated again.
 
     Events without any counter are quarantined, those with zeros alone are no request. The input of live events may or may
     not include cached tokens, which a flag says.
@@ -89,7 +89,7 @@ def cursor(lines: DataFrame) -> DataFrame:
     broken = F.lit(False)
     for c in COUNTERS:
         broken = broken | (given[c].isNotNull() & value[c].isNull())
-    rows = lines.where(F.coalesce(F.schema_of_variant(F.try_parse_json("text")), F.lit("")).startswith("OBJECT")).withColumns(
+    rows = lines.withColumn("bad", malformed()).where("text IS NULL OR trim(text) <> ''").withColumns(
         {c: x for c, x in value.items()} | {"broken": broken, "conversation": _text("text", "conversationId"), "generation": _text("text", "generationId"), "source": F.coalesce(F.get_json_object("text", "$.source"), F.lit(""))}
     )
     counts = [F.col(c) for c in COUNTERS[:4]]
@@ -113,27 +113,53 @@ def cursor(lines: DataFrame) -> DataFrame:
             F.when(F.col("cacheReadTokens").isNull(), F.lit("missing-cache-read")),
         )
     )
-    records = shaped(
-        rows,
+    return rows.select(
+        *carrying(lines),
+        F.col("bad").alias("broken"),
+        F.when(reason.isNotNull(), "quarantine").when(zero, "skipped").otherwise("usage").alias("kind"),
+        reason.alias("reason"),
+        "conversation",
+        "generation",
+        _text("text", "modelId", "legacyModel").alias("model"),
+        _text("text", "workspaceRoot").alias("cwd"),
+        _instant(F.get_json_object("text", "$.occurredAt")).cast("timestamp_ntz").alias("occurred_at"),
+        *COUNTERS,
+        flags.alias("flags"),
+    )
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Records of parsed events; no event depends on another."""
+    out = shaped(
+        rows.where("NOT broken"),
         file="file",
         ordinal="ordinal",
-        kind=F.when(reason.isNotNull(), "quarantine").when(zero, "skipped").otherwise("usage"),
-        reason=reason,
+        kind="kind",
+        reason="reason",
         logical_session_id="conversation",
         request_id="generation",
         turn_id="generation",
-        raw_model_id=_text("text", "modelId", "legacyModel"),
-        cwd=_text("text", "workspaceRoot"),
-        occurred_at=_instant(F.get_json_object("text", "$.occurredAt")).cast("timestamp_ntz"),
+        raw_model_id="model",
+        cwd="cwd",
+        occurred_at="occurred_at",
         fresh_input_tokens=F.coalesce("inputTokens", F.lit(0)),
         cache_read_input_tokens=F.coalesce("cacheReadTokens", F.lit(0)),
         cache_write_input_tokens=F.coalesce("cacheWriteTokens", F.lit(0)),
         cache_write_available=F.col("cacheWriteTokens").isNotNull(),
-        output_tokens=F.coalesce("outputTokens", F.lit(0)),
+        output_tokens="outputTokens",
         reasoning_output_tokens="reasoningTokens",
-        flags=flags,
+        flags="flags",
     )
-    return with_malformed(lines, records)
+    return out.unionByName(quarantined(rows.where("broken")))
+
+
+def context(rows: DataFrame) -> DataFrame:
+    return rows.where(F.lit(False))
+
+
+def cursor(lines: DataFrame) -> DataFrame:
+    """Records of spooled lines (file, ordinal, text)."""
+    return records(parsed(lines))
 
 
 # The older store: cursorDiskKV(key, value) as sqlite.KeyValues reads it.

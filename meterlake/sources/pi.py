@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import to_nano
-from meterlake.operators.ingest import clamped, first_seen, text
-from meterlake.sources.records import instant, modified, shaped, with_malformed, with_turns
+from meterlake.operators.ingest import clamped, first_seen, is_first, text
+from meterlake.sources.records import carrying, graph_alone, instant, malformed, modified, quarantined, shaped, with_turns
 
 # The spellings of each field; the first that is there counts.
 FRESH = ("input", "inputTokens", "input_tokens")
@@ -27,46 +27,73 @@ def given(json: str, names: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.get_json_object(json, f"$.{n}") for n in names)).try_cast("double")
 
 
-def pi(lines: DataFrame) -> DataFrame:
-    """Records of lines (file, ordinal, text). What the total holds beyond its parts is unattributed; output includes reasoning."""
+def parsed(lines: DataFrame) -> DataFrame:
+    """What accounting needs of each line (file, ordinal, text); a row without text stays, all else null."""
     id_ = text("text", *IDS)
-    header = F.get_json_object("text", "$.type").isin(*HEADERS) & id_.isNotNull()
-    own = F.coalesce(text("text", "$.sessionId", "$.session_id"), F.lit("unknown"))
-    rows = lines.withColumns(
-        {
-            "session": F.coalesce(first_seen(F.when(header, id_), ["file"]), own),
-            "cwd": F.coalesce(text("text", "$.cwd"), first_seen(F.when(header, text("text", "$.cwd")), ["file"])),
-            "node": id_,
-            "usage": F.coalesce(F.get_json_object("text", "$.usage"), F.get_json_object("text", "$.message.usage")),
-        }
-    )
-    nodes = rows.select("file", "ordinal", "node", text("text", *PARENTS).alias("parent"), text("text", "$.role", "$.message.role").alias("role"))
+    given_usage = lines.withColumn("usage", F.coalesce(F.get_json_object("text", "$.usage"), F.get_json_object("text", "$.message.usage")))
     keys = F.coalesce(F.json_object_keys("usage"), F.array().cast("array<string>"))
-    rows = rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, ANY))))
-    rows = with_turns(rows, nodes, USER)
-    rows = rows.withColumns({n: clamped(given("usage", names)) for n, names in {"fresh": FRESH, "read": READ, "write": WRITE, "output": OUTPUT, "total": TOTAL}.items()})
+    has = lambda names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
     reasoning, cost = given("usage", REASONING), given("usage", COST)
+    counts = {"fresh": FRESH, "read": READ, "write": WRITE, "output": OUTPUT, "total": TOTAL}
+    return given_usage.select(
+        *carrying(lines),
+        malformed().alias("broken"),
+        F.coalesce(F.get_json_object("text", "$.type").isin(*HEADERS) & id_.isNotNull(), F.lit(False)).alias("header"),
+        id_.alias("node"),
+        text("text", *PARENTS).alias("parent"),
+        text("text", "$.role", "$.message.role").alias("role"),
+        text("text", "$.sessionId", "$.session_id").alias("own_session"),
+        text("text", "$.cwd").alias("cwd"),
+        has(ANY).alias("asked"),
+        *(clamped(given("usage", names)).alias(n) for n, names in counts.items()),
+        F.when(reasoning.isNotNull() & ~F.isnan(reasoning), clamped(reasoning)).alias("reasoning"),
+        F.when(cost.isNotNull() & ~F.isnan(cost), to_nano(F.greatest(F.lit(0.0), cost))).alias("cost_nano"),
+        has(WRITE).alias("wrote"),
+        text("text", "$.message.provider", "$.provider").alias("provider"),
+        text("text", "$.message.model", "$.model").alias("model"),
+        instant(text("text", *TIMES)).alias("occurred_at"),
+    )
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Records of parsed lines. What the total holds beyond its parts is unattributed; output includes reasoning."""
+    named = first_seen(F.when(F.col("header"), F.col("node")), ["file"])
+    place = first_seen(F.when(F.col("header"), F.col("cwd")), ["file"])
+    found = rows.withColumns({"session": F.coalesce(named, F.col("own_session"), F.lit("unknown")), "cwd": F.coalesce(F.col("cwd"), place)}).where("asked")
+    found = with_turns(found, rows.select("file", "ordinal", "node", "parent", "role"), USER)
     known = sum((F.col(c) for c in ("fresh", "read", "write", "output")), F.lit(0))
-    records = shaped(
-        rows,
+    out = shaped(
+        found,
         file="file",
         ordinal="ordinal",
         kind=F.lit("usage"),
         logical_session_id="session",
         request_id=F.concat_ws(":", F.col("session"), F.coalesce("node", F.concat(F.lit("line-"), "ordinal"))),
-        parent_id=text("text", *PARENTS),
+        parent_id="parent",
         turn_id="turn_id",
-        raw_provider_id=text("text", "$.message.provider", "$.provider"),
-        raw_model_id=text("text", "$.message.model", "$.model"),
+        raw_provider_id="provider",
+        raw_model_id="model",
         cwd="cwd",
-        occurred_at=F.coalesce(instant(text("text", *TIMES)), modified(lines)),
+        occurred_at=F.coalesce(F.col("occurred_at"), modified(rows)),
         fresh_input_tokens="fresh",
         cache_read_input_tokens="read",
         cache_write_input_tokens="write",
-        cache_write_available=F.arrays_overlap(F.json_object_keys("usage"), F.array(*map(F.lit, WRITE))),
+        cache_write_available="wrote",
         output_tokens="output",
-        reasoning_output_tokens=F.when(reasoning.isNotNull() & ~F.isnan(reasoning), clamped(reasoning)),
+        reasoning_output_tokens="reasoning",
         unattributed_tokens=F.greatest(F.lit(0), F.col("total") - known),
-        cost_nano_usd=F.when(cost.isNotNull() & ~F.isnan(cost), to_nano(F.greatest(F.lit(0.0), cost))),
+        cost_nano_usd="cost_nano",
     )
-    return with_malformed(lines, records)
+    return out.unionByName(quarantined(rows.where("broken")))
+
+
+def context(rows: DataFrame) -> DataFrame:
+    """The parsed lines that later ones depend on: the first header, the first that names a directory, and of every message its
+    place in the graph alone."""
+    marked = rows.where("NOT broken").withColumns({"opens": is_first(F.col("header"), ["file"]), "places": is_first(F.col("header") & F.col("cwd").isNotNull(), ["file"])})
+    return graph_alone(marked, marked["opens"] | marked["places"]).drop("opens", "places")
+
+
+def pi(lines: DataFrame) -> DataFrame:
+    """Records of lines (file, ordinal, text)."""
+    return records(parsed(lines))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators.graph import first_nodes, nearest
+from meterlake.sources.lines import logical_id
 
 #: kind is usage, duplicate, quarantine (with a reason), or skipped for records that count nothing.
 RECORD = """file string, ordinal long, kind string, reason string, logical_session_id string, request_id string, parent_id string, turn_id string,
@@ -28,10 +29,24 @@ def shaped(rows: DataFrame, **columns: Column | str) -> DataFrame:
     return rows.select(*(one(*f) for f in FIELDS))
 
 
+def malformed(text: str = "text") -> Column:
+    """Whether a line is neither blank nor a JSON object."""
+    return (F.trim(text) != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json(text)), F.lit("")).startswith("OBJECT")
+
+
+def quarantined(bad: DataFrame) -> DataFrame:
+    """Records of malformed lines (file, ordinal), under the session of their file."""
+    return shaped(bad, file="file", ordinal="ordinal", kind=F.lit("quarantine"), reason=F.lit("malformed-json"), logical_session_id=logical_id())
+
+
 def with_malformed(lines: DataFrame, records: DataFrame) -> DataFrame:
     """The records, and a quarantined one for every line that is neither blank nor a JSON object."""
-    bad = lines.where((F.trim("text") != "") & (F.coalesce(F.schema_of_variant(F.try_parse_json("text")), F.lit("")).startswith("OBJECT") == F.lit(False)))
-    return records.unionByName(shaped(bad, file="file", ordinal="ordinal", kind=F.lit("quarantine"), reason=F.lit("malformed-json")))
+    return records.unionByName(quarantined(lines.where(malformed())))
+
+
+def carrying(lines: DataFrame) -> list[str]:
+    """What a parsed line keeps of the line: its place, and whatever else it is known by."""
+    return [c for c in lines.columns if c != "text"]
 
 
 def with_turns(rows: DataFrame, nodes: DataFrame, roles: tuple[str, ...], node: str = "node") -> DataFrame:
@@ -43,6 +58,17 @@ def with_turns(rows: DataFrame, nodes: DataFrame, roles: tuple[str, ...], node:
     return out.withColumn("turn_id", F.when(F.col("known_at") <= F.col("ordinal"), F.col("turn_id"))).drop("known_at")
 
 
+def graph_alone(rows: DataFrame, needed: Column) -> DataFrame:
+    """The parsed lines that are needed, and the first of every other message with its place in the graph alone: what it said of
+    usage, sessions and directories becomes null or false."""
+    first = F.row_number().over(Window.partitionBy("file", "node").orderBy("ordinal")) == 1
+    whole = F.coalesce(needed, F.lit(False))
+    marked = rows.withColumns({"__whole": whole, "__first": F.col("node").isNotNull() & first}).where("__whole OR __first")
+    kept = ("file", "ordinal", "node", "parent", "role")
+    nothing = lambda kind: F.lit(False if kind == "boolean" else None).cast(kind)
+    return marked.select(*(F.col(c) if c in kept else F.when(F.col("__whole"), F.col(c)).otherwise(nothing(kind)).alias(c) for c, kind in rows.dtypes))
+
+
 def modified(lines: DataFrame) -> Column:
     """When a line's file was last written, if the lines know."""
     return F.col("modified_at").cast("timestamp_ntz") if "modified_at" in lines.columns else F.lit(None).cast("timestamp_ntz")

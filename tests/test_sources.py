@@ -128,10 +128,54 @@ def test_codex_running_totals(read):
 
 
 def test_codex_replay_of_a_fork(read):
-    meta = META | {"source": {"subagent": {"x": 1}}}
-    got = read("codex", meta, *(codex_last(f"2026-01-01T00:00:0{s}Z", 50 + i, 0, 0, 5, 0, 55 + i) for i, s in enumerate(("0.000", "0.500", "0.900"))), codex_last("2026-01-01T00:00:09Z", 100, 0, 0, 25, 0, 125))
+    """The replay is counted from the time at which the fork was named."""
+    meta = META | {"source": {"subagent": {"x": 1}}, "timestamp": "2026-01-01T00:00:00Z"}
+    burst = [codex_last(f"2026-01-01T00:00:0{s}Z", 50 + i, 0, 0, 5, 0, 55 + i) for i, s in enumerate(("0.000", "0.500", "0.900"))]
+    got = read("codex", meta, *burst, codex_last("2026-01-01T00:00:09Z", 100, 0, 0, 25, 0, 125))
     assert [r["kind"] for r in got] == ["skipped"] * 3 + ["usage"]
     assert (got[3]["fresh_input_tokens"], got[3]["output_tokens"]) == (100, 25)
+    late = codex_last("2026-01-01T00:01:00Z", 100, 0, 0, 25, 0, 125)
+    assert [r["kind"] for r in read("codex", meta, late)] == ["usage"]
+    assert [r["kind"] for r in read("codex", {k: v for k, v in meta.items() if k != "timestamp"}, burst[0])] == ["usage"]
+
+
+def test_codex_names_of_forks(spark):
+    cases = [({"source": "subagent"}, True), ({"source": "fork"}, True), ({"source": {"fork": None}}, True), ({"forked_from_id": "x"}, True), ({"forked_from_id": ""}, False), ({"source": "cli"}, False), ({"source": {"other": 1}}, False)]
+    lines, want = [], {}
+    for i, (more, forked) in enumerate(cases):
+        for k, meta in enumerate(({"type": "session_meta", "payload": more}, {"session_meta": more}, {"type": "session_meta"} | more)):
+            want[f"{i}-{k}"] = "skipped" if forked else "usage"
+            lines += [(f"{i}-{k}", 1, json.dumps(meta | {"timestamp": 1767225600000})), (f"{i}-{k}", 2, json.dumps(codex_last("2026-01-01T00:00:00.100Z", 5, 0, 0, 5, 0, 10)))]
+    got = READERS["codex"](spark.createDataFrame(lines, "file string, ordinal long, text string")).collect()
+    assert {r["file"]: r["kind"] for r in got} == want
+
+
+def test_codex_shapes_and_spellings(read):
+    """The file is the session; every shape of an event and every spelling of a count is read; a missing total is none."""
+    camel = {"inputTokens": 100, "cachedInputTokens": "20", "cacheWriteInputTokens": None, "outputTokens": 7.9, "reasoningOutputTokens": 3, "totalTokens": 120}
+    token = lambda v: {"type": "token_count", "info": {"last_token_usage": v}}
+    got = read(
+        "codex",
+        META,
+        {"event_msg": {"payload": token(camel)}},
+        {"type": "event_msg", "payload": {"payload": {"type": "token_count"}, "usage": {"input_tokens": 10, "total_tokens": 10}}},
+        {"type": "token_count", "payload": {"payload": {"total_token_usage": {"input_tokens": 15, "cache_read_input_tokens": 4, "total_tokens": 15}}}},
+        {"type": "event_msg", "payload": token({"input_tokens": 5, "output_tokens": 1})},
+        {"type": "event_msg", "payload": token({"input_tokens": 5, "output_tokens": 1, "total_tokens": 0})},
+        {"type": "event_msg", "payload": token({"input_tokens": -5, "total_tokens": 0})},
+        {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 5}}}},
+        {"type": "event_msg", "payload": [1]},
+        {"type": "session_meta", "id": "second", "model": "other"},
+        {"type": "event_msg", "payload": token({"input_tokens": 6, "total_tokens": 6})},
+    )
+    assert [(r["ordinal"], r["kind"], r["reason"]) for r in got] == [
+        (2, "usage", None), (3, "skipped", None), (4, "usage", None), (5, "quarantine", "impossible-total-relationship"), (6, "duplicate", None), (7, "quarantine", "negative-token-count"), (11, "usage", None),
+    ]
+    one, delta = got[0], got[2]
+    assert (one["logical_session_id"], one["request_id"]) == ("f", "f:2")
+    assert (one["fresh_input_tokens"], one["cache_read_input_tokens"], one["cache_write_available"], one["output_tokens"], one["reasoning_output_tokens"], one["unattributed_tokens"]) == (80, 20, True, 7, 3, 13)
+    assert (delta["fresh_input_tokens"], delta["cache_read_input_tokens"], delta["unattributed_tokens"], delta["cache_write_available"]) == (1, 4, 0, False)
+    assert got[-1]["raw_model_id"] == "gpt-5"
 
 
 def test_pi(read):
@@ -384,6 +428,25 @@ def test_envelope_hash_ignores_the_order_of_columns(spark):
     assert one == two and one[0] != one[1] and all(len(x) == 32 for x in one)
 
 
+def test_replayed_records_of_any_kind_add_nothing(spark, tmp_path):
+    """Malformed lines and logs that name no session have the session of their file: their records have a key."""
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "r1.jsonl").write_text("[1]\n" + json.dumps(codex_last(None, 5, 0, 0, 5, 0, 10)) + "\nbroken\n")
+    for batch in (0, 1, 2):
+        bronze.append(normalize.raw(READERS["codex"](finished_lines(spark, str(tmp_path / "logs"))), "codex", "one", batch), f"{tmp_path}/bronze", batch)
+    held = spark.read.parquet(f"{tmp_path}/bronze")
+    assert held.count() == 3 and {r[0] for r in held.select("logical_session_id").collect()} == {"r1"}
+
+
+def test_commits_order_the_snapshots_of_a_request(spark):
+    rows = lambda file, n: READERS["claude-code"](spark.createDataFrame([(file, 1, json.dumps(claude_line(n)))], "file string, ordinal long, text string"))
+    older, newer = normalize.raw(rows("/x/b/s.jsonl", 1), "claude-code", "one", 1), normalize.raw(rows("/x/a/s.jsonl", 9), "claude-code", "one", 2)
+    assert [r["output_tokens"] for r in normalize.facts(older.union(newer)).collect()] == [9]
+    spools = ["/s/live/2026-01-01/s.jsonl", "/s/backfill/import/s.jsonl"]
+    both = normalize.raw(rows(spools[0], 2).union(rows(spools[1], 1)), "claude-code", "one", 1)
+    assert [r["output_tokens"] for r in normalize.facts(both).collect()] == [2]
+
+
 def test_run_log_and_clearing(spark):
     rows = [("r1", 1, "2026-01-01 00:00:00", "running", 1, 5, 1, 0, None), ("r1", 2, "2026-01-01 00:01:00", "running", 1, 2, None, 3, "disk"), ("r1", 3, "2026-01-01 00:02:00", "completed", None, None, None, None, "late"), ("r2", 1, "2026-01-02 00:00:00", "running", None, None, None, None, None)]
     entries = spark.createDataFrame(rows, "run_id string, seq long, at string, status string, files long, imported long, duplicates long, quarantined long, error string").selectExpr("* EXCEPT (at)", "cast(at AS timestamp_ntz) AS at")
