@@ -75,20 +75,32 @@ def _quoted(text: str) -> str:
     return f"'{escaped}'"
 
 
+def _running(lengths: Column) -> Column:
+    """Sums up to each element. Each step adds what lies twice as far back, so n elements take n log n additions and no array grows."""
+    n = F.size(lengths)
+
+    def step(acc: Column, j: Column) -> Column:
+        back = F.least(n, F.pow(F.lit(2), j).cast("int"))
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), back), F.slice(acc, F.lit(1), n - back)), lambda a, b: a + b)
+
+    return F.when(n > 1, F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), lengths, step)).otherwise(lengths)
+
+
 def _intervals(text: Column, rule: Column) -> Column:
     """Start and end of every match of a rule: lengths of what lies between matches and of the matches, added up."""
     gaps = F.transform(F.split(text, rule["pattern"], -1), lambda x: _size(x))
     hits = F.transform(F.regexp_extract_all(text, F.concat(F.lit("("), rule["pattern"], F.lit(")")), F.lit(1)), lambda x: _size(x))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,back:int,priority:int,label:string,end:int>>))")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["hit"]
-        span = F.struct(start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(end: Column, hit: Column) -> Column:
+        return F.struct((end - hit).alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), end.alias("end"))
+
+    # One element each, so that both arrays are made once: lambdas read their arguments as often as they like.
+    def placed(own: Column) -> Column:
+        lengths = F.zip_with(F.slice(own["gaps"], F.lit(1), F.size(own["hits"])), own["hits"], lambda a, b: a + b)
+        ends = F.transform(F.array(lengths), lambda x: _running(x))[0]
+        return F.zip_with(ends, own["hits"], span)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda a, b: F.struct(a.alias("gap"), b.alias("hit")))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    return F.transform(F.array(F.struct(gaps.alias("gaps"), hits.alias("hits"))), placed)[0]
 
 
 def with_rules(docs: DataFrame, prefilter: bool = True) -> DataFrame:

@@ -178,3 +178,17 @@ def test_no_python_in_the_plan(spark, documents):
 
 def test_empty_table(documents):
     assert licenses.scan(documents([])).count() == 0
+
+
+def test_running_sums(spark):
+    rows = [([],), ([5],), ([1, 2],), (list(range(1000)),), ([3] * 17,)]
+    df = spark.createDataFrame(rows, "x array<int>")
+    for x, got in df.select("x", licenses._running(df["x"])).collect():
+        assert got == [sum(x[: i + 1]) for i in range(len(x))] if len(x) < 100 else got[-1] == sum(x) and got[500] == sum(x[:501])
+
+
+def test_many_matches_in_a_long_text(documents):
+    """A hundred thousand matches in one text take seconds, and give the labels of a few."""
+    text = "gnu gpl license and the mit license. "
+    few, many = sorted(licenses.scan(documents([(1, text * 3), (2, text * 100_000)])).collect())
+    assert (few["labels"], few["score"]) == (many["labels"], many["score"]) and many["n_base"] == 100_000
