@@ -1,7 +1,7 @@
 """Near-duplicate texts: fast similarity sketches, banding, and exact verification on full shingle sets.
 
-Texts with equal sets are one class; a class's smallest doc_id stands for it. Classes that share a band are
-candidates, and every candidate pair between different components is verified on the full sets, unless it falls to a
+Texts with equal sets are one class, which has a number of its own; its name is its smallest doc_id, and a component's name
+the smallest of its classes. Classes that share a band are candidates, and every candidate pair between different components is verified on the full sets, unless it falls to a
 bound that a linked pair keeps to (sizes; one bit of each bin at six standard deviations).
 
 No group's pairs are listed. First, every class of a bucket meets only the bucket's smallest, and what is linked becomes
@@ -15,8 +15,9 @@ components: the first ones are not walked again.
 Sets are compared as 64-bit hashes of their shingles, classes by a 128-bit digest of the set.
 
 Edge cases: null, empty or blank texts have the empty set and link with nothing; repeated rows share their id, set and
-component, and one row of them is enough to stand for it; rows without doc_id link with nothing and stay; extra
-columns are not read; an empty table gives an empty result.
+component, and one row of them is enough to stand for it; rows of one doc_id with different texts are in the classes of
+their texts, and all of them stay if one does; rows without doc_id link with nothing and stay; extra columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -153,9 +154,9 @@ def verified_clusters(members: DataFrame, sets: DataFrame, percent: int) -> Data
 
 
 def linked(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """id and component_id of the classes that links connect; None without candidates.
+    """id and component_id (one of its ids) of the classes that links connect; None without candidates.
 
-    classes: id, digest, n, bands, bits. docs: doc_id, text.
+    classes: id, rep (a doc_id that has it), digest, n, bands, bits. docs: doc_id, text.
     """
     rows = classes.select("id", "n", *(F.col("bits")[i].alias(f"s{i}") for i in range(3)), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
@@ -163,8 +164,8 @@ def linked(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     if rows.isEmpty():
         return None
     # Sets of the classes that have a candidate, found again from their texts.
-    need = rows.select("id").distinct().join(classes.select("id", "digest"), "id")
-    texts = docs.join(need, F.col("doc_id") == F.col("id")).select("id", "digest", "text")
+    need = rows.select("id").distinct().join(classes.select("id", "rep", "digest"), "id")
+    texts = docs.join(need, F.col("doc_id") == F.col("rep")).select("id", "digest", "text")
     sets = written(texts.mapInPandas(lambda it: _sets(it, words), "id long, items binary").dropDuplicates(["id"]), "sets")
 
     def plausible_pairs(x: DataFrame, y: DataFrame, test: Column) -> DataFrame:
@@ -205,17 +206,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = short_batches(docs).select(ids(), whole().alias("text"))
     sketched = written(rows.mapInPandas(lambda it: _sketch(it, words), SKETCH), "sketches")
     known = sketched.where((F.col("doc_id") != NO_ID) & (F.col("n") > 0))
-    # The class of a set: its smallest doc_id. Copies fold before the shuffle.
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"))
+    # Copies fold before the shuffle; the number of a class is fixed once it is written.
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id())
     first = written(first, "classes")
-    own = known.join(first.select("digest", "id"), "digest").where("doc_id = id").select("id", "digest", "n", "bands", "bits").dropDuplicates(["id"])
+    own = known.join(first, "digest").where("doc_id = rep").select("id", "rep", "digest", "n", "bands", "bits").dropDuplicates(["id"])
     found = linked(own, rows, words, percent)
-    named = first.select("digest", "id")
+    named = first.select("digest", "rep")
     if found is None:
-        named = named.withColumn("component_id", F.col("id"))
+        named = named.withColumn("component_id", F.col("rep"))
     else:
-        named = named.join(found, "id", "left").select("digest", "id", F.coalesce("component_id", "id").alias("component_id"))
-    classed = known.select("doc_id", "n", "digest").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), "component_id")
+        joined = written(first.join(found.withColumnRenamed("component_id", "component"), "id").select("id", "rep", "component"), "joined")
+        least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+        named = first.join(joined.join(least, "component").select("id", "component_id"), "id", "left").select("digest", "rep", F.coalesce("component_id", "rep").alias("component_id"))
+    classed = known.select("doc_id", "n", "digest").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), "component_id")
     rest = with_nulls(sketched.where((F.col("doc_id") == NO_ID) | (F.col("n") == 0)), "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return classed.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -223,7 +226,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without the later members of each component, columns as they are."""
     gone_id = unused(docs, "gone_id")
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = near_duplicates(docs, words, percent).groupBy(F.col("doc_id").alias(gone_id)).agg(F.bool_or("kept").alias("stays")).where("NOT stays").select(gone_id)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 

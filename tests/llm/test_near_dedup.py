@@ -113,3 +113,11 @@ def test_components_of_a_graph(spark):
 def test_empty_table(documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
     assert near_dedup.keep_one(documents([(1, None), (2, "")])).count() == 2
+
+
+def test_one_id_with_different_texts(documents):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " z"), (8, b + " z"), (9, "alone in this table of texts")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(documents(rows)).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(documents(rows)).collect()) == [5, 5, 9]
