@@ -13,8 +13,8 @@ probes a list. Large lists and groups with many queries are dealt further, in bl
 returns one count per vector and the edges of a spanning forest, never its pairs.
 
 Edge cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of
-different lengths never link; equal vectors link with one another; repeated vec_id rows are vectors of their own that
-share the id; extra columns are not read; an empty table gives an empty result.
+different lengths never link; equal vectors link with one another; rows that share a vec_id, or have none, are vectors of
+their own with counts and components of their own; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,9 +111,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """The distinct vectors: embedding, the smallest vec_id and how many have it."""
+    """The distinct vectors: embedding, the smallest vec_id, how many have it, and rep, a number of their own once written."""
     # Vectors are met by all their components; copies fold before the shuffle.
-    return vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    distinct = vectors.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    return distinct.withColumn("rep", F.monotonically_increasing_id())
 
 
 LINKS = "a long, b long, n long"
@@ -245,9 +246,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = written(found, "links")
     counts = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     parts = components(found.where("b <> -1").select("a", "b"))
+    joined = written(distinct.select("rep", "least").join(parts.withColumnRenamed("id", "rep"), "rep"), "joined")
+    # A component is called by the smallest vec_id of all its vectors.
+    names = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("rep", "component_id")
     # Every class has its place; vectors find theirs by the embedding itself.
-    named = distinct.join(counts, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = distinct.join(counts, "rep", "left").join(names, "rep", "left")
+    named = named.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = good.join(named, "embedding").select("vec_id", "n_links", "component_id")
     single = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     e = F.col("embedding")

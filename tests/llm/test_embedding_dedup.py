@@ -73,5 +73,13 @@ def test_edge_cases(spark):
     assert got == sorted(alone + linked)
 
 
+def test_one_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.01, -1.0]), (None, [0.0, 1.0, 0.01])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = sorted(map(repr, ((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(df).collect())))
+    # Both vectors of id 1 are linked, with different ones; of the rows without id one is, under the name of the other.
+    assert got == sorted(map(repr, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True), (None, 0, None, True), (None, 1, 1, True)]))
+
+
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
