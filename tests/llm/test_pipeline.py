@@ -98,4 +98,4 @@ def test_no_labels_keep_nothing(spark, documents, data):
 
 
 def test_registered():
-    assert len([n for n in __spark_entry__.queries() if n.startswith("op")]) == 10 and "pipeline" in __spark_entry__.queries()
+    assert len([n for n in __spark_entry__.queries() if n.startswith("op")]) == 13 and "pipeline" in __spark_entry__.queries()
