@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NANO = 1_000_000_000
@@ -47,8 +47,13 @@ def total(x: Column | str) -> Column:
     return F.coalesce(F.sum(c(x)), F.lit(0)).cast("long")
 
 
-def metric(name: str) -> Column:
-    """What one event adds to a metric; for a rate, its numerator."""
+def requests(rows: DataFrame) -> Column:
+    """How many events a row stands for: those of a rollup say it, an event is one."""
+    return F.col("requests") if "requests" in rows.columns else F.lit(1).cast("long")
+
+
+def metric(name: str, weight: Column) -> Column:
+    """What one row adds to a metric; for a rate, its numerator. weight: requests() of the rows."""
     columns = {
         "processedTokens": F.col("processed_tokens"),
         "processedInputTokens": F.col("processed_input_tokens"),
@@ -57,6 +62,6 @@ def metric(name: str) -> Column:
         "cacheReadInputTokens": F.col("cache_read_input_tokens"),
         "cacheHitRate": F.col("cache_read_input_tokens"),
         "costUsd": F.coalesce(costed(), F.lit(0)),
-        "requests": F.lit(1),
+        "requests": weight,
     }
     return columns[name].cast("long")

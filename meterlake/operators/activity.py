@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.metrics import processed_of_parts, total
+from meterlake.functions.metrics import processed_of_parts, requests, total
 from meterlake.operators.filters import Filters, apply, moment
 from meterlake.operators.usage import day_start, local_day
 
@@ -29,8 +29,8 @@ def days(events: DataFrame, f: Filters, zone: str, now: str) -> DataFrame:
 
 def by_harness(events: DataFrame, f: Filters, zone: str, now: str) -> DataFrame:
     """date, harness and their sessions, tokens and requests. Events are counted by local day before they meet the spine."""
-    rows = apply(events, f).select(local_day(zone).alias("day"), "harness", "session_id", processed_of_parts().alias("t"))
-    counts = rows.groupBy("day", "harness").agg(F.countDistinct("session_id").alias("sessions"), F.sum("t").alias("processed_tokens"), F.count("*").alias("requests"))
+    rows = apply(events, f).select(local_day(zone).alias("day"), "harness", "session_id", processed_of_parts().alias("t"), requests(events).alias("n"))
+    counts = rows.groupBy("day", "harness").agg(F.countDistinct("session_id").alias("sessions"), F.sum("t").alias("processed_tokens"), F.sum("n").alias("requests"))
     spine = days(events, f, zone, now).select("day")
     return counts.join(F.broadcast(spine), "day", "left_semi").select(F.col("day").cast("string").alias("date"), "harness", "sessions", "processed_tokens", "requests")
 
@@ -46,5 +46,5 @@ def totals(events: DataFrame, f: Filters, zone: str, now: str) -> DataFrame:
     """Distinct sessions, tokens, requests and days with any, over the period."""
     spine = days(events, f, zone, now).select("day")
     rows = apply(events, f).withColumn("day", local_day(zone)).join(F.broadcast(spine), "day", "left_semi")
-    grain = rows.groupBy("session_id", "day").agg(F.sum(processed_of_parts()).alias("t"), F.count("*").alias("n"))
+    grain = rows.groupBy("session_id", "day").agg(F.sum(processed_of_parts()).alias("t"), F.sum(requests(rows)).alias("n"))
     return grain.agg(F.countDistinct("session_id").alias("sessions"), total("t").alias("processed_tokens"), total("n").alias("requests"), F.countDistinct("day").alias("active_days"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import canonical
 from meterlake.functions.config import Config
-from meterlake.functions.metrics import costed, metric, ratio, to_usd, total
+from meterlake.functions.metrics import costed, metric, ratio, requests, to_usd, total
 from meterlake.operators.filters import Filters, apply, moment
 
 NONE = Filters()
@@ -25,7 +25,7 @@ def summary(events: DataFrame, f: Filters = NONE, by: dict[str, Column] | None =
     """
     names = list(by or {})
     rows = apply(events, f).withColumns(by or {})
-    cw, cost = F.col("cache_write_available"), F.col("cost_available")
+    cw, cost, weight = F.col("cache_write_available"), F.col("cost_available"), requests(rows)
     sums = {
         "processed_tokens": F.col("processed_tokens"),
         "processed_input_tokens": F.col("processed_input_tokens"),
@@ -39,10 +39,10 @@ def summary(events: DataFrame, f: Filters = NONE, by: dict[str, Column] | None =
         "costed_tokens": F.when(cost, F.col("processed_tokens")),
         "cw_read": F.when(cw, F.col("cache_read_input_tokens")),
         "cw_write": F.when(cw, F.col("cache_write_input_tokens")),
-        "requests": F.lit(1),
-        "reasoning_available": F.col("reasoning_output_tokens").isNotNull().cast("long"),
-        "cache_write_available": cw.cast("long"),
-        "cost_available": cost.cast("long"),
+        "requests": weight,
+        "reasoning_available": F.when(F.col("reasoning_output_tokens").isNotNull(), weight),
+        "cache_write_available": F.when(cw, weight),
+        "cost_available": F.when(cost, weight),
     }
     # (session, turn) is the grain on which both distinct counts are cheap.
     grain = rows.groupBy(*names, "session_id", "turn_id").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
@@ -91,7 +91,7 @@ def day_start(day: Column, zone: str) -> Column:
 
 def series_points(events: DataFrame, name: str, by: str = "provider", f: Filters = NONE, zone: str = "Europe/Berlin") -> DataFrame:
     """date, series, value, input_tokens of the days that have any; a rate keeps true zeros and drops days without input."""
-    rows = apply(events, f).select(local_day(zone).alias("day"), stored(by), metric(name).alias("v"), F.col("processed_input_tokens").alias("i"))
+    rows = apply(events, f).select(local_day(zone).alias("day"), stored(by), metric(name, requests(events)).alias("v"), F.col("processed_input_tokens").alias("i"))
     sums = rows.groupBy("day", "stored").agg(F.sum("v").alias("v"), F.sum("i").alias("i"))
     sums = sums.groupBy("day", canonical_of(by).alias("series")).agg(total("v").alias("v"), total("i").alias("input_tokens"))
     if name == "cacheHitRate":
@@ -224,7 +224,7 @@ def attribution(cells: DataFrame) -> DataFrame:
 
 def provider_dimension(events: DataFrame, config: Config = Config()) -> DataFrame:
     """Providers with their number of events and a display name from the aliases."""
-    per = events.where("canonical_provider_id is not null").groupBy(stored("provider"), "raw_provider_id").count()
+    per = events.where("canonical_provider_id is not null").groupBy(stored("provider"), "raw_provider_id").agg(F.sum(requests(events)).alias("count"))
     per = per.groupBy(canonical_of("provider").alias("provider"), "raw_provider_id").agg(F.sum("count").alias("count"))
     label = canonical.choose(F.lower("raw_provider_id"), {r.lower(): d for r, d in config.provider_aliases}, F.lit(None).cast("string"))
     exact = F.lower("raw_provider_id") == F.col("provider")
@@ -241,7 +241,7 @@ def provider_dimension(events: DataFrame, config: Config = Config()) -> DataFram
 
 def model_dimension(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Models, those without events included, with their events and tokens. known: column model_id of stored ids."""
-    stored = events.where("canonical_model_id is not null").groupBy("canonical_model_id").agg(F.count("*").alias("n"), F.sum("processed_tokens").alias("t"))
+    stored = events.where("canonical_model_id is not null").groupBy("canonical_model_id").agg(F.sum(requests(events)).alias("n"), F.sum("processed_tokens").alias("t"))
     if known is not None:
         stored = known.select(F.col("model_id").alias("canonical_model_id")).distinct().join(stored, "canonical_model_id", "left")
     merged = stored.groupBy(canonical.merged_model("canonical_model_id").alias("model")).agg(total("n").alias("event_count"), total("t").alias("total_tokens"))

@@ -107,13 +107,22 @@ def f9_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Canonical ids
 
-_RAW = """(VALUES ('gpt-5'), ('~openai/gpt-5'), (' ~ ~Claude-Sonnet-4-5 '), ('glm-5.2'), ('moonshotai/kimi-k3'), ('openrouter/deepseek/deepseek-v4'), ('o3-mini'),
-  ('grok-code-fast'), ('muse'), ('muse_x'), ('musette'), ('llama-3.3-70b'), ('my-model'), ('acme/my-model'), ('gemini-2.5-pro'), ('minimax-m3'), ('')) raw(x)"""
+# How sources spell models.
+_SPELLED = (
+    "gpt-5", "~openai/gpt-5", " ~ ~Claude-Sonnet-4-5 ", "glm-5.2", "moonshotai/kimi-k3", "openrouter/deepseek/deepseek-v4", "o3-mini", "grok-code-fast", "muse", "muse_x", "musette",
+    "llama-3.3-70b", "my-model", "acme/my-model", "gemini-2.5-pro", "minimax-m3", ""
+)
+# Each event spells a model; every third puts a release of its user behind it.
+_RAW = f"""{FACTS_SQL}, raw AS (SELECT [{", ".join(f"'{s}'" for s in _SPELLED)}][CAST(k % {len(_SPELLED)} AS BIGINT) + 1] || CASE WHEN k % 3 = 0 THEN '-r' || logical_session_id ELSE '' END AS x FROM facts),
+spelled AS (SELECT x, count(*) AS n FROM raw GROUP BY x)"""
 
 
-def _raw(spark: SparkSession) -> DataFrame:
-    names = ["gpt-5", "~openai/gpt-5", " ~ ~Claude-Sonnet-4-5 ", "glm-5.2", "moonshotai/kimi-k3", "openrouter/deepseek/deepseek-v4", "o3-mini", "grok-code-fast", "muse", "muse_x", "musette", "llama-3.3-70b", "my-model", "acme/my-model", "gemini-2.5-pro", "minimax-m3", ""]
-    return spark.createDataFrame([(n,) for n in names], "x string")
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spellings of all events and how often each comes."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    name = F.element_at(F.array(*map(F.lit, _SPELLED)), (k % len(_SPELLED) + 1).cast("int"))
+    release = F.when(k % 3 == 0, F.concat(F.lit("-r"), F.col("user_id").cast("string"))).otherwise("")
+    return table(spark, sf_dir, "events").groupBy(F.concat(name, release).alias("x")).agg(F.count("*").alias("n"))
 
 
 @query(f"{FACTS_SQL} SELECT raw_provider_id, {sql_provider('raw_provider_id')} AS provider, count(*) AS n FROM facts GROUP BY 1, 2")
@@ -121,20 +130,20 @@ def c1_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).groupBy("raw_provider_id", canonical.canonical_provider("raw_provider_id").alias("provider")).agg(F.count("*").alias("n"))
 
 
-@query(rf"SELECT x, trim(regexp_replace(x, '^\s*(~\s*)*', '')) AS routed FROM {_RAW}")
+@query(rf"{_RAW} SELECT x, n, trim(regexp_replace(x, '^\s*(~\s*)*', '')) AS routed FROM spelled")
 def c2_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark).select("x", canonical.routed_model("x").alias("routed"))
+    return _raw(spark, sf_dir).select("x", "n", canonical.routed_model("x").alias("routed"))
 
 
-@query(f"SELECT x, {sql_owner('x')} AS owner FROM {_RAW}")
+@query(f"{_RAW} SELECT x, n, {sql_owner('x')} AS owner FROM spelled")
 def c3_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark).select("x", canonical.model_owner("x").alias("owner"))
+    return _raw(spark, sf_dir).select("x", "n", canonical.model_owner("x").alias("owner"))
 
 
-@query(f"SELECT x, {sql_model('x')} AS model, {sql_model(sql_model('x'))} AS again FROM {_RAW}")
+@query(f"{_RAW} SELECT x, n, {sql_model('x')} AS model, {sql_model(sql_model('x'))} AS again FROM spelled")
 def c4_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = canonical.canonical_model("x")
-    return _raw(spark).select("x", once.alias("model"), canonical.canonical_model(once).alias("again"))
+    return _raw(spark, sf_dir).select("x", "n", once.alias("model"), canonical.canonical_model(once).alias("again"))
 
 
 RULES = Config(
@@ -167,11 +176,11 @@ def c7_hash_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("session_id").distinct().select("session_id", canonical.hash_id("session", "session_id").alias("hashed"))
 
 
-@query(f"""SELECT x, CASE WHEN {sql_model("x")} IS NULL THEN 'unknown' WHEN contains({sql_model("x")}, '/') AND starts_with(split_part({sql_model("x")}, '/', 2), split_part({sql_model("x")}, '/', 1) || '-')
-  THEN substr({sql_model("x")}, instr({sql_model("x")}, '/') + 1) ELSE {sql_model("x")} END AS display FROM {_RAW}""")
+@query(f"""{_RAW} SELECT x, n, CASE WHEN {sql_model("x")} IS NULL THEN 'unknown' WHEN contains({sql_model("x")}, '/') AND starts_with(split_part({sql_model("x")}, '/', 2), split_part({sql_model("x")}, '/', 1) || '-')
+  THEN substr({sql_model("x")}, instr({sql_model("x")}, '/') + 1) ELSE {sql_model("x")} END AS display FROM spelled""")
 def c8_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = F.coalesce(canonical.canonical_model("x"), F.lit("unknown"))
-    return _raw(spark).select("x", canonical.pretty_model(merged, merged).alias("display"))
+    return _raw(spark, sf_dir).select("x", "n", canonical.pretty_model(merged, merged).alias("display"))
 
 
 @query(f"""{FACTS_SQL}, labels(raw, display) AS (VALUES ('glm', 'GLM plan'), ('openai', 'OpenAI'), ('zai-coding-plan', 'Coding plan')),
@@ -188,9 +197,16 @@ def c10_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select(usage.model()).distinct().select("model", canonical.billing_mode(canonical.owner_segment("model"), BILLING).alias("billing_mode"))
 
 
-@query(rf"""{FACTS_SQL} SELECT project_id, coalesce(list_filter(string_split(replace(display_path, '\', '/'), '/'), lambda x: x <> '')[-1], 'Unassigned') AS name FROM projects""")
+# The directory of an event, with either slash, or none.
+_PATHS_SQL = r"CASE CAST(user_id % 4 AS BIGINT) WHEN 0 THEN '/srv/' || event_type || '/app' || user_id || '//' WHEN 1 THEN 'C:\Work\' || event_type || '\Tool ' || user_id WHEN 2 THEN '//' END"
+
+
+@query(rf"""WITH p AS (SELECT {_PATHS_SQL} AS path, count(*) AS n FROM events GROUP BY 1) SELECT path, n, coalesce(list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x <> '')[-1], 'Unassigned') AS name FROM p""")
 def c11_project_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projects(spark).select("project_id", canonical.project_name("display_path").alias("name"))
+    kind, user = F.col("user_id") % 4, F.col("user_id").cast("string")
+    path = F.when(kind == 0, F.concat(F.lit("/srv/"), "event_type", F.lit("/app"), user, F.lit("//"))).when(kind == 1, F.concat(F.lit("C:\\Work\\"), "event_type", F.lit("\\Tool "), user)).when(kind == 2, "//")
+    paths = table(spark, sf_dir, "events").groupBy(path.alias("path")).agg(F.count("*").alias("n"))
+    return paths.select("path", "n", canonical.project_name("path").alias("name"))
 
 
 @query(f"""{FACTS_SQL} SELECT id, CAST(floor(cost_nano_usd / 1e9::DOUBLE * 1000000000 + 0.5) AS BIGINT) AS nano, {sql_ratio("output_tokens", "cache_write_input_tokens")} AS r,

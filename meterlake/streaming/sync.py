@@ -7,7 +7,7 @@ a conversation is written anywhere. Before the new parsed lines of a file stand
 (table context), so that records come out as from one read of the whole file.
 
 Everything that a source's run changes is switched by one commit: bronze (raw records, appended), facts (the parts of the
-touched sessions, computed again from bronze in commit order), context, catalogue. A file of which any range could not be read
+touched sessions, computed again from bronze in commit order, and the rollup over those parts), context, catalogue. A file of which any range could not be read
 keeps its cursor and gives no line in this run; the next run reads it again from there. A source that fails as a whole
 leaves the others alone. Both are told in the run log. Since cursors are switched together with what was read, no line is
 lost or stored twice; restarts of rewritten files, and files that moved, meet the records that bronze has.
@@ -31,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from meterlake.functions.config import Config
-from meterlake.operators import normalize, store
+from meterlake.operators import normalize, rollup, store
 from meterlake.session import discard, written
 from meterlake.sources import STEPS
 from meterlake.sources.lines import GLOBS
@@ -41,6 +41,8 @@ from meterlake.streaming.commits import Change, Store, part_of
 RANGE_BYTES = 32 << 20
 MOST_TASKS = 10_000
 FILES = "source_id string, harness string, path string, size long, modified_ms long, cursor long, lines long, version string, present boolean"
+#: What facts and all that is above them is parted by.
+SESSION = "logical_session_id"
 _LINE = "file string, first long, ordinal long, text string, end long, error string, modified_at timestamp"
 
 
@@ -154,6 +156,26 @@ def _merged(change: Change, name: str, rows: DataFrame, key: str, keys: DataFram
     change.replace(name, rows if rest is None else rest.unionByName(rows), touched, key)
 
 
+def _facts(change: Change, config: Config, parts: list[int] | None = None) -> None:
+    """Puts the facts of some parts of bronze, or of all, and the rollup over them in the place of what was there.
+
+    A session lies in one part, so sums and distinct sessions of parts add up. A store that has no rollup yet gets all of it.
+    """
+    change.replace("facts", normalize.facts(change.read("bronze", parts), config), parts, SESSION)
+    parts = parts if "cells" in change.tables else None
+    own = change.read("facts", parts).withColumn("part", part_of(SESSION, change.store.parts))
+    change.replace("cells", rollup.cells(own, "part"), parts)
+    change.replace("visits", rollup.visits(own, "part"), parts)
+
+
+def rolled(st: Store, number: int | None = None) -> rollup.Rollup | None:
+    """The rollup as of one commit, the newest if none is named; None before the first."""
+    tables = st.tables(number)
+    if "cells" not in tables:
+        return None
+    return rollup.Rollup(*(st.load(name, tables[name]) for name in ("cells", "visits", "facts")))
+
+
 def sync_source(st: Store, source: Source, config: Config, range_bytes: int = RANGE_BYTES) -> dict:
     """Brings one source up to date by one commit; counts of what was done."""
     spark, steps = st.spark, STEPS[source.harness]
@@ -185,7 +207,7 @@ def sync_source(st: Store, source: Source, config: Config, range_bytes: int = RA
     new = written(store.new_records(incoming, bronze), "new")
     if not new.isEmpty():
         sessions = change.append("bronze", new, "logical_session_id")
-        change.replace("facts", normalize.facts(change.read("bronze", sessions), config), sessions, "logical_session_id")
+        _facts(change, config, sessions)
     taken = done.where("error IS NULL").select(F.col("path").alias("file"))
     if not taken.isEmpty():
         _merged(change, f"context_{source.harness}", steps.context(rows), "file", taken, st.parts)
@@ -215,7 +237,7 @@ def forget(st: Store, source: Source, config: Config) -> None:
     bronze = change.read("bronze")
     if bronze is not None:
         change.replace("bronze", store.without_source(bronze, source.id), None, "logical_session_id")
-        change.replace("facts", normalize.facts(change.read("bronze"), config), None, "logical_session_id")
+        _facts(change, config)
     context = change.read(f"context_{source.harness}")
     if context is not None:
         change.replace(f"context_{source.harness}", context.join(own.withColumnRenamed("path", "file"), "file", "left_anti"), None, "file")
@@ -226,9 +248,8 @@ def forget(st: Store, source: Source, config: Config) -> None:
 def renormalise(st: Store, config: Config) -> None:
     """All facts from bronze, under another config. Readers see the old facts until the commit, then the new ones."""
     change = st.begin()
-    bronze = change.read("bronze")
-    if bronze is not None:
-        change.replace("facts", normalize.facts(bronze, config), None, "logical_session_id")
+    if change.read("bronze") is not None:
+        _facts(change, config)
         change.commit()
 
 
