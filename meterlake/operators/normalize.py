@@ -86,12 +86,16 @@ def raw(records: DataFrame, harness: str, source: str, commit: int = 0) -> DataF
 
 
 def facts(bronze: DataFrame, config: Config = Config()) -> DataFrame:
-    """usage_events from bronze: the standing snapshot of each request, under the config of today."""
+    """usage_events from bronze: the standing snapshot of each request, under the config of today.
+
+    A project is named by the root of its repository where bronze has it, else by the directory.
+    """
     rows = store.events(bronze, config.cutoff)
     got = canonical.resolved(F.col("harness"), F.col("raw_provider_id"), F.col("raw_model_id"), F.col("occurred_at"), config)
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     inputs = n("fresh_input_tokens") + n("cache_read_input_tokens") + n("cache_write_input_tokens")
     written = F.coalesce(F.col("cache_write_available"), F.lit(False))
+    folder = F.coalesce("root", "cwd") if "root" in rows.columns else F.col("cwd")
     session = F.concat_ws(":", "harness", "logical_session_id")
     return rows.select(
         canonical.hash_id("event", F.concat_ws(":", "harness", "logical_session_id", "request_id")).alias("id"),
@@ -102,7 +106,7 @@ def facts(bronze: DataFrame, config: Config = Config()) -> DataFrame:
         "logical_session_id",
         "turn_id",
         "request_id",
-        canonical.project_id("cwd", config).alias("project_id"),
+        canonical.project_id(folder, config).alias("project_id"),
         "raw_provider_id",
         got["canonical_provider_id"].alias("canonical_provider_id"),
         got["provider_resolution"].alias("provider_resolution"),

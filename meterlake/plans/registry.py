@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from meterlake.plans import ingest_queries, record_queries, report_queries, rollup_queries, session_queries, sync_queries, usage_queries, volume_queries  # noqa: F401
+    from meterlake.plans import ingest_queries, page_queries, record_queries, report_queries, rollup_queries, session_queries, sync_queries, usage_queries, volume_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import to_nano
-from meterlake.operators.graph import first_nodes, nearest
+from meterlake.operators.graph import nearest
 from meterlake.operators.ingest import safe, text
 from meterlake.sources.records import shaped
 
@@ -45,7 +45,9 @@ def opencode(messages: DataFrame, file: str = "opencode.db") -> DataFrame:
     kind_of = F.coalesce(F.schema_of_variant(F.try_parse_json("data")), F.lit("")).startswith("OBJECT")
     rows = rows.withColumns({"good": kind_of, "role": text("data", "$.role"), "parent": text("data", "$.parentID")})
     bad = rows.where(~F.col("good"))
-    nodes = rows.where("good").select(F.lit("all").alias("session"), F.col("id").alias("node"), "parent", "role", F.lit(0).cast("long").alias("ordinal"))
+    # Of a message that was delivered more than once, the latest node.
+    last = rows.where("good").groupBy(F.col("id").alias("node")).agg(F.max_by(F.struct("parent", "role"), F.struct("delivery", "time_updated", "rowid")).alias("last"))
+    nodes = last.select(F.lit("all").alias("session"), "node", "last.parent", "last.role", F.lit(0).cast("long").alias("ordinal"))
     asked = F.get_json_object("data", "$.tokens").isNotNull() & F.arrays_overlap(F.json_object_keys(F.get_json_object("data", "$.tokens")), F.array(*map(F.lit, ("input", "output", "reasoning", "cache", "total"))))
     rows = rows.where("good AND role = 'assistant'").where(asked)
     parsed = {name: count(path) for name, path in COUNTS.items()}
@@ -75,7 +77,7 @@ def opencode(messages: DataFrame, file: str = "opencode.db") -> DataFrame:
     counted = F.col("valid") & ~nothing
     before = F.last(F.when(counted, state), ignorenulls=True).over(Window.partitionBy("id").orderBy("delivery", "time_updated").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("same", counted & before.eqNullSafe(state))
-    turns = nearest(first_nodes(nodes), ("user",)).select(F.col("node").alias("parent"), F.col("ancestor").alias("turn_id"))
+    turns = nearest(nodes, ("user",)).select(F.col("node").alias("parent"), F.col("ancestor").alias("turn_id"))
     rows = rows.join(turns, "parent", "left")
     kind = F.when(~F.col("valid"), "quarantine").when(nothing, "skipped").when(F.col("same"), "duplicate").otherwise("usage")
     records = shaped(

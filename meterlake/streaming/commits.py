@@ -124,7 +124,9 @@ class Change:
     def append(self, name: str, rows: DataFrame, key: Column | str) -> list[int]:
         """Adds rows to the parts that their key says, and gives those."""
         written = self._write(name, rows.withColumn("part", part_of(key, self.store.parts)))
-        held = self.tables.setdefault(name, Held(self._schema(rows)))
+        held = self.tables.setdefault(name, Held(""))
+        # Columns that came later are null in what is older.
+        held.schema = self._schema(rows)
         for p, folders in written.items():
             held.parts[p] = held.parts.get(p, []) + folders
         return sorted(written)

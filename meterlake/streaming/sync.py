@@ -31,6 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from meterlake.functions.config import Config
+from meterlake.functions.repository import with_roots
 from meterlake.operators import normalize, rollup, store
 from meterlake.session import discard, written
 from meterlake.sources import STEPS
@@ -202,7 +203,7 @@ def sync_source(st: Store, source: Source, config: Config, range_bytes: int = RA
     rows = written(rows, "rows")
     start = plan.select(F.col("path").alias("file"), "lines")
     records = steps.records(rows).join(start, "file").where(F.col("ordinal") > F.col("lines")).drop("lines")
-    incoming = written(normalize.raw(records, source.harness, source.id, change.number), "incoming")
+    incoming = written(with_roots(normalize.raw(records, source.harness, source.id, change.number)), "incoming")
     bronze = change.read("bronze", _touched(incoming, "logical_session_id", st.parts))
     new = written(store.new_records(incoming, bronze), "new")
     if not new.isEmpty():

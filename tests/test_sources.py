@@ -12,6 +12,7 @@ from meterlake.functions.repository import with_roots
 from meterlake.operators import normalize, store
 from meterlake.sources import READERS, sqlite
 from meterlake.sources.lines import finished_lines, fingerprint, logical_id, unchanged
+from meterlake.sources.sqlite import MESSAGES
 from meterlake.streaming import bronze
 
 cursor, opencode = (importlib.import_module(f"meterlake.sources.{name}") for name in ("cursor", "opencode"))
@@ -472,3 +473,17 @@ def test_bronze_stream_is_idempotent(spark, tmp_path):
     assert run() == [1, 2, 10]
     bronze.append(rows(("s", 2, "b", 9), ("s", 3, "c", 10)), f"{tmp_path}/bronze", 1)
     assert sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/bronze").collect()) == [1, 2, 10]
+
+
+def test_a_message_delivered_again_has_its_latest_node(spark):
+    """The answer hangs below a message that moved from one user to another; deliveries come in any order."""
+    def message(delivery, rowid, id_, **data):
+        return (rowid, id_, "s", 1, delivery, json.dumps(data), None, None, delivery)
+
+    rows = [
+        message(1, 1, "u1", role="user"), message(1, 2, "u2", role="user"), message(3, 3, "m", role="assistant", parentID="u2"), message(1, 3, "m", role="assistant", parentID="u1"),
+        message(1, 4, "a", role="assistant", parentID="m", tokens={"input": 1}),
+    ]
+    for some in (rows, rows[::-1]):
+        (got,) = READERS["opencode"](spark.createDataFrame(some, f"{MESSAGES}, delivery long")).select("request_id", "turn_id").collect()
+        assert tuple(got) == ("a", "u2")

@@ -214,3 +214,16 @@ def test_two_changes_from_one_commit(spark, tmp_path):
     with pytest.raises(RuntimeError, match="begin again"):
         two.commit()
     assert st.read("t").count() == 4
+
+
+def test_directories_of_one_repository_are_one_project(spark, tmp_path):
+    logs, st, repo = tmp_path / "logs", Store(spark, f"file://{tmp_path}/store", 2), tmp_path / "repo"
+    logs.mkdir()
+    (repo / ".git").mkdir(parents=True)
+    (repo / "sub").mkdir()
+    rows = [usage(i, sessionId=f"s{i}", cwd=str(folder)) for i, folder in enumerate((repo, repo / "sub", tmp_path, tmp_path / "gone"))]
+    (logs / "a.jsonl").write_bytes(dump(rows))
+    S.sync(st, [S.Source("s", "pi", f"file://{logs}")])
+    ids = {r["logical_session_id"]: r["project_id"] for r in st.read("facts").collect()}
+    assert ids["s0"] == ids["s1"] is not None
+    assert len(set(ids.values())) == 3
