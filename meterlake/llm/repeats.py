@@ -6,11 +6,13 @@ buckets only. Starts that follow each other and share an anchor are one context.
 no repeat and are done without their text; of all others the bytes go to their bucket with their places. There the
 different contexts are sorted as suffixes, one bucket at a time, with a difference cover for long ties (suffix_sort);
 neighbours that agree over LENGTH bytes are the repeats, and all places of a string but the earliest are covered.
-Contexts of equal bytes are kept once, with all their places, so a copy costs its place only.
+Contexts of equal bytes are sorted once, with all their places, so a copy costs its place only; the run of equal strings
+issues the spans of every place.
 
-An anchor that is used more than HOT times would make a bucket of any size. Its contexts are dealt string by string, by
-the strings' own bytes; a task sends each such string once, and covers its later copies, byte for byte the same, at once.
-No group holds more than some GROUP contexts, and HOT more for an anchor; a hot string comes once from each task.
+An anchor that is used more than HOT times would make a bucket of any size. Its contexts are sorted in the same way where
+they are cut, some HELD_HOT bytes at a time; of each run of equal strings the later places become spans, and the string
+goes on once, with its earliest place, to a group chosen by the string's own bytes, which sorts again what comes from all tasks.
+No group holds more than some GROUP contexts, and HOT more for an anchor.
 
 Edge cases: null text is empty; texts shorter than LENGTH keep everything; texts of any size are read in pieces that
 overlap by LENGTH - 1; rows that share a doc_id are one document and never cover themselves (what is covered in one of
@@ -38,8 +40,8 @@ LENGTH, GRAM = 100, 32
 GROUP, HOT = 4_000, 2_000
 #: Bytes of a document whose contexts are found at a time, and bits that hold a place among them.
 PIECE, PLACE = 1 << 20, 24
-#: Bytes of different contexts, and number of different hot strings, that a task folds before it sends them.
-HELD, HELD_STRINGS = 1 << 23, 1 << 16
+#: Bytes of different contexts, and of those of hot anchors, that a task folds before it sends them.
+HELD, HELD_HOT = 1 << 23, 1 << 19
 VALUES = mix(np.arange(1000, 1256, dtype=U)) | U(1)
 
 CONTEXT = "anchor long, doc_id long, lo int, size int"
@@ -83,8 +85,34 @@ def _contexts(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterat
             yield frame(found)
 
 
+class Kinds:
+    """Different byte strings in the order of their first use, and all places of each."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[bytes, int] = {}
+        self.held = 0
+        self.kind: list[int] = []
+        self.docs: list[int] = []
+        self.los: list[int] = []
+
+    def add(self, doc_id: int, lo: int, data: bytes) -> bool:
+        """Whether these bytes are new."""
+        n = len(self.kinds)
+        self.kind.append(self.kinds.setdefault(data, n))
+        self.docs.append(doc_id)
+        self.los.append(lo)
+        self.held += len(data) if len(self.kinds) > n else 0
+        return len(self.kinds) > n
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind, document and start of all places, kind by kind."""
+        kind, docs, los = (np.array(x, np.int64) for x in (self.kind, self.docs, self.los))
+        by = np.argsort(kind, kind="stable")
+        return kind[by], docs[by], los[by]
+
+
 class Fold:
-    """Contexts of equal bytes once, with their places, and strings of hot anchors once, with the earliest of theirs."""
+    """Contexts of equal bytes once, with their places; those of hot anchors are sorted here and only leading strings sent."""
 
     COLUMNS = ("bucket", "data", "docs", "los")
 
@@ -93,58 +121,38 @@ class Fold:
         self._clear()
 
     def _clear(self) -> None:
-        self.kinds: dict[bytes, int] = {}
+        self.cold, self.hot = Kinds(), Kinds()
         self.buckets: list[int] = []
-        self.held = 0
-        self.kind: list[int] = []
-        self.docs: list[int] = []
-        self.los: list[int] = []
-        self.strings: dict[bytes, tuple[int, int]] = {}
         self.groups = 1
-        self.done: list[tuple[int, int, int]] = []
 
     def add(self, bucket: int, doc_id: int, lo: int, data: bytes) -> None:
-        at = self.kinds.setdefault(data, len(self.kinds))
-        if at == len(self.buckets):
+        if self.cold.add(doc_id, lo, data):
             self.buckets.append(bucket)
-            self.held += len(data)
-        self.kind.append(at)
-        self.docs.append(doc_id)
-        self.los.append(lo)
 
     def add_hot(self, groups: int, doc_id: int, lo: int, data: bytes) -> None:
-        """The strings of a context, for so many groups; later copies of strings that are held become spans."""
+        """A context whose strings are dealt into so many groups."""
         self.groups = groups
-        run = None
-        for i in range(len(data) - self.length + 1):
-            x, here = data[i : i + self.length], (doc_id, lo + i)
-            lead = self.strings.setdefault(x, here)
-            if here < lead:
-                self.strings[x] = here
-                self.done.append((*lead, lead[1] + self.length))
-            # A repeated row is the same place again, not a later one.
-            if here <= lead:
-                run = None
-            elif run is None:
-                run = len(self.done)
-                self.done.append((*here, here[1] + self.length))
-            else:
-                self.done[run] = (*self.done[run][:2], here[1] + self.length)
+        self.hot.add(doc_id, lo, data)
 
     def full(self) -> bool:
-        return self.held > HELD or len(self.kind) > HELD // 32 or len(self.strings) > HELD_STRINGS or len(self.done) > HELD_STRINGS
+        return self.cold.held > HELD or self.hot.held > HELD_HOT or len(self.cold.kind) + len(self.hot.kind) > HELD // 32
 
     def rows(self) -> pd.DataFrame:
-        """What the groups get: bytes with the places they start at; without bytes, start and end of a span that is covered already."""
-        kind, docs, los = (np.array(x, np.int64) for x in (self.kind, self.docs, self.los))
-        by = np.argsort(kind, kind="stable")
-        ends = np.cumsum(np.bincount(kind, minlength=len(self.kinds))) * 8 if len(kind) else np.zeros(0, np.int64)
-        docs, los, ends = docs[by].tobytes(), los[by].tobytes(), [0, *ends.tolist()]
-        rows = [(b, x, docs[a:e], los[a:e]) for b, x, a, e in zip(self.buckets, self.kinds, ends, ends[1:], strict=False)]
-        number = lambda *x: np.array(x, np.int64).tobytes()
-        deal = lambda x: -1 - int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") % self.groups
-        rows += [(deal(x), x, number(d), number(s)) for x, (d, s) in self.strings.items()]
-        rows += [(-1 - (d + a) % self.groups, None, number(d), number(a, b)) for d, a, b in self.done]
+        """What the groups get: bytes with the places they start at; without bytes, the documents and bounds of spans that are found already."""
+        kind, docs, los = self.cold.places()
+        ends = [0, *(np.cumsum(np.bincount(kind, minlength=len(self.cold.kinds))) * 8).tolist()] if len(kind) else [0]
+        docs, los = docs.tobytes(), los.tobytes()
+        rows = [(b, x, docs[a:e], los[a:e]) for b, x, a, e in zip(self.buckets, self.cold.kinds, ends, ends[1:], strict=False)]
+        if self.hot.kinds:
+            found, leads = sorted_spans(list(self.hot.kinds), *self.hot.places(), self.length)
+            number = lambda x: int(x).to_bytes(8, "little", signed=True)
+            deal = lambda x: -1 - int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") % self.groups
+            rows += [(deal(x), x, number(d), number(i)) for x, d, i in leads]
+            docs, start, stop = found
+            group = (docs + start) % self.groups
+            by = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[by])) + 1
+            rows += [(-1 - int(group[i[0]]), None, docs[i].tobytes(), np.stack([start[i], stop[i]], axis=1).tobytes()) for i in np.split(by, cuts) if len(i)]
         self._clear()
         return pd.DataFrame(rows, columns=self.COLUMNS)
 
@@ -164,11 +172,25 @@ def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]
     yield fold.rows()
 
 
-def covered(kinds: list[bytes], doc_id: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the strings of all kinds those that start earlier in another one, in runs: kind, start and stop within it.
+def _runs(marked: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the marked suffixes that follow each other in one kind."""
+    joined = marked[1:] & marked[:-1] & (owner[1:] == owner[:-1])
+    return np.flatnonzero(marked & ~np.concatenate([[False], joined])), np.flatnonzero(marked & ~np.concatenate([joined, [False]]))
+
+
+def sorted_spans(kinds: list[bytes], kind: np.ndarray, docs: np.ndarray, lo: np.ndarray, length: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[bytes, int, int]]]:
+    """What the suffix order of the kinds tells: spans (document, start, stop), and each string with its earliest place.
 
-    doc_id, lo: the earliest place of each kind.
+    kind, docs, lo: the places of the kinds, at least one of each. Suffixes that agree over length bytes are side by side;
+    such a run has all places of its members' kinds, and issues spans at all of them but the earliest.
     """
+    by = np.lexsort((lo, docs, kind))
+    kind, docs, lo = kind[by], docs[by], lo[by]
+    # A repeated row is the same place again.
+    new = np.append(True, (np.diff(kind) != 0) | (np.diff(docs) != 0) | (np.diff(lo) != 0))
+    kind, docs, lo = kind[new], docs[new], lo[new]
+    head = np.flatnonzero(np.diff(kind, prepend=-1))
+    uses = np.diff(np.append(head, len(kind)))
     sizes = np.array([len(x) for x in kinds])
     text = np.frombuffer(b"".join(kinds) + bytes(3 * length + 4 * V), np.uint8)
     starts, n = np.cumsum(sizes) - sizes, sizes - length + 1
@@ -178,25 +200,35 @@ def covered(kinds: list[bytes], doc_id: np.ndarray, lo: np.ndarray, length: int)
     who = np.empty(len(text), np.int64)
     who[suffixes] = np.arange(len(suffixes))
     strings = np.lib.stride_tricks.sliding_window_view(text, length)
-    later = np.zeros(len(suffixes), bool)
+    # Of each suffix, at its kind's earliest place: whether its string starts earlier, starts twice, starts here first.
+    later, twice, first = (np.zeros(len(suffixes), bool) for _ in range(3))
     for order in sorted_buckets(text, int(sizes.sum()), suffixes, length):
         same = np.zeros(len(order), bool)
         for a in range(1, len(order), 1 << 16):
             b = min(len(order), a + (1 << 16))
             same[a:b] = (strings[order[a:b]] == strings[order[a - 1 : b - 1]]).all(axis=1)
-        group = np.cumsum(~same)
+        run = np.cumsum(~same)
         k = who[order]
-        docs, begin = doc_id[owner[k]], lo[owner[k]] + inside[k]
-        by = np.lexsort((begin, docs, group))
-        g, docs, begin = group[by], docs[by], begin[by]
-        head = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
-        lead = np.repeat(head, np.diff(np.append(head, len(g))))
-        later[k[by]] = (docs != docs[lead]) | (begin != begin[lead])
-    # Starts that follow each other in a kind are one run.
-    joined = later[1:] & later[:-1] & (owner[1:] == owner[:-1])
-    first = np.flatnonzero(later & ~np.concatenate([[False], joined]))
-    last = np.flatnonzero(later & ~np.concatenate([joined, [False]]))
-    return owner[first], inside[first], inside[last] + length
+        by = np.lexsort((lo[head][owner[k]] + inside[k], docs[head][owner[k]], run))
+        k, run = k[by], run[by]
+        d, begin = docs[head][owner[k]], lo[head][owner[k]] + inside[k]
+        top = np.flatnonzero(np.diff(run, prepend=-1))
+        members = np.diff(np.append(top, len(run)))
+        lead = np.repeat(top, members)
+        later[k] = (d != d[lead]) | (begin != begin[lead])
+        twice[k] = np.repeat(np.add.reduceat(uses[owner[k]], top), members) > 1
+        first[k[top]] = True
+    a, z = _runs(later, owner)
+    spans = [(docs[head][owner[a]], lo[head][owner[a]] + inside[a], lo[head][owner[a]] + inside[z] + length)]
+    # The further places of a kind get the runs of its strings that start twice.
+    a, z = _runs(twice, owner)
+    copy = np.setdiff1d(np.arange(len(kind)), head, assume_unique=True)
+    at = np.searchsorted(owner[a], kind[copy])
+    many = np.searchsorted(owner[a], kind[copy], side="right") - at
+    copy, at = np.repeat(copy, many), np.repeat(at, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    spans.append((docs[copy], lo[copy] + inside[a[at]], lo[copy] + inside[z[at]] + length))
+    leads = ((kinds[o][i : i + length], docs[head[o]], lo[head[o]] + i) for o, i in zip(owner[first].tolist(), inside[first].tolist(), strict=True))
+    return tuple(np.concatenate(x) for x in zip(*spans, strict=True)), leads
 
 
 def _sort_group(group: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -210,16 +242,7 @@ def _sort_group(group: pd.DataFrame, length: int) -> pd.DataFrame:
         kinds: dict[bytes, int] = {}
         row = np.array([kinds.setdefault(x, len(kinds)) for x in map(bytes, group["data"])])
         kind = np.repeat(row, [len(x) // 8 for x in group["docs"]])
-        docs, lo = numbers(group["docs"]), numbers(group["los"])
-        by = np.lexsort((lo, docs, kind))
-        kind, docs, lo = kind[by], docs[by], lo[by]
-        head = np.flatnonzero(np.diff(kind, prepend=-1))
-        size = np.array([len(x) for x in kinds])
-        # All places of a kind but its earliest; a repeated row is the same place again.
-        copy = (docs != docs[head][kind]) | (lo != lo[head][kind])
-        spans.append((docs[copy], lo[copy], lo[copy] + size[kind[copy]]))
-        k, a, b = covered(list(kinds), docs[head], lo[head], length)
-        spans.append((docs[head][k], lo[head][k] + a, lo[head][k] + b))
+        spans.append(sorted_spans(list(kinds), kind, numbers(group["docs"]), numbers(group["los"]), length)[0])
     return pd.DataFrame(dict(zip(("doc_id", "start", "stop"), map(np.concatenate, zip(*spans, strict=True)), strict=True)))
 
 

@@ -97,8 +97,9 @@ def test_equal_hot_strings_of_a_task_fold():
     held = got[got["data"].notna()]
     assert {(x, np.frombuffer(d, np.int64)[0], np.frombuffer(s, np.int64)[0]) for x, d, s in zip(held["data"], held["docs"], held["los"], strict=True)} == {(raw[:60], 5, 0), (raw[1:], 5, 1)}
     done = got[got["data"].isna()]
-    spans = {(int(np.frombuffer(d, np.int64)[0]), *np.frombuffer(s, np.int64).tolist()) for d, s in zip(done["docs"], done["los"], strict=True)}
-    assert spans == {(7, 0, 60), (7, 1, 61), (9, 0, 61)}
+    numbers = lambda column: np.frombuffer(b"".join(column), np.int64)
+    spans = {(d, *x) for d, x in zip(numbers(done["docs"]).tolist(), numbers(done["los"]).reshape(-1, 2).tolist(), strict=True)}
+    assert spans == {(7, 0, 61), (9, 0, 61)}
 
 
 def test_sorted_bucket_issues_the_spans_of_copies():
@@ -112,6 +113,43 @@ def test_sorted_bucket_issues_the_spans_of_copies():
     assert {tuple(x) for x in repeats._sort_group(got, 60).to_numpy().tolist()} == {(4, 10, 110), (3, 5, 105), (2, 50, 130)}
 
 
+def test_all_spans_come_from_runs_of_the_sort(monkeypatch):
+    """Where the order of the suffixes is kept back, neither a bucket nor a hot anchor issues a span."""
+    raw = bytes(range(65, 165))
+
+    def issued():
+        fold = repeats.Fold(60)
+        for doc_id in range(4):
+            fold.add(0, doc_id, 5, raw)
+            fold.add_hot(2, doc_id, 500, raw[:70])
+        fold.add(0, 9, 0, raw[10:90])
+        rows = fold.rows()
+        return {tuple(x) for _, g in rows.groupby("bucket") for x in repeats._sort_group(g, 60).to_numpy().tolist()}
+
+    assert issued() == {(k, 5, 105) for k in (1, 2, 3)} | {(9, 0, 80)} | {(k, 500, 570) for k in (1, 2, 3)}
+    monkeypatch.setattr(repeats, "sorted_buckets", lambda *a: iter(()))
+    assert issued() == set()
+
+
+@pytest.mark.parametrize("held", [1, 400, 1 << 19])
+def test_hot_contexts_sort_in_parts_alike(words, monkeypatch, held):
+    """However much a task sorts at a time, the groups tell the same bytes of hot strings that start earlier."""
+    import pandas as pd
+
+    monkeypatch.setattr(repeats, "HELD_HOT", held)
+    passage = words(20, 5).encode()[:90]
+    texts = [words(2 + k % 3, 50 + k % 7).encode() + passage + b"%d" % (k % 4) for k in range(40)]
+    batch = pd.DataFrame({"doc_id": range(40), "data": texts, "places": [[{"lo": 0, "size": len(x), "bucket": -3}] for x in texts]})
+    sent = list(repeats._cut(iter([batch]), 60))
+    assert (len(sent) > 1) == (held < 1 << 19)
+    gone = [bytearray(len(x)) for x in texts]
+    for _, group in pd.concat(sent).groupby("bucket"):
+        for doc_id, start, stop in repeats._sort_group(group, 60).itertuples(index=False):
+            gone[doc_id][start:stop] = b"\1" * (stop - start)
+    want = brute([(k, x.decode()) for k, x in enumerate(texts)], 60)
+    assert [sum(x) for x in gone] == [want[k][1] for k in range(40)]
+
+
 def test_buckets_do_not_depend_on_hashes_being_equal():
     """Different contexts of one bucket are told apart by their bytes, whatever their anchors say."""
     fold = repeats.Fold(60)
