@@ -6,14 +6,18 @@ import hashlib
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators.ingest import safe
+from meterlake.session import written
+from meterlake.sources import sqlite
 from meterlake.sources.records import carrying, malformed, quarantined, shaped
 
 # The format of spooled events, whichever producer comes first in its tag, and a flag.
 FORMAT, AMBIGUOUS = r"^[a-z]+\.cursor\.usage\.v1$", "multi-root-project-ambiguous"
+MANIFEST, NO_WORKSPACE = "workspace.json", "empty-window"
 SCHEMA = "meterlake.cursor.usage.v1"
 COUNTERS = ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens", "reasoningTokens")
 STATES = ("completed", "aborted", "error")
@@ -229,11 +233,57 @@ def folder_of(uri: Column) -> Column:
     return F.when(uri.startswith("file://"), F.nullif(F.translate(F.regexp_replace(path, r"^/([A-Za-z]):", "$1:"), "\\", "/"), F.lit("")))
 
 
+def manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """workspace and manifest (JSON) of each <folder>/<workspace>/workspace.json; none where there is no such file or folder."""
+    try:
+        read = spark.read.option("wholetext", "true").text(f"{folder}/*/{MANIFEST}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "workspace string, manifest string")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return read.select(F.try_url_decode(F.regexp_replace(name, r"\+", "%2B")).alias("workspace"), F.col("value").alias("manifest"))
+
+
+def backlog(spark: SparkSession, database: str, workspace_storage: str, received_at: str) -> tuple[DataFrame, DataFrame]:
+    """What an editor's older store still holds: events (EVENT), and one row that tells what became of its requests.
+
+    The row has status (no-database, no-table, completed), bubbles (all that were looked at), positive (requests with tokens),
+    identities, imported, quarantined (identities whose snapshots contradict each other), exact (with a time of their own) and
+    with_model. database and workspace_storage are where the session's tasks can read them.
+    """
+    for source in (sqlite.KeyValues, sqlite.Headers):
+        spark.dataSource.register(source)
+    status = sqlite.state(database, "cursorDiskKV")
+    if status == "ready":
+        read = lambda prefix: spark.read.format("sqlite_keys").option("prefix", prefix).load(database)
+        # The store may be in use: one read of it stands for all counts and events.
+        rows, composers = written(read("bubbleId:"), "bubbles"), written(read("composerData:"), "composers")
+        headers = written(spark.read.format("sqlite_headers").load(database), "headers")
+    else:
+        rows = composers = spark.createDataFrame([], sqlite.KEY_VALUES)
+        headers = spark.createDataFrame([], sqlite.HEADERS)
+    requests = attributed(bubbles(rows), composers)
+    resolved = written(resolved_duplicates(requests), "resolved")
+    events = legacy_events(resolved, composers, headers, manifests(spark, workspace_storage), received_at)
+    kept = F.count_if("kept")
+    told = resolved.agg(
+        F.count("*").alias("identities"),
+        kept.alias("imported"),
+        F.count_if(~F.col("kept")).alias("quarantined"),
+        F.count_if(F.col("kept") & F.col("time_ms").isNotNull()).alias("exact"),
+        F.count_if(F.col("kept") & F.col("model").isNotNull()).alias("with_model"),
+    )
+    looked = rows.agg(F.count("*").alias("bubbles")).join(requests.agg(F.count("*").alias("positive")))
+    return events, looked.join(told).select(F.lit("completed" if status == "ready" else status).alias("status"), "*")
+
+
 def legacy_events(requests: DataFrame, composers: DataFrame, headers: DataFrame, workspaces: DataFrame, received_at: str) -> DataFrame:
     """Events (EVENT) of resolved requests; times without an own one are those of the conversation, or of the reading.
 
     composers: key, value (createdAt); headers: composer, workspace, created_ms; workspaces: workspace, manifest (JSON with folder).
     """
+    workspaces = workspaces.where(F.col("workspace") != NO_WORKSPACE)
     known = headers.join(workspaces.select("workspace", folder_of(F.get_json_object("manifest", "$.folder")).alias("folder")), "workspace", "left").select("composer", "created_ms", "folder")
     rest = composers.where(F.col("key").startswith("composerData:")).select(F.substring_index("key", ":", -1).alias("composer"), F.get_json_object("value", "$.createdAt").try_cast("double").cast("long").alias("created_ms"), F.lit(None).cast("string").alias("folder"))
     places = known.unionByName(rest.join(known, "composer", "left_anti")).dropDuplicates(["composer"])

@@ -261,6 +261,13 @@ def test_opencode(spark, store_path):
     assert (b["turn_id"], b["cwd"], b["query_source"], b["output_tokens"], b["cost_nano_usd"], b["cache_write_available"], b["reasoning_output_tokens"]) == ("u", "/dir", "subagent", 2, None, False, None)
 
 
+def test_store_without_messages(spark, store_path):
+    with sqlite3.connect(store_path) as db:
+        db.execute("DELETE FROM message")
+    spark.dataSource.register(sqlite.Messages)
+    assert spark.read.format("sqlite_messages").load(store_path).count() == 0
+
+
 def test_opencode_snapshots(spark):
     """A delivery that changes nothing is a duplicate; another cost, place or model is not."""
     rows = [(1, "a", "s", 1, k, d, "/dir", None, k) for k, d in enumerate([assistant(), assistant(finish="stop"), assistant(cost=0.6), assistant(cost=0.6, path={"cwd": "/v"}), assistant(cost=0.6, path={"cwd": "/v"})])]
@@ -385,6 +392,90 @@ def test_older_store(spark, tmp_path):
     assert len(records) == 6 and all(r["kind"] == "usage" for r in records)
 
 
+def older_store(folder, bubbles, headers, order=()):
+    """A store with bubbles {(composer, bubble): value}, headers (composer, workspace, created) and conversations in order."""
+    path = folder / "globalStorage" / "state.vscdb"
+    path.parent.mkdir(parents=True)
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT UNIQUE ON CONFLICT REPLACE, value BLOB)")
+        db.execute("CREATE TABLE composerHeaders (composerId TEXT, workspaceId TEXT, createdAt INTEGER)")
+        db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", [(f"bubbleId:{c}:{b}", json.dumps(v)) for (c, b), v in bubbles.items()])
+        db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", [(f"composerData:{c}", json.dumps({"fullConversationHeadersOnly": [{"bubbleId": b} for b in bs]})) for c, bs in dict(order).items()])
+        db.executemany("INSERT INTO composerHeaders VALUES (?, ?, ?)", headers)
+    return str(path)
+
+
+AT = "2026-06-01T00:00:00.000Z"
+
+
+def test_backlog_maps_workspaces_and_times(spark, tmp_path):
+    found = {
+        ("c1", "b1"): bubble("u1", 13816, 2251, 1747650422021) | {"text": "PROMPT"}, ("c1", "b2"): bubble("u2", 500, 50), ("c1", "b3"): bubble(None, 900, 90), ("c1", "b4"): bubble("u4", 0, 0),
+        ("c2", "b"): bubble("u5", 1, 1), ("c3", "b"): bubble("u6", 1, 1), ("c4", "b"): bubble("u7", 1, 1), ("c5", "b"): bubble("u8", 1, 1), ("c6", "b"): bubble("u9", 1, 1),
+    }
+    headers = [("c1", "old", 1), ("c1", "ws-1", 1741209311788), ("c2", "empty-window", 5), ("c3", "gone", 5), ("c4", "bad", None), ("c5", "odd", "soon"), (None, "ws-1", 5)]
+    path = older_store(tmp_path, found, headers)
+    manifests = {"ws-1": '{"folder": "file:///c%3A/Users/j%20k/Code"}', "empty-window": '{"folder": "file:///no"}', "bad": "{", "odd": '{"folder": "vscode-remote://x/y"}', "deep/er": '{"folder": "file:///no"}'}
+    for name, text in manifests.items():
+        (tmp_path / "ws" / name).mkdir(parents=True)
+        (tmp_path / "ws" / name / "workspace.json").write_text(text)
+    events, told = cursor.backlog(spark, path, str(tmp_path / "ws"), AT)
+    got = {r["generationId"]: r for r in events.collect()}
+    assert [r.asDict() for r in told.collect()] == [{"status": "completed", "bubbles": 9, "positive": 7, "identities": 7, "imported": 7, "quarantined": 0, "exact": 1, "with_model": 0}]
+    assert {r["workspaceRoot"] for r in (got["u1"], got["u2"])} == {"c:/Users/j k/Code"}
+    assert (got["u1"]["occurredAt"], got["u1"]["timestampConfidence"]) == ("2025-05-19T10:27:02.021Z", "exact")
+    assert (got["u2"]["occurredAt"], got["u2"]["timestampConfidence"]) == ("2025-03-05T21:15:11.788Z", "approximate")
+    assert all(got[u]["workspaceRoot"] is None for u in ("u5", "u6", "u7", "u8", "u9"))
+    # Without any time it is that of the reading.
+    assert {u: got[u]["occurredAt"] for u in ("u5", "u7", "u8", "u9")} == {"u5": "1970-01-01T00:00:00.005Z", "u7": AT, "u8": AT, "u9": AT}
+    assert "PROMPT" not in str(got)
+    spool = cursor.write_spool(events, str(tmp_path / "spool"))
+    assert cursor.write_spool(cursor.backlog(spark, path, str(tmp_path / "ws"), AT)[0], str(tmp_path / "spool")) == spool
+
+
+def test_backlog_of_snapshots_and_models(spark, tmp_path):
+    found = {
+        ("c", "b1"): bubble("grows", 1504, 185, 1000), ("c", "b2"): bubble("grows", 15036, 4734, 2000), ("c", "b3"): bubble("same", 10, 5), ("c", "b4"): bubble("same", 10, 5), ("c", "b5"): bubble("torn", 100, 1), ("c", "b6"): bubble("torn", 50, 9),
+        ("c", "m1"): bubble(model="grok"), ("c", "a1"): bubble("r1", 1, 1), ("c", "m2"): {"type": 1}, ("c", "a2"): bubble("r2", 1, 1), ("c", "m3"): bubble(model="default"), ("c", "a3"): bubble("r3", 1, 1), ("c", "m4"): bubble(model="sonnet"), ("c", "a4"): bubble("r4", 1, 1),
+    }
+    path = older_store(tmp_path, found, [("c", "empty-window", 1000)], {"c": ["m1", "a1", "m2", "a2", "m3", "a3", "m4", "a4"]})
+    events, told = cursor.backlog(spark, path, str(tmp_path / "none"), AT)
+    got = {r["generationId"]: r for r in events.collect()}
+    assert {k: r["modelId"] for k, r in got.items()} == {"grows": None, "same": None, "r1": "grok", "r2": "grok", "r3": "grok", "r4": "sonnet"}
+    assert got["grows"]["inputTokens"] == 15036
+    assert told.select("identities", "imported", "quarantined", "with_model").collect() == [(7, 6, 1, 4)]
+
+
+def test_backlog_without_store_or_table(spark, tmp_path):
+    status = lambda: [(e.count(), *t.select("status", "bubbles", "imported").first()) for e, t in [cursor.backlog(spark, str(tmp_path / "x.vscdb"), str(tmp_path), AT)]]
+    assert status() == [(0, "no-database", 0, 0)]
+    with sqlite3.connect(tmp_path / "x.vscdb") as db:
+        db.execute("CREATE TABLE unrelated (a)")
+    assert status() == [(0, "no-table", 0, 0)]
+    with sqlite3.connect(tmp_path / "x.vscdb") as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT UNIQUE, value BLOB)")
+    assert status() == [(0, "completed", 0, 0)]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 64, 1000])
+def test_ranges_of_a_skewed_store_hold_equally_many_keys(spark, tmp_path, rows):
+    """Nearly all keys begin alike: parts are within one key of each other and tile the prefix."""
+    path = str(tmp_path / "s.db")
+    keys = [f"bubbleId:aaaa:{i:04}" for i in range(300)] + ["bubbleId:0", "bubbleId:é", "bubbleId:\U0010ffff", "bubbleId:", "bubbleId;", "bubbleIc", "a", "z"]
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT UNIQUE, value BLOB)")
+        db.executemany("INSERT INTO cursorDiskKV VALUES (?, 'v')", [(k,) for k in keys] + [(None,)])
+    ranges = sqlite.key_ranges(path, "cursorDiskKV", "key", "bubbleId:", rows)
+    want = sorted((k for k in keys if k.startswith("bubbleId:")), key=str.encode)
+    sizes = [sum(a <= k < b for k in want) for a, b in ranges]
+    assert sum(sizes) == len(want) and max(sizes) - min(sizes) <= 1 and max(sizes) <= rows
+    assert ranges[0][0] == "bubbleId:" and ranges[-1][1] == "bubbleId;" and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    spark.dataSource.register(sqlite.KeyValues)
+    df = spark.read.format("sqlite_keys").option("prefix", "bubbleId:").option("rowsPerPartition", max(rows, 64)).load(path)
+    assert sorted((r["key"] for r in df.collect()), key=str.encode) == want
+    assert sum(b is None for _, b in sqlite.key_ranges(path, "cursorDiskKV", "key", "", rows)) == 1
+
+
 def test_spool_order(spark):
     files = ["/s/live/2026-01-01/a.jsonl", "/s/backfill/import/z.jsonl", "/s/live/2025-12-31/b.jsonl"]
     df = spark.createDataFrame([(f,) for f in files], "file string")
