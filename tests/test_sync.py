@@ -227,3 +227,16 @@ def test_directories_of_one_repository_are_one_project(spark, tmp_path):
     ids = {r["logical_session_id"]: r["project_id"] for r in st.read("facts").collect()}
     assert ids["s0"] == ids["s1"] is not None
     assert len(set(ids.values())) == 3
+
+
+def test_small_files_share_tasks_and_keep_their_lines(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.jsonl").write_text("".join(f"{i}-{n}\n" for n in range(i % 4 + 1)))
+    plan = S.planned(S.listed(spark, S.Source("one", "pi", f"file://{tmp_path}")), spark.createDataFrame([], S.FILES), "v")
+    assert S.new_lines(plan).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    # Ranges that weigh more than a file keep tasks of their own.
+    assert S.new_lines(plan, 4).rdd.getNumPartitions() == 60 * 1 + sum(-(-sum(len(f"{i}-{n}\n") for n in range(i % 4 + 1)) // 4) - 1 for i in range(60))
+    rows = S.new_lines(plan).collect()
+    assert sorted(r["text"] for r in rows if r["text"] is not None) == sorted(f"{i}-{n}" for i in range(60) for n in range(i % 4 + 1))
+    ends = {r["file"].rsplit("/", 1)[-1]: (r["ordinal"], r["end"]) for r in rows if r["end"] is not None}
+    assert ends == {f"{i}.jsonl": (i % 4 + 1, (tmp_path / f"{i}.jsonl").stat().st_size) for i in range(60)}
