@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.operators import graph, normalize, reports, store
 from meterlake.plans.facts import FACTS_SQL, facts, table
 from meterlake.plans.registry import query
+from meterlake.session import written
 from meterlake.sources.claude import claude
 from meterlake.sources.pi import pi
 
@@ -21,7 +22,9 @@ _BASE = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS file, event_id AS ordin
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long").alias("k")
     cents = F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents")
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("ordinal"), "ts", "event_type", k, cents)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("ordinal"), "ts", "event_type", k, cents)
+    # A file of the table is few tasks; a row of it becomes a long line.
+    return rows.repartition("file")
 
 
 def _json(**fields: Column | str) -> Column:
@@ -29,6 +32,11 @@ def _json(**fields: Column | str) -> Column:
     return F.to_json(F.struct(*((F.expr(v) if isinstance(v, str) else v).alias(n) for n, v in fields.items())))
 
 
+def _log(lines: DataFrame) -> DataFrame:
+    """Lines as a reader meets them: written, not made anew for each expression that looks at them."""
+    return written(lines, "log")
+
+
 _PREVIOUS = "cast(lag(ordinal) OVER (PARTITION BY file ORDER BY ordinal) AS string)"
 
 
@@ -51,7 +59,7 @@ def n1_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(cents / 100 AS decimal(20, 2))").alias("cost_total"),
     )
     text = _json(id="cast(ordinal AS string)", parent_id=_PREVIOUS, session_id="concat('s', file)", role="CASE WHEN k % 4 = 0 THEN 'User' ELSE 'assistant' END", usage=usage, createdAt="date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")")
-    got = pi(_events(spark, sf_dir).select("file", "ordinal", text.alias("text")))
+    got = pi(_log(_events(spark, sf_dir).select("file", "ordinal", text.alias("text"))))
     names = "request_id logical_session_id fresh_input_tokens cache_read_input_tokens cache_write_input_tokens cache_write_available output_tokens reasoning_output_tokens unattributed_tokens cost_nano_usd occurred_at turn_id"
     return got.select(*names.split())
 
@@ -72,7 +80,7 @@ def n8_claude(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.struct(F.expr("concat('m', k % 10)").alias("id"), usage.alias("usage"))
     text = _json(type="'assistant'", uuid="cast(ordinal AS string)", request_id="'q'", isSidechain="CASE WHEN k % 7 = 0 THEN true END", message=message)
     lines = _events(spark, sf_dir).select(F.concat(F.lit("/p/f"), F.col("file"), F.lit(".jsonl")).alias("file"), "ordinal", text.alias("text"))
-    got = claude(lines).select(F.regexp_extract("file", "f([0-9]+)", 1).alias("file"), "ordinal", "kind", "reason", "request_id", "cache_write_input_tokens", "query_source", "logical_session_id")
+    got = claude(_log(lines)).select(F.regexp_extract("file", "f([0-9]+)", 1).alias("file"), "ordinal", "kind", "reason", "request_id", "cache_write_input_tokens", "query_source", "logical_session_id")
     return got
 
 
@@ -96,7 +104,7 @@ SELECT CAST(ordinal AS VARCHAR) AS request_id, CASE WHEN t < 0 THEN 'quarantine'
   read_ AS cache_read_input_tokens, write_ AS cache_write_input_tokens, w IS NOT NULL AS cache_write_available, out_ AS output_tokens, rs AS reasoning_output_tokens,
   CASE WHEN k % 9 = 0 THEN NULL ELSE k * 250000000 END AS cost_nano_usd, CASE WHEN t < 0 THEN 0 ELSE u END AS unattributed_tokens FROM n""")
 def n12_opencode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = opencode.opencode(_messages(spark, sf_dir, "cast(ordinal AS string)"))
+    got = opencode.opencode(_log(_messages(spark, sf_dir, "cast(ordinal AS string)")))
     return got.select("request_id", "kind", "reason", "fresh_input_tokens", "cache_read_input_tokens", "cache_write_input_tokens", "cache_write_available", "output_tokens", "reasoning_output_tokens", "cost_nano_usd", F.when(F.col("kind") == "quarantine", F.lit(0)).otherwise(F.col("unattributed_tokens")).cast("long").alias("unattributed_tokens"))
 
 
@@ -104,7 +112,7 @@ def n12_opencode(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(ordinal AS VARCHAR) AS request_id, 's' || file AS logical_session_id, ordinal, CASE WHEN k % 5 = 0 THEN '/own' ELSE '/dir' END AS cwd, CASE WHEN CAST(file AS BIGINT) % 3 = 0 THEN 'subagent' ELSE 'main' END AS query_source, turn AS turn_id,
   epoch_ms(CASE WHEN k % 2 = 0 THEN 1700000000000 + k * 1000 ELSE 1600000000000 + ordinal * 1000 END) AS occurred_at FROM a WHERE k % 4 <> 0""")
 def n13_opencode_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = opencode.opencode(_messages(spark, sf_dir, "cast(ordinal AS string)"))
+    got = opencode.opencode(_log(_messages(spark, sf_dir, "cast(ordinal AS string)")))
     return got.select("request_id", "logical_session_id", "ordinal", "cwd", "query_source", "turn_id", "occurred_at")
 
 
@@ -117,7 +125,7 @@ def n14_opencode_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ordinal").alias("rowid"), F.expr("concat_ws('-', file, k % 3)").alias("id"), F.lit("s").alias("session_id"), F.lit(1).cast("long").alias("time_created"), F.col("ordinal").alias("time_updated"),
         data.alias("data"), F.lit(None).cast("string").alias("session_directory"), F.lit(None).cast("string").alias("session_parent_id"), F.col("ordinal").alias("delivery"),
     )
-    return opencode.opencode(rows).select("request_id", "ordinal", "kind")
+    return opencode.opencode(_log(rows)).select("request_id", "ordinal", "kind")
 
 
 @query(f"""{_BASE}, v AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'unknown-schema' WHEN k % 17 = 0 THEN 'invalid-token-value' WHEN k % 13 = 0 THEN 'malformed-json' WHEN k % 7 = 0 THEN 'cursor-token-fields-missing' END AS reason, k % 3 = 0 AS legacy FROM e)
@@ -139,7 +147,7 @@ def n15_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
         timestampConfidence="CASE WHEN k % 4 = 0 THEN 'exact' ELSE 'approximate' END",
         flags="CASE WHEN k % 6 = 0 THEN array('multi-root-project-ambiguous', 'own') END",
     )
-    got = cursor.cursor(_events(spark, sf_dir).select("file", "ordinal", text.alias("text")))
+    got = cursor.cursor(_log(_events(spark, sf_dir).select("file", "ordinal", text.alias("text"))))
     return got.select("file", "ordinal", "kind", "reason", "flags")
 
 
@@ -149,7 +157,7 @@ def _bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = _json(type="1", modelInfo=model)
     own = _json(type="2", usageUuid="concat_ws('-', file, k % 5)", tokenCount=counts, timingInfo=F.struct(F.expr("CASE WHEN cast(file AS bigint) % 2 = 0 THEN ordinal END").alias("clientRpcSendTime")))
     rows = _events(spark, sf_dir)
-    return rows.select("file", "ordinal", F.format_string("bubbleId:%s:%012d", "file", "ordinal").alias("key"), F.when(F.col("k") % 4 == 0, user).otherwise(own).alias("value"))
+    return _log(rows.select("file", "ordinal", F.format_string("bubbleId:%s:%012d", "file", "ordinal").alias("key"), F.when(F.col("k") % 4 == 0, user).otherwise(own).alias("value")))
 
 
 @query(f"""{_BASE} SELECT file AS composer, ordinal, model FROM (SELECT *, last_value(CASE WHEN k % 4 = 0 AND k % 3 > 0 THEN 'm' || k % 3 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY ordinal DESC ROWS UNBOUNDED PRECEDING) AS model FROM e) WHERE k % 4 <> 0 AND k + cents // 1000 > 0""")

@@ -578,3 +578,17 @@ def test_a_message_delivered_again_has_its_latest_node(spark):
     for some in (rows, rows[::-1]):
         (got,) = READERS["opencode"](spark.createDataFrame(some, f"{MESSAGES}, delivery long")).select("request_id", "turn_id").collect()
         assert tuple(got) == ("a", "u2")
+
+
+@pytest.mark.parametrize("harness", ["claude-code", "codex", "cursor", "opencode", "pi"])
+def test_what_follows_the_parsing_does_not_parse_again(spark, harness):
+    """No expression of the finished plan looks at the JSON text: filters and windows read what was parsed once."""
+    text = '{"type": "session_meta", "role": "assistant", "usage": {"input": 1}, "tokens": {"input": 1}}'
+    if harness == "opencode":
+        row = (1, "a", "s", 1, 1, text, None, None)
+        lines = spark.createDataFrame([row], "rowid long, id string, session_id string, time_created long, time_updated long, data string, session_directory string, session_parent_id string")
+    else:
+        lines = spark.createDataFrame([("/x/a.jsonl", 1, text)], "file string, ordinal long, text string")
+    plan = READERS[harness](lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "data#" not in plan
+    assert "parse" not in plan.replace("parsed", "") and "get_json_object" not in plan
