@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import to_nano
 from meterlake.operators.graph import nearest
-from meterlake.operators.ingest import safe, text
-from meterlake.sources.records import shaped
+from meterlake.operators.ingest import safe
+from meterlake.session import written
+from meterlake.sources.records import filled, is_object, shaped, strings
 
-# Where the token counts stand.
-COUNTS = {"input": "$.tokens.input", "output": "$.tokens.output", "reasoning": "$.tokens.reasoning", "read": "$.tokens.cache.read", "write": "$.tokens.cache.write", "total": "$.tokens.total"}
+# The token counts, and those of them that stand under cache.
+COUNTS, CACHE = ("input", "output", "reasoning", "read", "write", "total"), ("read", "write")
+# What is read of a message and of its tokens; each JSON text is parsed once.
+_MESSAGE = strings(("role", "parentID", "providerID", "modelID", "cost", "tokens")) + ", path struct<cwd:string>, time struct<created:string,completed:string>"
+_TOKENS = strings(("input", "output", "reasoning", "total")) + ", cache struct<read:string,write:string>"
 
 
 def signature(path: str) -> tuple[int, int] | None:
@@ -24,9 +28,8 @@ def signature(path: str) -> tuple[int, int] | None:
     return sum(p.st_size for p in parts), max(p.st_mtime_ns // 1_000_000 for p in parts)
 
 
-def count(path: str) -> tuple[Column, Column]:
+def count(given: Column) -> tuple[Column, Column]:
     """A count (0 where it is missing or null) and whether it is valid."""
-    given = F.get_json_object("data", path)
     value = safe(given.try_cast("double"))
     return F.coalesce(value, F.lit(0)), given.isNull() | value.isNotNull()
 
@@ -42,33 +45,43 @@ def opencode(messages: DataFrame, file: str = "opencode.db") -> DataFrame:
     token is no request. A delivery that changes nothing of the accounting is a duplicate.
     """
     rows = messages if "delivery" in messages.columns else messages.withColumn("delivery", F.lit(0).cast("long"))
-    kind_of = F.coalesce(F.schema_of_variant(F.try_parse_json("data")), F.lit("")).startswith("OBJECT")
-    rows = rows.withColumns({"good": kind_of, "role": text("data", "$.role"), "parent": text("data", "$.parentID")})
+    said, tokens = F.col("__said"), F.col("__tokens")
+    rows = rows.withColumn("good", is_object("data")).withColumn("__said", F.from_json("data", _MESSAGE)).withColumn("__tokens", F.from_json(said["tokens"], _TOKENS))
+    asked = said["tokens"].isNotNull() & F.arrays_overlap(F.json_object_keys(said["tokens"]), F.array(*map(F.lit, ("input", "output", "reasoning", "cache", "total"))))
+    told = {name: tokens["cache"][name] if name in CACHE else tokens[name] for name in COUNTS}
+    parsed = {name: count(value) for name, value in told.items()}
+    valid = F.lit(True)
+    for _, ok in parsed.values():
+        valid = valid & ok
+    cost = said["cost"].try_cast("double")
+    rows = rows.select(
+        *(c for c in rows.columns if c not in ("data", "__said", "__tokens")),
+        filled(said["role"]).alias("role"),
+        filled(said["parentID"]).alias("parent"),
+        asked.alias("asked"),
+        *(value.alias(name) for name, (value, _) in parsed.items()),
+        valid.alias("valid"),
+        *(told[name].isNotNull().alias(f"{name}_given") for name in ("reasoning", "write", "total")),
+        F.when((cost >= 0) & (cost < float("inf")), cost).alias("cost"),
+        F.coalesce(filled(said["path"]["cwd"]), F.nullif("session_directory", F.lit(""))).alias("cwd"),
+        F.coalesce(*(said["time"][n].try_cast("double") for n in ("created", "completed")), F.col("time_created").cast("double")).alias("at"),
+        said["time"]["completed"].alias("done"),
+        filled(said["providerID"]).alias("provider"),
+        filled(said["modelID"]).alias("model"),
+    )
+    # Written before it is filtered: a filter on what is parsed would be moved below the parsing and parse again.
+    rows = written(rows, "messages")
     bad = rows.where(~F.col("good"))
     # Of a message that was delivered more than once, the latest node.
     last = rows.where("good").groupBy(F.col("id").alias("node")).agg(F.max_by(F.struct("parent", "role"), F.struct("delivery", "time_updated", "rowid")).alias("last"))
     nodes = last.select(F.lit("all").alias("session"), "node", "last.parent", "last.role", F.lit(0).cast("long").alias("ordinal"))
-    asked = F.get_json_object("data", "$.tokens").isNotNull() & F.arrays_overlap(F.json_object_keys(F.get_json_object("data", "$.tokens")), F.array(*map(F.lit, ("input", "output", "reasoning", "cache", "total"))))
-    rows = rows.where("good AND role = 'assistant'").where(asked)
-    parsed = {name: count(path) for name, path in COUNTS.items()}
-    valid = F.lit(True)
-    for _, ok in parsed.values():
-        valid = valid & ok
-    rows = rows.withColumns({name: value for name, (value, _) in parsed.items()} | {"valid": valid})
-    given = {name: F.get_json_object("data", COUNTS[name]).isNotNull() for name in ("reasoning", "write", "total")}
-    cost = F.get_json_object("data", "$.cost").try_cast("double")
+    rows = rows.where("good AND role = 'assistant' AND asked")
     rows = rows.withColumns(
         {
             "output": F.col("output") + F.col("reasoning"),
-            "reasoned": F.when(given["reasoning"], F.col("reasoning")),
-            "wrote": given["write"],
-            "beyond": F.when(given["total"], F.greatest(F.lit(0), F.col("total") - F.col("input") - F.col("read") - F.col("write") - F.col("output") - F.col("reasoning"))).otherwise(F.lit(0)),
-            "cost": F.when((cost >= 0) & (cost < float("inf")), cost),
-            "cwd": F.coalesce(text("data", "$.path.cwd"), F.nullif("session_directory", F.lit(""))),
-            "at": F.coalesce(*(F.get_json_object("data", p).try_cast("double") for p in ("$.time.created", "$.time.completed")), F.col("time_created").cast("double")),
-            "done": F.get_json_object("data", "$.time.completed"),
-            "provider": text("data", "$.providerID"),
-            "model": text("data", "$.modelID"),
+            "reasoned": F.when(F.col("reasoning_given"), F.col("reasoning")),
+            "wrote": F.col("write_given"),
+            "beyond": F.when(F.col("total_given"), F.greatest(F.lit(0), F.col("total") - F.col("input") - F.col("read") - F.col("write") - F.col("output") - F.col("reasoning"))).otherwise(F.lit(0)),
         }
     )
     nothing = F.col("input") + F.col("read") + F.col("write") + F.col("output") + F.col("beyond") == 0
