@@ -229,6 +229,38 @@ def test_directories_of_one_repository_are_one_project(spark, tmp_path):
     assert len(set(ids.values())) == 3
 
 
+def test_a_first_run_deals_rows_once_and_later_ones_agree(spark, tmp_path):
+    """Equal records of two files count once, whether bronze is empty or not; lines of the first run are written with few shuffles."""
+    row = lambda i: json.dumps({"id": f"n{i}", "sessionId": "s", "timestamp": AT.format(i), "usage": {"input": i}}) + "\n"
+    (tmp_path / "a.jsonl").write_text("".join(row(i) for i in range(6)))
+    (tmp_path / "b.jsonl").write_text("".join(row(i) for i in range(4)))
+    st, sources = Store(spark, f"file://{tmp_path}/store", 4), [S.Source("one", "pi", f"file://{tmp_path}", "*.jsonl")]
+    plans, real = {}, Change._write
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Change, "_write", lambda self, name, rows, *a: plans.setdefault(name, rows._jdf.queryExecution().executedPlan().toString()) and real(self, name, rows, *a))
+        assert S.sync(st, sources)["imported"] == 6
+    # Rows without a directory or a header are not dealt for what these say: one exchange, of the records by their part.
+    assert plans["bronze"].count("Exchange hashpartitioning") == 1
+    (tmp_path / "c.jsonl").write_text("".join(row(i) for i in range(7)))
+    assert S.sync(st, sources)["imported"] == 1
+    assert sorted(r["fresh_input_tokens"] for r in st.read("facts").collect()) == list(range(7))
+
+
+def test_chunks_of_lines_end_where_ranges_and_files_do(tmp_path):
+    schema = S.to_arrow_schema(S.StructType.fromDDL(S._LINE))
+    path, data = tmp_path / "a.log", b"one\r\n\n\xe2\x82\nthree \xff\nlast"
+    path.write_bytes(data + b"\nlater\n")
+    one = {"path": str(path), "cursor": 0, "size": len(data), "lines": 0, "modified_at": None}
+    for step in (1, 5, 9, 100):
+        ranges = [one | {"first": at, "last": min(at + step, len(data))} for at in range(0, len(data), step)]
+        batch = S.pa.RecordBatch.from_pylist(ranges, S.pa.schema([("path", "string"), *((n, S.pa.int64()) for n in ("cursor", "size", "lines")), ("modified_at", schema.field("modified_at").type), ("first", S.pa.int64()), ("last", S.pa.int64())]))
+        for chunk in (1, 4, 1000):
+            rows = [r for b in S._read(iter([batch]), schema, 2, chunk) for r in b.to_pylist()]
+            assert [r["text"] for r in rows if r["text"] is not None] == ["one", "", "\ufffd", "three \ufffd"]
+            assert sum(r["ordinal"] for r in rows if r["text"] is None) == 4
+            assert max(r["end"] for r in rows if r["text"] is None) == data.rindex(b"\n") + 1
+
+
 def test_small_files_share_tasks_and_keep_their_lines(spark, tmp_path):
     for i in range(60):
         (tmp_path / f"{i}.jsonl").write_text("".join(f"{i}-{n}\n" for n in range(i % 4 + 1)))
