@@ -3,8 +3,8 @@
 Equal vectors are one class. Coarse centroids and residual codebooks are fitted on at most SAMPLE_VECTORS classes; every
 class is then indexed: its list, its code and the exact length of its quantisation error. A query probes each list in
 which a vector within the radius can lie: the whole radius must reach the half-space of that list's centroid, and the
-ball that holds the list's members. In a list, table lookups give the distance from the query to each code; by the
-triangle inequality a true neighbour is no further than the radius plus the code's error. Neither filter loses any.
+ball that holds the list's members. In a list, one product with the decoded codes gives the distance from each query to each
+code; by the triangle inequality a true neighbour is no further than the radius plus the code's error. Neither filter loses any.
 What passes is compared by exact cosine. Of the lists within reach a query probes its own and later ones only: a pair
 is found once, from its earlier list, and counts at both ends.
 
@@ -58,9 +58,9 @@ class Quantiser(NamedTuple):
             missed += ((part - book[codes[:, j]]) ** 2).sum(1)
         return codes, np.sqrt(missed)
 
-    def tables(self, residual: np.ndarray) -> np.ndarray:
-        """Squared distances from the parts of each query to all codes: queries x subspaces x codes."""
-        return np.stack([squared(residual[:, self.cuts[j] : self.cuts[j + 1]], book) for j, book in enumerate(self.books)], 1)
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        return self.centroids[lists] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
 
     def probes(self, x: np.ndarray, radius: float, extent: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The list of each query, and the lists from it on that a vector within the radius can be in; extent: how far members lie from each centroid."""
@@ -170,17 +170,16 @@ def _compare(queries: pd.DataFrame, members: pd.DataFrame, q: Quantiser, thresho
     probed, asking = probed[by_list], asking[by_list]
     edges, counts, back = (who[:0], who[:0]), np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     lists = members["list"].to_numpy()
+    decoded = q.decode(lists, codes)
+    # Half of the squared distance to a code is within half of its bound where the product is at least this; queries are of length 1.
+    least = ((decoded * decoded).sum(1) + 1 - bound) / 2
     for name in np.unique(lists).tolist():
         a, b = np.searchsorted(lists, [name, name + 1])
         who_asks = asking[slice(*np.searchsorted(probed, [name, name + 1]))]
         step = max(1, (1 << 19) // (b - a))
         for at in range(0, len(who_asks), step):
             own = who_asks[at : at + step]
-            tables = q.tables(x[own] - q.centroids[name])
-            distance = tables[:, 0][:, codes[a:b, 0]]
-            for j in range(1, codes.shape[1]):
-                distance += tables[:, j][:, codes[a:b, j]]
-            i, k = np.nonzero(distance <= bound[a:b])
+            i, k = np.nonzero(x[own] @ decoded[a:b].T >= least[a:b])
             i, k = own[i], k + a
             # Within a list both ends ask: the smaller id stands for both.
             once = (who[i] != rep[k]) & ((home[i] < name) | (who[i] < rep[k]))

@@ -83,3 +83,22 @@ def test_one_id_with_different_vectors(spark):
 
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("d", [5, 64])
+def test_decoded_codes_are_as_far_as_their_parts_say(d):
+    """The product with decoded codes passes and leaves what the sum over subspaces does."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(400, d))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    q = E.fit(x, 6)
+    lists, _ = q.nearest(x)
+    codes, missed = q.encode(x - q.centroids[lists])
+    decoded = q.decode(lists, codes)
+    assert np.allclose(np.sqrt(((x - decoded) ** 2).sum(1)), missed)
+    parts = np.zeros((len(x), len(x)))
+    for name in range(6):
+        own = np.flatnonzero(lists == name)
+        for j, book in enumerate(q.books):
+            parts[:, own] += E.squared((x - q.centroids[name])[:, q.cuts[j] : q.cuts[j + 1]], book)[:, codes[own, j]]
+    assert np.allclose(E.squared(x, decoded), parts)
